@@ -62,9 +62,11 @@ def standardized_shift(df: DataFrame, scenario: str, normal: str, columns: Seque
     base = per.filter(F.col(scenario) == normal)
     ref = {c: (base.select(f"mean__{c}").scalar(), base.select(f"std__{c}").scalar()) for c in columns}
     shift = lambda c: (F.col(f"mean__{c}") - ref[c][0]) / F.when(ref[c][1] == 0, 1.0).otherwise(ref[c][1])
-    shifts = F.array(*[F.struct((-F.abs(shift(c))).alias("order"), F.lit(c).alias("feature"), shift(c).alias("shift")) for c in columns])
-    best = F.slice(F.array_sort(shifts), 1, top)
-    return per.filter(F.col(scenario) != normal).select(scenario, F.inline(best)).drop("order")
+    named = per.filter(F.col(scenario) != normal).select(scenario, *[shift(c).alias(f"shift__{c}") for c in columns])
+    entries = F.array(*[F.struct((-F.abs(f"shift__{c}")).alias("order"), F.lit(c).alias("feature"),
+                                 F.col(f"shift__{c}").alias("shift")) for c in columns])
+    # sort_array, unlike array_sort, may stand over a scalar subquery.
+    return named.select(scenario, F.inline(F.slice(F.sort_array(entries), 1, top))).drop("order")
 
 
 def life_stage_shift(df: DataFrame, rul: str, columns: Sequence[str], healthy: float = 120, failing: float = 30) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .order_stats import linear, median, quantiles
-from .series import bisect_right, series
+from .series import series
 
 SEED = "42"
 
@@ -120,8 +120,8 @@ def stratified_folds(df: DataFrame, key: Sequence[str], label: str, folds: int,
 def quantile_bins(df: DataFrame, column: str, bins: int, name: str = "bin") -> DataFrame:
     """Right-closed bins at exact interpolated quantiles, repeated edges dropped, lowest value included."""
     wanted = {f"q{i:03d}": (column, i / bins, linear(i / bins)) for i in range(bins + 1)}
-    edges = quantiles(df, [], wanted).select(F.array_distinct(F.array(*wanted)).alias("e")).scalar()
-    below = F.size(F.filter(edges, lambda e: e < F.col(column)))
+    edges = sorted({v for v in quantiles(df, [], wanted).first() if v is not None})  # at most bins + 1 numbers
+    below = sum((F.when(F.col(column) > e, 1).otherwise(0) for e in edges), F.lit(0))
     return df.withColumn(name, F.greatest(below - 1, F.lit(0)))
 
 
