@@ -177,3 +177,12 @@ def capped_report(df: DataFrame, cap: float) -> DataFrame:
 def required_detection_rate(target_accuracy: Column, false_alarm: Column, normal: Column, abnormal: Column) -> Column:
     """Detection rate that would reach the accuracy at the given false-alarm rate."""
     return (target_accuracy * (normal + abnormal) - normal * (1 - false_alarm)) / abnormal
+
+
+def beyond_other_folds(df: DataFrame, fold: str, name: str = "beyond") -> DataFrame:
+    """Marks rows whose whole life exceeds every life in the other folds."""
+    tops = df.groupBy(fold).agg(F.max(F.col("cycle") + F.col("actual")).alias("__top"))
+    first = tops.agg(F.max("__top")).scalar()
+    second = tops.orderBy(F.desc("__top")).limit(2).agg(F.min("__top")).scalar()
+    others = tops.withColumn("__limit", F.when(F.col("__top") < first, first).otherwise(second)).drop("__top")
+    return df.join(others, fold).withColumn(name, F.col("cycle") + F.col("actual") > F.col("__limit")).drop("__limit")

@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from . import aggregates, checks, relations, scores, windows  # noqa: F401
+from . import aggregates, checks, detectors, relations, scores, windows  # noqa: F401
 from .registry import BUILDERS, SQL  # noqa: F401

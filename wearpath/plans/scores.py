@@ -185,14 +185,9 @@ def required_detection(spark, d):
   SELECT fold, count(*) AS rows, count(*) FILTER (cycle + actual > train_top) AS beyond_rows, {rs('avg(greatest(actual - 60, 0))')} AS cap_error_floor FROM scored JOIN t USING (fold) GROUP BY 1""")
 def beyond_training_life(spark, d):
     """Life longer than any in the other folds, which are the fold's training rows."""
-    rows = scored_rows(spark, d)
-    tops = rows.groupBy("fold").agg(F.max(F.col("cycle") + actual()).alias("top"))
-    listed = tops.agg(F.collect_list(F.struct("fold", "top")).alias("all"))  # one entry per fold
-    train = tops.select("fold").join(F.broadcast(listed)).select("fold", F.array_max(F.transform(
-        F.filter("all", lambda x: x["fold"] != F.col("fold")), lambda x: x["top"])).alias("train_top"))
-    return rows.join(F.broadcast(train), "fold").groupBy("fold").agg(
-        F.count("*").alias("rows"), F.count_if(F.col("cycle") + actual() > F.col("train_top")).alias("beyond_rows"),
-        r(F.avg(F.greatest(actual() - 60, F.lit(0)))).alias("cap_error_floor"))
+    rows = metrics.beyond_other_folds(scored_rows(spark, d), "fold")
+    return rows.groupBy("fold").agg(F.count("*").alias("rows"), F.count_if("beyond").alias("beyond_rows"),
+                                    r(F.avg(F.greatest(actual() - 60, F.lit(0)))).alias("cap_error_floor"))
 
 
 # -- sort, limit, top-k ----------------------------------------------------------------
