@@ -168,19 +168,20 @@ def manifest_issues(spark, d):
     return quality.manifest_issues(manifest_rows(spark, d)).groupBy("component", "issue").agg(F.count("*").alias("rows"))
 
 
-@query("dq_15_fingerprint_check", """WITH f AS (SELECT CAST(page_id AS VARCHAR) || '.html' AS path, sha256(html) AS sha256, page_id FROM pages)
-  SELECT path, CASE WHEN page_id % 10 = 3 THEN 'absent' ELSE 'changed' END AS problem FROM f WHERE page_id % 10 IN (3, 4)
-  UNION ALL SELECT path, 'unlisted' FROM f WHERE page_id % 10 = 5
-  UNION ALL SELECT '../' || path, 'path leaves the root' FROM f WHERE page_id % 10 = 6
-  UNION ALL SELECT path, 'unlisted' FROM f WHERE page_id % 10 = 6""")
+@query("dq_15_fingerprint_check", """WITH f AS (SELECT CAST(page_id AS VARCHAR) || '.html' AS path, CASE WHEN contains(url, '?') THEN 'unlisted' WHEN contains(url, '#') THEN 'absent'
+  WHEN contains(url, '.org/') THEN 'changed' WHEN contains(url, '.net/') THEN 'escaping' END AS kind FROM pages)
+  SELECT path, CASE kind WHEN 'escaping' THEN 'unlisted' ELSE kind END AS problem FROM f WHERE kind IS NOT NULL
+  UNION ALL SELECT '../' || path, 'path leaves the root' FROM f WHERE kind = 'escaping'""")
 def fingerprint_check(spark, d):
+    """Page files against a manifest that lacks some, lists absent and changed ones and names paths outside the root."""
+    has = lambda part: F.contains(F.col("url"), F.lit(part))
+    kind = F.when(has("?"), "unlisted").when(has("#"), "absent").when(has(".org/"), "changed").when(has(".net/"), "escaping").otherwise("same")
     pages = table(spark, d, "pages").select(
-        F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), digest(F.col("html")).alias("sha256"),
-        (F.col("page_id") % 10).alias("m"))
-    manifest = pages.filter("m <> 5").select(
-        F.when(F.col("m") == 6, F.concat(F.lit("../"), "path")).otherwise(F.col("path")).alias("path"),
-        F.when(F.col("m") == 4, "0").otherwise(F.col("sha256")).alias("sha256"))
-    return quality.fingerprint_mismatches(pages.filter("m <> 3"), manifest)
+        F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), digest(F.col("html")).alias("sha256"), kind.alias("kind"))
+    manifest = pages.filter("kind <> 'unlisted'").select(
+        F.when(F.col("kind") == "escaping", F.concat(F.lit("../"), "path")).otherwise(F.col("path")).alias("path"),
+        F.when(F.col("kind") == "changed", "0").otherwise(F.col("sha256")).alias("sha256"))
+    return quality.fingerprint_mismatches(pages.filter("kind <> 'absent'"), manifest)
 
 
 @query("dq_16_request_rules", """WITH g AS (SELECT o_orderkey, l_suppkey, l_linenumber, o_orderdate FROM orders JOIN lineitem ON o_orderkey = l_orderkey),

@@ -117,11 +117,11 @@ def envelope_smoothed(spark, d):
 
 
 def knots(spark, d):
-    """Normal trajectory with every third position left out, so that the template interpolates."""
-    return scenario_rows(spark, d).frame.filter("is_abnormal = 0 AND position % 3 <> 0")
+    """Normal readings of at least 3 in the first channel; positions without one are interpolated."""
+    return scenario_rows(spark, d).frame.filter("is_abnormal = 0 AND a >= 3")
 
 
-_TPL = f"""{SCENARIOS}, tpl AS (SELECT position, a, b FROM scen WHERE scenario = 'view' AND position % 3 <> 0), p0 AS (SELECT s.*, t.position AS px, t.a AS pa, t.b AS pb FROM scen s ASOF LEFT JOIN tpl t ON s.position >= t.position),
+_TPL = f"""{SCENARIOS}, tpl AS (SELECT position, a, b FROM scen WHERE scenario = 'view' AND a >= 3), p0 AS (SELECT s.*, t.position AS px, t.a AS pa, t.b AS pb FROM scen s ASOF LEFT JOIN tpl t ON s.position >= t.position),
   p1 AS (SELECT p0.*, t.position AS nx, t.a AS na, t.b AS nb FROM p0 ASOF LEFT JOIN tpl t ON p0.position < t.position),
   met AS (SELECT scenario, position, is_abnormal, a, b, {', '.join(f"CASE WHEN px IS NULL THEN n{c} WHEN nx IS NULL OR px = position THEN p{c} ELSE p{c} + (position - px) * (n{c} - p{c}) / (nx - px) END AS e{c}" for c in 'ab')} FROM p1)"""
 
