@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -127,6 +128,44 @@ def regression_oof(df, fold, folds, features, model, low=0.0, high=None, weight=
     return out_of_fold(df, fold, folds, fit_fold)
 
 
+def linear_by_fold(df: DataFrame, fold: str, features: Sequence[str], target: str, ridge: float = 0.0) -> list[tuple]:
+    """(fold, intercept, coefficients) of the least-squares fit on all other folds, for every fold.
+
+    One aggregate per fold gives the moments; the fit without a fold uses total minus own moments.
+    So the table is read once however many folds there are. Only (p+1)^2 numbers per fold reach the driver.
+    """
+    centre = df.agg(*[F.avg(c).alias(c) for c in [*features, target]]).first()
+    x = [F.lit(1.0), *[F.col(c) - float(centre[c]) for c in features]]
+    y = F.col(target) - float(centre[target])
+    p = len(x)
+    sums = df.groupBy(fold).agg(*[F.sum(x[i] * x[j]).alias(f"a{i}_{j}") for i in range(p) for j in range(i, p)],
+                                *[F.sum(x[i] * y).alias(f"b{i}") for i in range(p)]).collect()
+    own = {}
+    for row in sums:
+        a = np.array([[row[f"a{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
+        own[row[fold]] = (a, np.array([row[f"b{i}"] for i in range(p)]))
+    whole_a, whole_b = sum(a for a, _ in own.values()), sum(b for _, b in own.values())
+    fits = []
+    for k, (a, b) in sorted(own.items()):
+        left = whole_a - a
+        penalty = np.diag([0.0] + [ridge * left[0, 0]] * (p - 1))
+        beta = np.linalg.lstsq(left + penalty, whole_b - b, rcond=None)[0]
+        shift = float(centre[target]) + float(beta[0]) - sum(float(beta[i + 1]) * float(centre[c]) for i, c in enumerate(features))
+        fits.append((k, shift, [float(v) for v in beta[1:]]))
+    return fits
+
+
+def linear_oof(df: DataFrame, fold: str, features: Sequence[str], target: str, low: float | None = 0.0, high: float | None = None,
+               ridge: float = 0.0, name: str = "predicted") -> DataFrame:
+    """Out-of-fold least squares: a table of k coefficient rows joined by fold scores everything in one pass."""
+    kind = dict(df.dtypes)[fold]
+    fits = df.sparkSession.createDataFrame(linear_by_fold(df, fold, features, target, ridge), f"{fold} {kind}, __a double, __b array<double>")
+    value = F.col("__a")
+    for i, c in enumerate(features):
+        value = value + F.get("__b", i) * F.col(c)
+    return df.join(F.broadcast(fits), fold).withColumn(name, clip(value, low, high)).drop("__a", "__b")
+
+
 def classification_oof(df, fold, folds, features, model, key: Sequence[str], stress: bool = False, weight=None) -> DataFrame:
     """Class and raw confidence per held-out row; with ``stress`` also the class of the perturbed row."""
     def fit_fold(train):

@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import clip, digest, notes
-from ..operators import joins, labels, quality
-from ..operators.selection import top_per_group
+from ..operators import joins, labels, quality, review
 from ..operators.series import series
 from ..session import table
-from .inputs import CHANNELS, EV, HIST, SCENARIOS, SHIP, event_rows, event_series, order_histories, scenario_rows, shipment_series
-from .registry import flag, query, r, rounded, rs
+from .inputs import CHANNELS, EV, HIST, SCENARIOS, event_rows, event_series, order_histories, scenario_rows
+from .registry import flag, query, r, rs
 
 
 # -- DQ --------------------------------------------------------------------------------
@@ -253,44 +252,50 @@ def condition_groups(spark, d):
     return table(spark, d, "part").groupBy(key.alias("condition_group")).agg(F.count("*").alias("rows"))
 
 
-def risk_band(rul):
-    return F.when(rul <= 30, "High").when(rul <= 60, "Medium").otherwise("Low")
-
-
-ADVICE = {"High": "inspect now", "Medium": "plan maintenance", "Low": "continue monitoring"}
-
-
 @query("prj_06_risk_band", f"""WITH {EV}, l AS (SELECT user_id, cycle, max(cycle) OVER (PARTITION BY user_id) - cycle AS rul FROM ev)
   SELECT user_id, cycle, CASE WHEN rul <= 30 THEN 'High' WHEN rul <= 60 THEN 'Medium' ELSE 'Low' END AS risk,
-  CASE WHEN rul <= 30 THEN 'inspect now' WHEN rul <= 60 THEN 'plan maintenance' ELSE 'continue monitoring' END AS advice FROM l""")
+  CASE WHEN rul <= 30 THEN 'Inspect Immediately' WHEN rul <= 60 THEN 'Monitor Closely' ELSE 'No Immediate Action Required' END AS recommendation FROM l""")
 def risk_bands(spark, d):
     s = labels.remaining_life(event_series(spark, d), "cycle")
-    advice = F.create_map(*[F.lit(x) for kv in ADVICE.items() for x in kv])
-    risk = risk_band(F.col("rul"))
-    return s.frame.select("user_id", "cycle", risk.alias("risk"), F.element_at(advice, risk).alias("advice"))
+    risk = review.risk_band(F.col("rul"))
+    return s.frame.select("user_id", "cycle", risk.alias("risk"), review.recommendation(risk).alias("recommendation"))
+
 
+def component_results(spark, d):
+    """Every event as one component's answer; the number in props tells flags, faults and acceptance."""
+    component = F.create_map(*[F.lit(x) for x in ("click", "engine", "view", "battery", "error", "fuel-system", "purchase", "landing-gear", "signup", "hydraulic")])
+    k = F.from_json("props", "struct<k:int>")["k"]
+    rows = table(spark, d, "events").select("event_id", "user_id", "ts", F.element_at(component, F.col("event_type")).alias("component"), "value", k.alias("k"))
+    return rows.withColumns({
+        "answered": F.col("value") > 1, "flagged": F.greatest(F.col("k") - 50, F.lit(0)), "fault": F.pmod("k", F.lit(4)),
+        "accepted": F.array(F.col("k") < 90, F.when(F.col("value") < 100, F.col("k") > 5)), "tails": flag(F.col("value") > 60)})
 
-def attention(accepted, abnormal, rul, supported):
-    """Level and reason of one component result."""
-    level = (F.when(~supported, "Unavailable").when(abnormal | (rul <= 10), "Critical").when(~accepted | (rul <= 30), "Caution").otherwise("Monitor"))
-    reason = (F.when(~supported, "input outside the fitted range").when(abnormal, "abnormal pattern").when(rul <= 10, "little life left")
-              .when(~accepted, "low confidence").when(rul <= 30, "life below 30").otherwise("no finding"))
-    return level, reason
 
+RESULTS = """res AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'click' THEN 'engine' WHEN 'view' THEN 'battery' WHEN 'error' THEN 'fuel-system' WHEN 'purchase' THEN 'landing-gear' ELSE 'hydraulic' END AS component,
+  value, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events), tri AS (SELECT *, CASE WHEN value <= 1 THEN 'Unavailable' WHEN component = 'fuel-system' AND k > 50 OR component = 'landing-gear' AND k % 4 > 0 THEN 'Critical'
+  WHEN k >= 90 OR (value < 100 AND k <= 5) OR value > 60 THEN 'Caution' ELSE 'Monitor' END AS level, CASE WHEN value <= 1 THEN 'no model response' WHEN component = 'fuel-system' AND k > 50 THEN 'samples flagged'
+  WHEN component = 'landing-gear' AND k % 4 > 0 THEN 'fault class predicted' WHEN k >= 90 OR (value < 100 AND k <= 5) THEN 'an output was not accepted' WHEN value > 60 THEN 'input near the edge of the fitted range' ELSE 'no alert' END AS reason FROM res)"""
 
-@query("prj_07_attention_level", f"""WITH {EV}, l AS (SELECT *, max(cycle) OVER (PARTITION BY user_id) - cycle AS rul FROM ev)
-  SELECT event_id, CASE WHEN value > 300 THEN 'Unavailable' WHEN event_type = 'error' OR rul <= 10 THEN 'Critical' WHEN value > 100 OR rul <= 30 THEN 'Caution' ELSE 'Monitor' END AS level,
-  CASE WHEN value > 300 THEN 'input outside the fitted range' WHEN event_type = 'error' THEN 'abnormal pattern' WHEN rul <= 10 THEN 'little life left'
-  WHEN value > 100 THEN 'low confidence' WHEN rul <= 30 THEN 'life below 30' ELSE 'no finding' END AS reason FROM l""")
+
+def triaged(spark, d):
+    rows = component_results(spark, d)
+    cells = review.attention(F.col("component"), F.col("answered"), F.col("flagged"), F.col("fault"), F.col("accepted"), F.col("tails"))
+    return rows.withColumns(cells).withColumns({
+        "all_accepted": review.acceptance(F.col("accepted")), "needs_review": review.needs_review(F.col("component"), F.col("accepted"))})
+
+
+@query("prj_07_attention_level", f"""WITH {RESULTS} SELECT event_id, level, reason, CAST(k < 90 AND (value >= 100 OR k > 5) AS INTEGER) AS all_accepted,
+  CAST(component = 'fuel-system' OR NOT (k < 90 AND value < 100 AND k > 5) AS INTEGER) AS needs_review FROM tri""")
 def attention_level(spark, d):
-    s = labels.remaining_life(event_series(spark, d), "cycle")
-    level, reason = attention(F.col("value") <= 100, F.col("event_type") == "error", F.col("rul"), F.col("value") <= 300)
-    return s.frame.select("event_id", level.alias("level"), reason.alias("reason"))
+    return triaged(spark, d).select("event_id", "level", "reason", flag("all_accepted").alias("all_accepted"), flag("needs_review").alias("needs_review"))
 
 
-@query("prj_08_result_summary", """SELECT event_id, 'user ' || CAST(user_id AS VARCHAR) || ': ' || event_type || ' ' || printf('%.2f', value) AS summary FROM events""")
+@query("prj_08_result_summary", f"""WITH {RESULTS} SELECT event_id, CASE component WHEN 'engine' THEN 'Estimated RUL: ' || CAST(k AS VARCHAR) || ' cycles' WHEN 'battery' THEN 'SOH: ' || CAST(k AS VARCHAR) || '%; estimated RUL: ' || CAST(k AS VARCHAR) || ' cycles'
+  WHEN 'landing-gear' THEN 'Fault: ' || CAST(k % 4 AS VARCHAR) || '; estimated RUL: ' || CAST(k AS VARCHAR) || ' percent' WHEN 'fuel-system' THEN CAST(greatest(k - 50, 0) AS VARCHAR) || ' of 100 samples flagged' END AS summary FROM res""")
 def result_summary(spark, d):
-    return event_rows(spark, d).select("event_id", F.format_string("user %d: %s %.2f", "user_id", "event_type", "value").alias("summary"))
+    k = F.col("k").cast("double")
+    return component_results(spark, d).select("event_id", review.summary(
+        F.col("component"), k, k, F.col("fault"), F.col("flagged"), F.lit(100)).alias("summary"))
 
 
 @query("prj_09_request_summary", """SELECT event_id, CAST(CASE WHEN json_valid(props) THEN len(json_keys(props)) END AS INTEGER) AS fields,

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import calibrate, causal, detect, gates, metrics, splits
 from ..operators.joins import with_candidates
+from ..operators.order_stats import higher, quantiles
 from ..operators.profile import support_bounds as fit_bounds
 from ..operators.selection import best
 from ..operators.series import series
-from ..session import table
+from ..session import materialise, table
 from .inputs import CHANNELS, EV, FAULTS, SCENARIOS, SCORED, scenario_rows, scored_rows, tail
 from .registry import flag, query, r, rounded, rs
 
@@ -316,7 +317,7 @@ def nested_evaluation(spark, d):
     s = blocked(spark, d, NESTED_BLOCKS)
     variants = [s.frame.select("scenario", "position", "is_abnormal", "block", F.lit(1).alias("smoothing"), *AB)]
     variants += [detect.smooth(s, AB, 3).frame.select("scenario", "position", "is_abnormal", "block", F.lit(3).alias("smoothing"), *AB)]
-    rows = variants[0].unionByName(variants[1])
+    rows = materialise(variants[0].unionByName(variants[1]), "variants")
     cell = ["outer", "inner", "smoothing"]
 
     # ``smoothing`` looks back over earlier rows of its trajectory, so each block is smoothed in place.
@@ -327,14 +328,13 @@ def nested_evaluation(spark, d):
         fault_no == F.col("outer"), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(NESTED_BLOCKS - 2)))))
     faults = faults.withColumn("role", F.when(F.col("inner") == -1, "test").otherwise("validation"))
     judged = normal.filter("role <> 'train'").unionByName(faults, allowMissingColumns=True)
-    scored = judged.join(fits, cell).withColumn("score", detect.envelope_score(AB)).select(
-        *cell, "role", "scenario", "position", "is_abnormal", "score")
+    fits = materialise(fits, "fits")
+    scored = materialise(judged.join(F.broadcast(fits), cell).withColumn("score", detect.envelope_score(AB)).select(
+        *cell, "role", "scenario", "position", "is_abnormal", "score"), "scores")
     held = scored.filter("role = 'calibration'")
     qs = sorted({g["q"] for g in NESTED_GRID})
-    limits = None
-    for q in qs:
-        one = detect.thresholds(held, "score", q, cell).withColumn("q", F.lit(q))
-        limits = one if limits is None else limits.unionByName(one)
+    levels = quantiles(held, cell, {f"q{i}": ("score", q, higher(q)) for i, q in enumerate(qs)})
+    limits = levels.select(*cell, F.inline(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"q{i}").alias("threshold")) for i, q in enumerate(qs)])))
     grid = spark.createDataFrame([(g["index"], g["smoothing"], g["q"], g["window"], g["required"]) for g in NESTED_GRID],
                                  "index int, smoothing int, q double, window int, required int")
     cells = limits.join(F.broadcast(grid), ["smoothing", "q"])
@@ -343,7 +343,7 @@ def nested_evaluation(spark, d):
     cut = causal.segments(series(voted, unit, "position"), "position")
     tracks = series(cut.frame, [*unit, "segment"], "position").trailing(5, lambda f: {
         "predicted": F.when(F.col("window") == 1, F.col("vote")).otherwise(flag(F.sum("vote").over(f.last(5)) >= F.col("required")))})
-    out = tracks.frame.select("outer", "inner", "index", "role", "scenario", "position", F.col("is_abnormal").alias("actual"), "predicted")
+    out = materialise(tracks.frame.select("outer", "inner", "index", "role", "scenario", "position", F.col("is_abnormal").alias("actual"), "predicted"), "votes")
     inner = metrics.detection_scores(out.filter("role = 'validation'"), "actual", "predicted", ["outer", "index"])
     chosen = best(inner.withColumn("score", F.round(detect.selection_score(2, .10), 9)), [-F.col("score"), F.col("index")], ["outer"])
     return out.filter("role = 'test'").join(F.broadcast(chosen.select("outer", "index", "score")), ["outer", "index"])

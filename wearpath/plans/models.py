@@ -8,7 +8,7 @@ from ..operators import calibrate, causal, learn, metrics, profile, splits
 from ..operators.joins import with_candidates
 from ..operators.labels import remaining_life
 from ..operators.selection import best
-from ..session import table
+from ..session import materialise, table
 from .inputs import CHANNELS, EV, event_series, tail
 from .registry import flag, query, r, rs
 
@@ -68,7 +68,7 @@ def cover(scored, low, high):
 @query("mdl_04_tree_regression", _COVER)
 def tree_regression(spark, d):
     """A forest and a boosted ensemble, averaged and held to the target cap."""
-    rows = training_rows(spark, d).withColumn("rul", F.least("rul", F.lit(60.0)))
+    rows = materialise(training_rows(spark, d).withColumn("rul", F.least("rul", F.lit(60.0))), "training")
     first = learn.apply_model(learn.fit(rows, FEATURES, learn.forest("rul", 10, 5)), rows, 0.0, 60.0, "first")
     second = learn.apply_model(learn.fit(rows, FEATURES, learn.boosted("rul", 4, 3)), first, 0.0, 60.0, "second")
     return cover(second.withColumn("predicted", learn.blend(F.col("first"), F.col("second"))), 0, 60)
@@ -87,13 +87,21 @@ def balanced_logistic(spark, d):
 @query("mdl_06_out_of_fold", f"""WITH {TR}, k AS (SELECT f.fold, regr_slope(rul, cycle) AS b, regr_intercept(rul, cycle) AS a FROM (SELECT DISTINCT fold FROM tr) f JOIN tr ON tr.fold <> f.fold GROUP BY 1)
   SELECT event_id, {rs('least(greatest(a + b * cycle, 0), 125)', 4)} AS predicted FROM tr JOIN k USING (fold)""")
 def out_of_fold(spark, d):
-    scored = learn.regression_oof(training_rows(spark, d), "fold", FOLDS, ["cycle"], learn.linear("rul"), 0.0, 125.0)
+    rows = materialise(training_rows(spark, d), "training")
+    scored = learn.regression_oof(rows, "fold", FOLDS, ["cycle"], learn.linear("rul"), 0.0, 125.0)
+    return scored.select("event_id", r("predicted", 4).alias("predicted"))
+
+
+@query("mdl_06b_one_pass_out_of_fold", f"""WITH {TR}, k AS (SELECT f.fold, regr_slope(rul, value_mean_5) AS b, regr_intercept(rul, value_mean_5) AS a FROM (SELECT DISTINCT fold FROM tr) f JOIN tr ON tr.fold <> f.fold GROUP BY 1)
+  SELECT event_id, {rs('least(greatest(a + b * value_mean_5, 0), 125)', 4)} AS predicted FROM tr JOIN k USING (fold)""")
+def one_pass_out_of_fold(spark, d):
+    scored = learn.linear_oof(training_rows(spark, d), "fold", ["value_mean_5"], "rul", 0.0, 125.0)
     return scored.select("event_id", r("predicted", 4).alias("predicted"))
 
 
 @query("mdl_07_stressed_out_of_fold", "SELECT side, count(*) AS rows, count(DISTINCT event_id) AS distinct_rows, 0 AS bad_confidence FROM events, (SELECT unnest(['clean', 'perturbed']) AS side) GROUP BY 1")
 def stressed_out_of_fold(spark, d):
-    rows = training_rows(spark, d).withColumn("near", flag(F.col("rul") <= 20))
+    rows = materialise(training_rows(spark, d).withColumn("near", flag(F.col("rul") <= 20)), "training")
     scored = learn.classification_oof(rows, "fold", FOLDS, FEATURES, learn.forest_classifier("near", 5, 4), ["event_id"], stress=True)
     return scored.groupBy("side").agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("distinct_rows"),
                                       F.count_if(~F.col("raw_confidence").between(0.5, 1.0)).cast("int").alias("bad_confidence"))
@@ -102,7 +110,7 @@ def stressed_out_of_fold(spark, d):
 @query("mdl_18_condition_clusters", "SELECT count(*) AS rows, 0 AS bad_sums, 0 AS bad_gates, 0 AS out_of_bounds FROM events")
 def condition_clusters(spark, d):
     """Three weighted conditions; a local linear fit per condition mixed by gate and blended with the global fit."""
-    rows = profile.equal_group_weights(training_rows(spark, d), ["user_id"])
+    rows = materialise(profile.equal_group_weights(training_rows(spark, d), ["user_id"]), "training")
     gated = learn.condition_gates(rows, ["value_mean_5", "value_std_5"], 3, 1.0, "weight")
     names, scored = [], learn.apply_model(learn.fit(gated, ["cycle"], learn.linear("rul", weight="weight"), "weight"), gated, name="overall")
     for i in range(3):

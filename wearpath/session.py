@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +39,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    return os.path.join(ensure_checkpoint_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
+
+
+def materialise(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate that several jobs read, and go on from the written columns.
+
+    A table in shared storage survives lost executors and is read with column pruning.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,6 @@ they leave the state untouched and are reported with ``late`` set.
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import quality
-from ..session import ensure_checkpoint_dir
+from ..session import shared_folder
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 16) -> DataFrame:
@@ -29,11 +28,6 @@ def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
             .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the cluster's checkpoint folder, for a stream's sink and offsets."""
-    return os.path.join(ensure_checkpoint_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
-
-
 def run_to_end(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
     """Process everything available into a Parquet sink and read it back."""
     spark = stream.sparkSession
