@@ -124,7 +124,7 @@ def segmented_persistence(df: DataFrame, unit: Sequence[str], position: str, vot
                           window: int, required: int, name: str = "alert", **layout) -> Series:
     """Persistence that restarts after every gap in the positions."""
     cut = segments(series(df, unit, position, **layout), position)
-    return persistence(series(cut.frame, [*unit, "segment"], position, **layout), vote, window, required, name)
+    return persistence(cut.refine(["segment"]), vote, window, required, name)
 
 
 def last_rows(df: DataFrame, unit: Sequence[str], order: Sequence[Column], rows: int, name: str = "row_from_end") -> DataFrame:

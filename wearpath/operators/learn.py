@@ -100,7 +100,7 @@ def balanced_class_weights(df: DataFrame, label: str, name: str = "weight") -> D
     """n / (classes x rows of the class), from a per-class count joined back."""
     counts = df.groupBy(label).agg(F.count("*").alias("__n"))
     totals = counts.agg((F.sum("__n") / F.count("*")).alias("share")).scalar()
-    return df.join(F.broadcast(counts), label).withColumn(name, totals / F.col("__n")).drop("__n")
+    return df.join(counts, label).withColumn(name, totals / F.col("__n")).drop("__n")
 
 
 def fit(train: DataFrame, features: Sequence[str], model, weight: str | None = None) -> PipelineModel:

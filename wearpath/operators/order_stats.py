@@ -51,7 +51,7 @@ def quantiles(df: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, flo
     if top <= small_rows:
         columns = sorted({c for c, _, _ in wanted.values()})
         sorted_values = df.groupBy(*by).agg(
-            *[F.array_sort(F.collect_list(F.col(c).cast("double"))).alias(f"__v_{c}") for c in columns]
+            *[F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(f"__v_{c}") for c in columns]
         )
         return sorted_values.select(*by, *[
             F.when(F.size(f"__v_{c}") > 0, _at(F.col(f"__v_{c}"), rule(F.size(f"__v_{c}").cast("double")))).alias(name)
@@ -116,11 +116,11 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str = "ran
 
 
 def array_median(values: Column) -> Column:
-    ordered = F.array_sort(values)
+    ordered = F.sort_array(values)  # native sort; array_sort would interpret a comparator
     n = F.size(ordered)
     return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
 
 
 def array_quantile(values: Column, q: float) -> Column:
-    ordered = F.array_sort(values)
+    ordered = F.sort_array(values)  # native sort; array_sort would interpret a comparator
     return F.when(F.size(ordered) > 0, _at(ordered, F.lit(float(q)) * (F.size(ordered) - 1)))

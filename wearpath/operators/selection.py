@@ -24,7 +24,7 @@ def top_channels(deviations: dict[str, Column], k: int = 5) -> Column:
     """Names of the k largest channels of a row; ties go to the later name, as in a reversed argsort."""
     entries = F.array(*[F.struct((-value).alias("order"), F.lit(-i).alias("tie"), F.lit(name).alias("name"))
                         for i, (name, value) in enumerate(deviations.items())])
-    return F.transform(F.slice(F.array_sort(entries), 1, k), lambda e: e["name"])
+    return F.transform(F.slice(F.sort_array(entries), 1, k), lambda e: e["name"])
 
 
 def row_aggregate(values: Column, how: str) -> Column:
@@ -39,7 +39,7 @@ def row_aggregate(values: Column, how: str) -> Column:
     if how == "p75":
         return array_quantile(values, 0.75)
     if how == "top2_mean":
-        return array_mean(F.slice(F.reverse(F.array_sort(values)), 1, 2))
+        return array_mean(F.slice(F.sort_array(values, asc=False), 1, 2))
     raise ValueError(f"unknown row aggregate {how!r}")
 
 

@@ -94,6 +94,13 @@ class Series:
     def keys(self) -> tuple[str, ...]:
         return self.unit + (BLOCK,) if self.blocked else self.unit
 
+    def refine(self, extra: Sequence[str], order: str | Sequence[str] | None = None) -> "Series":
+        """Smaller units inside these ones. No unit grew, so a layout without blocks needs no new count."""
+        order = self.order if order is None else ((order,) if isinstance(order, str) else tuple(order))
+        if self.blocked:
+            return series(self.frame, self.unit + tuple(extra), order, self.block_rows)
+        return Series(self.df, self.unit + tuple(extra), order, self.block_rows, False)
+
     # -- operators --------------------------------------------------------------
     def number(self, name: str) -> "Series":
         """1-based position of each row in its unit."""
@@ -132,18 +139,18 @@ class Series:
         Kinds: ``sum``, ``count``, ``min``, ``max``, ``last`` (latest non-null value; the
         nearest following non-null value when reversed).
         """
-        if reverse:
-            span, rest = (0, Window.unboundedFollowing), (1, Window.unboundedFollowing)
-        else:
-            span, rest = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
+        # Backwards means forwards over the descending order: a frame up to unboundedFollowing would
+        # be evaluated anew for every row.
+        span, rest = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
+        turn = F.desc if reverse else F.asc
 
         def fold(kind, column):
             if kind == "last":
-                return F.first(column, ignorenulls=True) if reverse else F.last(column, ignorenulls=True)
+                return F.last(column, ignorenulls=True)
             return {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[kind](column)
 
         order = (POSITION,) if self.blocked else self.order
-        local = Window.partitionBy(*self.keys).orderBy(*order).rowsBetween(*span)
+        local = Window.partitionBy(*self.keys).orderBy(*[turn(c) for c in order]).rowsBetween(*span)
         numbered = self.df.withColumns({n: fold(k, c).over(local) for n, (k, c) in aggregates.items()})
         if not self.blocked:
             return self.using(numbered)
@@ -156,7 +163,7 @@ class Series:
             return fold(kind, column)
 
         per_block = self.df.groupBy(*self.keys).agg(*[summary(k, c).alias(n) for n, (k, c) in aggregates.items()])
-        over_blocks = Window.partitionBy(*self.unit).orderBy(BLOCK).rowsBetween(*rest)
+        over_blocks = Window.partitionBy(*self.unit).orderBy(turn(BLOCK)).rowsBetween(*rest)
         carried = {n: f"__carry_{n}" for n in aggregates}
         again = {n: ("sum" if k == "count" else k) for n, (k, _) in aggregates.items()}
         carry = per_block.select(

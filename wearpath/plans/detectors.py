@@ -341,7 +341,7 @@ def nested_evaluation(spark, d):
     voted = scored.filter("role <> 'calibration'").join(F.broadcast(cells), cell).withColumn("vote", flag(F.col("score") > F.col("threshold")))
     unit = ["outer", "inner", "index", "scenario"]
     cut = causal.segments(series(voted, unit, "position"), "position")
-    tracks = series(cut.frame, [*unit, "segment"], "position").trailing(5, lambda f: {
+    tracks = cut.refine(["segment"]).trailing(5, lambda f: {
         "predicted": F.when(F.col("window") == 1, F.col("vote")).otherwise(flag(F.sum("vote").over(f.last(5)) >= F.col("required")))})
     out = materialise(tracks.frame.select("outer", "inner", "index", "role", "scenario", "position", F.col("is_abnormal").alias("actual"), "predicted"), "votes")
     inner = metrics.detection_scores(out.filter("role = 'validation'"), "actual", "predicted", ["outer", "index"])
