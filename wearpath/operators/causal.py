@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,15 +85,47 @@ def regression_slope(s: Series, column: str, order: str, windows: Sequence[int],
 
 def theil_sen_slope(s: Series, column: str, order: str, windows: Sequence[int], prefix: str) -> Series:
     """Median of all pairwise slopes of the last w points (the window bounds the pairs)."""
-    def slopes(points: Column) -> Column:
-        pairs = F.transform(points, lambda p, i: F.transform(
-            F.slice(points, i + 2, F.size(points)), lambda q: (q["y"] - p["y"]) / (q["x"] - p["x"])))
-        return F.coalesce(array_median(F.flatten(pairs)), F.lit(0.0))
-
-    point = F.struct(F.col(order).cast("double").alias("x"), F.col(column).cast("double").alias("y"))
-    held = s.trailing(max(windows), lambda f: {f"__w{w}": F.collect_list(point).over(f.last(w)) for w in windows})
-    done = held.select(**{f"{prefix}_{w}": slopes(F.col(f"__w{w}")) for w in windows})
-    return done.using(done.df.drop(*[f"__w{w}" for w in windows]))
+    widest, names = max(windows), [f"{prefix}_{w}" for w in windows]
+
+    def make():
+        held = {"x": np.empty(0), "y": np.empty(0), "rank": np.empty(0, dtype=int)}
+
+        def step(pdf, fresh):
+            start = np.where(fresh, np.arange(len(pdf)), -1)
+            first = np.maximum.accumulate(start)
+            carried = held["rank"][-1] + 1 if len(held["rank"]) else 0
+            rank = np.where(first >= 0, np.arange(len(pdf)) - first, np.arange(len(pdf)) + carried)
+            x, y = np.r_[held["x"], pdf[order].to_numpy(float)], np.r_[held["y"], pdf[column].to_numpy(float)]
+            out = {n: pairwise_median_slopes(x, y, rank, len(held["x"]), w) for n, w in zip(names, windows)}
+            keep = widest - 1
+            held.update(x=x[-keep:], y=y[-keep:], rank=rank[-1:])
+            return out
+
+        return step
+
+    return s.swept(widest, names, make)
+
+
+def pairwise_median_slopes(x, y, rank, offset: int, window: int, chunk: int = 4096):
+    """For each row (at ``offset`` + i in x, y) the median slope over its last ``window`` rows of the unit."""
+    near, far = np.triu_indices(window, k=1)
+    result = np.zeros(len(rank))
+    for begin in range(0, len(rank), chunk):
+        r = rank[begin:begin + chunk]
+        at = offset + begin + np.arange(len(r))
+        older, newer = at[:, None] - far, at[:, None] - near
+        inside = r[:, None] >= far
+        older, newer = np.where(inside, older, at[:, None]), np.where(inside, newer, at[:, None])
+        run = np.where(inside, x[newer] - x[older], 1.0)
+        slopes = np.where(inside, (y[newer] - y[older]) / run, np.inf)
+        slopes.sort(axis=1)
+        points = np.minimum(r + 1, window)
+        count = points * (points - 1) // 2
+        rows = np.arange(len(r))
+        low, high = slopes[rows, np.maximum((count - 1) // 2, 0)], slopes[rows, np.minimum(count // 2, slopes.shape[1] - 1)]
+        some = count > 0
+        result[begin:begin + chunk][some] = (low[some] + high[some]) / 2
+    return result
 
 
 def declining(slope: Column) -> Column:

@@ -18,6 +18,8 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +71,34 @@ class Frames:
         return self.ordered.rowsBetween(-rows, -1)
 
 
+# Called per Arrow batch with the rows and a flag per row "first of its unit"; gives the new columns.
+Sweep = Callable[[pd.DataFrame, np.ndarray], dict[str, np.ndarray]]
+
+
+def _sweep(df: DataFrame, keys: Sequence[str], order: Sequence[str], names: Sequence[str], make: Callable[[], Sweep]) -> DataFrame:
+    """Sort each partition in the JVM (it may spill) and stream it through ``make()``'s step.
+
+    A step keeps what it needs of a unit between batches, so no unit is ever held whole.
+    """
+    keys, schema = list(keys), T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def run(batches):
+        step, before = make(), None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            fresh = np.zeros(len(pdf), dtype=bool)
+            for k in keys:
+                values = pdf[k].to_numpy()
+                fresh[1:] |= values[1:] != values[:-1]
+            fresh[0] = before is None or any(pdf[k].iloc[0] != v for k, v in zip(keys, before))
+            before = [pdf[k].iloc[-1] for k in keys]
+            yield pdf.assign(**step(pdf, fresh))
+
+    placed = df.repartition(*keys) if keys else df.coalesce(1)  # no unit: at most one block of rows
+    return placed.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 @dataclass(frozen=True)
 class Series:
     df: DataFrame
@@ -113,14 +143,23 @@ class Series:
         """Columns over frames that look back at most ``rows - 1`` rows."""
         if not self.blocked:
             return self.select(**build(Frames(self.unit, self.order)))
+        built = self._with_copies(rows).withColumns(build(Frames(self.unit + (TARGET,), (POSITION,))))
+        return self.using(built.filter(F.col(TARGET) == F.col(BLOCK)).drop(TARGET))
+
+    def _with_copies(self, rows: int) -> DataFrame:
+        """The last ``rows - 1`` rows of every block once more for the block after it."""
         reach = rows - 1
         if reach >= self.block_rows:
             raise ValueError("a frame may not exceed the block size")
         near_end = F.pmod(F.col(POSITION) - 1, F.lit(self.block_rows)) >= self.block_rows - reach
         both = F.array(F.col(BLOCK), F.col(BLOCK) + 1)
-        target = F.explode(F.when(near_end, both).otherwise(F.array(BLOCK)))
-        copied = self.df.withColumn(TARGET, target)
-        built = copied.withColumns(build(Frames(self.unit + (TARGET,), (POSITION,))))
+        return self.df.withColumn(TARGET, F.explode(F.when(near_end, both).otherwise(F.array(BLOCK))))
+
+    def swept(self, rows: int, names: Sequence[str], make: Callable[[], Sweep]) -> "Series":
+        """Like `trailing`, for features that need numpy: sorted rows pass by in Arrow batches."""
+        if not self.blocked:
+            return self.using(_sweep(self.df, self.unit, self.order, names, make))
+        built = _sweep(self._with_copies(rows), self.unit + (TARGET,), (POSITION,), names, make)
         return self.using(built.filter(F.col(TARGET) == F.col(BLOCK)).drop(TARGET))
 
     def totals(self, **aggregates: Column) -> "Series":
@@ -189,18 +228,25 @@ class Series:
         one bounded block; a block's effect on later rows is one number, its last value.
         """
         names = list(spans)
-        schema = T.StructType(
-            list(self.df.schema.fields) + [T.StructField(n, T.DoubleType()) for n in names]
-        )
-        order = [POSITION] if self.blocked else list(self.order)
 
-        def smooth(pdf):
-            pdf = pdf.sort_values(order, kind="stable")
-            for name, (column, span) in spans.items():
-                pdf[name] = pdf[column].astype("float64").ewm(span=span, adjust=False).mean()
-            return pdf
+        def make() -> Sweep:
+            level: dict[str, float] = {}
+
+            def step(pdf, fresh):
+                groups, out = np.cumsum(fresh), {}
+                for name, (column, span) in spans.items():
+                    x, g = pdf[column].to_numpy(float), groups
+                    if not fresh[0]:  # go on from the level the unit had in the batch before
+                        x, g = np.r_[level[name], x], np.r_[g[0], g]
+                    y = pd.Series(x).groupby(g).ewm(span=span, adjust=False).mean().to_numpy()
+                    out[name] = y[-len(pdf):]
+                    level[name] = y[-1]
+                return out
+
+            return step
 
-        built = self.df.groupBy(*self.keys).applyInPandas(smooth, schema)
+        order = (POSITION,) if self.blocked else self.order
+        built = _sweep(self.df, self.keys, order, names, make)
         if not self.blocked:
             return self.using(built)
         # Blocks were seeded with their own first value; shift them by the carried level:

@@ -173,9 +173,9 @@ _CAL = f"""{_BLK}, nrm AS (SELECT * FROM blk WHERE block > 0), md AS (SELECT qua
 
 
 def calibrated_alerts(spark, d, channels=("a", "b"), q=0.9, window=5, required=2):
-    s = blocked(spark, d)
-    fits = detect.fit_envelope(s.df.filter("block > 0"), list(channels))
-    scored = detect.attach(s.frame, fits, []).withColumn("score", detect.envelope_score(list(channels)))
+    rows = materialise(blocked(spark, d).frame, "blocks")
+    fits = detect.fit_envelope(rows.filter("block > 0"), list(channels))
+    scored = detect.attach(rows, fits, []).withColumn("score", detect.envelope_score(list(channels)))
     limit = detect.thresholds(scored.filter("block = 0"), "score", q).first()["threshold"]
     voted = scored.withColumn("margin", F.col("score") - limit).withColumn("vote", flag(F.col("margin") > 0))
     return detect.voting_alerts(voted, ["scenario"], "position", "vote", window, required)
@@ -196,7 +196,7 @@ def threshold_and_alerts(spark, d):
   FROM sco JOIN th USING (k) GROUP BY 1, 2""")
 def block_ensemble(spark, d):
     """Six members; each leaves out one block, calibrates on the block before it and trains on the rest."""
-    rows = blocked(spark, d, 6).frame
+    rows = materialise(blocked(spark, d, 6).frame, "blocks")
     roles = splits.rotating_roles(rows.filter("is_abnormal = 0"), "block", 6)
     fits = detect.fit_envelope(roles.filter("role = 'train'"), AB, ["fold"])
     every = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(5))))

@@ -134,7 +134,7 @@ def readiness(spark, d):
   concat_ws('; ', CASE WHEN cycle < 10 THEN 'limited history' END, CASE WHEN value_mean_5 < q01 OR value_mean_5 > q99 THEN 'tail range' END) AS warnings, 1 AS accepted FROM s, q WHERE rul = 0""")
 def batch_scoring(spark, d):
     """Each user's history is a request: features, latest row, estimate, interval, support, risk and warnings."""
-    rows = training_rows(spark, d).withColumn("capped", F.least("rul", F.lit(40.0)))
+    rows = materialise(training_rows(spark, d).withColumn("capped", F.least("rul", F.lit(40.0))), "training")
     model = learn.fit(rows, ["value_mean_5"], learn.linear("capped"))
     scored = learn.apply_model(model, rows, 0.0, 40.0)
     radius = calibrate.conformal_radius(scored.withColumn("e", F.col("capped") - F.col("predicted")), "e", 0.05).first()["radius"]

@@ -170,7 +170,7 @@ _PART = """gr AS (SELECT user_id, row_number() OVER (ORDER BY md5('42:' || CAST(
   SELECT count(*) AS rows, {rs('avg(abs(p - rul))', 5)} AS mae, {rs('any_value(radius)', 4)} AS radius, {rs('avg(CAST(rul BETWEEN greatest(p - radius, 0) AND p + radius AS INTEGER))', 3)} AS coverage FROM s, q WHERE part = 'evaluation'""")
 def disjoint_audit(spark, d):
     """Fit, calibrate and evaluate on disjoint users."""
-    rows = splits.three_way(training_rows(spark, d), "user_id")
+    rows = materialise(splits.three_way(training_rows(spark, d), "user_id"), "training")
     model = learn.fit(rows.filter("part = 'fit'"), ["cycle"], learn.linear("rul"))
     scored = learn.apply_model(model, rows, 0.0).select("part", F.col("rul").alias("actual"), "predicted")
     errors = scored.filter("part = 'calibration'").withColumn("e", F.col("predicted") - F.col("actual"))
