@@ -119,6 +119,13 @@ def soft_gates(distances: Column, width: float) -> Column:
     return F.transform(raised, lambda v: v / total)
 
 
+def wall_micros(moment: Column) -> Column:
+    """Microseconds since 1970 of a zone-less timestamp, whatever the session's time zone."""
+    days = F.datediff(moment.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    clock = F.hour(moment).cast("long") * 3600 + F.minute(moment) * 60
+    return (days * 86400 + clock) * 1000000 + (F.date_part(F.lit("SECOND"), moment) * 1000000).cast("long")
+
+
 def utc_seconds(moment: Column) -> Column:
     return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 

@@ -131,7 +131,7 @@ def regression_oof(df, fold, folds, features, model, low=0.0, high=None, weight=
 def linear_by_fold(df: DataFrame, fold: str, features: Sequence[str], target: str, ridge: float = 0.0) -> list[tuple]:
     """(fold, intercept, coefficients) of the least-squares fit on all other folds, for every fold.
 
-    One aggregate per fold gives the moments; the fit without a fold uses total minus own moments.
+    One aggregate per fold gives the moments; the fit without a fold adds those of the others.
     So the table is read once however many folds there are. Only (p+1)^2 numbers per fold reach the driver.
     """
     centre = df.agg(*[F.avg(c).alias(c) for c in [*features, target]]).first()
@@ -144,13 +144,20 @@ def linear_by_fold(df: DataFrame, fold: str, features: Sequence[str], target: st
     for row in sums:
         a = np.array([[row[f"a{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
         own[row[fold]] = (a, np.array([row[f"b{i}"] for i in range(p)]))
-    whole_a, whole_b = sum(a for a, _ in own.values()), sum(b for _, b in own.values())
+    order = sorted(own)
+    zero = (np.zeros((p, p)), np.zeros(p))
+    add = lambda u, v: (u[0] + v[0], u[1] + v[1])
+    # Sums of the folds before and after each fold: adding the others loses no digits, subtracting could.
+    before, after = [zero], [zero]
+    for k, back in zip(order, reversed(order)):
+        before.append(add(before[-1], own[k]))
+        after.append(add(after[-1], own[back]))
     fits = []
-    for k, (a, b) in sorted(own.items()):
-        left = whole_a - a
+    for i, k in enumerate(order):
+        left, right = add(before[i], after[len(order) - 1 - i])
         penalty = np.diag([0.0] + [ridge * left[0, 0]] * (p - 1))
-        beta = np.linalg.lstsq(left + penalty, whole_b - b, rcond=None)[0]
-        shift = float(centre[target]) + float(beta[0]) - sum(float(beta[i + 1]) * float(centre[c]) for i, c in enumerate(features))
+        beta = np.linalg.lstsq(left + penalty, right, rcond=None)[0]
+        shift = float(centre[target]) + float(beta[0]) - sum(float(beta[j + 1]) * float(centre[c]) for j, c in enumerate(features))
         fits.append((k, shift, [float(v) for v in beta[1:]]))
     return fits
 

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import wall_micros
+
 BLOCK_ROWS = 1_000_000
 MAX_SPLITS = 8192
 BROADCAST_ROWS = 1_000_000
@@ -46,8 +48,10 @@ def bisect_right(splits: Column, x: Column, steps: int = 14) -> Column:
 
 def _as_number(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.col(name).cast("timestamp").cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(name).cast("double")
+    if isinstance(kind, (T.TimestampNTZType, T.DateType)):  # daylight saving must not fold the order
+        return wall_micros(F.col(name).cast("timestamp_ntz")).cast("double")
     if isinstance(kind, T.NumericType):
         return F.col(name).cast("double")
     raise ValueError(f"leading order column {name!r} must be numeric or a date/time to split a large unit")

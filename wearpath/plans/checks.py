@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import clip, digest, notes
+from ..functions.scalars import clip, digest, notes, wall_micros
 from ..operators import joins, labels, quality, review
 from ..operators.series import series
 from ..session import table
@@ -95,7 +95,7 @@ def key_set_match(spark, d):
   count(DISTINCT cycle + rul) AS lifetime_values, count(*) FILTER (cycle + rul <> last) AS label_mismatch_rows,
   (round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM events), 9) + 0.0) AS row_fraction FROM g GROUP BY user_id""")
 def trajectory_quality(spark, d):
-    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600e6).cast("long")
+    hour = F.floor(wall_micros(F.col("ts")) / 3600e6).cast("long")
     base = event_rows(spark, d).select("user_id", "event_id", hour.alias("cycle"), F.pmod("event_id", F.lit(7)).alias("rul"))
     records = quality.trajectory_quality(series(base, "user_id", ("cycle", "event_id")), "cycle", "rul")
     return records.drop("observed_lifetime").withColumn("row_fraction", r("row_fraction", 9))

@@ -7,12 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import wall_micros
 from ..operators.series import Series, series
 from ..session import table
 
 
 def epoch_seconds(column: str = "ts") -> Column:
-    return F.unix_micros(F.col(column).cast("timestamp")) / 1e6
+    return wall_micros(F.col(column)) / 1e6
 
 
 # -- one-channel trajectories: a user's events in time order ---------------------------

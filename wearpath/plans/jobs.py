@@ -18,14 +18,14 @@ from .models import FOLDS, TR, training_rows
 from .registry import flag, query, r, rounded, rs
 
 
-@query("job_00_fleet_watch", f"""WITH {EV}, w AS (SELECT user_id, event_id, cycle, value, max(cycle) OVER (PARTITION BY user_id) AS last_cycle, coalesce(value - lag(value) OVER o, 0) AS dv, avg(value) OVER t AS m5, greatest(stddev_pop(value) OVER t, 0) AS s5
+@query("job_00_fleet_watch", f"""WITH {EV.replace('FROM events', 'FROM events WHERE value >= 0')}, w AS (SELECT user_id, event_id, cycle, value, max(cycle) OVER (PARTITION BY user_id) AS last_cycle, coalesce(value - lag(value) OVER o, 0) AS dv, avg(value) OVER t AS m5, greatest(stddev_pop(value) OVER t, 0) AS s5
   FROM ev WINDOW o AS (PARTITION BY user_id ORDER BY cycle), {tail(5)})
   SELECT user_id, event_id, cycle, {rs('value')} AS value, {rs('dv')} AS value_delta, {rs('m5')} AS value_mean_5, {rs('s5')} AS value_std_5, CASE WHEN m5 <= 30 THEN 'High' WHEN m5 <= 60 THEN 'Medium' ELSE 'Low' END AS risk
-  FROM w WHERE cycle = last_cycle AND value >= 0 ORDER BY m5, user_id LIMIT 20""")
+  FROM w WHERE cycle = last_cycle ORDER BY m5, user_id LIMIT 20""")
 def fleet_watch(spark, d):
     """Valid events -> past-only features -> latest row per user -> risk -> the twenty most urgent."""
-    s = event_series(spark, d)
-    s = s.using(s.df.filter(F.col("value") >= 0))
+    rows = event_rows(spark, d).filter(F.col("value") >= 0)
+    s = series(rows, "user_id", ("ts", "event_id")).number("cycle")
     s = causal.trailing_std(causal.trailing_mean(causal.first_difference(s, ["value"]), ["value"], (5,)), ["value"], (5,))
     last = causal.terminal_rows(s.frame, ["user_id"], ["cycle"]).withColumn("risk", review.risk_band(F.col("value_mean_5")))
     urgent = top_rows(last, [F.asc("value_mean_5"), F.asc("user_id")], 20)
@@ -172,7 +172,7 @@ def fleet_review(spark, d):
     rows = triaged(spark, d)
     return rows.groupBy("component").agg(
         F.count("*").alias("results"), *[F.count_if(F.col("level") == v).alias(v.lower()) for v in ("Critical", "Caution", "Monitor", "Unavailable")],
-        F.count_distinct("user_id").alias("assets"), F.date_format(F.max("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("newest"))
+        F.count_distinct("user_id").alias("assets"), F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("newest"))
 
 
 @query("job_08b_history_view", f"""WITH {RESULTS} SELECT CAST(user_id AS VARCHAR) AS asset_id, count(*) AS entries, arg_max(event_id, (ts, event_id)) AS newest_event, arg_max(CASE WHEN level = 'Critical' THEN 'inspected' END, (ts, event_id)) FILTER (level = 'Critical') AS latest_outcome FROM tri GROUP BY 1""")

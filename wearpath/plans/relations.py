@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import wall_micros
 from ..operators import causal, joins, splits
 from ..operators.series import series
 from ..session import table
@@ -41,7 +42,7 @@ def dictionary_lookup(spark, d):
 
 
 def _day_counts(spark, d, kind):
-    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86400e6).cast("long").alias("day")
+    day = F.floor(wall_micros(F.col("ts")) / 86400e6).cast("long").alias("day")
     return event_rows(spark, d).filter(F.col("event_type") == kind).groupBy("user_id", day).agg(
         F.count("*").alias("n"), F.max("value").alias("peak"))
 

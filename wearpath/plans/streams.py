@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import wall_micros
 from ..operators import quality
 from ..session import table
 from ..streaming import online
@@ -17,7 +18,7 @@ from .windows import _ewm_sql
   FROM ev e JOIN (SELECT user_id, cycle, y FROM walk5) w ON e.user_id = w.user_id AND e.cycle = w.cycle
   WINDOW o AS (PARTITION BY e.user_id ORDER BY e.cycle), t AS (PARTITION BY e.user_id ORDER BY e.cycle ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), u AS (PARTITION BY e.user_id ORDER BY e.cycle ROWS UNBOUNDED PRECEDING)""")
 def online_features(spark, d):
-    events = online.table_stream(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "value")
+    events = online.table_stream(spark, d, "events").select("user_id", wall_micros(F.col("ts")).alias("micros"), "value")
     rows = online.run_to_end(online.causal_features(events, "user_id", "micros", "value"), "features").filter("NOT late")
     names = ["value_delta", "value_mean_5", "value_std_5", "ewm5", "value_baseline"]
     return rounded(rows.select("user_id", "cycle", *names), names)
@@ -26,7 +27,7 @@ def online_features(spark, d):
 @query("str_02_online_alerts", f"""WITH {EV}, v AS (SELECT user_id, cycle, CAST(value > 30 AS INTEGER) AS vote FROM ev) SELECT user_id, cycle, CAST(sum(vote) OVER t >= 3 AS INTEGER) AS alert FROM v WINDOW {tail(5)}""")
 def online_alerts(spark, d):
     """The position is the event's number within its user; without gaps there is one segment per user."""
-    events = online.table_stream(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "value")
+    events = online.table_stream(spark, d, "events").select("user_id", wall_micros(F.col("ts")).alias("micros"), "value")
     numbered = online.causal_features(events, "user_id", "micros", "value").filter("NOT late")
     # Two stateful steps over the same key: the first writes, the second reads its table as a stream.
     staged = online.shared_folder(spark, "numbered")

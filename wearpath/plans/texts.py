@@ -13,10 +13,10 @@ from .registry import flag, query, r, rs
 @query("scl_01_timestamp_vector", "SELECT event_id, epoch_us(ts) AS micros FROM events")
 def timestamp_vector(spark, d):
     """Times written as six-number vectors and read back."""
-    ts = F.col("ts").cast("timestamp")
-    text = F.concat(F.lit("["), F.date_format(ts, "yyyy. M. d. H. m. "), (F.second(ts) + F.pmod(F.unix_micros(ts), F.lit(1000000)) / 1e6).cast("string"), F.lit("]"))
+    ts = F.col("ts")
+    text = F.concat(F.lit("["), F.date_format(ts, "yyyy. M. d. H. m. "), F.date_part(F.lit("SECOND"), ts).cast("string"), F.lit("]"))
     parsed = fn.timestamp_from_vector(text)
-    return event_rows(spark, d).select("event_id", F.unix_micros(parsed.cast("timestamp")).alias("micros"))
+    return event_rows(spark, d).select("event_id", fn.wall_micros(parsed).alias("micros"))
 
 
 @query("scl_02_complex_numbers", f"""SELECT event_id, {rs('value')} AS re, {rs("-CAST(json_extract(props, '$.k') AS DOUBLE)")} AS im, {rs("sqrt(value * value + CAST(json_extract(props, '$.k') AS DOUBLE) ** 2)")} AS magnitude FROM events""")
@@ -112,7 +112,7 @@ def soft_gates(spark, d):
 
 @query("scl_15_utc_text", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at_utc FROM events")
 def utc_text(spark, d):
-    return event_rows(spark, d).select("event_id", fn.utc_seconds(F.col("ts").cast("timestamp")).alias("at_utc"))
+    return event_rows(spark, d).select("event_id", fn.utc_seconds(F.col("ts")).alias("at_utc"))
 
 
 @query("scl_16_json_objects", """SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, '{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || ',"type":"' || event_type || '"}' AS document FROM events""")

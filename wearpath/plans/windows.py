@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import wall_micros
 from ..operators import causal, labels
 from ..operators.series import series
 from .inputs import (CHANNELS, EV, HIST, OW, SCENARIOS, SHIP, event_rows, event_series, order_histories,
@@ -154,7 +155,7 @@ seg AS (SELECT user_id, day, CAST(sum(b) OVER (PARTITION BY user_id ORDER BY day
 
 
 def active_days(spark, d):
-    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86400e6).cast("long")
+    day = F.floor(wall_micros(F.col("ts")) / 86400e6).cast("long")
     return event_rows(spark, d).select("user_id", day.alias("day")).distinct()
 
 
@@ -178,7 +179,7 @@ def causal_persistence(spark, d):
   SELECT user_id, day, segment, CAST(sum(vote) OVER (PARTITION BY user_id, segment ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) >= 3 AS INTEGER) AS alert
   FROM seg JOIN dv USING (user_id, day)""")
 def segmented_persistence(spark, d):
-    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86400e6).cast("long")
+    day = F.floor(wall_micros(F.col("ts")) / 86400e6).cast("long")
     votes = event_rows(spark, d).groupBy("user_id", day.alias("day")).agg(flag(F.max("value") > 40).alias("vote"))
     s = causal.segmented_persistence(votes, ["user_id"], "day", "vote", 5, 3)
     return s.frame.select("user_id", "day", F.col("segment").cast("long").alias("segment"), "alert")
