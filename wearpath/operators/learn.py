@@ -173,6 +173,25 @@ def linear_oof(df: DataFrame, fold: str, features: Sequence[str], target: str, l
     return df.join(F.broadcast(fits), fold).withColumn(name, clip(value, low, high)).drop("__a", "__b")
 
 
+def weighted_linear(df: DataFrame, features: Sequence[str], target: str, weights: dict[str, Column]) -> dict[str, Column]:
+    """Least-squares predictions for several weightings of the same rows, fitted in one aggregate pass."""
+    centre = df.agg(*[F.avg(c).alias(c) for c in [*features, target]]).first()
+    x = [F.lit(1.0), *[F.col(c) - float(centre[c]) for c in features]]
+    y = F.col(target) - float(centre[target])
+    p = len(x)
+    row = df.agg(*[F.sum(w * x[i] * x[j]).alias(f"{n}_a{i}_{j}") for n, w in weights.items() for i in range(p) for j in range(i, p)],
+                 *[F.sum(w * x[i] * y).alias(f"{n}_b{i}") for n, w in weights.items() for i in range(p)]).first()
+    out = {}
+    for n in weights:
+        a = np.array([[row[f"{n}_a{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
+        beta = np.linalg.lstsq(a, np.array([row[f"{n}_b{i}"] for i in range(p)]), rcond=None)[0]
+        value = F.lit(float(centre[target]) + float(beta[0]))
+        for i, c in enumerate(features):
+            value = value + float(beta[i + 1]) * (F.col(c) - float(centre[c]))
+        out[n] = value
+    return out
+
+
 def classification_oof(df, fold, folds, features, model, key: Sequence[str], stress: bool = False, weight=None) -> DataFrame:
     """Class and raw confidence per held-out row; with ``stress`` also the class of the perturbed row."""
     def fit_fold(train):

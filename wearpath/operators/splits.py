@@ -168,8 +168,8 @@ def perturb(df: DataFrame, train: DataFrame, key: Sequence[str], features: Seque
 
     Draws are hashes of (seed, feature, key), so they do not depend on partitioning.
     """
-    scale = train.agg(*[F.stddev_pop(c).alias(c) for c in features])
-    middle = quantiles(train, [], {c: median(c) for c in features})
+    scale = train.agg(*[F.stddev_pop(c).alias(c) for c in features]).first()
+    middle = quantiles(train, [], {c: median(c) for c in features}).first()
 
     def draw(name, c):
         return hash_unit(F.lit(f"{name}:{c}"), *key, seed=seed)
@@ -177,8 +177,8 @@ def perturb(df: DataFrame, train: DataFrame, key: Sequence[str], features: Seque
     def moved(c):
         radius = F.sqrt(-2 * F.log(F.lit(1.0) - draw("radius", c)))
         normal = radius * F.cos(2 * F.pi() * draw("angle", c))
-        noisy = F.col(c) + normal * noise * scale.select(c).scalar()
-        return F.when(draw("drop", c) < dropout, middle.select(c).scalar()).otherwise(noisy)
+        noisy = F.col(c) + normal * (noise * float(scale[c]))
+        return F.when(draw("drop", c) < dropout, F.lit(float(middle[c]))).otherwise(noisy)
 
     return df.withColumns({c: moved(c) for c in features})
 

@@ -339,8 +339,8 @@ def nested_evaluation(spark, d):
                                  "index int, smoothing int, q double, window int, required int")
     cells = limits.join(F.broadcast(grid), ["smoothing", "q"])
     voted = scored.filter("role <> 'calibration'").join(F.broadcast(cells), cell).withColumn("vote", flag(F.col("score") > F.col("threshold")))
-    unit = ["outer", "inner", "index", "scenario"]
-    cut = causal.segments(series(voted, unit, "position"), "position")
+    # A cell sees each row of a scenario at most once, so its units are no larger than the scenarios.
+    cut = causal.segments(s.using(voted).refine(["outer", "inner", "index"], "position"), "position")
     tracks = cut.refine(["segment"]).trailing(5, lambda f: {
         "predicted": F.when(F.col("window") == 1, F.col("vote")).otherwise(flag(F.sum("vote").over(f.last(5)) >= F.col("required")))})
     out = materialise(tracks.frame.select("outer", "inner", "index", "role", "scenario", "position", F.col("is_abnormal").alias("actual"), "predicted"), "votes")

@@ -112,11 +112,10 @@ def condition_clusters(spark, d):
     """Three weighted conditions; a local linear fit per condition mixed by gate and blended with the global fit."""
     rows = materialise(profile.equal_group_weights(training_rows(spark, d), ["user_id"]), "training")
     gated = learn.condition_gates(rows, ["value_mean_5", "value_std_5"], 3, 1.0, "weight")
-    names, scored = [], learn.apply_model(learn.fit(gated, ["cycle"], learn.linear("rul", weight="weight"), "weight"), gated, name="overall")
-    for i in range(3):
-        local = scored.withColumn("w", F.greatest(F.col("weight") * F.get("gates", i), F.lit(1e-9)))
-        scored = learn.apply_model(learn.fit(local, ["cycle"], learn.linear("rul", weight="w"), "w"), local, name=f"local_{i}").drop("w")
-        names.append(f"local_{i}")
+    gated = materialise(gated, "gates")
+    weights = {"overall": F.col("weight"), **{f"local_{i}": F.col("weight") * F.get("gates", i) for i in range(3)}}
+    scored = gated.withColumns(learn.weighted_linear(gated, ["cycle"], "rul", weights))
+    names = [f"local_{i}" for i in range(3)]
     mixed = F.greatest(learn.condition_blend(scored, names, "overall"), F.lit(0.0))
     total = F.aggregate("gates", F.lit(0.0), lambda a, g: a + g)
     return scored.withColumn("p", mixed).agg(
