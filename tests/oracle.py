@@ -62,6 +62,8 @@ def main():
     pattern = sys.argv[1] if len(sys.argv) > 1 else "."
     folder = sys.argv[2] if len(sys.argv) > 2 else "/root/testdata/sf0.001"
     spark = local_session()
+    for pair in filter(None, os.environ.get("SPARK_SETTINGS", "").split(",")):
+        spark.conf.set(*pair.split("="))
     con = connect(folder)
     sql = entry.oracle_sql()
     bad = 0

@@ -41,11 +41,14 @@ def _at(values: Column, rank: Column) -> Column:
 
 
 def quantiles(df: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, float, Rule]],
-              small_rows: int = SMALL_ROWS) -> DataFrame:
+              small_rows: int | None = None) -> DataFrame:
     """One row per group. ``wanted``: output name -> (column, approximate fraction, rank rule).
 
-    The fraction only places the bracket; the rule decides the exact rank.
+    The fraction only places the bracket; the rule decides the exact rank. Groups up to
+    ``small_rows`` (session setting ``spark.wearpath.smallGroupRows``) are sorted as a whole.
     """
+    if small_rows is None:
+        small_rows = int(df.sparkSession.conf.get("spark.wearpath.smallGroupRows", str(SMALL_ROWS)))
     by = list(by)
     top = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     if top <= small_rows:

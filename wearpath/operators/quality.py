@@ -178,11 +178,11 @@ def manifest_issues(rows: DataFrame) -> DataFrame:
     independent, tuned = normalized(F.col("independent_from_development")), normalized(F.col("used_for_tuning"))
     frozen = F.col("partition") == "frozen_test"
     detail = notes(
-        (~is_web_address(F.col("source_url")), "source_url must identify a documented source"),
-        (~is_sha256(F.col("raw_sha256")), "raw_sha256 must be 64 hexadecimal characters"),
-        (~independent.isin("true", "false") | ~tuned.isin("true", "false"), "independence/tuning fields must be true or false"),
-        (frozen & (independent != "true"), "frozen_test group is not declared independent"),
-        (frozen & (tuned != "false"), "frozen_test group was used for tuning"),
+        (~is_web_address(F.col("source_url")), "source is not a web address"),
+        (~is_sha256(F.col("raw_sha256")), "digest is not 64 hexadecimal digits"),
+        (~independent.isin("true", "false") | ~tuned.isin("true", "false"), "independence or tuning flag is neither true nor false"),
+        (frozen & (independent != "true"), "frozen group without declared independence"),
+        (frozen & (tuned != "false"), "frozen group was tuned on"),
     )
     issues = (F.when(absent != "", F.array(F.concat(F.lit("missing "), absent)))
               .when(~F.col("component").isin(*COMPONENTS), F.array(F.lit("unknown component")))
@@ -191,12 +191,12 @@ def manifest_issues(rows: DataFrame) -> DataFrame:
     checked = clean.withColumn("issues", issues)
     usable = checked.filter((absent == "") & F.col("component").isin(*COMPONENTS) & F.col("partition").isin(*PARTITIONS))
     repeated = duplicates(usable, ["component", "group_id"]).select(
-        "component", "group_id", F.lit("group appears more than once").alias("issue"))
+        "component", "group_id", F.lit("group listed more than once").alias("issue"))
     counts = usable.groupBy("component").pivot("partition", list(PARTITIONS)).count()
     names = rows.sparkSession.createDataFrame([(c,) for c in COMPONENTS], "component string")
     short = names.join(counts, "component", "left").select(
         "component", F.lit("").alias("group_id"), F.explode(F.concat(
-            notes((F.coalesce(*PARTITIONS).isNull(), "no groups recorded")),
+            notes((F.coalesce(*PARTITIONS).isNull(), "component has no groups")),
             notes(*[(F.col(p).isNull(), f"no {p} group") for p in PARTITIONS]))).alias("issue"))
     return checked.select("component", "group_id", F.explode("issues").alias("issue")).unionByName(repeated).unionByName(short)
 

@@ -55,6 +55,7 @@ def short_number(value: Column) -> Column:
 
 
 def summary(component: Column, rul: Column, soh: Column, fault: Column, flagged: Column, samples: Column) -> Column:
+    # The one-line formats of the result texts.
     return (F.when(component == "engine", F.concat(F.lit("Estimated RUL: "), short_number(rul), F.lit(" cycles")))
             .when(component == "battery", F.concat(F.lit("SOH: "), short_number(soh), F.lit("%; estimated RUL: "), short_number(rul), F.lit(" cycles")))
             .when(component == "landing-gear", F.concat(F.lit("Fault: "), fault.cast("string"), F.lit("; estimated RUL: "), short_number(rul), F.lit(" percent")))

@@ -292,8 +292,13 @@ class Series:
 
 
 def series(df: DataFrame, unit: str | Sequence[str], order: str | Sequence[str],
-           block_rows: int = BLOCK_ROWS) -> Series:
-    """Choose the layout for ordered work on ``df`` from the measured size of its largest unit."""
+           block_rows: int | None = None) -> Series:
+    """Choose the layout for ordered work on ``df`` from the measured size of its largest unit.
+
+    The bound comes from the session setting ``spark.wearpath.blockRows`` unless given.
+    """
+    if block_rows is None:
+        block_rows = int(df.sparkSession.conf.get("spark.wearpath.blockRows", str(BLOCK_ROWS)))
     unit = (unit,) if isinstance(unit, str) else tuple(unit)
     order = (order,) if isinstance(order, str) else tuple(order)
     counts = df.groupBy(*unit).agg(F.count("*").alias("__rows"))

@@ -155,13 +155,13 @@ def manifest_rows(spark, d):
   issues AS (SELECT component, 'missing license_or_access_terms' AS issue FROM m WHERE page_id % 23 = 0
   UNION ALL SELECT component, 'unknown component' FROM m WHERE page_id % 23 <> 0 AND component = 'sonar'
   UNION ALL SELECT component, 'unknown partition' FROM m WHERE page_id % 23 <> 0 AND component <> 'sonar' AND part = 'training'
-  UNION ALL SELECT component, 'source_url must identify a documented source' FROM ok WHERE page_id % 19 = 0
-  UNION ALL SELECT component, 'raw_sha256 must be 64 hexadecimal characters' FROM ok WHERE page_id % 29 = 0
-  UNION ALL SELECT component, 'independence/tuning fields must be true or false' FROM ok WHERE page_id % 31 = 0
-  UNION ALL SELECT component, 'frozen_test group is not declared independent' FROM frozen WHERE page_id % 31 = 0 OR page_id % 37 = 0
-  UNION ALL SELECT component, 'frozen_test group was used for tuning' FROM frozen WHERE page_id % 41 = 0
-  UNION ALL SELECT component, 'group appears more than once' FROM ok GROUP BY component, group_id HAVING count(*) > 1
-  UNION ALL SELECT c, i FROM (SELECT unnest(['fuel-system', 'landing-gear']) AS c), (SELECT unnest(['no groups recorded', 'no external_calibration group', 'no frozen_test group']) AS i))
+  UNION ALL SELECT component, 'source is not a web address' FROM ok WHERE page_id % 19 = 0
+  UNION ALL SELECT component, 'digest is not 64 hexadecimal digits' FROM ok WHERE page_id % 29 = 0
+  UNION ALL SELECT component, 'independence or tuning flag is neither true nor false' FROM ok WHERE page_id % 31 = 0
+  UNION ALL SELECT component, 'frozen group without declared independence' FROM frozen WHERE page_id % 31 = 0 OR page_id % 37 = 0
+  UNION ALL SELECT component, 'frozen group was tuned on' FROM frozen WHERE page_id % 41 = 0
+  UNION ALL SELECT component, 'group listed more than once' FROM ok GROUP BY component, group_id HAVING count(*) > 1
+  UNION ALL SELECT c, i FROM (SELECT unnest(['fuel-system', 'landing-gear']) AS c), (SELECT unnest(['component has no groups', 'no external_calibration group', 'no frozen_test group']) AS i))
   SELECT component, issue, count(*) AS rows FROM issues GROUP BY 1, 2""")
 def manifest_issues(spark, d):
     return quality.manifest_issues(manifest_rows(spark, d)).groupBy("component", "issue").agg(F.count("*").alias("rows"))

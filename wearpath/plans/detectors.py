@@ -338,12 +338,16 @@ def nested_evaluation(spark, d):
     grid = spark.createDataFrame([(g["index"], g["smoothing"], g["q"], g["window"], g["required"]) for g in NESTED_GRID],
                                  "index int, smoothing int, q double, window int, required int")
     cells = limits.join(F.broadcast(grid), ["smoothing", "q"])
-    voted = scored.filter("role <> 'calibration'").join(F.broadcast(cells), cell).withColumn("vote", flag(F.col("score") > F.col("threshold")))
-    # A cell sees each row of a scenario at most once, so its units are no larger than the scenarios.
-    cut = causal.segments(s.using(voted).refine(["outer", "inner", "index"], "position"), "position")
-    tracks = cut.refine(["segment"]).trailing(5, lambda f: {
-        "predicted": F.when(F.col("window") == 1, F.col("vote")).otherwise(flag(F.sum("vote").over(f.last(5)) >= F.col("required")))})
-    out = materialise(tracks.frame.select("outer", "inner", "index", "role", "scenario", "position", F.col("is_abnormal").alias("actual"), "predicted"), "votes")
+    # The last five scores are gathered once per scored row; candidates differ only in threshold and count, so
+    # the grid multiplies rows after the windows, not before. A cell sees each row of a scenario at most once,
+    # hence its units are no larger than the scenarios.
+    judged = s.using(scored.filter("role <> 'calibration'")).refine(["outer", "inner", "smoothing"], "position")
+    tracks = causal.segments(judged, "position").refine(["segment"]).trailing(5, lambda f: {"recent": F.collect_list("score").over(f.last(5))})
+    hits = sum((F.coalesce(flag(F.get("recent", i) > F.col("threshold")), F.lit(0)) for i in range(5)), F.lit(0))
+    alert = F.when(F.col("window") == 1, flag(F.col("score") > F.col("threshold"))).otherwise(flag(hits >= F.col("required")))
+    voted = tracks.frame.join(F.broadcast(cells), cell)
+    out = materialise(voted.select("outer", "inner", "index", "role", "scenario", "position", F.col("is_abnormal").alias("actual"),
+                                   alert.alias("predicted")), "votes")
     inner = metrics.detection_scores(out.filter("role = 'validation'"), "actual", "predicted", ["outer", "index"])
     chosen = best(inner.withColumn("score", F.round(detect.selection_score(2, .10), 9)), [-F.col("score"), F.col("index")], ["outer"])
     return out.filter("role = 'test'").join(F.broadcast(chosen.select("outer", "index", "score")), ["outer", "index"])
