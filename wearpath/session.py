@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +27,15 @@ def local_session(cores: str = "8", partitions: int = 8, name: str = "wearpath")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named the folder lies in the warehouse, which driver and executors share by
+    definition. A machine-local temporary folder is never used.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current is None:
-        current = tempfile.mkdtemp(prefix="wearpath-checkpoint-")
+        current = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(current)
     return current
@@ -41,9 +45,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    return os.path.join(ensure_checkpoint_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
+    """A new folder below the shared checkpoint folder; it goes when the program ends."""
+    path = os.path.join(ensure_checkpoint_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
+    if not _FOLDERS:
+        atexit.register(drop_folders)
+    _FOLDERS.append((spark, path))
+    return path
+
+
+def drop_folders() -> None:
+    """Delete the intermediates this program wrote, where the session still runs."""
+    while _FOLDERS:
+        spark, path = _FOLDERS.pop()
+        if spark.sparkContext._jsc is None:
+            continue
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
