@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise, table
-from . import chat, mixing, quality_rules
+from . import chat, mixing, near_dup, quality_rules
 from .columns import text_of, word_count
 from .registry import BUILDERS, SQL, query  # noqa: F401
 
@@ -86,3 +86,16 @@ def op8_source_mix(spark, folder):
     sized = docs.select("doc_id", "source", word_count(text).alias("__size"), mixing.text_quality(text).alias("__quality"))
     mixed = mixing.mix(sized, "source", "doc_id", F.col("__size"), F.col("__quality"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
+
+
+@query("op10_bottomk_dedup", r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""")
+def op10_bottomk_dedup(spark, folder):
+    return near_dup.near_duplicates(table(spark, folder, "documents"))
