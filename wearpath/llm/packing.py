@@ -13,7 +13,6 @@ documents; a null id stays null; no rows give no sequences; other columns are no
 
 from __future__ import annotations
 
-import re
 import zlib
 from functools import lru_cache
 
@@ -32,8 +31,15 @@ ITEMS, NEARLY_FULL = 50_000, 1016
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 #: White space whose grouping depends on what is around it, and the special token: such texts are encoded in one go.
-_TOGETHER = re.compile(r"  |\n | \n|\n\n|[^\S \n]|^\s|\s$|<\|endoftext\|>")
-_KEPT_WORDS = 400_000
+_RUNS = ("  ", "\n ", " \n", "\n\n", "<|endoftext|>")
+_OTHER_SPACES = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+_KEPT_WORDS = 1_000_000
+
+
+def _together(text: str) -> bool:
+    if not text or text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS):
+        return True
+    return any(c in text for c in _OTHER_SPACES)
 
 
 class Encoder:
@@ -50,6 +56,7 @@ class Encoder:
         vocabulary = self.model.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        self.marks = {m: self.whole(m) for m in ",."}
         self.first: dict[str, bytes] = {}
         self.after: dict[str, bytes] = {"": b""}
 
@@ -62,10 +69,21 @@ class Encoder:
             self.after.clear()
         for head in {parts[0] for parts in lines}.difference(self.first):
             self.first[head] = self.whole(head)
-        new = list(set().union(*(parts[1:] for parts in lines)).difference(self.after))
+        seen: set[str] = set()
+        for parts in lines:
+            seen.update(parts)
+        seen.difference_update(self.after)
+        # A comma or stop after a letter, at the end of a word, is always a token of its own.
+        marked = [w for w in seen if w[-1:] in self.marks and w[-2:-1].isalpha()]
+        seen.difference_update(marked)
+        new = list(seen.union(w[:-1] for w in marked).difference(self.after))
+        self._learn_words(new)
+        self.after.update((w, self.after[w[:-1]] + self.marks[w[-1]]) for w in marked)
+
+    def _learn_words(self, new: list[str]) -> None:
         if not new:
             return
-        ids = np.array(self.model.encode(" " + " ".join(new), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(self.model.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
         starts = np.flatnonzero(self.spaced[ids])
         if len(starts) != len(new):  # a word with a space of its own kind inside
             self.after.update((w, self.whole(" " + w)) for w in new)
@@ -74,7 +92,7 @@ class Encoder:
         self.after.update((w, data[a:b]) for w, a, b in zip(new, bounds[:-1], bounds[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _TOGETHER.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        split = [None if _together(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
         self.learn([parts for lines in split if lines for parts in lines])
         newline, out = self.whole("\n"), []
         for text, lines in zip(texts, split):
