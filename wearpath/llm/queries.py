@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise, table
-from . import chat, mixing, near_dup, quality_rules
+from . import chat, mixing, near_dup, packing, quality_rules, warc
 from .columns import text_of, word_count
 from .registry import BUILDERS, SQL, query  # noqa: F401
 
@@ -99,3 +99,18 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""")
 def op10_bottomk_dedup(spark, folder):
     return near_dup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark, folder):
+    return packing.packed(table(spark, folder, "documents"))
+
+
+@query("op6_warc_chain", r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS n, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+b AS (SELECT *, list_transform(range(0, 32), lambda i: ('0x' || '0' || substr(hex, (i * 5) // 4 + 1, 3))::BIGINT // pow(2, 7 - (i * 5) % 4)::BIGINT % 32) AS fives FROM (SELECT page_id, n, first, hex || '00' AS hex FROM h))
+SELECT page_id, n AS payload_bytes, array_to_string(list_transform(fives, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, true AS intact FROM b""")
+def op6_warc_chain(spark, folder):
+    return warc.round_trip(table(spark, folder, "pages"))
