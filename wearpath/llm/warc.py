@@ -95,9 +95,9 @@ def _scan(batches):
             head, blank, body = data[begin:].partition(BLANK.encode())
             fields = dict(line.partition(b": ")[::2] for line in head.split(EOL.encode()))
             length = fields.get(b"Content-Length", b"")
-            if blank and length.isdigit() and (begin or not first):
-                n = int(length)
-                whole = body[:n] if len(body) >= n else None
+            if length.isdigit() and (begin or not first):
+                n = int(length)  # without a blank line the payload begins with the magic, and the blank line went into the cut
+                whole = body[:n] if blank and len(body) >= n else None
                 rows.append((file, block, at, len(data), 0 if first else at - len(MAGIC), at + begin + len(head) + len(BLANK) + n + len(BLANK), head.decode("utf-8", "replace"), n,
                              None if whole is None else payload_digest(whole)))
             else:  # not a record, but its bytes count
@@ -166,7 +166,7 @@ def _cut_payloads(spark, folder: str, records_: DataFrame) -> DataFrame:
     def whole(pdf):
         for frame in pdf:
             def join(row):
-                data = _CUT.encode().join(p["data"] for p in row["parts"])
+                data = b"".join(p["data"] + _CUT.encode() for p in row["parts"])
                 skip = row["from"] - row["parts"][0]["begin"]
                 return payload_digest(data[skip:skip + row["body_bytes"]])
             frame["mended"] = [join(r) for _, r in frame.iterrows()]
