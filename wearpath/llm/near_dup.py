@@ -4,13 +4,14 @@
    sequence if it is shorter). Its sketch is the ``K`` smallest hashes. Documents with equal sets are one class,
    represented by its smallest id; only representatives go on.
 2. *Inverted lists.* For two sets of similarity 0.75 or more each of the K smallest hashes of the union
-   is in both sets with that chance, so they share `need` retained values with all but certainty (for K = 48 they
-   share fewer than 16 with a chance below 1e-9). Hence they share a value among each one's rarest
+   is in both sets with that chance, so they share `need` retained values with all but certainty (for K = 64 they
+   share fewer than 31 with a chance of about 1e-6). Hence they share a value among each one's rarest
    ``retained - need + 1`` values: only those are listed, which leaves passages that many documents contain out.
-3. *Overlaps.* Within a list every member is compared with one member, the hub, drawn by a hash per list; a member
-   keeps the hub that the most lists offer. After the links found are joined up, members of lists that still span
-   several components are compared with a second draw, and at last across components; pairs within a component
-   need no comparison. No list is multiplied out while a hub can join it.
+3. *Overlaps.* Within a list every member is compared with one member, the hub: the one whose retained values are the
+   most common, which is the text that a group of edited copies goes back to. A member keeps the hub that the most
+   lists offer. After the links found are joined up, members of lists that still span several components are compared
+   with hubs drawn by a hash, and at last across components; pairs within a component need no comparison.
+   No list is multiplied out while a hub can join it.
 4. *Estimate.* The bottom-k of the united sketches estimates similarity; pairs far below the threshold go.
 5. *Verification.* Full shingle sets of both texts decide: 100 * intersection >= 75 * union.
 6. *Components* of the confirmed links by `components`.
@@ -32,9 +33,9 @@ from .batches import LOWERED, bytes_of, combined, hashes, ranges, word_places
 from .components import components
 
 WORDS, PERCENT = 5, 75
-K, NEED = 48, 16
-#: Two sets of similarity 0.75 with united sketches of K values share fewer than this with a chance below 1e-6.
-LEAST_ESTIMATE = 0.4
+K, NEED = 64, 31
+#: The share of the united sketch that two sets of similarity 0.75 have in common is below this with a chance of about 1e-6.
+LEAST_ESTIMATE = NEED / K
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS):
@@ -90,18 +91,19 @@ def lists(reps: DataFrame) -> DataFrame:
     shared = postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     found = postings.join(shared, "value")
     mine = Window.partitionBy("doc_id")
-    ranked = found.withColumn("alone", F.col("kept") - F.count(F.lit(1)).over(mine)).withColumn(
+    ranked = found.withColumns({"alone": F.col("kept") - F.count(F.lit(1)).over(mine), "central": F.sum("df").over(mine) / F.col("kept")}).withColumn(
         "rank", F.col("alone") + F.row_number().over(mine.orderBy("df", "value")))
-    return ranked.filter(F.col("rank") <= F.col("kept") - need(F.col("n")) + 1).select("value", "doc_id", "n")
+    return ranked.filter(F.col("rank") <= F.col("kept") - need(F.col("n")) + 1).select("value", "doc_id", "n", "central")
 
 
 def alike_in_size(n: Column, m: Column) -> Column:
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
 
 
-def hub_pairs(listed: DataFrame, seed: int) -> DataFrame:
-    """Each document with the hub that the most of its lists offer: (a, b). ``listed``: value, doc_id, n, component."""
-    draw = F.struct(F.xxhash64("doc_id", "value", F.lit(seed)).alias("h"), F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
+def hub_pairs(listed: DataFrame, central: bool) -> DataFrame:
+    """Each document with the hub that the most of its lists offer: (a, b). ``listed``: value, doc_id, n, central, component."""
+    first = -F.col("central") if central else F.xxhash64("doc_id", "value")
+    draw = F.struct(first.alias("h"), F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
     hubs = listed.groupBy("value").agg(F.min(draw).alias("draw")).select("value", "draw.*")
     offers = listed.join(hubs, "value").filter((F.col("component") != F.col("hub_component")) & alike_in_size(F.col("n"), F.col("hub_n")))
     votes = offers.groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("votes"))
@@ -155,9 +157,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies = every.join(classes, "print").filter("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
 
     links, labels = None, None
-    for search in (lambda x: hub_pairs(x, 1), lambda x: hub_pairs(x, 2), cross_pairs):
+    for search in (lambda x: hub_pairs(x, True), lambda x: hub_pairs(x, False), cross_pairs):
         labelled = listed.withColumn("component", F.col("doc_id")) if labels is None else (
-            listed.join(labels, F.col("doc_id") == F.col("node"), "left").select("value", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")))
+            listed.join(labels, F.col("doc_id") == F.col("node"), "left").select("value", "doc_id", "n", "central", F.coalesce("component", "doc_id").alias("component")))
         found = materialise(confirmed(estimated(search(labelled), reps), texts), "links")
         links = found if links is None else links.unionByName(found)
         labels = materialise(components(links), "labels")
