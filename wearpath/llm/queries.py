@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise, table
-from . import chat, mixing, near_dup, packing, quality_rules, warc
+from . import chat, langid, mixing, near_dup, packing, quality_rules, site_quality, warc
 from .columns import text_of, word_count
 from .registry import BUILDERS, SQL, query  # noqa: F401
 
@@ -114,3 +114,15 @@ SELECT page_id, n AS payload_bytes, array_to_string(list_transform(fives, lambda
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, true AS intact FROM b""")
 def op6_warc_chain(spark, folder):
     return warc.round_trip(table(spark, folder, "pages"))
+
+
+@query("op7_language_id")
+def op7_language_id(spark, folder):
+    return langid.identify(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+
+
+@query("op9_site_quality")
+def op9_site_quality(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    measured = materialise(quality_rules.measures(docs, keep=("doc_id", "source", "lang")), "measures")
+    return site_quality.judge(measured, table(spark, folder, "labels")).select("doc_id", "source", "lang", "evidence", "site_rate", "quality", "kept")
