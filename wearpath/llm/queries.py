@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise, table
-from . import chat, langid, mixing, near_dup, packing, quality_rules, site_quality, warc
+from . import chat, fingerprints, langid, mixing, near_dup, packing, quality_rules, site_quality, warc
 from .columns import text_of, word_count
 from .registry import BUILDERS, SQL, query  # noqa: F401
 
@@ -126,3 +126,8 @@ def op9_site_quality(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
     measured = materialise(quality_rules.measures(docs, keep=("doc_id", "source", "lang")), "measures")
     return site_quality.judge(measured, table(spark, folder, "labels")).select("doc_id", "source", "lang", "evidence", "site_rate", "quality", "kept")
+
+
+@query("op4_phrase_fingerprint")
+def op4_phrase_fingerprint(spark, folder):
+    return fingerprints.with_next(table(spark, folder, "documents"))

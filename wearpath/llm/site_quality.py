@@ -79,9 +79,12 @@ def site_rates(labelled: DataFrame, host: str, path: str) -> tuple[DataFrame, Da
     return hosts, paths
 
 
-def judge(measured: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """Measured documents -> the same with evidence, site_rate, quality (probability of good) and kept."""
-    labelled = measured.join(quality_rules.good_labels(labels), F.col("doc_id") == F.col("__labelled"))
+def judge(measured: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", fit: DataFrame | None = None) -> DataFrame:
+    """Measured documents -> the same with evidence, site_rate, quality (probability of good) and kept.
+
+    ``fit``: a written copy of the measures, for fitting, where ``measured`` also carries texts.
+    """
+    labelled = (measured if fit is None else fit).join(quality_rules.good_labels(labels), F.col("doc_id") == F.col("__labelled"))
     hosts, paths = site_rates(labelled, host, path)
     total = labelled.agg(((F.coalesce(F.sum(F.col("__good").cast("long")), F.lit(0)) + 1) / (F.count(F.lit(1)) + 2)).alias("__global"))
     scored = evidence(measured, labelled).join(F.broadcast(total))
