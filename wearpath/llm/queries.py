@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise, table
-from . import chat, fingerprints, langid, mixing, near_dup, packing, quality_rules, site_quality, warc
+from . import chat, fingerprints, langid, lm_scoring, mixing, near_dup, packing, quality_rules, site_quality, warc
 from .columns import text_of, word_count
 from .registry import BUILDERS, SQL, query  # noqa: F401
 
@@ -131,3 +131,8 @@ def op9_site_quality(spark, folder):
 @query("op4_phrase_fingerprint")
 def op4_phrase_fingerprint(spark, folder):
     return fingerprints.with_next(table(spark, folder, "documents"))
+
+
+@query("op1_context_mixing")
+def op1_context_mixing(spark, folder):
+    return lm_scoring.score(table(spark, folder, "documents").select("doc_id", "text", "lang"))
