@@ -41,7 +41,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def visible_to_tasks(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (clusters may also ship it with --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    visible_to_tasks(spark)
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
