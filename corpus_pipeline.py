@@ -20,19 +20,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def _measured(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents with their measures, and a written copy of the measures alone."""
     fit = materialise(quality_rules.measures(docs, keep=("doc_id", "source", "lang")), "measures")
-    return quality_rules.measures(docs, keep=COLUMNS), fit
+    # The number keeps the verdict's filter above the measures; pushed into them it would repeat them many times.
+    return quality_rules.measures(docs, keep=COLUMNS).withColumn("__row", F.monotonically_increasing_id()), fit
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out what the quality classifier rejects."""
     measured, fit = _measured(docs)
-    return site_quality.judge(measured, table(spark, sf_dir, "labels"), fit=fit).filter("kept").select(*COLUMNS)
+    return site_quality.judge(measured, table(spark, sf_dir, "labels"), fit=fit).filter("kept AND __row >= 0").select(*COLUMNS)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out what fails the base rule or a certified cutoff."""
     measured, fit = _measured(docs)
-    return quality_rules.judge(measured, table(spark, sf_dir, "labels"), fit=fit).filter("kept").select(*COLUMNS)
+    return quality_rules.judge(measured, table(spark, sf_dir, "labels"), fit=fit).filter("kept AND __row >= 0").select(*COLUMNS)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
