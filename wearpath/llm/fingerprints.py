@@ -6,7 +6,7 @@ times, which leaves a handful of labels with no two equal neighbours. Local maxi
 phrase, and a phrase's name is a hash of its symbols: a symbol of the level above. Where a phrase starts depends on
 a few symbols around it only, so equal substrings are parsed alike wherever they stand, except at their edges.
 
-The fingerprint holds, per level, the ``KEEP`` smallest distinct phrase names in hexadecimal: of level 3 (about thirty bytes
+The fingerprint holds, per level, the ``KEEP`` smallest distinct phrase names (32 bits) in hexadecimal: of level 3 (about thirty bytes
 a phrase), and of levels 1 and 2 too where a text has fewer than `SHORT` characters. Likeness is the estimated
 resemblance of the name sets of the highest level on which both texts have enough phrases.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .batches import mixed
 
-KEEP, LEVEL, SHORT, ENOUGH = 48, 3, 300, 6
+KEEP, LEVEL, SHORT, ENOUGH = 40, 3, 300, 6
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _WEIGHTS = np.cumprod(np.full(64, _STEP, dtype=np.uint64))
 _WORK = 1 << 19
@@ -100,6 +100,7 @@ def phrase_names(texts: list[bytes]) -> list[list[np.ndarray]]:
 
 
 def smallest(names: np.ndarray) -> np.ndarray:
+    names = (names >> np.uint64(32)).astype(np.uint32)
     if len(names) > 8 * KEEP:  # distinct values among the smallest few are enough
         part = np.unique(np.partition(names, 4 * KEEP)[:4 * KEEP])
         if len(part) >= KEEP:
@@ -122,7 +123,7 @@ def sketches(texts: list[str]) -> list[dict[int, np.ndarray]]:
 
 
 def written(sketch: dict[int, np.ndarray]) -> str:
-    return ";".join(f"{n}:{v.astype('>u8').tobytes().hex()}" for n, v in sketch.items()) or "-"
+    return ";".join(f"{n}:{v.astype('>u4').tobytes().hex()}" for n, v in sketch.items()) or "-"
 
 
 def likeness(a: dict[int, np.ndarray], b: dict[int, np.ndarray]) -> float:

@@ -128,11 +128,10 @@ def train(learning: DataFrame, per_class: int = PER_CLASS, epochs: int = EPOCHS)
     if not counts:
         return None
     languages = sorted(counts)
-    df = document_frequencies(learning.select("text")).toPandas()  # at most FEATURES + 1 rows
-    texts = int(df.loc[df.feature == -1, "df"].sum())
-    seen = df[df.feature >= 0]
-    idf = np.zeros(FEATURES)
-    idf[seen.feature.to_numpy()] = np.log((1 + texts) / (1 + seen.df.to_numpy())) + 1
+    found = document_frequencies(learning.select("text")).toArrow()  # at most FEATURES + 1 rows
+    feature, df = (found.column(c).to_numpy() for c in ("feature", "df"))
+    texts, idf = int(df[feature == -1].sum()), np.zeros(FEATURES)
+    idf[feature[feature >= 0]] = np.log((1 + texts) / (1 + df[feature >= 0])) + 1
     share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, per_class / n))) for x, n in counts.items()])
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20)) / float(1 << 20)
     sample = learning.withColumn("draw", draw).filter(F.col("draw") < share).select("doc_id", "text", "lang", "draw")
@@ -152,9 +151,9 @@ def train(learning: DataFrame, per_class: int = PER_CLASS, epochs: int = EPOCHS)
         where = np.flatnonzero(np.abs(w).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(where, [-1, -2])), pa.array([*w[where].tolist(), bias.tolist(), [float(t)] * len(languages)], pa.list_(pa.float64()))], ["feature", "weights"])
 
-    fitted = materialise(sample.coalesce(1).mapInArrow(run, "feature long, weights array<double>"), "langid").toPandas()
+    fitted = materialise(sample.repartition(1).mapInArrow(run, "feature long, weights array<double>"), "langid").toArrow()
     weights, bias, temperature = np.zeros((FEATURES, len(languages))), np.zeros(len(languages)), 1.0
-    for feature, w in zip(fitted.feature, fitted.weights):
+    for feature, w in zip(*(c.to_pylist() for c in fitted.columns)):
         if feature >= 0:
             weights[feature] = w
         elif feature == -1:
