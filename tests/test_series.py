@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from wearpath.operators import order_stats
 from wearpath.operators.series import series
 
 
@@ -14,6 +15,7 @@ def frame(spark):
     rows = [("hot", int(t), float(x)) for t, x in enumerate(rng.normal(50, 9, 400))]
     rows += [("b", int(t), float(x)) for t, x in enumerate(rng.normal(5, 2, 37))]
     rows += [("c", 4, 1.5)]
+    rows += [(None, int(t), float(x)) for t, x in enumerate(rng.normal(9, 1, 53))]
     pdf = pd.DataFrame(rows, columns=["unit", "t", "x"]).sample(frac=1, random_state=1)
     return spark.createDataFrame(pdf).withColumn("maybe", F.when(F.col("t") % 17 == 3, F.col("x")))
 
@@ -31,7 +33,7 @@ def both(frame, step, block_rows=19):
 
 def test_number(frame):
     pdf = both(frame, lambda s: s.number("n"))
-    assert (pdf.n == pdf.groupby("unit").cumcount() + 1).all()
+    assert (pdf.n == pdf.groupby("unit", dropna=False).cumcount() + 1).all()
 
 
 def test_trailing(frame):
@@ -52,7 +54,7 @@ def test_running(frame, reverse):
 
 def test_ewm(frame):
     pdf = both(frame, lambda s: s.ewm({"e5": ("x", 5), "e20": ("x", 20)}))
-    expected = pdf.groupby("unit").x.transform(lambda v: v.ewm(span=20, adjust=False).mean())
+    expected = pdf.groupby("unit", dropna=False).x.transform(lambda v: v.ewm(span=20, adjust=False).mean())
     assert np.allclose(pdf.e20, expected)
 
 
@@ -63,3 +65,11 @@ def test_no_unit(frame):
         s = s.running(r=("sum", F.lit(1)))
         out.append(s.frame.toPandas().sort_values("n").reset_index(drop=True))
     pd.testing.assert_frame_equal(out[0], out[1][out[0].columns])
+
+
+def test_quantiles_keep_null_and_empty_groups(spark):
+    rows = [("a", float(i % 40)) for i in range(300)] + [("b", None)] * 5 + [(None, float(i)) for i in range(90)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    small, large = (
+        {r.g: r.m for r in order_stats.quantiles(df, ["g"], {"m": order_stats.median("x")}, small_rows=n).collect()} for n in (10_000, 20))
+    assert set(small) == {"a", "b", None} and small == large

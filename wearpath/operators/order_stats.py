@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .series import series
+from .series import null_safe_join, series
 
 SMALL_ROWS = 1_000_000
 ACCURACY = 100_000
@@ -82,7 +82,7 @@ def _by_bracket(df, by, wanted):
             F.when(few[k], F.lit(float("inf"))).otherwise(F.get(f"__b_{k}", 1)).alias("hi"),
         ).alias(f"__r_{k}") for k in names
     ])
-    joined = df.join(ranks, by, "left") if by else df.select("*", *[
+    joined = null_safe_join(df, ranks, by, "left") if by else df.select("*", *[
         ranks.select(f"__r_{k}").scalar().alias(f"__r_{k}") for k in names])
     inside = joined.select(*by, F.inline(F.array_compact(F.array(*[
         F.when(F.col(wanted[k][0]).isNotNull() & (F.col(wanted[k][0]) <= F.col(f"__r_{k}.hi")), F.struct(
@@ -104,7 +104,8 @@ def _by_bracket(df, by, wanted):
     )
     value = F.col("__low") + (F.col("__high") - F.col("__low")) * (F.col("__rank") - F.floor("__rank"))
     long = picked.withColumn("__out", value)
-    return long.groupBy(*by).agg(*[F.max(F.when(F.col("__name") == k, F.col("__out"))).alias(k) for k in names])
+    found = long.groupBy(*by).agg(*[F.max(F.when(F.col("__name") == k, F.col("__out"))).alias(k) for k in names])
+    return null_safe_join(sketches.select(*by), found, by, "left") if by else found  # a group without values stays
 
 
 def median(column: str) -> tuple[str, float, Rule]:

@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -57,6 +58,13 @@ def _as_number(df: DataFrame, name: str) -> Column:
     raise ValueError(f"leading order column {name!r} must be numeric or a date/time to split a large unit")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on keys where null meets null, as grouping has it."""
+    other = right.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    condition = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"__key_{k}"]) for k in keys])
+    return left.join(other, condition, how).drop(*[f"__key_{k}" for k in keys])
+
+
 @dataclass(frozen=True)
 class Frames:
     """Window specifications offered to feature builders."""
@@ -174,7 +182,7 @@ class Series:
         per_unit = self.df.groupBy(*self.unit).agg(*[a.alias(n) for n, a in aggregates.items()])
         if not self.unit:
             return self.select(**{n: per_unit.select(n).scalar() for n in aggregates})
-        return self.using(self.df.join(per_unit, list(self.unit), "left"))
+        return self.using(null_safe_join(self.df, per_unit, self.unit, "left"))
 
     def running(self, reverse: bool = False, **aggregates: tuple[str, Column]) -> "Series":
         """Aggregates from the unit's first row to this one (or from this one to the last).
@@ -212,7 +220,7 @@ class Series:
         carry = per_block.select(
             *self.keys, *[fold(again[n], F.col(n)).over(over_blocks).alias(carried[n]) for n in aggregates]
         )
-        joined = numbered.join(carry, list(self.keys), "left")
+        joined = null_safe_join(numbered, carry, self.keys, "left")
 
         def merge(name, kind):
             here, there = F.col(name), F.col(carried[name])
@@ -285,7 +293,7 @@ class Series:
             return column.map(one)
 
         shifts = listed.select(*self.unit, F.inline(chain("__ends")))
-        joined = built.join(shifts, list(self.keys), "left")
+        joined = null_safe_join(built, shifts, self.keys, "left")
         inside = F.pmod(F.col(POSITION) - 1, F.lit(self.block_rows)) + 1
         moved = {n: F.col(n) + F.pow(F.lit(1 - alphas[n]), inside) * F.col(f"__shift_{n}") for n in names}
         return self.using(joined.withColumns(moved).drop(*[f"__shift_{n}" for n in names]))
@@ -322,14 +330,14 @@ def _positions(df, unit, order, counts, top, hot_units, block_rows) -> DataFrame
     hint = F.broadcast if small else (lambda x: x)
     if unit:
         hot = counts.filter(F.col("__rows") > block_rows).select(*unit)
-        inside = df.join(hint(hot), list(unit), "left_semi")
+        inside = null_safe_join(df, hint(hot), unit, "left_semi")
     else:
         inside = df
     cuts = inside.groupBy(*unit).agg(
         F.array_distinct(F.percentile_approx(lead, fractions, 10 * pieces)).alias(_SPLITS)
     )
     if unit:
-        marked = df.join(hint(cuts), list(unit), "left")
+        marked = null_safe_join(df, hint(cuts), unit, "left")
     else:
         marked = df.withColumn(_SPLITS, cuts.scalar())
     chunk = F.coalesce(bisect_right(F.col(_SPLITS), lead), F.lit(0))
@@ -339,5 +347,5 @@ def _positions(df, unit, order, counts, top, hot_units, block_rows) -> DataFrame
     offsets = sizes.select(*unit, _CHUNK, F.sum("__rows").over(earlier).alias(_OFFSET)).filter(F.col(_CHUNK) > 0)
     local = Window.partitionBy(*unit, _CHUNK).orderBy(*order)
     numbered = marked.withColumn(POSITION, F.row_number().over(local).cast("long"))
-    joined = numbered.join(hint(offsets), [*unit, _CHUNK], "left")
+    joined = null_safe_join(numbered, hint(offsets), [*unit, _CHUNK], "left")
     return joined.withColumn(POSITION, F.col(POSITION) + F.coalesce(_OFFSET, F.lit(0))).drop(_CHUNK, _OFFSET)

@@ -23,9 +23,12 @@ from ..session import shared_folder
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 16) -> DataFrame:
     """A table's file(s) as a stream."""
-    schema = spark.read.parquet(os.path.join(folder, f"{name}.parquet")).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+    path = os.path.join(folder, f"{name}.parquet")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)  # a folder of part files
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def run_to_end(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
