@@ -10,8 +10,8 @@
 3. *Overlaps.* Within a list every member is compared with one member, the hub: the one whose retained values are the
    most common, which is the text that a group of edited copies goes back to. A member keeps the hub that the most
    lists offer. After the links found are joined up, members of lists that still span several components are compared
-   with hubs drawn by a hash, and at last across components; pairs within a component need no comparison.
-   No list is multiplied out while a hub can join it.
+   with hubs drawn by a hash. What then still spans several components is compared in pairs of bounded blocks, each
+   with its documents' full sets; no pair but a link leaves a block. Pairs within a component need no comparison.
 4. *Estimate.* The bottom-k of the united sketches estimates similarity; pairs far below the threshold go.
 5. *Verification.* Full shingle sets of both texts decide: 100 * intersection >= 75 * union.
 6. *Components* of the confirmed links by `components`.
@@ -24,6 +24,7 @@ known of it; other columns are not read.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ WORDS, PERCENT = 5, 75
 K, NEED = 64, 31
 #: The share of the united sketch that two sets of similarity 0.75 have in common is below this with a chance of about 1e-6.
 LEAST_ESTIMATE = NEED / K
+#: The most documents and shingles of a block, on average, and the columns of a matrix piece in the block comparison.
+BLOCK_DOCS, BLOCK_SHINGLES, MATRIX_COLUMNS = 512, 1_000_000, 4096
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS):
@@ -111,11 +114,55 @@ def hub_pairs(listed: DataFrame, central: bool) -> DataFrame:
     return best.select(F.least("doc_id", "best.hub").alias("a"), F.greatest("doc_id", "best.hub").alias("b")).distinct()
 
 
-def cross_pairs(listed: DataFrame) -> DataFrame:
-    """All pairs of list members in different components, once each."""
-    other = listed.select("value", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    met = listed.join(other, (listed["value"] == other["value"]) & (F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("other")) & alike_in_size(F.col("n"), F.col("m")))
-    return met.select(F.col("doc_id").alias("a"), "b").distinct()
+def in_blocks(listed: DataFrame) -> DataFrame:
+    """Members of lists that span several components, once for each pair of blocks in which they have a partner.
+
+    Documents are dealt into blocks of bounded size by the most common of their lists, so that members of a group meet
+    in few blocks: (lo, hi, doc_id, component). A group of m members is sent m / BLOCK_DOCS times, not once a pair.
+    """
+    spread = listed.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
+    open_ = materialise(listed.join(spread.select("value", "members"), "value").select("value", "members", "doc_id", "n", "component"), "open")
+    homes = open_.groupBy("doc_id", "n").agg(F.max(F.struct("members", "value"))["value"].alias("home"))
+    salts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES))
+    sizes = homes.groupBy("home").agg(salts.alias("salts"))
+    dealt = homes.join(sizes, "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), "salts")).alias("block"))
+    placed = materialise(open_.join(dealt, "doc_id").select("value", "doc_id", "component", "block"), "placed")
+    blocks = placed.groupBy("value", F.col("block").alias("other")).agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    met = placed.join(blocks, "value").filter((F.col("least") != F.col("component")) | (F.col("most") != F.col("component")))
+    return met.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "component").distinct()
+
+
+def common_counts(sets_: list[np.ndarray]) -> np.ndarray:
+    """The intersection sizes of all sets of a block, by products of 0/1 matrices of a few thousand shared values."""
+    owner = np.repeat(np.arange(len(sets_)), [len(s) for s in sets_])
+    values, column, times = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1  # a value of one set alone is in no intersection
+    shared = times[column] > 1
+    owner, column = owner[shared], place[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    counts = np.zeros((len(sets_), len(sets_)), dtype=np.float32)  # exact up to 2^24
+    for first in range(0, int(place[-1]) + 1 if len(place) else 0, MATRIX_COLUMNS):
+        lo, hi = np.searchsorted(column, [first, first + MATRIX_COLUMNS])
+        rows, own = np.unique(owner[lo:hi], return_inverse=True)
+        piece = np.zeros((len(rows), MATRIX_COLUMNS), dtype=np.float32)
+        piece[own, column[lo:hi] - first] = 1
+        counts[np.ix_(rows, rows)] += piece @ piece.T
+    return counts
+
+
+def block_links(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Exact links across components inside each pair of blocks, one for any two components: (a, b)."""
+    def run(key, pdf):
+        own = list(shingle_sets(pa.array(pdf["text"], pa.string())))
+        n, ids, component = np.array([len(s) for s in own]), pdf["doc_id"].to_numpy(), pdf["component"].to_numpy()
+        common = common_counts(own)
+        linked = (100 * common >= PERCENT * (n[:, None] + n[None, :] - common)) & (common > 0) & (component[:, None] < component[None, :])
+        a, b = np.nonzero(linked)
+        _, one = np.unique(np.stack([component[a], component[b]], axis=1), axis=0, return_index=True)
+        return pd.DataFrame({"a": np.minimum(ids[a[one]], ids[b[one]]), "b": np.maximum(ids[a[one]], ids[b[one]])})
+
+    return placed.join(texts, "doc_id").select("lo", "hi", "doc_id", "component", "text").groupBy("lo", "hi").applyInPandas(run, "a long, b long")
 
 
 def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -143,6 +190,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
 
+def with_components(listed: DataFrame, links: DataFrame) -> DataFrame:
+    """The list members with the component that the links found so far give them."""
+    labels = materialise(components(links), "labels")
+    return listed.join(labels, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id (smallest id reachable), kept: one row per input row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -156,13 +209,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = materialise(docs.join(candidates, "doc_id", "left_semi").distinct(), "texts")
     copies = every.join(classes, "print").filter("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
 
-    links, labels = None, None
-    for search in (lambda x: hub_pairs(x, True), lambda x: hub_pairs(x, False), cross_pairs):
-        labelled = listed.withColumn("component", F.col("doc_id")) if labels is None else (
-            listed.join(labels, F.col("doc_id") == F.col("node"), "left").select("value", "doc_id", "n", "central", F.coalesce("component", "doc_id").alias("component")))
-        found = materialise(confirmed(estimated(search(labelled), reps), texts), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = materialise(components(links), "labels")
+    labelled = listed.withColumn("component", F.col("doc_id"))
+    links = materialise(confirmed(estimated(hub_pairs(labelled, True), reps), texts), "links")
+    labelled = with_components(listed, links)
+    links = links.unionByName(materialise(confirmed(estimated(hub_pairs(labelled, False), reps), texts), "links"))
+    labelled = with_components(listed, links)
+    links = links.unionByName(materialise(block_links(in_blocks(labelled), texts), "links"))
     final = materialise(components(links.unionByName(copies)), "labels")
     known = every.join(classes.select(F.col("print").alias("p"), "first"), F.col("print") == F.col("p"), "left").join(
         final, F.coalesce("doc_id", "first") == F.col("node"), "left")
