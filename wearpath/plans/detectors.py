@@ -264,7 +264,7 @@ def nonregression_gate(spark, d):
 
 
 def _gate_scores(version):
-    e = f"({'least(predicted * 0.6, actual + 40)' if version == 'new' else 'predicted'} - actual)"
+    e = f"({'predicted * 0.6' if version == 'new' else 'predicted'} - actual)"
     return f"""{version}0 AS (SELECT unit, actual, {e} AS e, CASE WHEN cycle / (cycle + actual) <= CAST(1 AS DOUBLE) / 3 THEN 'early' WHEN cycle / (cycle + actual) <= CAST(2 AS DOUBLE) / 3 THEN 'middle' ELSE 'late' END AS phase FROM scored),
   {version}1 AS (SELECT {', '.join(f"avg({k}) FILTER (phase = '{p}') AS {p}_{k}" for p in metrics.PHASES for k in ('mae', 'rmse'))} FROM (SELECT unit, phase, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse FROM {version}0 GROUP BY 1, 2)),
   {version}2 AS (SELECT avg(mae) AS unit_mean_mae, avg(rmse) AS unit_mean_rmse, max(mae) AS worst_unit_mae, avg(near) AS near_failure_unit_mae, avg(over) AS near_failure_over_by_10_rate FROM
@@ -281,7 +281,7 @@ _BALANCED = lambda v: f"({v}1.early_mae + {v}1.middle_mae + {v}1.late_mae) / 3"
   CAST({_BALANCED('new')} <= 0.99 * {_BALANCED('old')} AND {' AND '.join(f'new2.{k} <= old2.{k} + 1e-10' for k in _FIVE)} AND {' AND '.join(f'new1.{p}_{k} <= old1.{p}_{k} + 1e-10' for p in metrics.PHASES for k in ('mae', 'rmse'))} AS INTEGER) AS eligible FROM new1, old1, new2, old2""")
 def protocol_gate(spark, d):
     reference = scored_rows(spark, d).select("unit", "cycle", "actual", "predicted")
-    candidate = reference.withColumn("predicted", F.least(F.col("predicted") * 0.6, F.col("actual") + 40))
+    candidate = reference.withColumn("predicted", F.col("predicted") * 0.6)
     out = gates.protocol_checks(candidate, reference).drop("complete")
     return out.select(*[flag(c).alias(c) for c in out.columns])
 

@@ -117,7 +117,7 @@ def train_baselines(spark, d):
 def readiness(spark, d):
     """Selection, 95 % interval and gate from one set of out-of-fold predictions."""
     long = materialise(baseline_predictions(spark, d), "predictions")
-    scores = metrics.safety_scores(long.withColumn("predicted", F.least("predicted", F.col("actual") + 500)), F.col("actual"), F.col("predicted"), ["model"])
+    scores = metrics.safety_scores(long, F.col("actual"), F.col("predicted"), ["model"])
     radius = calibrate.conformal_radius(long, "error", 0.05, ["model"])
     banded = long.join(F.broadcast(radius), "model").withColumns(calibrate.interval(F.col("predicted"), F.col("radius")))
     covered = metrics.interval_scores(banded, ["model"]).select("model", "coverage")

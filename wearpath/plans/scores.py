@@ -52,34 +52,32 @@ def confusion_matrix(spark, d):
     return metrics.confusion(table(spark, d, "labels"), "quality", "toxic")
 
 
-_CAPPED = f"{SCORED}, cap AS (SELECT unit, cycle, fold, actual, least(predicted, actual + 60) AS predicted FROM scored)"
+def log_penalty(column):
+    """log10(1 + x): late errors count in full, and the sum of their exponentials still agrees between engines."""
+    return F.log10(1 + F.col(column))
 
 
-def capped_scored(spark, d):
-    """Late errors held to 60 so that the exponential penalty stays readable."""
-    return scored_rows(spark, d).withColumn("predicted", F.least(predicted(), actual() + 60))
-
-
-@query("eval_04_late_penalty", f"""WITH {_CAPPED} SELECT fold, {rs(f'sum(CASE WHEN {_E} < 0 THEN exp(-({_E}) / 13) - 1 ELSE exp(({_E}) / 10) - 1 END)', 3)} AS penalty FROM cap GROUP BY 1""")
+@query("eval_04_late_penalty", f"""WITH {SCORED} SELECT fold, {rs(f'log10(1 + sum(CASE WHEN {_E} < 0 THEN exp(-({_E}) / 13) - 1 ELSE exp(({_E}) / 10) - 1 END))')} AS log_penalty FROM scored GROUP BY 1""")
 def late_penalty(spark, d):
-    return capped_scored(spark, d).groupBy("fold").agg(r(metrics.late_penalty(actual(), predicted()), 3).alias("penalty"))
+    out = scored_rows(spark, d).groupBy("fold").agg(metrics.late_penalty(actual(), predicted()).alias("penalty"))
+    return out.select("fold", r(log_penalty("penalty")).alias("log_penalty"))
 
 
-_SAFETY = f"""{_CAPPED}, s AS (SELECT fold, avg(abs({_E})) AS mae, sqrt(avg(({_E}) ** 2)) AS rmse, avg({_E}) FILTER (actual <= 30) AS near_bias, avg(CAST({_E} > 0 AS INTEGER)) FILTER (actual <= 30) AS near_late_rate,
-  sum(CASE WHEN {_E} < 0 THEN exp(-({_E}) / 13) - 1 ELSE exp(({_E}) / 10) - 1 END) / count(*) AS average_penalty FROM cap GROUP BY 1)"""
+_SAFETY = f"""{SCORED}, s AS (SELECT fold, avg(abs({_E})) AS mae, sqrt(avg(({_E}) ** 2)) AS rmse, avg({_E}) FILTER (actual <= 30) AS near_bias, avg(CAST({_E} > 0 AS INTEGER)) FILTER (actual <= 30) AS near_late_rate,
+  sum(CASE WHEN {_E} < 0 THEN exp(-({_E}) / 13) - 1 ELSE exp(({_E}) / 10) - 1 END) / count(*) AS average_penalty FROM scored GROUP BY 1)"""
 
 
-@query("eval_05_safety_objective", f"""WITH {_SAFETY} SELECT fold, {rs('near_bias')} AS near_bias, {rs('near_late_rate')} AS near_late_rate, {rs('average_penalty', 4)} AS average_penalty,
-  {rs('rmse + 1.5 * greatest(near_bias, 0) + 0.5 * average_penalty', 4)} AS safety_objective FROM s""")
+@query("eval_05_safety_objective", f"""WITH {_SAFETY} SELECT fold, {rs('near_bias')} AS near_bias, {rs('near_late_rate')} AS near_late_rate, {rs('log10(1 + average_penalty)')} AS log_average_penalty,
+  {rs('log10(1 + rmse + 1.5 * greatest(near_bias, 0) + 0.5 * average_penalty)')} AS log_safety_objective FROM s""")
 def safety_objective(spark, d):
-    out = metrics.safety_scores(capped_scored(spark, d), actual(), predicted(), ["fold"])
-    out = rounded(rounded(out, ["near_bias", "near_late_rate"]), ["average_penalty", "safety_objective"], 4)
-    return out.select("fold", "near_bias", "near_late_rate", "average_penalty", "safety_objective")
+    out = metrics.safety_scores(scored_rows(spark, d), actual(), predicted(), ["fold"])
+    return out.select("fold", r("near_bias").alias("near_bias"), r("near_late_rate").alias("near_late_rate"), *[
+        r(log_penalty(c)).alias(f"log_{c}") for c in ("average_penalty", "safety_objective")])
 
 
 @query("eval_06_selection_score", f"""WITH {_SAFETY} SELECT fold, {rs('rmse + 0.5 * greatest(near_bias, 0)')} AS selection_score, {rs('near_late_rate')} AS near_late_rate FROM s""")
 def selection_score(spark, d):
-    out = metrics.safety_scores(capped_scored(spark, d), actual(), predicted(), ["fold"])
+    out = metrics.safety_scores(scored_rows(spark, d), actual(), predicted(), ["fold"])
     return rounded(out.select("fold", "selection_score", "near_late_rate"), ["selection_score", "near_late_rate"])
 
 
@@ -154,13 +152,14 @@ def acceptance(spark, d):
 
 
 _OFF = lambda y: f"""count(*) AS rows, {rs(f'avg(abs(predicted - {y}))')} AS mae, {rs(f'sqrt(avg((predicted - {y}) ** 2))')} AS rmse, {rs(f'1 - sum((predicted - {y}) ** 2) / (var_pop({y}) * count(*))')} AS r2, {rs(f'avg(predicted - {y})')} AS bias,
-  {rs(f'sum(CASE WHEN predicted < {y} THEN exp(({y} - predicted) / 13) - 1 ELSE exp((predicted - {y}) / 10) - 1 END)', 3)} AS penalty, {rs(f'quantile_cont(abs(predicted - {y}), 0.5)')} AS median_absolute_error"""
+  {rs(f'log10(1 + sum(CASE WHEN predicted < {y} THEN exp(({y} - predicted) / 13) - 1 ELSE exp((predicted - {y}) / 10) - 1 END))')} AS log_penalty, {rs(f'quantile_cont(abs(predicted - {y}), 0.5)')} AS median_absolute_error"""
 
 
-@query("eval_13_capped_report", f"""WITH {_CAPPED}, t AS (SELECT actual, least(actual, 40) AS c, predicted FROM cap) SELECT 'raw' AS view, {_OFF('actual')} FROM t UNION ALL SELECT 'capped', {_OFF('c')} FROM t""")
+@query("eval_13_capped_report", f"""WITH {SCORED}, t AS (SELECT actual, least(actual, 40) AS c, predicted FROM scored) SELECT 'raw' AS view, {_OFF('actual')} FROM t UNION ALL SELECT 'capped', {_OFF('c')} FROM t""")
 def capped_report(spark, d):
-    out = metrics.capped_report(capped_scored(spark, d), 40)
-    return rounded(rounded(out, ["mae", "rmse", "r2", "bias", "median_absolute_error"]), ["penalty"], 3)
+    out = metrics.capped_report(scored_rows(spark, d), 40)
+    out = out.withColumn("log_penalty", log_penalty("penalty")).drop("penalty")
+    return rounded(out, ["mae", "rmse", "r2", "bias", "median_absolute_error", "log_penalty"])
 
 
 _THIRD = "CASE WHEN position <= 57 THEN 'first' WHEN position <= 114 THEN 'second' WHEN position <= 171 THEN 'third' ELSE 'beyond' END"
