@@ -189,3 +189,31 @@ def test_language_vector_has_length_one():
     where, counts = langid.counted("Der Hund")
     x = langid.vector(where, counts, np.ones(langid.FEATURES))
     assert float(x @ x) == pytest.approx(1)
+
+
+def test_op10_blocks_find_every_link_between_components(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(near_dup, "MATRIX_COLUMNS", 16)
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(30):  # edited copies whose similarity to each other lies on both sides of the threshold
+        own = list(base)
+        for _ in range(i % 4):
+            own[draw.randrange(60)] = f"x{draw.randrange(10**6)}"
+        texts.append((i, " ".join(own)))
+    listed = [(v, i, 56, float(i), i // 2) for i in range(30) for v in (1, 2)] + [(3, 40, 5, 0.0, 40), (3, 41, 5, 0.0, 40)]
+    listed = spark.createDataFrame(listed, "value long, doc_id long, n long, central double, component long")
+    placed = near_dup.in_blocks(listed)
+    assert placed.filter("doc_id >= 40").count() == 0 and placed.select("lo", "hi").distinct().count() > 1
+    links = near_dup.block_links(placed, spark.createDataFrame(texts, "doc_id long, text string")).collect()
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
+
+    own = [shingles(t) for _, t in texts]
+    linked = {(a, b) for a in range(30) for b in range(a) if a // 2 != b // 2 and 100 * len(own[a] & own[b]) >= 75 * len(own[a] | own[b])}
+    assert 0 < len(linked) < 400
+    assert {(r.b, r.a) for r in links} <= linked
+    assert {tuple(sorted((r.a // 2, r.b // 2))) for r in links} == {tuple(sorted((a // 2, b // 2))) for a, b in linked}
