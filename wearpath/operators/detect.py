@@ -49,7 +49,9 @@ def fit_envelope(normal: DataFrame, channels: Sequence[str], by: Sequence[str] =
         if rows < LEAST_NORMAL_ROWS:
             raise DataQualityError("at least twelve normal rows are required")
         return fits.withColumn("fit_rows", F.lit(rows))
-    return fits.join(sizes.filter(F.col("fit_rows") >= LEAST_NORMAL_ROWS), list(by))
+    # A fit of too few rows stays, without values: its rows keep a place and get no score.
+    enough = F.col("fit_rows") >= LEAST_NORMAL_ROWS
+    return fits.join(sizes, list(by)).withColumns({c: F.when(enough, F.col(c)) for c in ("centre", "scale")})
 
 
 def attach(df: DataFrame, fits: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -74,7 +76,7 @@ def with_precision(normal: DataFrame, fits: DataFrame, channels: Sequence[str],
     Per fit only p x p moments reach the driver.
     """
     p = len(channels)
-    z = attach(normal, fits, by).select(*by, *[c.alias(f"z{i}") for i, c in enumerate(z_scores(channels))])
+    z = attach(normal, fits.filter("centre IS NOT NULL") if by else fits, by).select(*by, *[c.alias(f"z{i}") for i, c in enumerate(z_scores(channels))])
     means = z.groupBy(*by).agg(*[F.avg(f"z{i}").alias(f"m{i}") for i in range(p)])
     joined = z.join(means, list(by)) if by else z.select("*", *[means.select(f"m{i}").scalar().alias(f"m{i}") for i in range(p)])
     x = [F.col(f"z{i}") - F.col(f"m{i}") for i in range(p)]
@@ -87,7 +89,7 @@ def with_precision(normal: DataFrame, fits: DataFrame, channels: Sequence[str],
         rows.append((*[m[b] for b in by], [float(v) for v in precision.ravel()]))
     fields = [moments.schema[b] for b in by] + [T.StructField("precision", T.ArrayType(T.DoubleType()))]
     table = normal.sparkSession.createDataFrame(rows, T.StructType(fields))
-    return fits.join(table, list(by)) if by else fits.withColumn("precision", _literal(rows[0][-1]))
+    return fits.join(table, list(by), "left") if by else fits.withColumn("precision", _literal(rows[0][-1]))
 
 
 def envelope_score(channels: Sequence[str], aggregation: str = "max") -> Column:
