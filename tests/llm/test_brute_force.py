@@ -52,6 +52,16 @@ def test_op1_spelling_is_a_distribution():
     assert one < 0 and model.log10([b"the"])[0] > model.log10([b"xqz"])[0]
 
 
+def test_op1_long_unknown_tokens_cost_by_their_length(spark):
+    rng = random.Random(2)
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
+    unbroken = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (1000, 2000, 40_000)]
+    rows = [(i, f"some words of a text with number {i}", "en") for i in range(200) if i not in held] + [(i, t, "en") for i, t in zip(held, unbroken)]
+    got = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    a, b, c = (got[i] for i in held)
+    assert a < -1000 and b == pytest.approx(2 * a, rel=0.1) and c == pytest.approx(40 * a, rel=0.1)
+
+
 def test_op4_against_direct_parsing(spark, sf_dir, documents):
     found = {r.doc_id: r for r in queries.BUILDERS["op4_phrase_fingerprint"](spark, sf_dir).collect()}
     ordered = sorted(documents, key=lambda d: -d[0])
