@@ -134,6 +134,31 @@ def test_op6_rejects_magic_in_payloads(spark):
         assert (r.record_type, r.refers_to) == (("response", None) if origin == i else ("revisit", origin))
 
 
+@pytest.mark.parametrize("size", ["250", "100000"])
+def test_op6_magic_at_the_edges_of_payloads(spark, size):
+    magic, blank = "WARC/1.1", "\r\n\r\n"
+    bodies = [magic, "text" + blank + magic, magic + "\r\n", blank + magic + blank + magic, "a " + magic + "\r\nb", magic + blank, "\r\n" + magic + "\r\n" + magic]
+    rows = [(i, f"{body}" if i % 2 else f"{i}{body}") for i, body in enumerate(bodies)] + [(99, "the last one")]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = {r.page_id: r for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, html string").coalesce(1)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {i: (r.payload_digest, r.intact) for i, r in got.items()} == {i: (warc.payload_digest(body.encode()), True) for i, body in rows}
+
+
+def test_op6_reports_a_chain_that_ends_early(spark, tmp_path):
+    whole = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(whole.encode() * 2)
+    assert warc.read(spark, str(tmp_path)).count() == 2
+    (tmp_path / "b.warc").write_bytes(whole.encode() + whole.encode()[:-9])
+    with pytest.raises(ValueError, match="b.warc"):
+        warc.read(spark, str(tmp_path))
+
+
 def test_op7_held_out_accuracy(spark, sf_dir, documents):
     lang = {i: g for i, _, g in documents}
     rows = [r for r in queries.BUILDERS["op7_language_id"](spark, sf_dir).collect() if r.held_out]

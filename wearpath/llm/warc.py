@@ -4,9 +4,9 @@ Writing: one record per row. Of rows with equal payloads (SHA-1 and length) the
 a ``response``, the others are ``revisit`` records without a body that name it. Spark's text writer ends
 every row with the blank lines that end a record, so its part files are WARC files.
 
-Reading: Spark's text reader cuts the files at ``CRLF CRLF WARC/1.1 CRLF`` and splits large files by itself. Each
-piece that starts with the magic is only a *candidate*: a payload may hold the same bytes. Tasks emit, for every
-candidate, its byte offset and the offset of its successor by its own Content-Length. `reachable` keeps the
+Reading: Spark's text reader cuts the files at ``WARC/1.1 CRLF`` and splits large files by itself. No two of these
+overlap, so no cut hides another one and all splits agree on the cuts. Each piece behind blank lines and the magic
+is only a *candidate*: a payload may hold the same bytes. Tasks emit, for every candidate, its byte offset and the offset of its successor by its own Content-Length. `reachable` keeps the
 candidates that a chain of successors from the start of the file reaches, by pointer jumping: the reached
 set takes one more jump while jumps double, so a file of n records takes about log2(n) rounds of joins. The
 payload of a record that a false magic cut is put together from the pieces inside its range.
@@ -14,8 +14,8 @@ payload of a record that a false magic cut is put together from the pieces insid
 Every payload read is hashed again and compared with its header; a record that differs gets ``intact`` false.
 
 Defined cases: a null payload is empty; a null id is written as an empty header value and read as null; equal ids
-with equal payloads are all responses where the id is the smallest; bytes after the last reachable record are
-not records; an empty input writes no records.
+with equal payloads are all responses where the id is the smallest; a file whose chain of records does not end at
+the end of the file (cut off, or no archive) is an error that names it; an empty input writes no records.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from ..session import materialise, shared_folder
 EOL, BLANK = "\r\n", "\r\n\r\n"
 MAGIC = "WARC/1.1\r\n"
 URN = "urn:page:"
-_CUT = BLANK + MAGIC
+_CUT = MAGIC
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -84,25 +84,24 @@ def _pieces(spark, folder: str) -> DataFrame:
 
 def _scan(batches):
     """Per piece its place in the split, and what its header says. Payloads are hashed here and go no further."""
-    where, at = None, 0
+    where, at, tail, blank_lines = None, 0, b"", BLANK.encode()
     for batch in batches:
         rows = []
         for file, block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
             if (file, block) != where:
-                where, at = (file, block), 0
-            first = block == 0 and at == 0
-            begin = len(MAGIC) if first and data.startswith(MAGIC.encode()) else 0
-            head, blank, body = data[begin:].partition(BLANK.encode())
+                where, at, tail = (file, block), 0, blank_lines  # what stands before a split is not known: its first piece may be a record
+            magic = (block > 0 or at > 0) and (tail == blank_lines or block == 0 and at == len(_CUT))  # a file's first piece is what precedes its first magic
+            head, blank, body = data.partition(blank_lines) if magic else (b"", b"", b"")
             fields = dict(line.partition(b": ")[::2] for line in head.split(EOL.encode()))
             length = fields.get(b"Content-Length", b"")
-            if length.isdigit() and (begin or not first):
-                n = int(length)  # without a blank line the payload begins with the magic, and the blank line went into the cut
-                whole = body[:n] if blank and len(body) >= n else None
-                rows.append((file, block, at, len(data), 0 if first else at - len(MAGIC), at + begin + len(head) + len(BLANK) + n + len(BLANK), head.decode("utf-8", "replace"), n,
-                             None if whole is None else payload_digest(whole)))
+            if blank and length.isdigit():
+                n = int(length)
+                rows.append((file, block, at, len(data), at - len(_CUT), at + len(head) + len(BLANK) + n + len(BLANK), head.decode("utf-8", "replace"), n,
+                             payload_digest(body[:n]) if len(body) >= n else None))
             else:  # not a record, but its bytes count
                 rows.append((file, block, at, len(data), None, None, None, None, None))
             at += len(data) + len(_CUT)
+            tail = data[-4:] if len(data) >= 4 else (MAGIC.encode() + data)[-4:]
         columns = list(zip(*rows)) or [()] * 9
         kinds = (pa.string(), *[pa.int64()] * 5, pa.string(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], SCANNED)
@@ -112,20 +111,23 @@ SCANNED = ["file", "block", "at", "size", "offset_in", "next_in", "head", "body_
 _SCHEMA = "file string, block long, at long, size long, offset_in long, next_in long, head string, body_bytes long, body_digest string"
 
 
-def candidates(spark, folder: str) -> DataFrame:
-    """Every place with the magic: file, offset, successor (byte offsets in the file), header text, body length and digest."""
+def candidates(spark, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Every place with the magic: file, offset, successor (byte offsets in the file), header text, body length and digest. Beside it the files: file, bytes."""
     scanned = materialise(_pieces(spark, folder).mapInArrow(_scan, _SCHEMA), "scan")
     blocks = scanned.groupBy("file", "block").agg(F.sum(F.col("size") + len(_CUT)).alias("bytes"))  # one row a split
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(F.col("file").alias("f"), F.col("block").alias("k"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"))
     placed = scanned.join(starts, (F.col("file") == F.col("f")) & (F.col("block") == F.col("k")))
-    return placed.filter("head IS NOT NULL").select(
+    found = placed.filter("head IS NOT NULL").select(
         "file", (F.col("start") + F.col("offset_in")).alias("offset"), (F.col("start") + F.col("next_in")).alias("next"), "head", "body_bytes", "body_digest")
+    # No cut follows a file's last piece. An empty last piece is not read: behind a last cut at the end of a file nothing is.
+    return found, blocks.groupBy("file").agg((F.sum("bytes") - len(_CUT)).alias("bytes"))
 
 
-def reachable(found: DataFrame) -> DataFrame:
-    """(file, offset) of the candidates that the chain from offset 0 reaches, by pointer jumping over written tables."""
-    jumps = materialise(found.select("file", "offset", "next"), "jumps")
+def reachable(found: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, offset) of the candidates and file ends that the chain from offset 0 reaches, by pointer jumping over written tables."""
+    ends = files.select("file", F.col("bytes").alias("offset"), F.lit(None).cast("long").alias("next"))
+    jumps = materialise(found.select("file", "offset", "next").unionByName(ends), "jumps")
     nodes = jumps.select("file", "offset")
     reached = materialise(jumps.filter("offset = 0").select("file", "offset"), "reached")
     n = reached.count()
@@ -177,8 +179,13 @@ def _cut_payloads(spark, folder: str, records_: DataFrame) -> DataFrame:
 
 def read(spark, folder: str) -> DataFrame:
     """The verified records: key, payload_bytes, payload_digest (as the header has them), record_type, refers_to, intact."""
-    found = materialise(candidates(spark, folder), "candidates")
-    kept = found.join(reachable(found), ["file", "offset"])
+    found, files = candidates(spark, folder)
+    found, files = materialise(found, "candidates"), materialise(files, "files")
+    reached = reachable(found, files)
+    broken = files.join(reached.withColumnRenamed("offset", "bytes"), ["file", "bytes"], "left_anti").limit(5).collect()
+    if broken:
+        raise ValueError(f"the chain of records ends before the end of the file: {sorted(r['file'] for r in broken)}")
+    kept = found.join(reached, ["file", "offset"])
     if kept.filter("body_digest IS NULL").limit(1).count():
         kept = materialise(kept, "records")
         mended = materialise(_cut_payloads(spark, folder, kept), "mended")
