@@ -62,6 +62,31 @@ def test_op1_long_unknown_tokens_cost_by_their_length(spark):
     assert a < -1000 and b == pytest.approx(2 * a, rel=0.1) and c == pytest.approx(40 * a, rel=0.1)
 
 
+def test_op1_learns_from_every_word_and_language(spark, monkeypatch):
+    words = [f"{a}{b}{c}".encode() for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyz"]
+    zeros = np.zeros(len(lm_scoring.ORDERS) * lm_scoring.SLOTS, dtype=np.int32)
+    ones = zeros.copy()
+    data, owner = lm_scoring.laid_out(words)
+    for _, _, bit, slots in lm_scoring.bits(data, lm_scoring.contexts(data, owner)):
+        for s in slots:
+            np.add.at(ones, s[bit == 1], 1)
+            np.add.at(zeros, s[bit == 0], 1)
+    met = []
+    refine_by = lm_scoring.Speller.refine_by
+    monkeypatch.setattr(lm_scoring.Speller, "refine_by", lambda self, cell, hits, share: (met.append(hits.sum()), refine_by(self, cell, hits, share))[1])
+    fitted = lm_scoring.fit(lm_scoring.Speller(zeros, ones), spark.createDataFrame([(w,) for w in words], "word binary").repartition(3))
+    assert met == [8 * len(data)]
+    assert np.isfinite(fitted.weights).all() and (fitted.weights != 0.35).any()
+    # Twelve languages with words of their own: each has a gate, so each prices its words alike.
+    rows = [(i, " ".join(f"w{i % 12}x{(i + k) % 5}" for k in range(20)), f"l{i % 12:02}") for i in range(600)]
+    got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string, lang string")).filter("NOT held_out").collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.doc_id % 12].append(r.score)
+    means = [sum(v) / len(v) for v in by.values()]
+    assert len(means) == 12 and max(means) - min(means) < 0.1 * abs(sum(means) / 12)
+
+
 def test_op4_against_direct_parsing(spark, sf_dir, documents):
     found = {r.doc_id: r for r in queries.BUILDERS["op4_phrase_fingerprint"](spark, sf_dir).collect()}
     ordered = sorted(documents, key=lambda d: -d[0])
