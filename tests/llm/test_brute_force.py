@@ -106,6 +106,13 @@ def test_op4_parsing_is_local():
     assert len(set(a) & set(b)) >= 0.95 * max(len(set(a)), len(set(b)))
 
 
+def test_op4_keeps_as_many_names_as_before_they_were_shortened():
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(20_000))
+    (sketch,) = fingerprints.sketches([text])
+    assert len(sketch[fingerprints.LEVEL]) == 48 and len(fingerprints.written(sketch)) == 2 + 48 * 8
+
+
 def test_op5_round_trip(spark, sf_dir, documents):
     from tokenizers import Tokenizer
 
