@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise, table
-from . import chat, fingerprints, langid, lm_scoring, mixing, near_dup, packing, quality_rules, site_quality, warc
+from . import chat, divergence, fingerprints, langid, lm_scoring, mixing, mtree, near_dup, packing, prefix_trie, quality_rules, site_quality, warc
 from .columns import text_of, word_count
 from .registry import BUILDERS, SQL, query  # noqa: F401
 
@@ -136,3 +136,60 @@ def op4_phrase_fingerprint(spark, folder):
 @query("op1_context_mixing")
 def op1_context_mixing(spark, folder):
     return lm_scoring.score(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+
+
+@query("op11_mtree_search", """
+WITH r AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+c AS (SELECT row_number() OVER () AS row, vec_id, v FROM r),
+p AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+      FROM c q JOIN c ON q.vec_id % 50 = 0 AND q.vec_id IS DISTINCT FROM c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank, vec_id, score FROM p
+QUALIFY rank <= 5""")
+def op11_mtree_search(spark, folder):
+    return mtree.top_k(mtree.integer_vectors(table(spark, folder, "embeddings")))
+
+
+@query("op12_source_divergence", r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, row, unnest(w) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::BIGINT AS n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT d.lang, d.source FROM d),
+s AS (SELECT g.lang, g.source, coalesce(sum(c.n) FILTER (k.term IS NOT NULL), 0)::BIGINT AS n FROM g LEFT JOIN c USING (lang, source) LEFT JOIN k ON k.lang = c.lang AND k.term = c.term GROUP BY ALL),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS count, (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (s.n + 5 * l.v))::BIGINT AS p,
+             (1 + (1000000000::HUGEINT * (k.n + 5)) // (l.n + 5 * l.v))::BIGINT AS q
+      FROM s JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE count > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item COLLATE 'C')::INT AS rank
+FROM x QUALIFY part = 'pair' OR rank <= 50""")
+def op12_source_divergence(spark, folder):
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+@query("op13_prefix_trie", r"""
+WITH bits AS (SELECT b, list_reduce(list_prepend(b, range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))) AS t FROM (SELECT unnest(range(256)) AS b)),
+crc_table AS (SELECT list(t ORDER BY b) AS t FROM bits),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, role, text
+      FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+h AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+             lambda x, s: xor(x >> 8, t[(xor(x, s) & 255) + 1])), 4294967295) % 9 AS h FROM (SELECT DISTINCT conv_id FROM o), crc_table),
+m AS (SELECT h.conv_id, o.pos, o.role, o.text FROM h JOIN o ON o.conv_id = h.conv_id - h.conv_id % 5 WHERE o.pos <= h
+      UNION ALL SELECT h.conv_id, o.pos + 1000000, o.role, o.text FROM h JOIN o USING (conv_id) WHERE o.pos > h),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth, strlen(text) AS bytes,
+             string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY pos) AS path FROM m
+      UNION ALL SELECT conv_id, 0, 0, '' FROM h),
+l AS (SELECT conv_id, max(depth) AS len FROM r GROUP BY 1),
+n AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS own,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = len), '')) AS ends FROM r JOIN l USING (conv_id) GROUP BY ALL),
+c AS (SELECT a.*, count(b.path) AS n_children FROM n a LEFT JOIN n b ON b.depth = a.depth + 1 AND b.path[:32 * a.depth] = a.path GROUP BY ALL),
+s AS (SELECT r.depth, r.path, count(*) FILTER (c.n_children = 0) AS n_leaves, sum(c.own) AS saved FROM c JOIN r ON r.conv_id = c.conv_id AND r.depth <= c.depth GROUP BY ALL)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, c.ends AS ends_sha256
+FROM c JOIN s USING (depth, path) LEFT JOIN n p ON p.depth = c.depth - 1 AND p.path = c.path[:32 * (c.depth - 1)]""")
+def op13_prefix_trie(spark, folder):
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
