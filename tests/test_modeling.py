@@ -156,35 +156,6 @@ def test_gates_fail_closed(spark):
     assert not gates.protocol_checks(lopsided, base).first()["eligible"]
 
 
-def test_streams_equal_batch_over_many_batches(spark, tmp_path):
-    from wearpath.streaming import online
-
-    rng = np.random.default_rng(12)
-    pdf = pd.DataFrame({"unit": np.repeat(["a", "b"], 60), "t": np.tile(np.r_[np.arange(1, 31), np.arange(40, 70)], 2), "x": rng.normal(5, 1, 120)})
-    pdf["vote"] = (pdf.x > 5).astype("int32")
-    source = tmp_path / "in"
-    late = pd.DataFrame({"unit": ["a"], "t": [3], "x": [99.0], "vote": pd.Series([1], dtype="int32")})
-    schema = "unit string, t long, x double, vote int"
-    parts = [pdf[pdf.t <= 12], pdf[(pdf.t > 12) & (pdf.t <= 45)], late, pdf[pdf.t > 45]]
-    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    source.mkdir()
-    for i, part in enumerate(parts):
-        path = source / f"part-{i}.parquet"
-        part.sample(frac=1, random_state=i).to_parquet(path, index=False)
-        import os
-        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
-    features = online.run_to_end(online.causal_features(stream(), "unit", "t", "x"), "features")
-    assert features.filter("late").count() == 1
-    got = features.filter("not late").orderBy("unit", "t").toPandas()
-    s = causal.trailing_std(causal.trailing_mean(causal.first_difference(series(spark.createDataFrame(pdf), "unit", "t"), ["x"]), ["x"], (5,)), ["x"], (5,))
-    want = causal.growing_mean_baseline(s.ewm({"ewm5": ("x", 5)}), ["x"]).frame.orderBy("unit", "t").toPandas()
-    for name in ("x_delta", "x_mean_5", "x_std_5", "ewm5", "x_baseline"):
-        assert np.allclose(got[name], want[name]), name
-    alerts = online.run_to_end(online.persistence_alerts(stream(), "unit", "t", "vote"), "alerts").filter("not late").orderBy("unit", "t").toPandas()
-    batch = causal.segmented_persistence(spark.createDataFrame(pdf), ["unit"], "t", "vote", 5, 3).frame.orderBy("unit", "t").toPandas()
-    assert (alerts.alert.to_numpy() == batch.alert.to_numpy()).all() and (alerts.segment.to_numpy() == batch.segment.to_numpy()).all()
-
-
 def test_prepare_writes_a_manifest(spark, sf_dir, tmp_path):
     from wearpath.plans.jobs import prepare
 

@@ -1,8 +1,19 @@
 """Online counterparts of the batch operators on Structured Streaming.
 
-State per unit is a few numbers (a short buffer, running sums, the last order value), whatever
-the length of the unit. Records that arrive at or before a unit's last order value are late:
-they leave the state untouched and are reported with ``late`` set.
+`in_order` is what the others stand on: rows of a unit wait in its state until the watermark has passed them, and then
+go, sorted by their whole order tuple, through a step that keeps a few numbers (a short buffer, running sums). What
+cannot be placed any more is not dropped but comes out with a status:
+
+* ``accepted``: in its place; the step's columns are filled;
+* ``repeated``: a second row with the same order tuple (or, where a step remembers keys, the same key);
+* ``late``: before what the unit has released already;
+* ``untimed``: without an order value.
+
+So accepted and other rows together are the input, and as long as rows arrive within ``hold`` of each other's time, results
+depend neither on the number of files nor on their order.
+
+Spark drops rows behind the watermark before a stateful operator sees them. `timed` keeps them: a row's time
+enters the watermark through a copy that carries nothing else, and the row itself has no time in Spark's eyes.
 """
 
 from __future__ import annotations
@@ -12,7 +23,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -20,9 +31,14 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..operators import quality
 from ..session import shared_folder
 
+ACCEPTED, REPEATED, LATE, UNTIMED = "accepted", "repeated", "late", "untimed"
+#: The time of the row that ends a replay; later than any event.
+CLOSING = "9999-01-01 00:00:00"
+
 
+# -- sources and sinks ------------------------------------------------------------------------
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 16) -> DataFrame:
-    """A table's file(s) as a stream."""
+    """A table's file(s) as a stream, in the order in which files arrived."""
     path = os.path.join(folder, f"{name}.parquet")
     reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -31,48 +47,137 @@ def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def run_to_end(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
+def replay(table: DataFrame, event_time: str, slices: int = 4, files_per_trigger: int = 16) -> tuple[DataFrame, str]:
+    """A stored table as a stream that arrives roughly by time, and how long rows must be held to be in order.
+
+    The table is written in ``slices`` of equal time, one after the other, so that files arrive in that order whatever
+    the table's own files are; inside a slice they come in any order. The last file holds one row at `CLOSING`: it
+    moves the watermark past everything, which releases what still waits.
+    """
+    spark = table.sparkSession
+    table = table.withColumn(event_time, F.col(event_time).cast("timestamp"))
+    path = shared_folder(spark, "arrivals")
+    low, high = table.agg(F.min(F.unix_micros(event_time)), F.max(F.unix_micros(event_time))).first()
+    low, high = (0, 0) if low is None else (low, high)
+    width = (high - low) // slices + 1
+    at = F.unix_micros(event_time)
+    for k in range(slices):
+        mine = (at >= low + k * width) & (at < low + (k + 1) * width)
+        table.filter(mine | at.isNull() if k == 0 else mine).write.mode("append").parquet(path)
+    end = spark.range(1).select(*[(F.lit(CLOSING) if c == event_time else F.lit(None)).cast(table.schema[c].dataType).alias(c) for c in table.columns])
+    end.write.mode("append").parquet(path)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return stream, f"{-(-width // 1_000_000)} seconds"
+
+
+def timed(stream: DataFrame, event_time: str, hold: str) -> DataFrame:
+    """The stream's rows, none of them dropped for being late, under a watermark of their times.
+
+    Adds ``at`` (microseconds) and ``clock`` (null; the column that carries the watermark for `in_order`).
+    """
+    time = F.col(event_time)
+    only_time, only_row = F.array(F.lit(True)), F.array(F.lit(False))
+    ticks = F.when(time.isNull(), only_row).when(time >= F.lit(CLOSING).cast("timestamp"), only_time).otherwise(F.concat(only_time, only_row))
+    both = stream.withColumns({"at": F.unix_micros(time), "__tick": F.explode(ticks)})
+    both = both.withColumn("clock", F.when(F.col("__tick"), time)).withWatermark("clock", hold)
+    # The filter names the clock alone, so it stays above the watermark.
+    return both.filter("clock IS NULL").drop("__tick")
+
+
+def run_to_end(stream: DataFrame, purpose: str, mode: str = "append", partition_by: Sequence[str] = ()) -> DataFrame:
     """Process everything available into a Parquet sink and read it back."""
     spark = stream.sparkSession
     base = shared_folder(spark, purpose)
     writer = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{base}/offsets")
-    query = writer.trigger(availableNow=True).start(f"{base}/rows")
+    query = writer.partitionBy(*partition_by).trigger(availableNow=True).start(f"{base}/rows")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-def _stateful(rows: DataFrame, unit: str, order: Sequence[str], output: list[T.StructField], state_ddl: str,
-              step: Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]]) -> DataFrame:
-    """Feed each unit's new rows, in order and without late ones, to ``step(rows, state)``."""
-    schema = T.StructType([rows.schema[unit], *[rows.schema[c] for c in rows.columns if c != unit], T.StructField("late", T.BooleanType()), *output])
-    names, added = schema.fieldNames(), [f.name for f in output]
-    order = list(order)
+# -- rows of a unit in order ------------------------------------------------------------------
+Step = Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]]
+
+
+def in_order(rows: DataFrame, unit: str, order: Sequence[str], output: list[T.StructField], state_ddl: str, step: Step) -> DataFrame:
+    """Feed each unit's rows to ``step(rows, state)`` in order; a status says what became of each row.
+
+    ``order`` begins with the row's time in microseconds where the rows have a ``clock`` (see `timed`); rows are then held
+    until the watermark passes them. Without a clock they go at once, in the order of their batch, and what comes
+    before an earlier batch is late. ``step`` gets accepted rows and returns them with the ``output`` columns; it may set ``status``
+    itself. The state holds the unit's last order tuple, the step's own state and the rows that wait.
+    """
+    order, held_back = list(order), "clock" in rows.columns
+    columns = [c for c in rows.columns if c != "clock"]
+    added = [f.name for f in output]
+    schema = T.StructType([rows.schema[unit], *[rows.schema[c] for c in columns if c != unit], T.StructField("status", T.StringType()), *output])
+    names = schema.fieldNames()
+    carried = [c for c in columns if c != unit]
+    own = T.StructType.fromDDL(state_ddl)
+    state_schema = T.StructType([
+        *[T.StructField(f"last_{c}", rows.schema[c].dataType) for c in order], *own.fields, *[T.StructField(f"wait_{c}", T.ArrayType(rows.schema[c].dataType)) for c in carried]])
+
+    whole = {c for c in columns if isinstance(rows.schema[c].dataType, T.IntegralType)}
+
+    def plain(value, c):
+        if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and np.isnan(value) and c in whole):
+            return None
+        # A whole number next to a null comes as a float.
+        return int(value) if c in whole else value.item() if hasattr(value, "item") else value
 
     def advance(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        fresh = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
-        held = tuple(state.get) if state.exists else None
-        late = np.zeros(len(fresh), dtype=bool) if held is None else (fresh[order[0]] <= held[0]).to_numpy()
-        # A repeated order value inside one batch is late too: the first keeps its place.
-        late |= fresh[order[0]].duplicated(keep="first").to_numpy()
-        good = fresh.loc[~late].reset_index(drop=True)
+        last, mine, waiting = None, None, None
+        if state.exists:
+            held = tuple(state.get)
+            last = held[:len(order)] if held[0] is not None else None
+            mine = held[len(order):len(order) + len(own)] if last is not None else None
+            lists = held[len(order) + len(own):]
+            if lists[0]:
+                waiting = pd.DataFrame({c: pd.Series(list(v), dtype="object") for c, v in zip(carried, lists)})
+        parts = [] if state.hasTimedOut else [b[carried] for b in batches]
+        parts = ([waiting] if waiting is not None else []) + [p for p in parts if len(p)]
+        if not parts:
+            return
+        if waiting is not None and len(parts) > 1:
+            parts[0] = waiting.astype({c: parts[1][c].dtype for c in carried if not waiting[c].isna().any()})
+        fresh = pd.concat(parts, ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+        status = np.full(len(fresh), ACCEPTED, dtype=object)
+        status[fresh.duplicated(order, keep="first").to_numpy()] = REPEATED
+        if last is not None:
+            before, same = np.zeros(len(fresh), dtype=bool), np.ones(len(fresh), dtype=bool)
+            for c, value in zip(order, last):
+                before |= same & (fresh[c] < value).to_numpy()
+                same &= (fresh[c] == value).to_numpy()
+            status[before], status[same] = LATE, REPEATED
+        status[fresh[order].isna().any(axis=1).to_numpy()] = UNTIMED
+        limit = state.getCurrentWatermarkMs() * 1000 if held_back else None
+        wait = (status == ACCEPTED) & (fresh[order[0]] > limit).to_numpy() if held_back else np.zeros(len(fresh), dtype=bool)
+        go = (status == ACCEPTED) & ~wait
+        good = fresh.loc[go].reset_index(drop=True)
         if len(good):
-            built, held = step(good, held)
-            state.update(held)
-            yield built.assign(late=False)[names]
-        if late.any():
-            yield fresh.loc[late].assign(late=True, **{c: None for c in added})[names]
+            good = good.infer_objects()
+            last = tuple(plain(good[c].iloc[-1], c) for c in order)
+            built, mine = step(good.assign(**{unit: key[0]}), mine)
+            yield (built if "status" in built else built.assign(status=ACCEPTED))[names]
+        rest = status != ACCEPTED
+        if rest.any():
+            yield fresh.loc[rest].assign(**{unit: key[0]}, status=status[rest], **{c: None for c in added})[names]
+        later = fresh.loc[wait]
+        state.update((*(last or [None] * len(order)), *(mine or [None] * len(own)), *([plain(v, c) for v in later[c]] for c in carried)))
+        if len(later):
+            state.setTimeoutTimestamp(int(later[order[0]].min()) // 1000 + 1)
 
-    return rows.groupBy(unit).applyInPandasWithState(advance, schema, T.StructType.fromDDL(state_ddl), "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if held_back else GroupStateTimeout.NoTimeout
+    return rows.groupBy(unit).applyInPandasWithState(advance, schema, state_schema, "append", timeout)
 
 
-def causal_features(rows: DataFrame, unit: str, order: str, value: str, window: int = 5, span: int = 5, baseline: int = 10) -> DataFrame:
+def causal_features(rows: DataFrame, unit: str, order: Sequence[str], value: str, window: int = 5, span: int = 5, baseline: int = 10) -> DataFrame:
     """First difference, trailing mean and deviation, recursive mean and growing baseline of a stream."""
     alpha = 2.0 / (span + 1)
     names = (f"{value}_delta", f"{value}_mean_{window}", f"{value}_std_{window}", f"ewm{span}", f"{value}_baseline")
     output = [T.StructField("cycle", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names]]
 
     def step(good, held):
-        last, count, level, head_sum, head_n, buffer = held or (None, 0, None, 0.0, 0, [])
+        count, level, head_sum, head_n, buffer = held or (0, None, 0.0, 0, [])
         x = good[value].to_numpy(float)
         joined = pd.Series(np.r_[np.asarray(buffer, float), x])
         rolled = joined.rolling(window, min_periods=1)
@@ -88,58 +193,136 @@ def causal_features(rows: DataFrame, unit: str, order: str, value: str, window:
         built = good.assign(**dict(zip(("cycle", *names), (
             cycles, np.r_[joined.diff().fillna(0.0).to_numpy()[skip:]], rolled.mean().to_numpy()[skip:],
             rolled.std(ddof=0).to_numpy()[skip:], smoothed, sums / sizes))))
-        state = (good[order].iloc[-1].item() if hasattr(good[order].iloc[-1], "item") else good[order].iloc[-1], int(cycles[-1]), float(level), float(sums[-1]), int(sizes[-1]),
-                 [float(v) for v in joined.iloc[-max(window - 1, 1):]])
-        return built, state
+        return built, (int(cycles[-1]), float(level), float(sums[-1]), int(sizes[-1]), [float(v) for v in joined.iloc[-max(window - 1, 1):]])
 
-    kind = rows.schema[order].dataType.simpleString()
-    return _stateful(rows, unit, [order], output, f"last {kind}, seen long, level double, head_sum double, head_n long, buffer array<double>", step)
+    return in_order(rows, unit, order, output, "seen long, level double, head_sum double, head_n long, buffer array<double>", step)
 
 
-def persistence_alerts(rows: DataFrame, unit: str, position: str, vote: str, window: int = 5, required: int = 3) -> DataFrame:
-    """Alert when enough of the last votes are 1; a gap in the positions clears the votes."""
-    output = [T.StructField("segment", T.LongType()), T.StructField("alert", T.IntegerType())]
+def persistence_alerts(rows: DataFrame, unit: str, order: Sequence[str], vote: str, window: int = 5, required: int = 3, position: str | None = None) -> DataFrame:
+    """Alert when enough of the last votes are 1; a gap in the positions (where rows have one) clears the votes."""
+    output = [T.StructField("cycle", T.LongType()), T.StructField("segment", T.LongType()), T.StructField("alert", T.IntegerType())]
 
     def step(good, held):
-        last, segment, votes = held or (None, 0, [])
-        positions, ballots = good[position].to_numpy(), good[vote].to_numpy(int)
-        breaks = np.r_[0 if last is None else int(positions[0] != last + 1), (np.diff(positions) != 1).astype(int)]
+        count, segment, previous, votes = held or (0, 0, None, [])
+        cycles = count + np.arange(1, len(good) + 1)
+        positions, ballots = good[position].to_numpy() if position else cycles, good[vote].to_numpy(int)
+        breaks = np.r_[0 if previous is None else int(positions[0] != previous + 1), (np.diff(positions) != 1).astype(int)]
         segments = segment + np.cumsum(breaks)
         ids = np.r_[np.full(len(votes), segment), segments]
         every = pd.Series(np.r_[np.asarray(votes, int), ballots])
         counts = every.groupby(ids).rolling(window, min_periods=1).sum().to_numpy()[len(votes):]
         keep = every[ids == segments[-1]].iloc[-(window - 1):] if window > 1 else every.iloc[:0]
-        built = good.assign(segment=segments, alert=(counts >= required).astype("int32"))
-        return built, (int(positions[-1]), int(segments[-1]), [int(v) for v in keep])
+        built = good.assign(cycle=cycles, segment=segments, alert=(counts >= required).astype("int32"))
+        return built, (int(cycles[-1]), int(segments[-1]), int(positions[-1]), [int(v) for v in keep])
+
+    return in_order(rows, unit, order, output, "seen long, segment long, previous long, votes array<int>", step)
 
-    return _stateful(rows, unit, [position], output, "last long, segment long, votes array<int>", step)
 
+def first_of_key(rows: DataFrame, key: str, memory_seconds: int, buckets: int = 64) -> DataFrame:
+    """The stream with a status: the first row of each key, in time order, is accepted, others are repeated.
 
-def quality_split(rows: DataFrame, key: Sequence[str], event_time: str, delay: str, rules: Callable[[], list[quality.Rule]],
-                  accepted: str, rejected: str, offsets: str):
-    """Exact repeats within the watermark vanish; rows that break a rule go to a quarantine table with
-    the rule's name, the others to the accepted table. Batches are written under their number, so a
-    replayed batch overwrites itself. Returns the started query."""
-    once = rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(key))
+    Keys are remembered in hash buckets for ``memory_seconds`` of event time after they were last met, so state is
+    bounded by the keys of that time and a bucket holds its share of them.
+    """
+    dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    memory = memory_seconds * 1_000_000
 
+    def step(good, held):
+        known = dict(zip(*held)) if held else {}
+        status = []
+        for k, at in zip(good[key].tolist(), good["at"].tolist()):
+            status.append(REPEATED if k in known and at - known[k] <= memory else ACCEPTED)
+            known[k] = at
+        now = int(good["at"].iloc[-1])
+        known = {k: at for k, at in known.items() if now - at <= memory}
+        return good.assign(status=status), (list(known), list(known.values()))
+
+    kind = rows.schema[key].dataType.simpleString()
+    return in_order(dealt, "__bucket", ["at", key], [], f"keys array<{kind}>, seen array<long>", step).drop("__bucket")
+
+
+def quality_split(rows: DataFrame, rules: Callable[[], list[quality.Rule]], accepted: str, rejected: str, offsets: str):
+    """Rows with a status (see `first_of_key`) to two tables: sound ones, and the others with the names of what they break.
+
+    A row that was repeated, late or untimed is rejected under that name. Batches are written under their number, so a
+    replayed batch overwrites itself. Returns the started query.
+    """
     def write(batch: DataFrame, number: int) -> None:
-        broken = F.array_compact(F.array(*[F.when(F.coalesce(r.broken, F.lit(False)), F.lit(r.name)) for r in rules()]))
-        marked = batch.withColumn("broken_rules", broken)
+        broken = F.array_compact(F.array(
+            F.when(F.col("status") != ACCEPTED, F.col("status")), *[F.when(F.coalesce(r.broken, F.lit(False)), F.lit(r.name)) for r in rules()]))
+        marked = batch.withColumn("broken_rules", broken).drop("status", "at")
         marked.filter(F.size("broken_rules") == 0).drop("broken_rules").write.mode("overwrite").parquet(f"{accepted}/batch={number}")
         marked.filter(F.size("broken_rules") > 0).write.mode("overwrite").parquet(f"{rejected}/batch={number}")
 
-    return once.writeStream.foreachBatch(write).option("checkpointLocation", offsets).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", offsets).trigger(availableNow=True).start()
+
+
+# -- change of inputs against a baseline --------------------------------------------------------
+def bin_of(value: Column, edges: Sequence[float]) -> Column:
+    """The number of edges at or below a value; null for null and NaN."""
+    above = sum((F.when(value >= float(e), 1).otherwise(0) for e in edges), F.lit(0))
+    return F.when(value.isNotNull() & ~F.isnan(value), above)
+
+
+def support_drift(rows: DataFrame, regime: str, value: str, low: float, high: float, edges: Sequence[float], window: str = "1 day") -> DataFrame:
+    """Per event-time window, regime and histogram bin: rows, sums and rows outside the fitted range.
+
+    ``rows`` carry a watermark on ``clock`` with the event times in it (see `clocked`). A window's state is one short row
+    per bin; counts and sums of parts add up, so windows of any size come from partial aggregates.
+    """
+    v = F.col(value)
+    outside = ((v < low) | (v > high)).cast("long")
+    return rows.groupBy(F.window("clock", window), regime, bin_of(v, edges).alias("bin")).agg(
+        F.count("*").alias("rows"), F.sum(v).alias("total"), F.sum(v * v).alias("squares"), F.sum(outside).alias("outside")).select(
+        F.col("window.start").alias("window_start"), regime, "bin", "rows", "total", "squares", "outside")
+
+
+def clocked(stream: DataFrame, event_time: str, hold: str) -> DataFrame:
+    """The stream under a plain watermark, for windows: ``clock`` is the event time; the closing row only moves the watermark."""
+    marked = stream.withColumn("clock", F.col(event_time)).withWatermark("clock", hold)
+    return marked.filter(F.col("clock") < F.lit(CLOSING).cast("timestamp"))
+
+
+def drift_report(bins: DataFrame, baseline: DataFrame, regime: str) -> DataFrame:
+    """Windows against the stored baseline of their regime: counts, both means, and two statistics with their uncertainty.
+
+    ``baseline`` has the columns of `support_drift` without the window. ``shift`` is the difference of means and
+    ``shift_error`` its standard error; ``statistic`` is the two-sample chi-square of the histograms, with ``freedom``
+    (occupied bins - 1) and ``excess``, its distance from the mean of that distribution in standard deviations.
+    """
+    def summary(df, *keys):
+        n, total, squares = F.sum("rows"), F.sum("total"), F.sum("squares")
+        return df.groupBy(*keys).agg(n.alias("rows"), (total / n).alias("mean"), ((squares - total * total / n) / n).alias("variance"), (F.sum("outside") / n).alias("outside_rate"))
 
+    base = summary(baseline, regime).select(regime, *[F.col(c).alias(f"base_{c}") for c in ("rows", "mean", "variance", "outside_rate")])
+    windows = summary(bins, "window_start", regime).join(base, regime)
+    grid = windows.select("window_start", regime, "rows", "base_rows").join(
+        baseline.select(regime, "bin").unionByName(bins.select(regime, "bin")).distinct(), regime)
+    mine = bins.select("window_start", regime, "bin", F.col("rows").alias("a"))
+    theirs = baseline.select(regime, "bin", F.col("rows").alias("b"))
+    met = grid.join(mine, ["window_start", regime, "bin"], "left").join(theirs, [regime, "bin"], "left").fillna(0, ["a", "b"]).filter("a + b > 0")
+    gap = F.sqrt(F.col("base_rows") / F.col("rows")) * F.col("a") - F.sqrt(F.col("rows") / F.col("base_rows")) * F.col("b")
+    chi = met.groupBy("window_start", regime).agg(F.sum(gap * gap / (F.col("a") + F.col("b"))).alias("statistic"), (F.count("*") - 1).alias("freedom"))
+    return windows.join(chi, ["window_start", regime]).withColumns({
+        "shift": F.col("mean") - F.col("base_mean"), "shift_error": F.sqrt(F.col("variance") / F.col("rows") + F.col("base_variance") / F.col("base_rows")),
+        "excess": F.when(F.col("freedom") > 0, (F.col("statistic") - F.col("freedom")) / F.sqrt(2 * F.col("freedom")))})
 
-def support_drift(rows: DataFrame, event_time: str, regime: str, value: str, low: float, high: float,
-                  window: str = "1 day", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """Per event-time window and regime: rows, mean and share outside the fitted range."""
-    outside = (F.col(value) < low) | (F.col(value) > high)
-    return rows.withWatermark(event_time, delay).groupBy(F.window(event_time, window, slide), regime).agg(
-        F.count("*").alias("rows"), F.avg(value).alias("mean"), F.avg(outside.cast("double")).alias("outside_rate")).select(
-        F.col("window.start").alias("window_start"), regime, "rows", "mean", "outside_rate")
 
+# -- predictions and their outcomes --------------------------------------------------------------
+def with_outcomes(predictions: DataFrame, outcomes: DataFrame, on: Sequence[str], made: str, reviewed: str, within: str) -> DataFrame:
+    """Two watermarked streams joined: each prediction with its review, if one comes in time.
 
-def with_outcomes(predictions: DataFrame, outcomes: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Predictions that have a reviewed outcome (static table; use two watermarked streams where reviews stream too)."""
-    return predictions.join(outcomes, list(on), "inner")
+    A review counts from the prediction's time until ``within`` later; the bound lets state go. ``outcome`` is ``reviewed``, or
+    ``unreviewed`` for a prediction whose time has run out, or ``unmatched`` for a review without a
+    prediction it could count for (too late, too early, or of an unknown key).
+    """
+    p, o = predictions.alias("p"), outcomes.alias("o")
+    same = [F.col(f"p.{c}") == F.col(f"o.{c}") for c in on]
+    time = (F.col(f"o.{reviewed}") >= F.col(f"p.{made}")) & (F.col(f"o.{reviewed}") <= F.col(f"p.{made}") + F.expr(f"INTERVAL {within}"))
+    condition = time
+    for c in same:
+        condition = condition & c
+    joined = p.join(o, condition, "full_outer")
+    rest = [F.col(f"p.{c}") for c in predictions.columns if c not in on] + [F.col(f"o.{c}") for c in outcomes.columns if c not in on]
+    outcome = F.when(F.col(f"p.{made}").isNull(), "unmatched").when(F.col(f"o.{reviewed}").isNull(), "unreviewed").otherwise("reviewed")
+    return joined.select(*[F.coalesce(F.col(f"p.{c}"), F.col(f"o.{c}")).alias(c) for c in on], *rest, outcome.alias("outcome"))
