@@ -53,17 +53,6 @@ def prepare(spark, d, out):
     return manifest
 
 
-@query("job_01_prepare_manifest", """SELECT 'engine' AS component, count(*) AS rows, 9 AS columns FROM events UNION ALL SELECT 'battery', count(*), 14 FROM orders UNION ALL SELECT 'hydraulic', count(*), 8 FROM embeddings
-  UNION ALL SELECT 'fuel_system', count(*), 22 FROM (SELECT user_id FROM events GROUP BY 1 HAVING count(*) >= 2) UNION ALL SELECT 'landing_gear', count(*), 4 FROM part""")
-def prepare_manifest(spark, d):
-    """Row and column counts of the processed tables; `prepare` writes them with sizes and digests."""
-    out = None
-    for name, frame in prepared(spark, d).items():
-        one = frame.agg(F.count("*").alias("rows")).select(F.lit(name).alias("component"), "rows", F.lit(len(frame.columns)).alias("columns"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 @query("job_02_validation_report", f"""WITH c AS (SELECT count(*) AS rows, {', '.join(f'count(*) FILTER ({c} IS NULL) AS miss_{c}, min({c}) AS lo_{c}, max({c}) AS hi_{c}' for c in CHANNELS)} FROM lineitem), k AS (SELECT coalesce(sum(n - 1), 0) AS dup FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber))
   SELECT rows, CAST(dup AS BIGINT) AS duplicate_keys, {', '.join(f"miss_{c}, {rs(f'lo_{c}', 3)} AS lo_{c}, {rs(f'hi_{c}', 3)} AS hi_{c}" for c in CHANNELS)} FROM c, k""")
 def validation_report(spark, d):

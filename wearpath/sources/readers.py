@@ -1,62 +1,109 @@
-"""Readers of the raw files. Each gives a typed DataFrame; ``strict`` raises on the first broken rule.
+"""Readers of the raw files. Each gives a typed DataFrame; ``strict`` raises where a row breaks a rule.
 
-Row order that exists only in a file becomes an explicit column here and nowhere else.
+Rules are evaluated beside the parse: `ingest` writes each row once, sound or with the names of the rules it breaks, and
+counts both as it writes. Strict readers go on from the written rows, so the files are parsed once whatever
+number of rules there are; with ``strict=False`` rows come as parsed, lazily and unchecked.
+
+Rows are told apart by their file's whole path; ``file`` is its name. Row order that exists only in a file becomes an
+explicit column here and nowhere else.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import quality
-from ..operators.quality import DataQualityError, require
+from ..operators.quality import DataQualityError, Rule, require
 from ..operators.series import series
+from ..session import shared_folder
 from . import schemas
 
 
+@dataclass(frozen=True)
+class Ingested:
+    """Sound rows, and the others with ``broken_rules``; how many there are of both."""
+
+    good: DataFrame
+    bad: DataFrame
+    rows: int
+    broken: int
+
+
+def ingest(rows: DataFrame, rules: Sequence[Rule]) -> Ingested:
+    """Parse, judge, write and count in one job."""
+    names = F.array_compact(F.array(*[F.when(F.coalesce(r.broken, F.lit(False)), F.lit(r.name)) for r in rules]))
+    marked = rows.withColumn("broken_rules", names).withColumn("__sound", F.size("broken_rules") == 0)
+    seen = Observation()
+    path = shared_folder(rows.sparkSession, "ingest")
+    marked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("__sound")).alias("broken")).write.partitionBy("__sound").parquet(path)
+    back = rows.sparkSession.read.schema(marked.schema).parquet(path)
+    return Ingested(back.filter("__sound").drop("__sound", "broken_rules"), back.filter("NOT __sound").drop("__sound"), seen.get["rows"], seen.get["broken"])
+
+
+def settled(rows: DataFrame, rules: Sequence[Rule], what: str, strict: bool) -> DataFrame:
+    """The rows, or in strict mode the written sound rows; raises with one example where there are others."""
+    if not strict:
+        return rows
+    got = ingest(rows, rules)
+    if got.broken:
+        raise DataQualityError(f"{what}: {got.broken} of {got.rows} rows, such as {got.bad.first().asDict()}")
+    return got.good
+
+
+def _place() -> tuple[Column, Column]:
+    return F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file")
+
+
+def _rule(name: str, broken: Column, detail: Column | None = None) -> Rule:
+    return Rule(name, broken, F.lit("") if detail is None else detail)
+
+
 def numbered_lines(spark: SparkSession, path: str, **layout) -> DataFrame:
-    """file, line (1-based), value of every non-blank line, for any number of files of any size.
+    """path, file, line (1-based), value of every non-blank line, for any number of files of any size.
 
-    A split's rows are read in order, so (file, split start, id inside the scan) is the line order.
+    A split's rows are read in order, so (path, split start, id inside the scan) is the line order.
     """
-    raw = spark.read.text(path).select(
-        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("__start"),
-        F.monotonically_increasing_id().alias("__id"), "value")
+    raw = spark.read.text(path).select(*_place(), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"), "value")
     kept = raw.filter(F.trim("value") != "")
-    return series(kept, "file", ("__start", "__id"), **layout).number("line").frame.select("file", "line", "value")
+    return series(kept, "path", ("__start", "__id"), **layout).number("line").frame.select("path", "file", "line", "value")
 
 
 def _words(value: str = "value"):
     return F.split(F.trim(F.col(value)), r"\s+")
 
 
+def trajectory_rules(columns: Sequence[str]) -> list[Rule]:
+    ids = list(columns[:2])
+    rules = [_rule("columns", F.col("__width") != len(columns))] + [quality.missing(c) for c in columns] + [quality.non_finite(c) for c in columns]
+    return rules + [quality.out_of_range(c, 1) for c in ids] + [quality.not_integer(c) for c in ids]
+
+
+def parse_trajectories(spark: SparkSession, path: str, columns: Sequence[str] = schemas.ENGINE_COLUMNS) -> DataFrame:
+    """Lines as rows, unchecked; ``__width`` is the number of words and ``__line`` the text."""
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(*_place(), _words().alias("w"), "value")
+    return lines.select("file", *[F.get("w", i).try_cast("double").alias(c) for i, c in enumerate(columns)], "path", F.size("w").alias("__width"), F.col("value").alias("__line"))
+
+
 def read_trajectories(spark: SparkSession, path: str, strict: bool = True, columns: Sequence[str] = schemas.ENGINE_COLUMNS) -> DataFrame:
     """Whitespace-separated, header-less trajectories; ``file`` tells the subset."""
-    lines = spark.read.text(path).filter(F.trim("value") != "").select(F.col("_metadata.file_name").alias("file"), _words().alias("w"))
-    if strict:
-        require(lines.filter(F.size("w") != len(columns)).select("file"), f"expected {len(columns)} columns")
-    typed = [F.get("w", i).try_cast("double").alias(c) for i, c in enumerate(columns)]
-    rows = lines.select("file", *typed)
+    rows = parse_trajectories(spark, path, columns)
+    rows = settled(rows, trajectory_rules(columns), "trajectory rows", strict).drop("__width", "__line")
     if strict:
-        ids = list(columns[:2])
-        rules = [quality.missing(c) for c in columns] + [quality.non_finite(c) for c in columns]
-        rules += [quality.out_of_range(c, 1) for c in ids] + [quality.not_integer(c) for c in ids]
-        require(quality.violations(rows, ["file", *ids], rules), "trajectory rows")
-        require(quality.duplicates(rows, ["file", *ids]), "trajectory keys repeat")
+        require(quality.duplicates(rows, ["path", *columns[:2]]), "trajectory keys repeat")
     return rows.withColumns({c: F.col(c).cast("long") for c in columns[:2]})
 
 
 def read_life_labels(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """One number per line; line k belongs to unit k."""
+    """One number per line; line k of a file belongs to its unit k."""
     lines = numbered_lines(spark, path)
-    rows = lines.select("file", F.col("line").alias("unit_id"), F.trim("value").try_cast("double").alias("additional_rul"))
-    if strict:
-        require(quality.violations(rows, ["file", "unit_id"], [
-            quality.missing("additional_rul"), quality.not_integer("additional_rul"), quality.out_of_range("additional_rul", 0)]), "life labels")
-    return rows.withColumn("additional_rul", F.col("additional_rul").try_cast("long"))
+    rows = lines.select("file", F.col("line").alias("unit_id"), F.trim("value").try_cast("double").alias("additional_rul"), "path")
+    rules = [quality.missing("additional_rul"), quality.not_integer("additional_rul"), quality.out_of_range("additional_rul", 0)]
+    return settled(rows, rules, "life labels", strict).withColumn("additional_rul", F.col("additional_rul").try_cast("long"))
 
 
 def _csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
@@ -66,7 +113,7 @@ def _csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     issues = quality.schema_issues(header, columns)
     if issues:
         raise DataQualityError("; ".join(issues))
-    return spark.read.schema(ddl).option("header", True).option("enforceSchema", False).option("nullValue", "\0").csv(path)
+    return spark.read.schema(ddl).option("header", True).option("enforceSchema", False).option("nullValue", "\0").option("escape", '"').csv(path)
 
 
 def read_event_log(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -78,16 +125,16 @@ def read_event_log(spark: SparkSession, path: str, strict: bool = True) -> DataF
         long("test_id"), long("uid"), "filename", fn.missing_to_null(F.col("Capacity")).try_cast("double").alias("capacity"),
         fn.complex_number(F.col("Re")).alias("re"), fn.complex_number(F.col("Rct")).alias("rct"),
         F.col("Capacity").alias("__capacity"), F.col("Re").alias("__re"), F.col("Rct").alias("__rct"))
+    lost = lambda text, value: fn.missing_to_null(F.col(text)).isNotNull() & F.col(value).isNull()
+    rules = [quality.missing(c) for c in ("start_time", "ambient_temperature", "test_id", "uid")]
+    rules += [quality.outside_domain("type", list(schemas.SAMPLE_COLUMNS)), quality.out_of_range("ambient_temperature", -100),
+              _rule("unsafe:filename", ~fn.safe_file_name(F.col("filename")), F.col("filename"))]
+    rules += [_rule(f"malformed:{v}", lost(t, v), F.col(t)) for t, v in (("__capacity", "capacity"), ("__re", "re"), ("__rct", "rct"))]
+    rows = settled(typed, rules, "event log", strict).drop("__capacity", "__re", "__rct")
     if strict:
-        lost = lambda text, value: fn.missing_to_null(F.col(text)).isNotNull() & F.col(value).isNull()
-        rules = [quality.missing(c) for c in ("start_time", "ambient_temperature", "test_id", "uid")]
-        rules += [quality.outside_domain("type", list(schemas.SAMPLE_COLUMNS)), quality.out_of_range("ambient_temperature", -100),
-                  quality.Rule("unsafe:filename", ~fn.safe_file_name(F.col("filename")), F.col("filename"))]
-        rules += [quality.Rule(f"malformed:{v}", lost(t, v), F.col(t)) for t, v in (("__capacity", "capacity"), ("__re", "re"), ("__rct", "rct"))]
-        require(quality.violations(typed, ["uid"], rules), "event log")
         for key in ("uid", "filename"):
-            require(quality.duplicates(typed, [key]), f"{key} repeats")
-    return typed.drop("__capacity", "__re", "__rct")
+            require(quality.duplicates(rows, [key]), f"{key} repeats")
+    return rows
 
 
 def read_samples(spark: SparkSession, path: str, kind: str, metadata: DataFrame | None = None, strict: bool = True) -> DataFrame:
@@ -97,8 +144,8 @@ def read_samples(spark: SparkSession, path: str, kind: str, metadata: DataFrame
     raw = spark.read.schema(ddl).option("header", True).option("enforceSchema", False).csv(path)
     convert = fn.complex_number if kind == "impedance" else (lambda c: c.try_cast("double"))
     rows = raw.select(F.col("_metadata.file_name").alias("filename"), *[convert(F.col(c)).alias(c) for c in columns])
-    if strict and kind != "impedance":
-        require(quality.violations(rows, ["filename"], [quality.missing(c) for c in columns] + [quality.non_finite(c) for c in columns]), "samples")
+    rules = [] if kind == "impedance" else [quality.missing(c) for c in columns] + [quality.non_finite(c) for c in columns]
+    rows = settled(rows, rules, "samples", strict and bool(rules))
     if metadata is None:
         return rows
     wanted = metadata.filter(F.col("type") == kind)
@@ -108,17 +155,12 @@ def read_samples(spark: SparkSession, path: str, kind: str, metadata: DataFrame
 
 
 def read_matrix(spark: SparkSession, path: str, samples: int | None = None, strict: bool = True) -> DataFrame:
-    """One waveform per line: file, cycle_id (line number), samples array."""
+    """One waveform per line: file, cycle_id (line number in its file), samples array, path."""
     rows = numbered_lines(spark, path).select(
-        "file", F.col("line").alias("cycle_id"), F.transform(_words(), lambda v: v.try_cast("double")).alias("samples"))
-    if strict:
-        from ..operators.waveform import incomplete_waveforms
-
-        length = F.size("samples") if samples is None else F.lit(samples)
-        bad = incomplete_waveforms(rows.withColumn("__n", length), "cycle_id", "samples", samples) if samples else \
-            rows.filter(F.exists("samples", lambda v: v.isNull() | F.isnan(v))).select("cycle_id")
-        require(bad, "waveforms")
-    return rows
+        "file", F.col("line").alias("cycle_id"), F.transform(_words(), lambda v: v.try_cast("double")).alias("samples"), "path")
+    rules = [_rule("non_finite", F.exists("samples", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))]
+    rules += [] if samples is None else [_rule("length", F.size("samples") != samples)]
+    return settled(rows, rules, "waveforms", strict)
 
 
 def read_sensor(spark: SparkSession, folder: str, sensor: str, strict: bool = True) -> DataFrame:
@@ -128,35 +170,35 @@ def read_sensor(spark: SparkSession, folder: str, sensor: str, strict: bool = Tr
 
 
 def read_profile(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Condition labels: integers from fixed domains, keyed by line number."""
+    """Condition labels: integers from fixed domains, keyed by line number (and file, where there are several)."""
     names = list(schemas.PROFILE_DOMAINS)
-    rows = read_matrix(spark, path, len(names), strict).select("cycle_id", *[F.get("samples", i).alias(n) for i, n in enumerate(names)])
-    if strict:
-        rules = [quality.not_integer(n) for n in names]
-        rules += [quality.outside_domain(n, [float(v) for v in allowed]) for n, allowed in schemas.PROFILE_DOMAINS.items()]
-        require(quality.violations(rows, ["cycle_id"], rules), "condition labels")
-    return rows.withColumns({n: F.col(n).cast("long") for n in names})
+    lines = numbered_lines(spark, path).select("path", F.col("line").alias("cycle_id"), F.transform(_words(), lambda v: v.try_cast("double")).alias("v"))
+    rows = lines.select("cycle_id", *[F.get("v", i).alias(n) for i, n in enumerate(names)], "path", F.size("v").alias("__width"))
+    rules = [_rule("columns", F.col("__width") != len(names))] + [quality.missing(n) for n in names] + [quality.not_integer(n) for n in names]
+    rules += [quality.outside_domain(n, [float(v) for v in allowed]) for n, allowed in schemas.PROFILE_DOMAINS.items()]
+    return settled(rows, rules, "condition labels", strict).drop("__width").withColumns({n: F.col(n).cast("long") for n in names})
 
 
 def read_scenarios(spark: SparkSession, path: str, scenarios: dict[str, str], expected_rows: int | None = None, strict: bool = True) -> DataFrame:
-    """Scenario files (file name -> scenario) as one table with code, label and sample index."""
+    """Scenario files as one table with code, label and sample index.
+
+    ``scenarios`` names each scenario by its file or by the folder that its one file lies in.
+    """
     lines = numbered_lines(spark, path)
     header = ",".join(schemas.FUEL_CHANNELS)
-    if strict:
-        require(lines.filter((F.col("line") == 1) & (F.trim("value") != header)).select("file"), "unexpected columns")
     cells = F.split("value", ",")
     name = F.create_map(*[F.lit(x) for kv in scenarios.items() for x in kv])
     code = F.create_map(*[F.lit(x) for kv in schemas.FUEL_CODES.items() for x in kv])
-    rows = lines.filter(F.col("line") > 1).select(
-        F.try_element_at(name, F.col("file")).alias("scenario_id"), (F.col("line") - 1).alias("sample_index"),
-        *[F.trim(F.get(cells, i)).try_cast("double").alias(c) for i, c in enumerate(schemas.FUEL_CHANNELS)])
-    rows = rows.filter(F.col("scenario_id").isNotNull())
-    if strict:
-        require(quality.violations(rows, ["scenario_id", "sample_index"], [quality.missing(c) for c in schemas.FUEL_CHANNELS]
-                                   + [quality.non_finite(c) for c in schemas.FUEL_CHANNELS]), "scenario rows")
-        if expected_rows is not None:
-            counts = rows.groupBy("scenario_id").agg(F.count("*").alias("rows"))
-            require(counts.filter(F.col("rows") != expected_rows), f"expected {expected_rows} rows per scenario")
+    folder = F.url_decode(F.element_at(F.split("path", "/"), -2))
+    rows = lines.select(
+        F.coalesce(F.try_element_at(name, F.col("file")), F.try_element_at(name, folder)).alias("scenario_id"), (F.col("line") - 1).alias("sample_index"),
+        *[F.trim(F.get(cells, i)).try_cast("double").alias(c) for i, c in enumerate(schemas.FUEL_CHANNELS)], (F.trim("value") == header).alias("__header"))
+    rows = rows.filter(F.col("scenario_id").isNotNull() & ((F.col("sample_index") > 0) | ~F.col("__header")))
+    rules = [_rule("unexpected columns", F.col("sample_index") == 0)] + [quality.missing(c) for c in schemas.FUEL_CHANNELS] + [quality.non_finite(c) for c in schemas.FUEL_CHANNELS]
+    rows = settled(rows, rules, "scenario rows", strict).filter("sample_index > 0")
+    if strict and expected_rows is not None:
+        counts = rows.groupBy("scenario_id").agg(F.count("*").alias("rows"))
+        require(counts.filter(F.col("rows") != expected_rows), f"expected {expected_rows} rows per scenario")
     return rows.select("scenario_id", F.try_element_at(code, F.col("scenario_id")).alias("scenario_code"),
                        (F.col("scenario_id") != "normal").cast("int").alias("is_abnormal"), "sample_index", *schemas.FUEL_CHANNELS)
 
@@ -164,13 +206,13 @@ def read_scenarios(spark: SparkSession, path: str, scenarios: dict[str, str], ex
 def read_landing_events(spark: SparkSession, path: str, expected_rows: int | None = None, strict: bool = True) -> DataFrame:
     raw = _csv(spark, path, schemas.LANDING_COLUMNS)
     rows = raw.select(*[F.col(c).try_cast("double").alias(c) for c in schemas.LANDING_COLUMNS])
+    features = schemas.LANDING_COLUMNS[1:7]
+    rules = [quality.missing(c) for c in schemas.LANDING_COLUMNS] + [quality.non_finite(c) for c in schemas.LANDING_COLUMNS]
+    rules += [quality.out_of_range(c, 0, strict=True) for c in ("RunID", *features)]
+    rules += [quality.not_integer("RunID"), quality.not_integer("Fault_Code"), quality.outside_domain("Fault_Code", [0.0, 1.0, 2.0, 3.0]),
+              quality.out_of_range("RUL", 0, 100)]
+    rows = settled(rows, rules, "landing events", strict)
     if strict:
-        features = schemas.LANDING_COLUMNS[1:7]
-        rules = [quality.missing(c) for c in schemas.LANDING_COLUMNS] + [quality.non_finite(c) for c in schemas.LANDING_COLUMNS]
-        rules += [quality.out_of_range(c, 0, strict=True) for c in ("RunID", *features)]
-        rules += [quality.not_integer("RunID"), quality.not_integer("Fault_Code"), quality.outside_domain("Fault_Code", [0.0, 1.0, 2.0, 3.0]),
-                  quality.out_of_range("RUL", 0, 100)]
-        require(quality.violations(rows, ["RunID"], rules), "landing events")
         require(quality.duplicates(rows, ["RunID"]), "RunID repeats")
         if expected_rows is not None and rows.count() != expected_rows:
             raise DataQualityError(f"expected {expected_rows} landing events")
@@ -181,11 +223,9 @@ def read_requests(spark: SparkSession, path: str, component: str, strict: bool =
     """Files of JSON requests, one per line; unreadable lines are kept in ``_unreadable`` unless strict."""
     schema = schemas.request_schema(component).add("_unreadable", "string")
     rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_unreadable").json(path)
-    if strict:
-        # The reader may not project the corrupt column alone, so it is met together with the key.
-        require(rows.filter(F.col("_unreadable").isNotNull()).select("request_id", "_unreadable"), "unreadable requests")
-        return rows.drop("_unreadable")
-    return rows
+    if not strict:
+        return rows
+    return settled(rows, [_rule("unreadable", F.col("_unreadable").isNotNull(), F.col("_unreadable"))], "requests", True).drop("_unreadable")
 
 
 def request_records(requests: DataFrame, array: str = "records") -> DataFrame:
@@ -203,10 +243,13 @@ def read_uploads(spark: SparkSession, path: str, component: str, columns: Sequen
     """
     raw = _csv(spark, path, columns)
     text_columns = {"battery_id", "operating_condition_stable"}
-    rows = raw.select(F.col("_metadata.file_name").alias("request_id"), F.monotonically_increasing_id().alias("__id"),
+    rows = raw.select(*_place(), F.monotonically_increasing_id().alias("__id"),
                       *[(F.col(c) if c in text_columns else F.col(c).try_cast("double")).alias(c) for c in columns])
     numeric = [c for c in columns if c not in text_columns]
-    require(quality.violations(rows, ["request_id"], [quality.missing(c) for c in numeric] + [quality.non_finite(c) for c in numeric]), "upload cells")
+    rules = [quality.missing(c) for c in columns] + [quality.non_finite(c) for c in numeric]
+    if "operating_condition_stable" in columns:
+        rules.append(_rule("not a boolean word", fn.boolean_word(F.col("operating_condition_stable")).isNull()))
+    rows = settled(rows, rules, "upload cells", True).withColumnRenamed("path", "request_id").drop("file")
     limit = {"hydraulic": 1, "landing-gear": 1, "battery": 20_000}.get(component, 10_000)
     counts = rows.groupBy("request_id").agg(F.count("*").alias("rows"))
     require(counts.filter(F.col("rows") > limit), f"at most {limit} rows per {component} file")
