@@ -115,21 +115,28 @@ def hub_pairs(listed: DataFrame, central: bool) -> DataFrame:
 
 
 def in_blocks(listed: DataFrame) -> DataFrame:
-    """Members of lists that span several components, once for each pair of blocks in which they have a partner.
+    """Members of lists that span several components, once for each pair of blocks that meet in a list: (lo, hi, doc_id, component).
 
     Documents are dealt into blocks of bounded size by the most common of their lists, so that members of a group meet
-    in few blocks: (lo, hi, doc_id, component). A group of m members is sent m / BLOCK_DOCS times, not once a pair.
+    in few blocks. Lists are reduced to their blocks first: blocks meet blocks, whatever number of documents and lists
+    says so, and documents join the distinct pairs. A group of m members is sent m / BLOCK_DOCS times.
     """
     spread = listed.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
     open_ = materialise(listed.join(spread.select("value", "members"), "value").select("value", "members", "doc_id", "n", "component"), "open")
-    homes = open_.groupBy("doc_id", "n").agg(F.max(F.struct("members", "value"))["value"].alias("home"))
+    homes = open_.groupBy("doc_id", "n", "component").agg(F.max(F.struct("members", "value"))["value"].alias("home"))
     salts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES))
     sizes = homes.groupBy("home").agg(salts.alias("salts"))
-    dealt = homes.join(sizes, "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), "salts")).alias("block"))
-    placed = materialise(open_.join(dealt, "doc_id").select("value", "doc_id", "component", "block"), "placed")
-    blocks = placed.groupBy("value", F.col("block").alias("other")).agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    met = placed.join(blocks, "value").filter((F.col("least") != F.col("component")) | (F.col("most") != F.col("component")))
-    return met.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "component").distinct()
+    dealt = materialise(homes.join(sizes, "home").select("doc_id", "component", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), "salts")).alias("block")), "dealt")
+    met = materialise(open_.join(dealt.select("doc_id", "block"), "doc_id").groupBy("value", "block").agg(F.min("component").alias("least"), F.max("component").alias("most")), "met")
+    # Lists that meet the same blocks with the same spans say the same: one of each kind goes on. Two sums of hashes tell the kinds apart.
+    marks = [F.sum(F.xxhash64(*c).cast("decimal(38,0)")).alias(name) for name, c in (("s", ("block", "least", "most")), ("t", (F.lit(1), "most", "least", "block")))]
+    kinds = met.groupBy("value").agg(*marks).groupBy("s", "t").agg(F.min("value").alias("value")).select("value")
+    one = met.join(kinds, "value")
+    other = one.select("value", F.col("block").alias("hi"), F.col("least").alias("other_least"), F.col("most").alias("other_most"))
+    apart = (F.col("least") != F.col("other_least")) | (F.col("most") != F.col("other_most")) | (F.col("least") != F.col("most"))
+    pairs = one.join(other, "value").filter((F.col("block") <= F.col("hi")) & apart).select(F.col("block").alias("lo"), "hi").distinct()
+    sides = pairs.select("lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
+    return sides.join(dealt, "block").select("lo", "hi", "doc_id", "component")
 
 
 def common_counts(sets_: list[np.ndarray]) -> np.ndarray:
@@ -207,7 +214,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     listed = materialise(lists(reps), "lists")
     candidates = listed.select("doc_id").distinct()
     texts = materialise(docs.join(candidates, "doc_id", "left_semi").distinct(), "texts")
-    copies = every.join(classes, "print").filter("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    # A class is its representative's; only an id with several texts joins classes.
+    several = every.filter("doc_id IS NOT NULL").join(classes, "print").groupBy("doc_id").agg(F.min("first").alias("b"), F.collect_set("first").alias("firsts")).filter("size(firsts) > 1")
+    several = several.select(F.explode("firsts").alias("a"), "b").filter("a <> b")
 
     labelled = listed.withColumn("component", F.col("doc_id"))
     links = materialise(confirmed(estimated(hub_pairs(labelled, True), reps), texts), "links")
@@ -215,9 +224,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = links.unionByName(materialise(confirmed(estimated(hub_pairs(labelled, False), reps), texts), "links"))
     labelled = with_components(listed, links)
     links = links.unionByName(materialise(block_links(in_blocks(labelled), texts), "links"))
-    final = materialise(components(links.unionByName(copies)), "labels")
-    known = every.join(classes.select(F.col("print").alias("p"), "first"), F.col("print") == F.col("p"), "left").join(
-        final, F.coalesce("doc_id", "first") == F.col("node"), "left")
-    component = F.coalesce("component", "doc_id", "first")
+    final = materialise(components(links.unionByName(several)), "labels")
+    of_class = classes.join(final, F.col("first") == F.col("node"), "left").select(F.col("print").alias("p"), F.coalesce("component", "first").alias("component"))
+    of_class = materialise(of_class, "class-labels")
+    known = every.filter("print IS NOT NULL").join(of_class, F.col("print") == F.col("p"), "left").select("doc_id", "n", "component")
+    # Rows without a set take the component of their id, where other rows have the id.
+    empty = every.filter("print IS NULL").select("doc_id", "n")
+    named = known.filter("doc_id IS NOT NULL").join(empty.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component").alias("component"))
+    known = known.unionByName(empty.join(named, "doc_id", "left").select("doc_id", "n", "component"))
+    component = F.coalesce("component", "doc_id")
     return known.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                         F.when(F.col("doc_id").isNull(), component.isNull()).otherwise(F.col("doc_id") == component).alias("kept"))
