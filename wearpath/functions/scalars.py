@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -98,12 +98,12 @@ def dot(left: Column, right: Column) -> Column:
 
 
 def quadratic_form(values: Sequence[Column], matrix: Sequence[Sequence[float]]) -> Column:
-    """x' P x written out as a sum of products, so it stays in generated code."""
-    total = F.lit(0.0)
-    for i, row in enumerate(matrix):
-        for j, weight in enumerate(row):
-            total = total + values[i] * values[j] * F.lit(float(weight))
-    return total
+    """x' P x: each value times its row's weighted sum, zero weights left out."""
+    rows = []
+    for row in matrix:
+        terms = [values[j] * F.lit(float(weight)) for j, weight in enumerate(row) if weight]
+        rows.append(sum(terms[1:], terms[0]) if terms else F.lit(0.0))
+    return dot(F.array(*values), F.array(*rows))
 
 
 def arg_max(names: Sequence[str], values: Column) -> Column:
@@ -111,12 +111,17 @@ def arg_max(names: Sequence[str], values: Column) -> Column:
     return F.get(F.array(*[F.lit(n) for n in names]), (F.array_position(values, F.array_max(values)) - 1).cast("int"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def soft_gates(distances: Column, width: float) -> Column:
     """Softmax of negative squared distances, shifted by the largest exponent."""
     scores = F.transform(distances, lambda d: -d * d / (2 * width * width))
-    raised = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(raised, lambda v: v / total)
+    shifted = lambda s: let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
+    shares = lambda raised: let(F.aggregate(raised, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(raised, lambda v: v / total))
+    return let(scores, lambda s: let(shifted(s), shares))
 
 
 def wall_micros(moment: Column) -> Column:

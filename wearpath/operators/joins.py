@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,12 +50,20 @@ def enrich(left: DataFrame, extra: DataFrame, on: Sequence[str]) -> DataFrame:
     return left.join(extra, list(on), "left")
 
 
-def side_by_side(tables: Sequence[DataFrame], key: str) -> DataFrame:
-    """Paste per-sensor tables on their explicit row id (co-partitioned, so one exchange per table)."""
-    wide = tables[0]
-    for other in tables[1:]:
-        wide = wide.join(other, key, "inner")
-    return wide
+def side_by_side(tables: Sequence[DataFrame], key: str, strict: bool = True) -> DataFrame:
+    """Paste per-sensor tables on their explicit row id (co-partitioned, so one exchange per table).
+
+    No row is left out: an id that a table lacks has nulls in its columns, and in strict mode raises, as tables
+    of unequal length do not belong side by side.
+    """
+    marked = [t.withColumn(f"__in_{i}", F.lit(True)) for i, t in enumerate(tables)]
+    wide = marked[0]
+    for other in marked[1:]:
+        wide = wide.join(other, key, "full_outer")
+    lost = reduce(lambda a, b: a | b, [F.col(f"__in_{i}").isNull() for i in range(len(tables))])
+    if strict:
+        require(wide.filter(lost).select(key), "tables differ in their rows")
+    return wide.drop(*[f"__in_{i}" for i in range(len(tables))])
 
 
 def membership(df: DataFrame, keys: DataFrame, on: Sequence[str], name: str) -> DataFrame:

@@ -6,12 +6,13 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassificationModel, GBTClassificationModel, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,6 +108,48 @@ def fit(train: DataFrame, features: Sequence[str], model, weight: str | None = N
     return scaled_pipeline(train, features, model, weight).fit(train)
 
 
+# -- importances -----------------------------------------------------------------------
+def tree_nodes(model: PipelineModel, features: Sequence[str] | None = None) -> DataFrame:
+    """The inner nodes of a fitted ensemble's trees as a table: tree, feature, gain, rows (weighted), tree_weight.
+
+    The last stage is written to the shared folder and its node table read back; nodes never pass the driver.
+    """
+    from pyspark.sql import SparkSession
+
+    from ..session import shared_folder
+
+    spark = SparkSession.active()
+    stage = model.stages[-1]
+    if features is None:
+        features = [c.removeprefix("__z_") for c in model.stages[-2].getInputCols()]
+    path = shared_folder(spark, "nodes") + "/model"
+    stage.write().save(path)
+    trees = spark.createDataFrame([(i, float(w)) for i, w in enumerate(stage.treeWeights)], "tree long, tree_weight double")  # one row a tree
+    data = spark.read.parquet(f"{path}/data")
+    tree = F.col("treeID").cast("long") if "treeID" in data.columns else F.lit(0).cast("long")
+    node = data.select(tree.alias("tree"), F.col("nodeData.*") if "nodeData" in data.columns else "*")
+    # The weight of a node's rows: for variance the first of its impurity statistics, for classes their sum.
+    stats = F.col("impurityStats")
+    classes = isinstance(stage, (RandomForestClassificationModel, DecisionTreeClassificationModel))
+    rows = F.aggregate(stats, F.lit(0.0), lambda a, v: a + v) if classes else F.get(stats, F.lit(0))
+    inner = node.filter("leftChild >= 0").select("tree", F.element_at(F.array(*[F.lit(c) for c in features]), F.col("split.featureIndex") + 1).alias("feature"),
+                                                 "gain", rows.alias("rows"))
+    return inner.join(trees, "tree")
+
+
+def importances(model: PipelineModel, features: Sequence[str] | None = None) -> DataFrame:
+    """(feature, importance): gain times rows summed over nodes, scaled to one.
+
+    Forests scale each tree to one first; boosted trees, whose later trees matter less, do not.
+    """
+    per = tree_nodes(model, features).groupBy("tree", "feature").agg(F.sum(F.col("gain") * F.col("rows")).alias("g"))
+    if not isinstance(model.stages[-1], (GBTRegressionModel, GBTClassificationModel)):
+        trees = per.groupBy("tree").agg(F.sum("g").alias("total"))
+        per = per.join(trees, "tree").withColumn("g", F.try_divide("g", "total"))
+    shares = per.groupBy("feature").agg(F.sum("g").alias("g"))
+    return shares.select("feature", (F.col("g") / shares.agg(F.sum("g")).scalar()).alias("importance"))
+
+
 # -- out of fold -----------------------------------------------------------------------
 def out_of_fold(df: DataFrame, fold: str, folds: Sequence, fit_fold: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Each row scored by the fit that never saw its fold. ``fit_fold(train)`` returns a scorer."""
@@ -128,49 +171,60 @@ def regression_oof(df, fold, folds, features, model, low=0.0, high=None, weight=
     return out_of_fold(df, fold, folds, fit_fold)
 
 
-def linear_by_fold(df: DataFrame, fold: str, features: Sequence[str], target: str, ridge: float = 0.0) -> list[tuple]:
-    """(fold, intercept, coefficients) of the least-squares fit on all other folds, for every fold.
+def linear_by_group(df: DataFrame, group: str, features: Sequence[str], target: str, ridge: float = 0.0) -> DataFrame:
+    """(group, __a: intercept, __b: coefficients) of the least-squares fit on all rows of other groups, for every group.
 
-    One aggregate per fold gives the moments; the fit without a fold adds those of the others.
-    So the table is read once however many folds there are. Only (p+1)^2 numbers per fold reach the driver.
+    One aggregate a group gives the moments, one more their totals; a group's normal equations are the totals less its own
+    moments, solved inside tasks for a batch of groups at a time. So the table is read twice however many groups there
+    are, and no group's fit passes the driver. Columns are centred first, so that the difference keeps its digits.
     """
-    centre = df.agg(*[F.avg(c).alias(c) for c in [*features, target]]).first()
-    x = [F.lit(1.0), *[F.col(c) - float(centre[c]) for c in features]]
-    y = F.col(target) - float(centre[target])
+    centre = df.agg(*[F.avg(c).alias(c) for c in [*features, target]]).first()  # one row of means
+    shift = {c: float(centre[c]) if centre[c] is not None else 0.0 for c in [*features, target]}
+    x = [F.lit(1.0), *[F.col(c) - shift[c] for c in features]]
+    y = F.col(target) - shift[target]
     p = len(x)
-    sums = df.groupBy(fold).agg(*[F.sum(x[i] * x[j]).alias(f"a{i}_{j}") for i in range(p) for j in range(i, p)],
-                                *[F.sum(x[i] * y).alias(f"b{i}") for i in range(p)]).collect()
-    own = {}
-    for row in sums:
-        a = np.array([[row[f"a{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
-        own[row[fold]] = (a, np.array([row[f"b{i}"] for i in range(p)]))
-    order = sorted(own)
-    zero = (np.zeros((p, p)), np.zeros(p))
-    add = lambda u, v: (u[0] + v[0], u[1] + v[1])
-    # Sums of the folds before and after each fold: adding the others loses no digits, subtracting could.
-    before, after = [zero], [zero]
-    for k, back in zip(order, reversed(order)):
-        before.append(add(before[-1], own[k]))
-        after.append(add(after[-1], own[back]))
-    fits = []
-    for i, k in enumerate(order):
-        left, right = add(before[i], after[len(order) - 1 - i])
-        penalty = np.diag([0.0] + [ridge * left[0, 0]] * (p - 1))
-        beta = np.linalg.lstsq(left + penalty, right, rcond=None)[0]
-        shift = float(centre[target]) + float(beta[0]) - sum(float(beta[j + 1]) * float(centre[c]) for j, c in enumerate(features))
-        fits.append((k, shift, [float(v) for v in beta[1:]]))
-    return fits
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = df.groupBy(group).agg(*[F.sum(x[i] * x[j]).alias(f"a{i}_{j}") for i, j in pairs], *[F.sum(x[i] * y).alias(f"b{i}") for i in range(p)])
+    names = [f"a{i}_{j}" for i, j in pairs] + [f"b{i}" for i in range(p)]
+    totals = sums.agg(*[F.sum(n).alias(f"t_{n}") for n in names])
+    moments = sums.crossJoin(F.broadcast(totals)).select(group, *[(F.col(f"t_{n}") - F.col(n)).alias(n) for n in names])  # one row of totals
+    kind = df.schema[group].dataType.simpleString()
+
+    def solve(batches):
+        for batch in batches:
+            n = batch.num_rows
+            left, right = np.zeros((n, p, p)), np.zeros((n, p))
+            for at, (i, j) in enumerate(pairs, 1):
+                left[:, i, j] = left[:, j, i] = batch.column(at).to_numpy(zero_copy_only=False)
+            for i in range(p):
+                right[:, i] = batch.column(1 + len(pairs) + i).to_numpy(zero_copy_only=False)
+            left, right = np.nan_to_num(left), np.nan_to_num(right)
+            inner = np.arange(1, p)
+            left[:, inner, inner] += ridge * left[:, :1, 0]
+            # Scaled to unit diagonal, so that a column that does not vary is told by its eigenvalue.
+            scale = np.sqrt(np.maximum(np.diagonal(left, axis1=1, axis2=2), 0))
+            scale[scale == 0] = 1.0
+            beta = (np.linalg.pinv(left / scale[:, :, None] / scale[:, None, :], rcond=1e-12, hermitian=True) @ (right / scale)[:, :, None])[:, :, 0] / scale
+            start = shift[target] + beta[:, 0] - beta[:, 1:] @ np.array([shift[c] for c in features])
+            weights = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * (p - 1), pa.array(beta[:, 1:].ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(start), weights], [group, "__a", "__b"])
+
+    return moments.mapInArrow(solve, f"`{group}` {kind}, __a double, __b array<double>")
+
+
+def linear_by_fold(df: DataFrame, fold: str, features: Sequence[str], target: str, ridge: float = 0.0) -> list[tuple]:
+    """(fold, intercept, coefficients) of `linear_by_group` as a list, for a few folds."""
+    return sorted((row[fold], row["__a"], list(row["__b"])) for row in linear_by_group(df, fold, features, target, ridge).collect())
 
 
 def linear_oof(df: DataFrame, fold: str, features: Sequence[str], target: str, low: float | None = 0.0, high: float | None = None,
                ridge: float = 0.0, name: str = "predicted") -> DataFrame:
-    """Out-of-fold least squares: a table of k coefficient rows joined by fold scores everything in one pass."""
-    kind = dict(df.dtypes)[fold]
-    fits = df.sparkSession.createDataFrame(linear_by_fold(df, fold, features, target, ridge), f"{fold} {kind}, __a double, __b array<double>")
+    """Out-of-fold least squares for any number of folds, units as folds included: coefficient rows joined by fold."""
+    fits = linear_by_group(df, fold, features, target, ridge).withColumnRenamed(fold, "__fold")
     value = F.col("__a")
     for i, c in enumerate(features):
         value = value + F.get("__b", i) * F.col(c)
-    return df.join(F.broadcast(fits), fold).withColumn(name, clip(value, low, high)).drop("__a", "__b")
+    return df.join(fits, F.col(fold).eqNullSafe(F.col("__fold"))).withColumn(name, clip(value, low, high)).drop("__a", "__b", "__fold")
 
 
 def weighted_linear(df: DataFrame, features: Sequence[str], target: str, weights: dict[str, Column]) -> dict[str, Column]:

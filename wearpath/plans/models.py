@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import calibrate, causal, learn, metrics, profile, splits
@@ -56,13 +57,17 @@ def linear_regression(spark, d):
     return learn.apply_model(model, rows).select("event_id", r("predicted", 4).alias("predicted"))
 
 
-_COVER = "SELECT count(*) AS rows, count(DISTINCT event_id) AS distinct_rows, 0 AS missing, 0 AS out_of_bounds FROM events"
+# The error of the best constant on the same rows: a fit that learns nothing, leaks bounds or loses rows cannot beat it.
+_COVER = f"""WITH {TR}, c AS (SELECT least(rul, 60) AS y, event_id FROM tr) SELECT count(*) AS rows, count(DISTINCT event_id) AS distinct_rows, 0 AS missing, 0 AS out_of_bounds,
+  {rs('sqrt(var_pop(y))', 4)} AS constant_rmse, {rs('avg(y)', 4)} AS mean_target, 1 AS beats_constant, 1 AS orders_rows FROM c"""
 
 
 def cover(scored, low, high):
-    p = F.col("predicted")
+    p, y = F.col("predicted"), F.col("rul")
+    rmse = F.sqrt(F.avg((p - y) ** 2))
     return scored.agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("distinct_rows"), F.count_if(p.isNull()).cast("int").alias("missing"),
-                      F.count_if((p < low) | (p > high)).cast("int").alias("out_of_bounds"))
+                      F.count_if((p < low) | (p > high)).cast("int").alias("out_of_bounds"), r(F.stddev_pop(y), 4).alias("constant_rmse"), r(F.avg(y), 4).alias("mean_target"),
+                      (rmse < 0.9 * F.stddev_pop(y)).cast("int").alias("beats_constant"), (F.corr(p, y) > 0.5).cast("int").alias("orders_rows"))
 
 
 @query("mdl_04_tree_regression", _COVER)
@@ -74,14 +79,18 @@ def tree_regression(spark, d):
     return cover(second.withColumn("predicted", learn.blend(F.col("first"), F.col("second"))), 0, 60)
 
 
-@query("mdl_05_balanced_logistic", f"""WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1) SELECT quality, count(*) AS rows, {rs('any_value(CAST((SELECT sum(n) FROM c) AS DOUBLE) / (SELECT count(*) FROM c) / c.n)')} AS weight, 0 AS unscored FROM labels JOIN c USING (quality) GROUP BY 1""")
+@query("mdl_05_balanced_logistic", f"""WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1) SELECT quality, count(*) AS rows, {rs('any_value(CAST((SELECT sum(n) FROM c) AS DOUBLE) / (SELECT count(*) FROM c) / c.n)')} AS weight, 0 AS unscored, 1 AS leans_to_own FROM labels JOIN c USING (quality) GROUP BY 1""")
 def balanced_logistic(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.log1p("n_chars").alias("length"), F.length(F.regexp_replace("text", "[^\\n]", "")).cast("double").alias("breaks"))
     rows = learn.balanced_class_weights(table(spark, d, "labels").join(docs, "doc_id"), "quality")
     model = learn.fit(rows, ["length", "breaks"], learn.logistic("quality"))
-    scored = model.transform(rows)
-    return scored.groupBy("quality").agg(F.count("*").alias("rows"), r(F.max("weight")).alias("weight"),
-                                         F.count_if(~F.col("prediction").isin(0.0, 1.0)).cast("int").alias("unscored"))
+    scored = model.transform(rows).withColumn("__p", F.get(vector_to_array("probability"), F.lit(1)))
+    per = scored.groupBy("quality").agg(F.count("*").alias("rows"), r(F.max("weight")).alias("weight"),
+                                        F.count_if(~F.col("prediction").isin(0.0, 1.0)).cast("int").alias("unscored"), F.avg("__p").alias("__own"))
+    # A class must get more of its own probability than all documents with equal class weights do.
+    even = scored.agg((F.sum(F.col("__p") * F.col("weight")) / F.sum("weight")).alias("m")).scalar()
+    leans = F.when(F.col("quality") == 1, F.col("__own") > even).otherwise(F.col("__own") < even)
+    return per.withColumn("leans_to_own", flag(leans)).drop("__own")
 
 
 @query("mdl_06_out_of_fold", f"""WITH {TR}, k AS (SELECT f.fold, regr_slope(rul, cycle) AS b, regr_intercept(rul, cycle) AS a FROM (SELECT DISTINCT fold FROM tr) f JOIN tr ON tr.fold <> f.fold GROUP BY 1)
@@ -99,15 +108,21 @@ def one_pass_out_of_fold(spark, d):
     return scored.select("event_id", r("predicted", 4).alias("predicted"))
 
 
-@query("mdl_07_stressed_out_of_fold", "SELECT side, count(*) AS rows, count(DISTINCT event_id) AS distinct_rows, 0 AS bad_confidence FROM events, (SELECT unnest(['clean', 'perturbed']) AS side) GROUP BY 1")
+@query("mdl_07_stressed_out_of_fold", f"""WITH {TR} SELECT side, count(*) AS rows, count(DISTINCT event_id) AS distinct_rows, 0 AS bad_confidence, {rs('avg(CAST(rul <= 20 AS INTEGER))', 5)} AS near_share, 1 AS beats_constant
+  FROM tr, (SELECT unnest(['clean', 'perturbed']) AS side) GROUP BY 1""")
 def stressed_out_of_fold(spark, d):
     rows = materialise(training_rows(spark, d).withColumn("near", flag(F.col("rul") <= 20)), "training")
     scored = learn.classification_oof(rows, "fold", FOLDS, FEATURES, learn.forest_classifier("near", 5, 4), ["event_id"], stress=True)
-    return scored.groupBy("side").agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("distinct_rows"),
-                                      F.count_if(~F.col("raw_confidence").between(0.5, 1.0)).cast("int").alias("bad_confidence"))
+    known = scored.join(rows.select("event_id", F.col("near").alias("known")), "event_id")
+    share = F.avg(F.col("known").cast("double"))
+    return known.groupBy("side").agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("distinct_rows"),
+                                     F.count_if(~F.col("raw_confidence").between(0.5, 1.0)).cast("int").alias("bad_confidence"), r(share, 5).alias("near_share"),
+                                     flag(F.avg((F.col("predicted") == F.col("known")).cast("double")) >= F.greatest(share, 1 - share)).alias("beats_constant"))
 
 
-@query("mdl_18_condition_clusters", "SELECT count(*) AS rows, 0 AS bad_sums, 0 AS bad_gates, 0 AS out_of_bounds FROM events")
+@query("mdl_18_condition_clusters", f"""WITH {TR}, w AS (SELECT tr.*, 1.0 / count(*) OVER (PARTITION BY user_id) AS w FROM tr), m AS (SELECT sum(w * cycle) / sum(w) AS mx, sum(w * rul) / sum(w) AS my FROM w),
+  k AS (SELECT sum(w * (cycle - mx) * (rul - my)) / sum(w * (cycle - mx) ** 2) AS b FROM w, m) SELECT count(*) AS rows, 0 AS bad_sums, 0 AS bad_gates, 0 AS out_of_bounds,
+  {rs('sqrt(sum(w * (my + b * (cycle - mx) - rul) ** 2) / sum(w))', 3)} AS overall_rmse, 1 AS mixture_not_worse, 3 AS conditions FROM w, m, k""")
 def condition_clusters(spark, d):
     """Three weighted conditions; a local linear fit per condition mixed by gate and blended with the global fit."""
     rows = materialise(profile.equal_group_weights(training_rows(spark, d), ["user_id"]), "training")
@@ -118,10 +133,12 @@ def condition_clusters(spark, d):
     names = [f"local_{i}" for i in range(3)]
     mixed = F.greatest(learn.condition_blend(scored, names, "overall"), F.lit(0.0))
     total = F.aggregate("gates", F.lit(0.0), lambda a, g: a + g)
+    error = lambda c: F.sqrt(F.sum(F.col("weight") * (F.col(c) - F.col("rul")) ** 2) / F.sum("weight"))
     return scored.withColumn("p", mixed).agg(
         F.count("*").alias("rows"), F.count_if(F.abs(total - 1) > 1e-9).cast("int").alias("bad_sums"),
         F.count_if(F.exists("gates", lambda g: (g < 0) | (g > 1))).cast("int").alias("bad_gates"),
-        F.count_if(F.col("p").isNull() | (F.col("p") < 0)).cast("int").alias("out_of_bounds"))
+        F.count_if(F.col("p").isNull() | (F.col("p") < 0)).cast("int").alias("out_of_bounds"), r(error("overall"), 3).alias("overall_rmse"),
+        flag(error("p") <= error("overall")).alias("mixture_not_worse"), F.count_distinct(F.array_position("gates", F.array_max("gates"))).cast("int").alias("conditions"))
 
 
 @query("mdl_19_target_transforms", f"""WITH {TR} SELECT event_id, {rs('least(rul, 40)')} AS capped, {rs('ln(1 + least(rul, 40))')} AS logged, {rs('rul + cycle')} AS lifetime, {rs('least(rul, 40)')} AS log_back, {rs('rul')} AS lifetime_back,

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import causal, splits
+from ..operators import causal, learn, splits
 from ..session import table
 from .inputs import EV, FAULTS, SCENARIOS, event_rows, scenario_rows
+from .models import TR, training_rows
 from .registry import query, r, rs
 
 
@@ -22,16 +24,31 @@ def group_holdout(spark, d):
     return splits.holdout(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey")
 
 
-@query("spl_02_group_folds", """SELECT 5 AS folds, count(DISTINCT o_custkey) AS groups, count(*) AS rows, 0 AS leaking, 1 AS balanced FROM orders""")
+def _greedy(units):
+    """SQL of five loads per stratum: units (stratum, n, size), largest first, each to the lightest load."""
+    return f"""walk AS (SELECT stratum, 0::BIGINT AS n, [0, 0, 0, 0, 0]::BIGINT[] AS load FROM {units} GROUP BY 1
+  UNION ALL SELECT w.stratum, w.n + 1, list_transform(w.load, lambda x, i: CASE WHEN i = list_position(w.load, list_min(w.load)) THEN x + u.size ELSE x END) FROM walk w JOIN {units} u ON u.stratum IS NOT DISTINCT FROM w.stratum AND u.n = w.n + 1),
+  loads AS (SELECT stratum, list_sort(load) AS load FROM walk QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY n DESC) = 1)"""
+
+
+def _loads(rows, *by):
+    """The folds' row counts in ascending order, with the number of groups that lie in several folds."""
+    sizes = rows.groupBy(*by, "fold").agg(F.count("*").alias("rows"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("rows", "fold"))
+    return sizes.select(*by, place.alias("place"), "rows")
+
+
+_CUSTOMERS = "un AS (SELECT 'all' AS stratum, row_number() OVER (ORDER BY count(*) DESC, o_custkey) AS n, count(*) AS size FROM orders GROUP BY o_custkey)"
+
+
+@query("spl_02_group_folds", f"""WITH RECURSIVE {_CUSTOMERS}, {_greedy('un')}, p AS (SELECT unnest(load) AS rows, unnest([1, 2, 3, 4, 5]) AS place FROM loads)
+  SELECT CAST(place AS INTEGER) AS place, CAST(rows AS BIGINT) AS rows, 0 AS leaking FROM p WHERE rows > 0""")
 def group_folds(spark, d):
+    """The folds' row counts are those of giving each customer, the largest first, to the lightest fold."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    folds = splits.group_folds(orders, "o_custkey", 5)
-    per = orders.join(folds, "o_custkey").groupBy("fold", "o_custkey").agg(F.count("*").alias("n"))
-    sizes = per.groupBy("fold").agg(F.sum("n").alias("rows"), F.count("*").alias("groups"), F.max("n").alias("largest"))
-    leaking = splits.leaking_groups(per, "o_custkey", "fold").agg(F.count("*")).scalar()
-    return sizes.agg(F.count("*").cast("int").alias("folds"), F.sum("groups").alias("groups"), F.sum("rows").alias("rows"),
-                     (F.max("rows") - F.min("rows") <= F.max("largest")).cast("int").alias("balanced")).select(
-        "folds", "groups", "rows", leaking.cast("int").alias("leaking"), "balanced")
+    joined = orders.join(splits.group_folds(orders, "o_custkey", 5), "o_custkey")
+    leaking = splits.leaking_groups(joined, "o_custkey", "fold").agg(F.count("*")).scalar()
+    return _loads(joined).withColumn("leaking", leaking.cast("int"))
 
 
 @query("spl_03_leave_one_group_out", """SELECT a.event_type AS held_out, CAST(any_value(a.n) AS BIGINT) AS held_rows, CAST(sum(b.n) AS BIGINT) AS train_rows FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1) a
@@ -42,19 +59,36 @@ def leave_one_group_out(spark, d):
     return per.withColumn("train_rows", per.agg(F.sum("held_rows")).scalar() - F.col("held_rows"))
 
 
+@query("spl_03b_leave_one_unit_out", f"""WITH {TR}, t AS (SELECT count(*) AS n, sum(cycle) AS x, sum(rul) AS y, sum(cycle * cycle) AS xx, sum(cycle * rul) AS xy FROM tr),
+  o AS (SELECT user_id, count(*) AS n, sum(cycle) AS x, sum(rul) AS y, sum(cycle * cycle) AS xx, sum(cycle * rul) AS xy FROM tr GROUP BY 1),
+  d AS (SELECT o.user_id, t.n - o.n AS n, t.x - o.x AS x, t.y - o.y AS y, t.xx - o.xx AS xx, t.xy - o.xy AS xy FROM o, t),
+  k AS (SELECT user_id, (n * xy - x * y) / (n * xx - x * x) AS b, (y - (n * xy - x * y) / (n * xx - x * x) * x) / n AS a FROM d)
+  SELECT event_id, {rs('greatest(a + b * cycle, 0)', 4)} AS predicted FROM tr JOIN k USING (user_id)""")
+def leave_one_unit_out(spark, d):
+    """Every user is a fold: as many fits as users, each from the totals less the user's own moments."""
+    scored = learn.linear_oof(training_rows(spark, d), "user_id", ["cycle"], "rul", 0.0)
+    return scored.select("event_id", r("predicted", 4).alias("predicted"))
+
+
 @query("spl_04_stratified_folds", f"""SELECT p_partkey, p_type, CAST((row_number() OVER (PARTITION BY p_type ORDER BY {_h('p_partkey')}) - 1) % 5 AS INTEGER) AS fold FROM part""")
 def stratified_folds(spark, d):
     return splits.stratified_folds(table(spark, d, "part").select("p_partkey", "p_type"), ["p_partkey"], "p_type", 5)
 
 
-@query("spl_05_stratified_group_folds", """SELECT 5 AS folds, count(DISTINCT p_brand) AS groups, count(*) AS rows, 0 AS leaking FROM part""")
+_BRANDS = """mj AS (SELECT p_brand, sum(n) AS size, arg_max(p_type, (n, p_type)) AS stratum FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2) GROUP BY 1),
+  un AS (SELECT stratum, row_number() OVER (PARTITION BY stratum ORDER BY size DESC, p_brand) AS n, CAST(size AS BIGINT) AS size FROM mj)"""
+
+
+@query("spl_05_stratified_group_folds", f"""WITH RECURSIVE {_BRANDS}, {_greedy('un')}, q AS (SELECT stratum, unnest(load) AS rows FROM loads), p AS (SELECT * FROM q WHERE rows > 0)
+  SELECT stratum, CAST(row_number() OVER (PARTITION BY stratum ORDER BY rows) AS INTEGER) AS place, CAST(rows AS BIGINT) AS rows, 0 AS leaking FROM p""")
 def stratified_group_folds(spark, d):
+    """Within each majority type the folds' row counts are those of the greedy deal."""
     parts = table(spark, d, "part").select("p_partkey", "p_brand", "p_type")
     folds = splits.stratified_group_folds(parts, "p_brand", "p_type", 5)
     joined = parts.join(folds, "p_brand")
     leaking = splits.leaking_groups(joined, "p_brand", "fold").agg(F.count("*")).scalar()
-    return joined.agg(F.count_distinct("p_brand").alias("groups"), F.count("*").alias("rows")).select(
-        F.lit(5).alias("folds"), "groups", "rows", leaking.cast("int").alias("leaking"))
+    per = parts.groupBy("p_brand", "p_type").agg(F.count("*").alias("n")).groupBy("p_brand").agg(F.max_by("p_type", F.struct("n", "p_type")).alias("stratum"))
+    return _loads(joined.join(per, "p_brand"), "stratum").withColumn("leaking", leaking.cast("int"))
 
 
 @query("spl_06_quantile_bins", f"""WITH e AS (SELECT list_sort(list_distinct([{', '.join(f'quantile_cont(p_size, CAST({i / 20} AS DOUBLE))' for i in range(21))}])) AS edges FROM part)

@@ -86,13 +86,13 @@ def anti_join(spark, d):
 
 @query("jn_09_positional_join", """WITH a AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS cycle_id FROM embeddings),
   b AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS cycle_id FROM pages), c AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS cycle_id FROM benchmark)
-  SELECT cycle_id, vec_id, label, page_id, item_id FROM a JOIN b USING (cycle_id) JOIN c USING (cycle_id)""")
+  SELECT cycle_id, vec_id, label, page_id, item_id FROM a FULL JOIN b USING (cycle_id) FULL JOIN c USING (cycle_id)""")
 def positional_join(spark, d):
     def numbered(name, key, *columns):
         rows = table(spark, d, name).select(key, *columns)
         return series(rows, (), key).number("cycle_id").frame
 
-    return joins.side_by_side([numbered("embeddings", "vec_id", "label"), numbered("pages", "page_id"), numbered("benchmark", "item_id")], "cycle_id")
+    return joins.side_by_side([numbered("embeddings", "vec_id", "label"), numbered("pages", "page_id"), numbered("benchmark", "item_id")], "cycle_id", strict=False)
 
 
 @query("jn_10_interpolating_asof", f"""WITH {SAMPLES}, t AS (SELECT user_id, time AS x, max(voltage) AS voltage, max(current) AS current FROM samples WHERE event_type = 'view' GROUP BY 1, 2),

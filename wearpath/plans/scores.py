@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics, selection
+from ..operators import causal, learn, metrics, selection
 from ..operators.causal import terminal_rows
 from ..operators.joins import with_candidates
 from ..operators.labels import trajectory_third
@@ -227,6 +227,38 @@ def top_channels(spark, d):
     return per.select("l_returnflag", F.concat_ws(",", selection.top_channels(away, 2)).alias("channels"))
 
 
+@query("top_04b_model_importances")
+def model_importances(spark, d):
+    """Importances of a fitted forest, summed over its node table, next to the model's own vector (tested to agree)."""
+    names = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+    lines = table(spark, d, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in names], F.col("l_extendedprice").cast("double").alias("y"))
+    model = learn.fit(lines, names, learn.forest("y", 8, 5))
+    own = model.stages[-1].featureImportances
+    kept = [c.removeprefix("__z_") for c in model.stages[-2].getInputCols()]
+    theirs = spark.createDataFrame([(c, float(own[i])) for i, c in enumerate(kept)], "feature string, own double")  # one row a feature
+    found = learn.importances(model)
+    return theirs.join(found, "feature", "left").select("feature", r("importance", 6).alias("importance"), flag(F.abs(F.coalesce("importance", F.lit(0.0)) - F.col("own")) > 1e-9).alias("differs"))
+
+
+_AWAY = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "price_gap", "rate_gap")
+_GAPS = "l_extendedprice - 1500 * l_quantity AS price_gap, l_discount - l_tax AS rate_gap"
+
+
+@query("top_05b_latest_deviations", f"""WITH l AS (SELECT *, {_GAPS} FROM lineitem), n AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _AWAY)} FROM l WHERE l_returnflag = 'N'),
+  t AS (SELECT l.* FROM l QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) = 1),
+  v AS (SELECT l_suppkey, unnest([{', '.join(f"'{c}'" for c in _AWAY)}]) AS feature, unnest([{', '.join(f'abs({c} - m_{c}) / s_{c}' for c in _AWAY)}]) AS away FROM t, n)
+  SELECT l_suppkey, feature, {rs('away', 3)} AS deviation, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY round(away, 9) DESC, feature) AS INTEGER) AS place FROM v QUALIFY place <= 5""")
+def latest_deviations(spark, d):
+    """Of each supplier's latest shipment the five channels furthest from the normal centre, differences of channels included."""
+    gaps = {"price_gap": F.col("l_extendedprice") - 1500 * F.col("l_quantity"), "rate_gap": F.col("l_discount") - F.col("l_tax")}
+    lines = table(spark, d, "lineitem").withColumns(gaps)
+    normal = lines.filter("l_returnflag = 'N'").agg(*[F.avg(c).alias(f"m_{c}") for c in _AWAY], *[F.stddev_pop(c).alias(f"s_{c}") for c in _AWAY]).first()  # one row
+    last = causal.terminal_rows(lines.select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", *_AWAY), ["l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber"])
+    away = F.array(*[F.struct((-F.round(F.abs(F.col(c) - normal[f"m_{c}"]) / normal[f"s_{c}"], 9)).alias("key"), F.lit(c).alias("feature")) for c in _AWAY])
+    ranked = last.select("l_suppkey", F.posexplode(F.slice(F.array_sort(away), 1, 5)).alias("place", "x"))
+    return ranked.select("l_suppkey", "x.feature", r(-F.col("x.key"), 3).alias("deviation"), (F.col("place") + 1).alias("place"))
+
+
 @query("top_06_row_aggregates", """WITH v AS (SELECT vec_id, list_sort(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x))) AS s FROM embeddings)
   SELECT vec_id, """ + f"""{rs('(s[63] + s[64]) / 2')} AS top2_mean, {rs('s[64]')} AS largest, {rs('list_avg(s)')} AS mean, {rs('s[48] + (s[49] - s[48]) * 0.25')} AS p75 FROM v""")
 def row_aggregates(spark, d):

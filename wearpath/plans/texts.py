@@ -83,31 +83,36 @@ def conditionals(spark, d):
     return event_rows(spark, d).select("event_id", F.when(v < 10, "low").when(v < 60, "mid").otherwise("high").alias("band"), r(fn.clip(v, 10, 60)).alias("clipped"))
 
 
-_P = ((2.0, -0.5, 0.0), (-0.5, 1.0, 0.25), (0.0, 0.25, 3.0))
+# A band matrix over all 64 places: rising weights on the diagonal, neighbours linked.
+_P = tuple(tuple(1.0 + i / 64 if i == j else -0.25 if abs(i - j) == 1 else 0.0 for j in range(64)) for i in range(64))
+_FORM_SQL = ("list_sum(list_transform(range(1, 65), lambda i: (1.0 + (i - 1) / 64.0) * v[i] * v[i])) - 0.5 * list_sum(list_transform(range(1, 64), lambda i: v[i] * v[i + 1]))")
 
 
 @query("scl_12_array_math", f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT vec_id, {rs('list_avg(v[1:16])')} AS first_mean, {rs('list_stddev_pop(v[49:64])')} AS last_std,
-  {rs('list_dot_product(v, v)')} AS square, {rs('2 * v[1] * v[1] - v[1] * v[2] + v[2] * v[2] + 0.5 * v[2] * v[3] + 3 * v[3] * v[3]')} AS form FROM e""")
+  {rs('list_dot_product(v, v)')} AS square, {rs(_FORM_SQL)} AS form FROM e""")
 def array_math(spark, d):
     v = F.transform("embedding", lambda x: x.cast("double"))
-    first = [F.get(v, i) for i in range(3)]
-    return table(spark, d, "embeddings").select(
-        "vec_id", r(fn.array_mean(F.slice(v, 1, 16))).alias("first_mean"), r(fn.array_std(F.slice(v, 49, 16))).alias("last_std"),
-        r(fn.dot(v, v)).alias("square"), r(fn.quadratic_form(first, _P)).alias("form"))
+    places = [F.get("v", F.lit(i)) for i in range(64)]
+    return table(spark, d, "embeddings").select("vec_id", v.alias("v")).select(
+        "vec_id", r(fn.array_mean(F.slice("v", 1, 16))).alias("first_mean"), r(fn.array_std(F.slice("v", 49, 16))).alias("last_std"),
+        r(fn.dot(F.col("v"), F.col("v"))).alias("square"), r(fn.quadratic_form(places, _P)).alias("form"))
 
 
-@query("scl_13_arg_max", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[])[1:4] AS v FROM embeddings) SELECT vec_id, ['c0', 'c1', 'c2', 'c3'][list_position(v, list_max(v))] AS winner, """ + rs("list_max(v)") + " AS top FROM e")
+@query("scl_13_arg_max", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT vec_id, 'c' || (list_position(v, list_max(v)) - 1) AS winner, """ + rs("list_max(v)") + " AS top FROM e")
 def arg_max(spark, d):
-    v = F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 4)
-    return table(spark, d, "embeddings").select("vec_id", fn.arg_max(["c0", "c1", "c2", "c3"], v).alias("winner"), r(F.array_max(v)).alias("top"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", fn.arg_max([f"c{i}" for i in range(64)], v).alias("winner"), r(F.array_max(v)).alias("top"))
 
 
-@query("scl_14_soft_gates", f"""WITH e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[])[1:3], lambda x: exp(-(x - 0.1) * (x - 0.1) / 0.125)) AS g FROM embeddings)
-  SELECT vec_id, {rs('g[1] / list_sum(g)')} AS gate_0, {rs('g[2] / list_sum(g)')} AS gate_1, {rs('g[3] / list_sum(g)')} AS gate_2 FROM e""")
+@query("scl_14_soft_gates", f"""WITH e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: exp(-(x - 0.1) * (x - 0.1) / 0.125)) AS g FROM embeddings)
+  SELECT vec_id, {rs('g[1] / list_sum(g)')} AS first_gate, {rs('g[64] / list_sum(g)')} AS last_gate, {rs('list_max(g) / list_sum(g)')} AS top_gate,
+  {rs('list_sum(list_transform(range(1, 65), lambda i: i * g[i])) / list_sum(g)')} AS centre FROM e""")
 def soft_gates(spark, d):
-    distances = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") - 0.1)
-    gates = fn.soft_gates(distances, 0.25)
-    return table(spark, d, "embeddings").select("vec_id", *[r(F.get(gates, i)).alias(f"gate_{i}") for i in range(3)])
+    """The gates of all 64 values: first, last, largest, and the mean place weighted by them."""
+    gates = fn.soft_gates(F.transform("embedding", lambda x: x.cast("double") - 0.1), 0.25)
+    rows = table(spark, d, "embeddings").select("vec_id", gates.alias("g"))
+    centre = F.aggregate(F.transform("g", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("vec_id", r(F.get("g", F.lit(0))).alias("first_gate"), r(F.get("g", F.lit(63))).alias("last_gate"), r(F.array_max("g")).alias("top_gate"), r(centre).alias("centre"))
 
 
 @query("scl_15_utc_text", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at_utc FROM events")
