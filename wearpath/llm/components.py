@@ -2,7 +2,7 @@
 
 Every step is a grouped minimum and a join; edges stay distributed, and each round is written to the
 shared folder, so that plans stay short and lost executors recompute one round. A hub with many
-neighbours is only ever the small side of its edges' join.
+neighbours meets its edges in one task's merge, which Spark splits where it is large.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,6 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = materialise(large.filter(F.col("a") != F.col("b")), "edges")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = materialise(small.filter(F.col("a") != F.col("b")).distinct(), "edges")
+        after = materialise(small.filter(F.col("a") != F.col("b")).distinct(), "edges")
+        discard(edges, large)
+        edges = after
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -85,7 +85,7 @@ def price(count: str, total: str, terms: str):
     return F.expr(f"1L + (CAST({SCALE} AS DECIMAL(10, 0)) * ({count} + {SMOOTH})) div ({total} + {SMOOTH} * {terms})")
 
 
-def pair_sums(cell: pd.DataFrame, cross: bool) -> pd.DataFrame:
+def pair_sums(cell: pd.DataFrame, cross: bool, per_block: int = GROUPS, columns: int = COLUMNS) -> pd.DataFrame:
     """Sums of price differences over the terms of a cell, for each pair of its groups.
 
     ``cell``: g (group), term (null: the group itself, with its price of zero), count, p. With ``cross`` only pairs
@@ -107,7 +107,7 @@ def pair_sums(cell: pd.DataFrame, cross: bool) -> pd.DataFrame:
     while first < len(terms):
         block = count[first:first + step]
         levels = [np.unique(block[:, i], return_index=True, return_inverse=True) for i in range(len(g))]
-        if sum(len(x[0]) for x in levels) > COLUMNS and step > 32:
+        if sum(len(x[0]) for x in levels) > columns and step > 32:
             step //= 2
             continue
         bounds = np.cumsum([0] + [len(x[0]) for x in levels])
@@ -122,12 +122,12 @@ def pair_sums(cell: pd.DataFrame, cross: bool) -> pd.DataFrame:
         first += step
     a, b = np.triu_indices(len(g), 1)
     if cross:
-        apart = g[a] // GROUPS != g[b] // GROUPS
+        apart = g[a] // per_block != g[b] // per_block
         a, b = a[apart], b[apart]
     return pd.DataFrame({"a": g[a], "b": g[b], "value": sums[a, b], "terms": len(terms)})
 
 
-def audit(docs: DataFrame) -> DataFrame:
+def audit(docs: DataFrame, terms: int = TERMS, per_block: int = GROUPS, columns: int = COLUMNS) -> DataFrame:
     """(lang, source, text) -> lang, source, part, item, value, rank."""
     docs = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
     counted = cells(docs)
@@ -144,10 +144,10 @@ def audit(docs: DataFrame) -> DataFrame:
     groups = groups.withColumn("zero", F.when(F.col("v") > 0, price("0L", "n", "v")).otherwise(F.lit(0).cast("long")))
     groups = materialise(groups.select("lang", "source", "g", "n", "v", "lang_n", "zero"), "groups")
     size = F.max("g").over(Window.partitionBy("lang")) + 1
-    groups = groups.withColumns({"blocks": F.ceil(size / GROUPS).cast("int"), "deals": F.greatest(F.lit(1), F.ceil(F.col("v") / TERMS)).cast("int")})
+    groups = groups.withColumns({"blocks": F.ceil(size / per_block).cast("int"), "deals": F.greatest(F.lit(1), F.ceil(F.col("v") / terms)).cast("int")})
     priced = materialise(kept.join(groups.drop("zero"), ["lang", "source"]).withColumns({
         "p": price("count", "n", "v"), "q": price("lang_count", "lang_n", "v")}), "priced")
-    return _pairs(priced, groups).unionByName(_terms(priced))
+    return _pairs(priced, groups, per_block, columns).unionByName(_terms(priced))
 
 
 def _terms(priced: DataFrame) -> DataFrame:
@@ -158,17 +158,17 @@ def _terms(priced: DataFrame) -> DataFrame:
     return top.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
 
 
-def _pairs(priced: DataFrame, groups: DataFrame) -> DataFrame:
+def _pairs(priced: DataFrame, groups: DataFrame, per_block: int, columns: int) -> DataFrame:
     """The divergence of each source of a language from each other one."""
     each = groups.select("lang", "g", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("count"), F.col("zero").alias("p"), "blocks",
                          F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
     deal = F.pmod(F.xxhash64("term"), F.col("deals")).cast("int")
     rows = priced.select("lang", "g", "term", "count", "p", "blocks", deal.alias("deal")).unionByName(each)
-    mine = F.floor(F.col("g") / GROUPS).cast("int")
+    mine = F.floor(F.col("g") / per_block).cast("int")
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least(mine, "other"), "hi": F.greatest(mine, "other")})
 
     def run(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
-        return pair_sums(cell, key[2] != key[3]).assign(lang=key[0])[["lang", "a", "b", "value", "terms"]]
+        return pair_sums(cell, key[2] != key[3], per_block, columns).assign(lang=key[0])[["lang", "a", "b", "value", "terms"]]
 
     parts = met.select("lang", "deal", "lo", "hi", "g", "term", "count", "p").groupBy("lang", "deal", "lo", "hi").applyInPandas(
         run, "lang string, a int, b int, value long, terms long")

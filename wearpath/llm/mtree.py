@@ -74,7 +74,7 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def bulk_load(points: np.ndarray, seed: int = 0) -> list[dict]:
+def bulk_load(points: np.ndarray, most: int = PAGE, fanout: int = FANOUT, seed: int = 0) -> list[dict]:
     """Pages of an M-tree, the root first: entries (rows of points), children (page, -1 in a leaf), radii, to_parent."""
     draw = np.random.default_rng(seed)
     pages: list[dict] = []
@@ -84,8 +84,8 @@ def bulk_load(points: np.ndarray, seed: int = 0) -> list[dict]:
         page = {"rows": rows, "child": np.full(len(rows), -1), "radius": np.zeros(len(rows)), "to_parent": np.zeros(len(rows))}
         if above is not None:
             pages[above]["child"][place] = len(pages)
-        if len(rows) > PAGE:
-            routing = rows[np.sort(draw.choice(len(rows), min(FANOUT, -(-len(rows) // PAGE) * 2), replace=False))]
+        if len(rows) > most:
+            routing = rows[np.sort(draw.choice(len(rows), min(fanout, -(-len(rows) // most) * 2), replace=False))]
             nearest = distances(points[rows], points[routing])
             home, away = nearest.argmin(axis=1), nearest.min(axis=1)
             sizes = np.bincount(home, minlength=len(routing))
@@ -108,13 +108,13 @@ def bulk_load(points: np.ndarray, seed: int = 0) -> list[dict]:
 PAGES = "dim int, shard int, page int, most double, child array<int>, radius array<double>, to_parent array<double>, ids array<array<long>>, nameless array<boolean>, vectors binary"
 
 
-def build(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
+def build(key: tuple, shard: pd.DataFrame, page_size: int = PAGE, fanout: int = FANOUT) -> pd.DataFrame:
     """The pages of one shard's tree."""
     shard = shard.assign(order=[v.tobytes() for v in shard["v"]]).sort_values("order", ignore_index=True)
     v = np.array(list(shard["v"]), dtype=np.int64).reshape(len(shard), int(key[0]))
     points, most = lifted(v)
     out = []
-    for number, page in enumerate(bulk_load(points)):
+    for number, page in enumerate(bulk_load(points, page_size, fanout)):
         held = shard.iloc[page["rows"]] if (page["child"] < 0).all() else shard.iloc[:0]
         out.append((int(key[0]), int(key[1]), number, most, page["child"].tolist(), page["radius"].tolist(), page["to_parent"].tolist(),
                     [list(map(int, x)) for x in held["ids"]], held["nameless"].tolist(), v[page["rows"]].tobytes()))
@@ -125,7 +125,7 @@ class Page:
     def __init__(self, row, dim: int):
         self.child, self.radius, self.to_parent = np.asarray(row.child), np.asarray(row.radius, float), np.asarray(row.to_parent, float)
         self.ids = [[int(i) for i in ids] + [None] * bool(n) for ids, n in zip(row.ids, row.nameless)]
-        self.vectors = np.frombuffer(row.vectors, dtype=np.int64).reshape(-1, dim)
+        self.vectors = np.frombuffer(row.vectors, dtype=np.int64).reshape(len(self.child), dim)
         self.floats = self.vectors.astype(float)
         self.peak = np.abs(self.floats).max(initial=0)
 
@@ -191,7 +191,7 @@ def _searches(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard: int = SHARD, block: int = BLOCK, page: int = PAGE, fanout: int = FANOUT) -> DataFrame:
     """(id, v) -> query_id, rank, vec_id, score for the queries among the rows."""
     vectors = materialise(vectors.withColumn("dim", F.size("v")), "vectors")
     held = materialise(entries(vectors.select("id", "v"), k).withColumn("dim", F.size("v")), "entries")
@@ -200,7 +200,11 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard: int = SHARD
     deals = held.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards")).join(asked, "dim")
     deals = materialise(deals, "deals")
     dealt = held.join(deals, "dim").select("dim", F.pmod(F.xxhash64("v"), "shards").cast("int").alias("shard"), "v", "ids", "nameless")
-    pages = materialise(dealt.groupBy("dim", "shard").applyInPandas(build, PAGES), "pages")
+
+    def load(key: tuple, entries_: pd.DataFrame) -> pd.DataFrame:
+        return build(key, entries_, page, fanout)
+
+    pages = materialise(dealt.groupBy("dim", "shard").applyInPandas(load, PAGES), "pages")
     pages = pages.join(deals, "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("shards", "blocks")
     deal = F.xxhash64("query_id", "line")
     queries = queries.join(deals, "dim").withColumns({"block": F.pmod(deal, "blocks").cast("int"), "home": F.pmod(F.shiftright(deal, 20), "shards").cast("int")})
