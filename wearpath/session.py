@@ -29,12 +29,14 @@ def local_session(cores: str = "8", partitions: int = 8, name: str = "wearpath")
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Where none is named the folder lies in the warehouse, which driver and executors share by
-    definition. A machine-local temporary folder is never used.
+    Where none is named, a local session uses its warehouse. On a cluster a folder must be named: only there is it
+    known that driver and executors share it.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current is None:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         current = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(current)
@@ -71,10 +73,22 @@ def drop_folders() -> None:
     """Delete the intermediates this program wrote, where the session still runs."""
     while _FOLDERS:
         spark, path = _FOLDERS.pop()
-        if spark.sparkContext._jsc is None:
-            continue
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete intermediates of `materialise` whose last reader has finished; nothing may be read from them any more."""
+    for df in written:
+        entry = getattr(df, "_written_to", None)
+        if entry in _FOLDERS:
+            _FOLDERS.remove(entry)
+            _delete(*entry)
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
@@ -84,4 +98,6 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written_to = next(entry for entry in reversed(_FOLDERS) if entry[1] == path)
+    return back
