@@ -116,3 +116,23 @@ def test_gates_and_forms_over_long_arrays(spark):
     got = row.select(scalars.soft_gates(F.col("v"), 0.5).alias("g"), scalars.quadratic_form([F.get("v", F.lit(i)) for i in range(64)], p.tolist()).alias("q")).first()
     raised = np.exp(-v * v / 0.5)
     assert np.allclose(got.g, raised / raised.sum()) and got.q == pytest.approx(v @ p @ v)
+
+
+def test_replay_notices_another_configuration_or_prediction(spark, sf_dir, tmp_path):
+    from wearpath.plans import jobs
+    from wearpath.plans.models import training_rows
+    from wearpath.sources import artefacts
+
+    rows = training_rows(spark, sf_dir).withColumn("y", F.least("rul", F.lit(40.0)))
+    scored = learn.linear_oof(rows, "fold", ["cycle"], "y", 0.0, 40.0).select("user_id", "event_id", "rul", "predicted")
+    mae = scored.groupBy("user_id").agg(F.avg(F.abs(F.col("predicted") - F.col("rul"))).alias("e")).agg(F.avg("e")).first()[0]
+
+    def differences(name, cap=40.0, shift=0.0):
+        config = spark.createDataFrame([(name, cap, "cycle", mae)], "candidate string, cap double, feature string, mae double")
+        moved = F.col("predicted") + F.when(F.col("event_id") == 3, shift).otherwise(0.0)
+        artefacts.save(spark, str(tmp_path), name, {"config": config, "predictions": scored.select("event_id", moved.alias("predicted"))})
+        return jobs.replay_differences(spark, sf_dir, str(tmp_path), name)
+
+    assert differences("right") == 0
+    assert differences("moved", shift=0.5) == 1
+    assert differences("capped", cap=25.0) > 10

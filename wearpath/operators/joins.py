@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality import DataQualityError, duplicates, require
+from .quality import DataQualityError, Rule, duplicates, require
 from .series import Series, series
 
 
@@ -102,25 +102,35 @@ def interpolating_asof(queries: DataFrame, template: DataFrame, by: Sequence[str
 
 
 def aligned_predictions(candidate: DataFrame, reference: DataFrame) -> DataFrame:
-    """Candidate predictions on the reference's rows; anything but the same rows, folds and labels raises."""
+    """Candidate predictions on the reference's rows; anything but the same rows, folds and labels raises.
+
+    Both sides are grouped by their key once; all rules are judged on that one table.
+    """
+    from ..sources.readers import settled
+
     keys = ["unit", "cycle"]
-    for frame, what in ((candidate, "candidate"), (reference, "reference")):
-        require(duplicates(frame, keys), f"{what} rows repeat")
-        numbers = [c for c in ("cycle", "fold", "predicted", "actual") if c in frame.columns]
+    values = [c for c in ("fold", "predicted", "actual") if c in candidate.columns]
+    kept = F.struct(*[F.col(f"`{c}`") for c in reference.columns])
+    new, old = candidate.select(*keys, F.struct(*values).alias("new")), reference.select(*keys, kept.alias("old"))
+    both = new.unionByName(old, allowMissingColumns=True).groupBy(*keys).agg(
+        F.count("new").alias("n_new"), F.count("old").alias("n_old"), F.first("new", ignorenulls=True).alias("new"), F.first("old", ignorenulls=True).alias("old"))
+
+    def unsound(side: str, names: Sequence[str]) -> Column:
         bad = F.lit(False)
-        for c in numbers:
-            v = F.col(c).cast("double")
+        for c in names:
+            v = F.col(f"{side}.{c}").cast("double")
             bad = bad | v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-        require(frame.filter(bad | F.col("unit").isNull() | (F.col("cycle") <= 0) | (F.col("predicted") < 0)),
-                f"{what} evidence is not finite and valid")
-    values = [c for c in ("fold", "predicted", "actual") if c in candidate.columns]
-    both = reconcile(candidate.select(*keys, *values), reference.select(*keys, "fold", "predicted", "actual"),
-                     keys, ["fold", "predicted", *(["actual"] if "actual" in values else [])], ("_new", "_old")) \
-        if "actual" in values else reconcile(candidate, reference, keys, ["fold", "predicted"], ("_new", "_old"))
-    changed = (F.col("side") != "both") | (F.col("fold_new") != F.col("fold_old"))
-    if "actual" in values:
-        changed = changed | (F.col("actual_new") != F.col("actual_old"))
-    require(both.filter(changed), "rows, folds or labels differ")
-    require(reference.filter(F.col("actual") < 0), "labels must not be negative")
-    fresh = candidate.select(*keys, F.col("predicted").alias("__new"))
-    return reference.join(fresh, keys).withColumn("predicted", F.col("__new")).drop("__new")
+        return bad | (F.col(f"{side}.predicted") < 0)
+
+    differ = lambda c: ~F.col(f"new.{c}").cast("double").eqNullSafe(F.col(f"old.{c}").cast("double"))
+    present = (F.col("n_new") > 0) & (F.col("n_old") > 0)
+    rule = lambda name, broken: Rule(name, broken, F.lit(""))
+    rules = [
+        rule("candidate rows repeat", F.col("n_new") > 1), rule("reference rows repeat", F.col("n_old") > 1), rule("rows differ", ~present),
+        rule("keys are not valid", F.col("unit").isNull() | F.col("cycle").isNull() | (F.col("cycle") <= 0)),
+        rule("candidate evidence is not finite and valid", (F.col("n_new") > 0) & unsound("new", values)),
+        rule("reference evidence is not finite and valid", (F.col("n_old") > 0) & unsound("old", ("fold", "predicted", "actual"))),
+        rule("folds differ", present & differ("fold") if "fold" in values else F.lit(False)), rule("labels differ", present & differ("actual") if "actual" in values else F.lit(False)),
+        rule("labels must not be negative", F.col("old.actual") < 0)]
+    sound = settled(both, rules, "aligned predictions", True)
+    return sound.select(*[(F.col("new.predicted") if c == "predicted" else F.col(f"old.`{c}`")).alias(c) for c in reference.columns])

@@ -6,6 +6,7 @@ import heapq
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,13 +100,15 @@ def stratified_group_folds(df: DataFrame, group: str, label: str, folds: int, se
     """(group, fold), balanced within each majority class so that classes spread over the folds."""
     per = df.groupBy(group, label).agg(F.count("*").alias("n"))
     major = per.groupBy(group).agg(F.sum("n").alias("size"), F.max_by(label, F.struct("n", F.col(label).cast("string"))).alias("stratum"))
-    histogram = major.groupBy("stratum", "size").agg(F.count("*").alias("n")).collect()
-    rows = []
-    for stratum in {r["stratum"] for r in histogram}:
-        mine = [(r["size"], r["n"]) for r in histogram if r["stratum"] == stratum]
-        rows += [(stratum, *cell) for cell in allot(mine, folds)]
+    # One stratum's distinct sizes are few (below the square root of twice its rows); strata are dealt in tasks.
+    histogram = major.groupBy("stratum", "size").agg(F.count("*").alias("n"))
     kind = dict(major.dtypes)["stratum"]
-    plan = df.sparkSession.createDataFrame(rows, f"stratum {kind}, size long, fold int, first long, last long")
+
+    def deal(sizes: pd.DataFrame) -> pd.DataFrame:
+        cells = allot(list(zip(sizes["size"].tolist(), sizes["n"].tolist())), folds)
+        return pd.DataFrame([(sizes["stratum"].iloc[0], *cell) for cell in cells], columns=["stratum", "size", "fold", "first", "last"])
+
+    plan = histogram.groupBy("stratum").applyInPandas(deal, f"stratum {kind}, size long, fold int, first long, last long")
     placed = _hash_order(major, ["stratum", "size"], [group], seed, **layout).number("__n").df
     return placed.join(plan, ["stratum", "size"]).filter(
         F.col("__n").between(F.col("first"), F.col("last"))).select(group, "fold")

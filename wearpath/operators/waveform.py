@@ -96,6 +96,11 @@ def curve_features(samples: DataFrame, key: Sequence[str], names: dict[str, str]
     ).filter(F.col("sample_count") >= 2)
 
 
+def short_curves(samples: DataFrame, key: Sequence[str], least: int = 2) -> DataFrame:
+    """Curves with too few samples for `curve_features`, which leaves them out: key, sample_count."""
+    return samples.groupBy(*key).agg(F.count("*").alias("sample_count")).filter(F.col("sample_count") < least)
+
+
 def cutoff_integrals(samples: DataFrame, key: Sequence[str], time: str, voltage: str, current: str, cutoff: float,
                      order: Sequence[str] | None = None, **layout) -> DataFrame:
     """Charge up to the first sample at or below the cutoff, crossing time interpolated.

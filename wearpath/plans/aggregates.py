@@ -191,6 +191,18 @@ def curve_features(spark, d):
     return curve_table(spark, d)
 
 
+@query("agg_18b_short_curves", """WITH c AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2, 3)
+  SELECT event_type, count(*) AS curves, count(*) FILTER (n < 2) AS short_curves, count(*) FILTER (n >= 2) AS featured FROM c GROUP BY 1""")
+def short_curves(spark, d):
+    """Curves of one sample are reported: with those that have features they make up all curves."""
+    rows = sample_rows(spark, d).join(table(spark, d, "events").select("event_id", F.col("ts").cast("date").alias("day")), "event_id")
+    key = ["user_id", "event_type", "day"]
+    every = rows.select(*key).distinct().groupBy("event_type").agg(F.count("*").alias("curves"))
+    short = waveform.short_curves(rows, key).groupBy("event_type").agg(F.count("*").alias("short_curves"))
+    have = waveform.curve_features(rows, key, _CURVE, ["time", "event_id"]).groupBy("event_type").agg(F.count("*").alias("featured"))
+    return every.join(short, "event_type", "left").join(have, "event_type", "left").fillna(0)
+
+
 @query("agg_19_feature_completeness", f"""WITH {SAMPLES}, c AS (SELECT user_id, count(*) AS n FROM samples GROUP BY 1), u AS (SELECT DISTINCT user_id FROM events)
   SELECT count(*) AS units, count(*) FILTER (n >= 2) AS complete_units FROM u LEFT JOIN c USING (user_id)""")
 def feature_completeness(spark, d):

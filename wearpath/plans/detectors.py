@@ -337,20 +337,25 @@ def nested_evaluation(spark, d):
     limits = levels.select(*cell, F.inline(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"q{i}").alias("threshold")) for i, q in enumerate(qs)])))
     grid = spark.createDataFrame([(g["index"], g["smoothing"], g["q"], g["window"], g["required"]) for g in NESTED_GRID],
                                  "index int, smoothing int, q double, window int, required int")
-    cells = limits.join(F.broadcast(grid), ["smoothing", "q"])
+    cells = materialise(limits.join(F.broadcast(grid), ["smoothing", "q"]), "cells")  # as many rows as the plan and the grid have
     # The last five scores are gathered once per scored row; candidates differ only in threshold and count, so
     # the grid multiplies rows after the windows, not before. A cell sees each row of a scenario at most once,
     # hence its units are no larger than the scenarios.
     judged = s.using(scored.filter("role <> 'calibration'")).refine(["outer", "inner", "smoothing"], "position")
     tracks = causal.segments(judged, "position").refine(["segment"]).trailing(5, lambda f: {"recent": F.collect_list("score").over(f.last(5))})
-    hits = sum((F.coalesce(flag(F.get("recent", i) > F.col("threshold")), F.lit(0)) for i in range(5)), F.lit(0))
+    tracks = materialise(tracks.frame.select(*cell, "role", "scenario", "position", "is_abnormal", "score", "recent"), "tracks")
+    hits = F.aggregate("recent", F.lit(0), lambda n, x: n + flag(x > F.col("threshold")))
     alert = F.when(F.col("window") == 1, flag(F.col("score") > F.col("threshold"))).otherwise(flag(hits >= F.col("required")))
-    voted = tracks.frame.join(F.broadcast(cells), cell)
-    out = materialise(voted.select("outer", "inner", "index", "role", "scenario", "position", F.col("is_abnormal").alias("actual"),
-                                   alert.alias("predicted")), "votes")
-    inner = metrics.detection_scores(out.filter("role = 'validation'"), "actual", "predicted", ["outer", "index"])
-    chosen = best(inner.withColumn("score", F.round(detect.selection_score(2, .10), 9)), [-F.col("score"), F.col("index")], ["outer"])
-    return out.filter("role = 'test'").join(F.broadcast(chosen.select("outer", "index", "score")), ["outer", "index"])
+
+    def voted(role, limits):
+        """Alerts of the rows of one role under the given cells; nothing but their counts or the chosen ones is kept."""
+        return tracks.filter(F.col("role") == role).join(F.broadcast(limits), cell).select(
+            "outer", "inner", "index", "scenario", "position", F.col("is_abnormal").alias("actual"), alert.alias("predicted"))
+
+    inner = metrics.detection_scores(voted("validation", cells), "actual", "predicted", ["outer", "index"])
+    chosen = best(inner.withColumn("score", F.round(detect.selection_score(2, .10), 9)), [-F.col("score"), F.col("index")], ["outer"]).select("outer", "index", "score")
+    chosen = materialise(chosen, "chosen")
+    return voted("test", cells.join(chosen.select("outer", "index"), ["outer", "index"])).join(F.broadcast(chosen), ["outer", "index"])
 
 
 def _nested_sql() -> str:

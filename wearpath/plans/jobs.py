@@ -9,8 +9,8 @@ from ..operators import calibrate, causal, gates, labels, learn, metrics, profil
 from ..operators.labels import remaining_life
 from ..operators.selection import best, top_rows
 from ..operators.series import series
-from ..session import materialise, table
-from ..sources import sinks
+from ..session import materialise, shared_folder, table
+from ..sources import artefacts, sinks
 from .aggregates import _CURVE
 from .checks import RESULTS, triaged
 from .inputs import CHANNELS, EV, HIST, SAMPLES, event_rows, event_series, order_histories, sample_rows, tail, waveform_rows
@@ -117,17 +117,21 @@ def readiness(spark, d):
                          flag(F.col("model") == winner).alias("selected"), gate.alias("gate"))
 
 
-@query("job_06_batch_scoring", f"""WITH {TR}, k AS (SELECT regr_slope(least(rul, 40), value_mean_5) AS b, regr_intercept(least(rul, 40), value_mean_5) AS a, min(value_mean_5) AS lo, max(value_mean_5) AS hi, quantile_cont(value_mean_5, 0.01) AS q01, quantile_cont(value_mean_5, 0.99) AS q99 FROM tr),
-  s AS (SELECT tr.*, least(greatest(a + b * value_mean_5, 0), 40) AS p, lo, hi, q01, q99 FROM tr, k), q AS (SELECT max(e) FILTER (n = least(ceil((c + 1) * CAST(0.95 AS DOUBLE)), c)) AS radius FROM (SELECT abs(least(rul, 40) - p) AS e, row_number() OVER (ORDER BY abs(least(rul, 40) - p)) AS n, count(*) OVER () AS c FROM s))
+@query("job_06_batch_scoring", f"""WITH {TR}, k AS (SELECT regr_slope(least(rul, 40), value_mean_5) AS b, regr_intercept(least(rul, 40), value_mean_5) AS a, min(value_mean_5) AS lo, max(value_mean_5) AS hi, quantile_cont(value_mean_5, 0.01) AS q01, quantile_cont(value_mean_5, 0.99) AS q99 FROM tr WHERE user_id % 2 = 1),
+  s AS (SELECT tr.*, least(greatest(a + b * value_mean_5, 0), 40) AS p, lo, hi, q01, q99 FROM tr, k), q AS (SELECT max(e) FILTER (n = least(ceil((c + 1) * CAST(0.95 AS DOUBLE)), c)) AS radius FROM (SELECT abs(least(rul, 40) - p) AS e, row_number() OVER (ORDER BY abs(least(rul, 40) - p)) AS n, count(*) OVER () AS c FROM s WHERE user_id % 2 = 1))
   SELECT user_id, CAST(cycle AS BIGINT) AS latest_cycle, {rs('p', 3)} AS predicted, {rs('greatest(p - radius, 0)', 3)} AS lower, {rs('p + radius', 3)} AS upper, CASE WHEN p <= 30 THEN 'High' WHEN p <= 60 THEN 'Medium' ELSE 'Low' END AS risk,
-  concat_ws('; ', CASE WHEN cycle < 10 THEN 'limited history' END, CASE WHEN value_mean_5 < q01 OR value_mean_5 > q99 THEN 'tail range' END) AS warnings, 1 AS accepted FROM s, q WHERE rul = 0""")
+  concat_ws('; ', CASE WHEN cycle < 10 THEN 'limited history' END, CASE WHEN value_mean_5 < q01 OR value_mean_5 > q99 THEN 'tail range' END) AS warnings, CAST(value_mean_5 BETWEEN lo AND hi AS INTEGER) AS accepted FROM s, q WHERE rul = 0""")
 def batch_scoring(spark, d):
-    """Each user's history is a request: features, latest row, estimate, interval, support, risk and warnings."""
+    """Each user's history is a request: features, latest row, estimate, interval, support, risk and warnings.
+
+    Fit, radius and bounds come from users with odd numbers; the others' requests may lie outside and are then not accepted.
+    """
     rows = materialise(training_rows(spark, d).withColumn("capped", F.least("rul", F.lit(40.0))), "training")
-    model = learn.fit(rows, ["value_mean_5"], learn.linear("capped"))
+    odd = F.col("user_id") % 2 == 1
+    model = learn.fit(rows.filter(odd), ["value_mean_5"], learn.linear("capped"))
     scored = learn.apply_model(model, rows, 0.0, 40.0)
-    radius = calibrate.conformal_radius(scored.withColumn("e", F.col("capped") - F.col("predicted")), "e", 0.05).first()["radius"]
-    bounds = {b["feature"]: b.asDict() for b in profile.support_bounds(rows, ["value_mean_5"]).collect()}
+    radius = calibrate.conformal_radius(scored.filter(odd).withColumn("e", F.col("capped") - F.col("predicted")), "e", 0.05).first()["radius"]
+    bounds = {b["feature"]: b.asDict() for b in profile.support_bounds(rows.filter(odd), ["value_mean_5"]).collect()}
     last = causal.terminal_rows(scored, ["user_id"], ["cycle"]).withColumns(calibrate.support_flags(bounds)).withColumns(
         calibrate.interval(F.col("predicted"), F.lit(radius)))
     warnings = notes((F.col("cycle") < 10, "limited history"), (F.size("tail_warnings") > 0, "tail range"))
@@ -189,11 +193,15 @@ def label_audit(spark, d):
   s AS (SELECT candidate, user_id, least(greatest(a + b * cycle, 0), cap) - rul AS e FROM tr JOIN k USING (fold)), u AS (SELECT candidate, user_id, avg(abs(e)) AS mae FROM s GROUP BY 1, 2), m AS (SELECT candidate, avg(mae) AS mae FROM u GROUP BY 1)
   SELECT candidate, {rs('mae', 5)} AS unit_mean_mae, CAST(row_number() OVER (ORDER BY round(mae, 9), candidate) = 1 AS INTEGER) AS selected, 1 AS replay_matches FROM m""")
 def experiment_replay(spark, d):
-    """Candidates scored inside the folds; the winner is fitted again and must reproduce its metric."""
+    """Candidates scored inside the folds; winner, configuration and predictions are kept as an artefact.
+
+    The replay knows nothing but that artefact and the table: it reads the configuration, derives the rows anew,
+    fits, and compares row by row with the predictions kept and with the metric kept.
+    """
     rows = materialise(training_rows(spark, d), "training")
     caps = {"cap40": 40.0, "cap60": 60.0, "plain": None}
 
-    def scored(cap):
+    def scored(cap, rows=rows):
         target = rows.withColumn("y", F.col("rul") if cap is None else F.least("rul", F.lit(cap)))
         return learn.linear_oof(target, "fold", ["cycle"], "y", 0.0, cap)
 
@@ -203,9 +211,26 @@ def experiment_replay(spark, d):
         table_ = one if table_ is None else table_.unionByName(one)
     first = {row["candidate"]: row["mae"] for row in table_.collect()}  # one number per candidate
     winner = min(sorted(first), key=lambda c: round(first[c], 9))
-    again = metrics.unit_mean_scores(scored(caps[winner]).withColumn("actual", F.col("rul")), "user_id").select("mae").scalar()
+    place = shared_folder(spark, "experiment")
+    artefacts.save(spark, place, winner, {
+        "config": spark.createDataFrame([(winner, caps[winner], "cycle", first[winner])], "candidate string, cap double, feature string, mae double"),
+        "predictions": scored(caps[winner]).select("event_id", "predicted")})
+    differing = replay_differences(spark, d, place, winner)
     return table_.select("candidate", r("mae", 5).alias("unit_mean_mae"), flag(F.col("candidate") == winner).alias("selected"),
-                         flag((F.col("candidate") != winner) | (F.abs(F.col("mae") - again) <= 1e-10)).alias("replay_matches"))
+                         flag((F.col("candidate") != winner) | F.lit(differing == 0)).alias("replay_matches"))
+
+
+def replay_differences(spark, d, place: str, version: str) -> int:
+    """Rows on which an experiment's kept predictions differ from those of fitting its kept configuration again; one more for its metric."""
+    kept = artefacts.load(spark, place, version)
+    config = kept.tables["config"].first()  # one row
+    rows = training_rows(spark, d)
+    target = rows.withColumn("y", F.col("rul") if config["cap"] is None else F.least("rul", F.lit(config["cap"])))
+    again = materialise(learn.linear_oof(target, "fold", [config["feature"]], "y", 0.0, config["cap"]), "replay")
+    both = again.select("event_id", "predicted").join(kept.tables["predictions"].withColumnRenamed("predicted", "kept"), "event_id", "full_outer")
+    differing = both.filter(~F.coalesce(F.abs(F.col("predicted") - F.col("kept")) <= 1e-9, F.lit(False))).count()
+    mae = metrics.unit_mean_scores(again.withColumn("actual", F.col("rul")), "user_id").first()["mae"]
+    return differing + int(abs(mae - config["mae"]) > 1e-9)
 
 
 @query("job_12_registry_view", """SELECT event_type AS task, '{"task":"' || event_type || '","rows":' || CAST(count(*) AS VARCHAR) || ',"available":' || CASE WHEN count(*) >= 150 THEN 'true' ELSE 'false' END || ',"experimental":' || CASE event_type WHEN 'error' THEN 'true' ELSE 'false' END || '}' AS document FROM events GROUP BY event_type""")
