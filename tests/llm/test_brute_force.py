@@ -43,7 +43,9 @@ def test_op1_spelling_is_a_distribution():
             np.add.at(ones, s[bit == 1], 1)
             np.add.at(zeros, s[bit == 0], 1)
     model = lm_scoring.Speller(zeros, ones)
-    model.learn(words)
+    learner = model.learner()
+    learner.learn(words)
+    model.weights = learner.weights
     model.freeze()
     one = model.log10([b""])[0]
     # The byte after "the" is one of 256: their chances, each with what ends the word next, stay below one in all.
@@ -52,6 +54,18 @@ def test_op1_spelling_is_a_distribution():
     assert one < 0 and model.log10([b"the"])[0] > model.log10([b"xqz"])[0]
 
 
+def test_op1_scores_do_not_depend_on_the_tasks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (2, 9):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append({r.doc_id: r.score for r in lm_scoring.score(docs.repartition(n)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0].keys() == found[1].keys() and all(found[1][k] == pytest.approx(v, rel=1e-12) for k, v in found[0].items())
+
+
 def test_op1_long_unknown_tokens_cost_by_their_length(spark):
     rng = random.Random(2)
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
