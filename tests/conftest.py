@@ -10,7 +10,7 @@ from wearpath.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(name="wearpath-tests")
+    return local_session(partitions=4, name="wearpath-tests")
 
 
 @pytest.fixture(scope="session")

@@ -1,7 +1,6 @@
 """Readers of the raw files. Each gives a typed DataFrame; ``strict`` raises where a row breaks a rule.
 
-Rules are evaluated beside the parse: `ingest` writes each row once, sound or with the names of the rules it breaks, and
-counts both as it writes. Strict readers go on from the written rows, so the files are parsed once whatever
+Rules are evaluated beside the parse: `ingest` writes each row once, sound or with the names of the rules it breaks. Strict readers go on from the written rows, so the files are parsed once whatever
 number of rules there are; with ``strict=False`` rows come as parsed, lazily and unchecked.
 
 Rows are told apart by their file's whole path; ``file`` is its name. Row order that exists only in a file becomes an
@@ -13,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
@@ -35,14 +34,19 @@ class Ingested:
 
 
 def ingest(rows: DataFrame, rules: Sequence[Rule]) -> Ingested:
-    """Parse, judge, write and count in one job."""
+    """Parse, judge and write in one job. The counts come from the written files' footers.
+
+    (An Observation would count on the way, but a session that has used one can no longer be part of a closure, as some
+    MLlib models' are.)
+    """
     names = F.array_compact(F.array(*[F.when(F.coalesce(r.broken, F.lit(False)), F.lit(r.name)) for r in rules]))
     marked = rows.withColumn("broken_rules", names).withColumn("__sound", F.size("broken_rules") == 0)
-    seen = Observation()
     path = shared_folder(rows.sparkSession, "ingest")
-    marked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("__sound")).alias("broken")).write.partitionBy("__sound").parquet(path)
+    marked.write.partitionBy("__sound").parquet(path)
     back = rows.sparkSession.read.schema(marked.schema).parquet(path)
-    return Ingested(back.filter("__sound").drop("__sound", "broken_rules"), back.filter("NOT __sound").drop("__sound"), seen.get["rows"], seen.get["broken"])
+    counts = {row["__sound"]: row["count"] for row in back.groupBy("__sound").count().collect()}  # two rows at most
+    broken = counts.get(False, 0)
+    return Ingested(back.filter("__sound").drop("__sound", "broken_rules"), back.filter("NOT __sound").drop("__sound"), counts.get(True, 0) + broken, broken)
 
 
 def settled(rows: DataFrame, rules: Sequence[Rule], what: str, strict: bool) -> DataFrame:
