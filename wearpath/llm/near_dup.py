@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, passing
 from .batches import LOWERED, bytes_of, combined, hashes, ranges, word_places
 from .components import components
 
@@ -203,30 +203,39 @@ def with_components(listed: DataFrame, links: DataFrame) -> DataFrame:
     return listed.join(labels, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, component_id (smallest id reachable), kept: one row per input row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = materialise(sets(docs), "sets")
-    classes = every.filter("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("first"))
-    classes = materialise(classes, "classes")
+def links_of(every: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Confirmed links between representatives, enough of them to join up every group: (a, b)."""
     reps = every.join(classes, (every["print"] == classes["print"]) & (F.col("doc_id") == F.col("first"))).select("doc_id", "n", "sketch").distinct()
     reps = materialise(reps, "reps")
     listed = materialise(lists(reps), "lists")
     candidates = listed.select("doc_id").distinct()
     texts = materialise(docs.join(candidates, "doc_id", "left_semi").distinct(), "texts")
-    # A class is its representative's; only an id with several texts joins classes.
-    several = every.filter("doc_id IS NOT NULL").join(classes, "print").groupBy("doc_id").agg(F.min("first").alias("b"), F.collect_set("first").alias("firsts")).filter("size(firsts) > 1")
-    several = several.select(F.explode("firsts").alias("a"), "b").filter("a <> b")
-
     labelled = listed.withColumn("component", F.col("doc_id"))
     links = materialise(confirmed(estimated(hub_pairs(labelled, True), reps), texts), "links")
     labelled = with_components(listed, links)
     links = links.unionByName(materialise(confirmed(estimated(hub_pairs(labelled, False), reps), texts), "links"))
     labelled = with_components(listed, links)
-    links = links.unionByName(materialise(block_links(in_blocks(labelled), texts), "links"))
-    final = materialise(components(links.unionByName(several)), "labels")
-    of_class = classes.join(final, F.col("first") == F.col("node"), "left").select(F.col("print").alias("p"), F.coalesce("component", "first").alias("component"))
-    of_class = materialise(of_class, "class-labels")
+    return links.unionByName(block_links(in_blocks(labelled), texts))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> doc_id, n_shingles, component_id (smallest id reachable), kept: one row per input row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    every = materialise(sets(docs), "sets")
+    classes = every.filter("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("first"))
+    classes = materialise(classes, "classes")
+    with passing() as kept:
+        links = materialise(links_of(every, classes, docs), "links")
+        kept.append(links)
+    # A class is its representative's; only an id with several texts joins classes.
+    several = every.filter("doc_id IS NOT NULL").join(classes, "print").groupBy("doc_id").agg(F.min("first").alias("b"), F.collect_set("first").alias("firsts")).filter("size(firsts) > 1")
+    several = several.select(F.explode("firsts").alias("a"), "b").filter("a <> b")
+
+    with passing() as kept:
+        final = components(links.unionByName(several))
+        of_class = classes.join(final, F.col("first") == F.col("node"), "left").select(F.col("print").alias("p"), F.coalesce("component", "first").alias("component"))
+        of_class = materialise(of_class, "class-labels")
+        kept.append(of_class)
     known = every.filter("print IS NOT NULL").join(of_class, F.col("print") == F.col("p"), "left").select("doc_id", "n", "component")
     # Rows without a set take the component of their id, where other rows have the id.
     empty = every.filter("print IS NULL").select("doc_id", "n")
