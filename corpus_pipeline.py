@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearpath.llm import mixing, near_dup, packing, quality_rules, site_quality
-from wearpath.llm.columns import text_of, word_count, words
+from wearpath.llm.columns import text_of, word_count
 from wearpath.session import materialise, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _measured(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents with their measures, and a written copy of the measures alone."""
+    """The documents with their measures, and a written copy of the measures alone.
+
+    Measures are computed twice: a written copy of the texts beside them would stay until the pipeline has ended.
+    """
     fit = materialise(quality_rules.measures(docs, keep=("doc_id", "source", "lang")), "measures")
     # The number keeps the verdict's filter above the measures; pushed into them it would repeat them many times.
     return quality_rules.measures(docs, keep=COLUMNS).withColumn("__row", F.monotonically_increasing_id()), fit
@@ -37,22 +40,26 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
+    """One document of each group of near-duplicates stays: the one with the smallest id.
+
+    Rows that repeat an id and its text go too; a kept id's different texts all stay.
+    """
     kept = near_dup.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return known.select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; the last one of a source is cut to the words taken."""
+    """Every document as often as the mix takes it, always whole.
+
+    The last document of a source, of which the mix takes a part, comes once more if that part is half of it or more, so
+    that a source misses its target by half a document at most and no document comes more than twice.
+    """
     text = text_of("text")
     sized = docs.select(*COLUMNS, word_count(text).alias("__size"), mixing.text_quality(text).alias("__quality"))
     mixed = mixing.mix(sized, "source", "doc_id", F.col("__size"), F.col("__quality")).filter("taken > 0")
-    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
-    copies = mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0))))
-    part = F.array_join(F.slice(words(text), 1, rest), " ")
-    copies = copies.withColumn("text", F.when(F.col("__copy") <= whole, F.col("text")).otherwise(part))
-    return copies.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    return mixed.withColumn("__copies", copies).filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
