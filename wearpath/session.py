@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -91,6 +93,17 @@ def discard(*written: DataFrame) -> None:
             _delete(*entry)
 
 
+@contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """What is written inside goes at the end, but for the written frames put into the list; those alone may be read afterwards."""
+    before, kept = set(_FOLDERS), []
+    yield kept
+    stay = {getattr(df, "_written_to", None) for df in kept}
+    for entry in [e for e in _FOLDERS if e not in before and e not in stay]:
+        _FOLDERS.remove(entry)
+        _delete(*entry)
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write an intermediate that several jobs read, and go on from the written columns.
 
