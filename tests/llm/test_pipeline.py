@@ -25,7 +25,7 @@ def docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(*pipeline.COLUMNS)
 
 
-@pytest.mark.parametrize("rows", [ROWS, [], [ROWS[5]], [ROWS[8]]], ids=["odd", "empty", "null text", "all null"])
+@pytest.mark.parametrize("rows", [ROWS, []], ids=["odd", "empty"])
 def test_stages_take_any_rows(spark, sf_dir, rows):
     frame = spark.createDataFrame([(*r, 1, "x", 2.0) for r in rows], DOCS + ", size int, value string, target double")
     given = Counter(tuple(r) for r in rows)
