@@ -49,15 +49,15 @@ def _task_sql(name):
 
 
 @query("job_03b_component_profiles", f"{_TABLES} " + " UNION ALL ".join(
-    f"SELECT '{n}' AS component, '{c}' AS feature, count(*) AS rows, count(*) - count({c}) AS missing, {rs(f'avg({c})', 3)} AS mean, {rs(f'stddev_samp({c})', 3)} AS std, {rs(f'min({c})', 3)} AS low, {rs(f'max({c})', 3)} AS high, {rs(f'corr({c}, y)', 4)} AS correlation FROM ({_task_sql(n)})"
+    f"SELECT '{n}' AS component, '{c}' AS feature, count(*) AS rows, count(*) - count({c}) AS missing, {rs(f'avg({c})', 1)} AS mean, {rs(f'stddev_samp({c})', 1)} AS std, {rs(f'min({c})', 1)} AS low, {rs(f'max({c})', 1)} AS high, {rs(f'corr({c}, y)', 4)} AS correlation FROM ({_task_sql(n)})"
     for n, (_, _, features, *_) in TASKS.items() for c in features))
 def component_profiles(spark, d):
     """Shape, gaps and correlation with the target of every feature of every component."""
     out = []
     for name, rows in tasks(spark, d).items():
         features = TASKS[name][2]
-        cells = [F.struct(F.lit(c).alias("feature"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("missing"), r(F.avg(c), 3).alias("mean"), r(F.stddev_samp(c), 3).alias("std"),
-                          r(F.min(c), 3).alias("low"), r(F.max(c), 3).alias("high"), r(F.corr(c, "y"), 4).alias("correlation")) for c in features]
+        cells = [F.struct(F.lit(c).alias("feature"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("missing"), r(F.avg(c), 1).alias("mean"), r(F.stddev_samp(c), 1).alias("std"),
+                          r(F.min(c), 1).alias("low"), r(F.max(c), 1).alias("high"), r(F.corr(c, "y"), 4).alias("correlation")) for c in features]
         out.append(rows.agg(F.array(*cells).alias("x")).select(F.lit(name).alias("component"), F.inline("x")))
     return _union(out)
 
