@@ -73,3 +73,18 @@ def test_quantiles_keep_null_and_empty_groups(spark):
     small, large = (
         {r.g: r.m for r in order_stats.quantiles(df, ["g"], {"m": order_stats.median("x")}, small_rows=n).collect()} for n in (10_000, 20))
     assert set(small) == {"a", "b", None} and small == large
+
+
+def test_placed_rows_and_ranks_are_written_once(spark, tmp_path):
+    """What follows a block layout or a bracketed quantile reads its written rows; the source is not placed or sketched anew."""
+    source = str(tmp_path / "rows")
+    spark.range(400).selectExpr("id % 2 AS unit", "id AS at", "cast(id * 7 % 101 AS double) AS x").write.parquet(source)
+    rows = spark.read.parquet(source)
+    s = series(rows, "unit", "at", block_rows=50)
+    assert s.blocked and not any(source in f for f in s.number("n").frame.inputFiles())
+    low, mid, high = (("x", q, rule(q)) for q, rule in ((0.01, order_stats.linear), (0.5, order_stats.linear), (0.5, order_stats.higher)))
+    found = order_stats.quantiles(rows, ["unit"], {"low": low, "mid": mid, "high": high}, small_rows=10)
+    assert not any(source in f for f in found.inputFiles())
+    for unit, low, mid, high in found.collect():
+        x = np.array([i * 7 % 101 for i in range(400) if i % 2 == unit], dtype=float)
+        assert (low, mid, high) == pytest.approx((np.quantile(x, 0.01), np.quantile(x, 0.5), np.quantile(x, 0.5, method="higher")))

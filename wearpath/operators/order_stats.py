@@ -2,7 +2,8 @@
 
 Small groups use Spark's exact ``percentile``. For larger ones a mergeable sketch
 brackets each wanted rank, exact counts say how many values lie below the bracket,
-and only the bracket (a few parts per hundred thousand of the rows, counted per distinct value) is ranked.
+and only the bracket (a few parts per ten thousand of the rows, counted per distinct value) is ranked. A column's
+ranks share one sketch; brackets and counts are written, so that the rows are read three times whatever follows.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .series import null_safe_join, series
 
 SMALL_ROWS = 1_000_000
-ACCURACY = 100_000
+ACCURACY = 10_000
 
 # A rule gives the 0-based (possibly fractional) rank wanted among n sorted values.
 Rule = Callable[[Column], Column]
@@ -67,21 +69,21 @@ def _by_bracket(df, by, wanted):
     names = list(wanted)
     margin = 4.0 / ACCURACY
     columns = sorted({c for c, _, _ in wanted.values()})
+    fractions = {c: sorted({f for x, q, _ in wanted.values() if x == c for f in (max(0.0, q - margin), min(1.0, q + margin))}) for c in columns}
     sketches = df.groupBy(*by).agg(
         *[F.count(c).cast("double").alias(f"__n_{c}") for c in columns],
-        *[F.percentile_approx(F.col(wanted[k][0]).cast("double"),
-                              [max(0.0, wanted[k][1] - margin), min(1.0, wanted[k][1] + margin)], ACCURACY).alias(f"__b_{k}")
-          for k in names],
+        *[F.percentile_approx(F.col(c).cast("double"), fractions[c], ACCURACY).alias(f"__b_{c}") for c in columns],
     )
+    edge = lambda k, f: F.get(f"__b_{wanted[k][0]}", fractions[wanted[k][0]].index(f))
     # A group of few rows takes its whole range: its rank can fall outside the margin.
     few = {k: F.col(f"__n_{wanted[k][0]}") * margin < 4 for k in names}
-    ranks = sketches.select(*by, *[
+    ranks = materialise(sketches.select(*by, *[
         F.struct(
             wanted[k][2](F.col(f"__n_{wanted[k][0]}")).alias("rank"),
-            F.when(few[k], F.lit(float("-inf"))).otherwise(F.get(f"__b_{k}", 0)).alias("lo"),
-            F.when(few[k], F.lit(float("inf"))).otherwise(F.get(f"__b_{k}", 1)).alias("hi"),
+            F.when(few[k], F.lit(float("-inf"))).otherwise(edge(k, max(0.0, wanted[k][1] - margin))).alias("lo"),
+            F.when(few[k], F.lit(float("inf"))).otherwise(edge(k, min(1.0, wanted[k][1] + margin))).alias("hi"),
         ).alias(f"__r_{k}") for k in names
-    ])
+    ]), "ranks")
     joined = null_safe_join(df, ranks, by, "left") if by else df.select("*", *[
         ranks.select(f"__r_{k}").scalar().alias(f"__r_{k}") for k in names])
     inside = joined.select(*by, F.inline(F.array_compact(F.array(*[
@@ -90,7 +92,7 @@ def _by_bracket(df, by, wanted):
             F.when(F.col(wanted[k][0]).cast("double") >= F.col(f"__r_{k}.lo"), F.col(wanted[k][0]).cast("double")).alias("__value")))
         for k in names]))))
     # Values under the bracket collapse to one counted row (null), the rest to one per value.
-    counted = inside.groupBy(*by, "__name", "__rank", "__value").agg(F.count("*").alias("__count"))
+    counted = materialise(inside.groupBy(*by, "__name", "__rank", "__value").agg(F.count("*").alias("__count")), "bracket")
     lead = F.coalesce("__value", F.lit(float("-inf")))
     walked = series(counted.withColumn("__lead", lead).withColumn("__under", F.col("__value").isNotNull().cast("int")),
                     [*by, "__name"], ("__lead", "__under")).running(__upto=("sum", F.col("__count"))).frame
@@ -105,7 +107,9 @@ def _by_bracket(df, by, wanted):
     value = F.col("__low") + (F.col("__high") - F.col("__low")) * (F.col("__rank") - F.floor("__rank"))
     long = picked.withColumn("__out", value)
     found = long.groupBy(*by).agg(*[F.max(F.when(F.col("__name") == k, F.col("__out"))).alias(k) for k in names])
-    return null_safe_join(sketches.select(*by), found, by, "left") if by else found  # a group without values stays
+    if by:
+        found = null_safe_join(ranks.select(*by), found, by, "left")  # a group without values stays
+    return materialise(found, "quantiles")
 
 
 def median(column: str) -> tuple[str, float, Rule]:

@@ -9,6 +9,7 @@ their exact position inside the unit and are cut into blocks of ``block_rows``:
 * running aggregates add the carry of the earlier blocks;
 * whole-unit aggregates become a group-by joined back (AQE splits the hot side).
 
+The positioned rows are written once, as every window and aggregate over them would place them anew.
 Results are identical in both layouts; no task ever holds more than one block.
 """
 
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import wall_micros
+from ..session import materialise
 
 BLOCK_ROWS = 1_000_000
 MAX_SPLITS = 8192
@@ -317,7 +319,7 @@ def series(df: DataFrame, unit: str | Sequence[str], order: str | Sequence[str],
         return Series(df, unit, order, block_rows, False)
     placed = _positions(df, unit, order, counts, size["top"], size["hot"], block_rows)
     block = F.floor((F.col(POSITION) - 1) / block_rows).cast("long")
-    return Series(placed.withColumn(BLOCK, block), unit, order, block_rows, True)
+    return Series(materialise(placed.withColumn(BLOCK, block), "series"), unit, order, block_rows, True)
 
 
 def _positions(df, unit, order, counts, top, hot_units, block_rows) -> DataFrame:
