@@ -33,6 +33,65 @@ def test_op1_counts_and_base(spark, sf_dir, documents):
     assert sum(r.score for r in found.values() if not r.held_out) > sum(r.base_score for r in found.values() if not r.held_out)
 
 
+def test_op1_mixes_contexts_over_word_boundaries(spark):
+    """The whole text is priced: the order of words, white space and bytes far behind a cut of a long text all count."""
+    rows = [(i, "alpha beta gamma delta " * 5, "en") for i in range(120)]
+    held = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5 == 1][:4]
+    texts = ["alpha beta gamma delta alpha beta", "beta alpha delta gamma beta alpha", "alpha  beta\ngamma delta alpha beta", "ALPHA beta gamma delta alpha beta"]
+    rows = [r for r in rows if r[0] not in held] + [(i, t, "en") for i, t in zip(held, texts)]
+    found = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    asked, turned, spaced, upper = (found[i] for i in held)
+    assert asked.base_score == pytest.approx(turned.base_score) == pytest.approx(spaced.base_score)
+    assert asked.score > turned.score + 3 and asked.score > spaced.score + 1 and upper.score == asked.score
+
+
+def test_op1_against_single_bits():
+    """Counts, contexts and mixing of whole texts against a plain loop over bits; a long text's cuts change nothing."""
+    texts = [b"the cat sat on the mat", b"", "thé cat  sat".encode(), b"on the cat " * 30]
+    cells = np.zeros(len(lm_scoring.ORDERS) * lm_scoring.SLOTS, dtype=np.int32)
+    plain = defaultdict(lambda: [0, 0])
+    data, owner = lm_scoring.laid_out(texts)
+    ctx = lm_scoring.contexts(data, owner)
+    for _, value, rows in lm_scoring.nibbles(data, ctx):
+        for r in rows:
+            np.add.at(cells, r + value, 1)
+    for _, _, bit, slots in lm_scoring.bits(data, ctx):
+        for s in slots:
+            for a, b in zip(s.tolist(), bit.tolist()):
+                plain[a][b] += 1
+    zeros, ones = lm_scoring.bit_counts(cells)
+    assert all((zeros[s], ones[s]) == tuple(c) for s, c in plain.items()) and (zeros + ones > 0).sum() == len(plain)
+    # What stands before a byte, spelt out: equal hashes where and only where it is equal.
+    at, seen = 0, [defaultdict(set) for _ in lm_scoring.ORDERS]
+    for t in texts:
+        for i in range(len(t) + 1):
+            words = t[:i].replace(b" ", b" |").split(b"|")
+            spans = [(min(i, k), t[max(0, i - k):i]) for k in lm_scoring.BYTES] + [words[-1][-32:], (b"".join(words[-2:]))[-32:]]
+            for k, span in enumerate(spans):
+                seen[k][span].add(int(ctx[k][at]))
+            at += 1
+    for by in seen:
+        assert all(len(h) == 1 for h in by.values()) and len({next(iter(h)) for h in by.values()}) == len(by)
+    model = lm_scoring.Speller(zeros, ones).freeze()
+    got, total, at = model.log10(texts), np.zeros(len(texts)), 0
+    for place, node, bit, slots in lm_scoring.bits(data, ctx):
+        for i in range(len(data)):
+            x = [int(model.stretched[s[i]]) for s in slots]
+            dot = sum(lm_scoring.SCALE * w * v for w, v in zip(model.weights[place * (len(x) + 1) + sum(v != 0 for v in x)], x))
+            spot = (min(max(dot, -7.999), 7.999) + 8) * 2
+            row, low = model.refined[node[i]], int(spot)
+            p = 0.25 / (1 + math.exp(-dot)) + 0.75 * (row[low] + (row[low + 1] - row[low]) * (spot - low))
+            total[owner[i]] += math.log10(min(max(p if bit[i] else 1 - p, 1e-6), 1 - 1e-6))
+    assert got == pytest.approx(total, rel=1e-4)
+    long = b"a cut text of words and more words " * 20_000
+    lm_run, whole = lm_scoring.RUN, model.log10([b"on", long, b"the"])
+    try:
+        lm_scoring.RUN = 1 << 22
+        assert whole == pytest.approx(model.log10([b"on", long, b"the"]), rel=1e-9)
+    finally:
+        lm_scoring.RUN = lm_run
+
+
 def test_op1_spelling_is_a_distribution():
     words = [b"the", b"then", b"than", b"on", b"", "é".encode()]
     zeros = np.zeros(len(lm_scoring.ORDERS) * lm_scoring.SLOTS, dtype=np.int32)

@@ -1,33 +1,31 @@
-"""Language-model scoring by logistic context mixing over a word memory gathered from the whole corpus.
+"""Language-model scoring by logistic context mixing of the bits of whole texts.
 
-*Spelling model.* A word is a series of bit decisions (its bytes and a word end). Several predictors each look up a
-hashed context of the bytes before (orders 1, 2, 3, 4 and 6); their counts, in the logistic domain, are combined by a
-mixer whose weights are chosen by a gate (the bit's place and how many orders know the context). The weights are
-learnt online over all distinct learning words, each seen without its own counts, and an adaptive table indexed by the
-partial byte and the mixed prediction refines the result. Counts, too, come from all these words. Once learnt all is
-frozen, so every string has one fixed probability and these sum to one.
+*Model.* A text, with A-Z lower-cased, is a series of bytes (white space included) and one end, a byte that no UTF-8 text
+has. Each byte is eight bit decisions. Predictors each look up a hashed context of what stands before, whatever word it
+belongs to: the last 1, 2, 3, 4 and 6 bytes, the present word so far (which counts words), and the present word with the
+one before. Their counts, in the logistic domain, are combined by a mixer whose weights are chosen by a gate (the bit's
+place and how many predictors know their context). An adaptive table indexed by the partial byte and the mixed
+prediction refines the result. Once learnt all is frozen, so every string has one fixed probability.
 
-*Word memory.* All learning tokens are counted per word and per gate of the document (its language; a text's
-gate is never read when it is scored). A word's probability in a gate is its discounted share there; the mass
-taken off goes to the shares in all gates, and the mass taken off those to the spelling model.
+*Learning.* Counts come from all learning texts, in hashed tables of fixed size. A byte is two nibbles: a context picks a row per
+nibble and the counts of its sixteen values give those of its fifteen bits. The weights are learnt online over all learning
+texts, each bit seen without its own count, and the refinement counts the same bits. Texts are dealt by a hash to a fixed
+number of learners, whose weights are averaged over all steps by the bits that they have met; so scores do not depend on the number of
+tasks. Tables hold eight bits a prediction (steps of 0.1 in the logistic domain).
 
-*Documents.* A text is the series of its words and one end. Its probability is the mixture over gates, weighted by
-the gates' shares of learning documents: log10 sum over g of share(g) * product of P(word | g). Bits are that, negated.
-
-Scale: the word table grows with the corpus and stays distributed. Words above a count that at most ``FREQUENT``
-words reach are looked up inside tasks (a bound on what is broadcast); all others are joined by hash. The spelling
-tables have a fixed size. Weights are learnt by a fixed number of learners, to which words are dealt by a hash: each takes an
-online pass over its words, their weights are averaged by the bits that they have met, and the next round goes on from there;
-a last round counts the refinement. So scores do not depend on the number of tasks. There is a gate per language of the learning texts and one for texts without: a row of the word table has a count per gate.
+*Words.* All learning tokens are counted for the base score. The word table grows with the corpus and stays distributed. Words above
+a count that at most ``FREQUENT`` words reach are looked up inside tasks (a bound on what is broadcast); all others
+are joined by hash.
 
 Defined cases: null is empty, an empty text is one end; rows with one id are scored each; a null id counts as
-learning; with nothing to learn from all words are unknown and the spelling model is uniform over bits.
+learning; with nothing to learn from all words are unknown and every bit costs one bit.
 """
 
 from __future__ import annotations
 
 import copy
 import math
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -37,49 +35,102 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .batches import LOWERED, bytes_of, hashes, mixed, ranges, word_places
+from .batches import GAP, LOWERED, bytes_of, hashes, mixed, ranges, word_places
 from .langid import held_out
 
-ORDERS = (1, 2, 3, 4, 6)
-SLOTS, FREQUENT, ROUNDS, FEW_GATES = 1 << 19, 1 << 18, 2, 8
-#: Words of one online step, and learners whose weights are averaged; results depend on both and on nothing of the cluster.
-GROUP, LEARNERS = 256, 32
-END_OF_TEXT, WORD_END = 1, 0x20
-DISCOUNT, PIECE, PRIOR = 0.6, 1 << 22, 50
-
-
-# -- spelling model ---------------------------------------------------------------------------------------
-def laid_out(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all words with their ends, number of the word of each byte)."""
-    data = np.frombuffer(b"".join([w + b" " for w in words]), dtype=np.uint8)
-    return data, np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])
+BYTES = (1, 2, 3, 4, 6)
+ORDERS = (*BYTES, "word", "pair")
+SLOTS, FREQUENT = 1 << 21, 1 << 18
+#: Bytes of a learner's first online step and of its longest, learners whose weights are averaged; results depend on both and on nothing of the cluster.
+FIRST_STEP, STEP, LEARNERS, RATE = 1 << 5, 1 << 14, 32, 0.3
+#: Bytes laid out at once, and how far back a context may look across a cut of a longer text.
+RUN, LEAD, REACH = 1 << 18, 64, 32
+END, END_OF_TEXT = b"\xff", 1
+PIECE, PRIOR = 1 << 22, 10
+#: Cells of the table sent as one array, and the most that a cell counts: sums of sixteen stay within 32 bits.
+BLOCK, MOST = 1 << 12, (1 << 31) // 16 - 1
+SCALE = 0.1
+#: Learning tokens per learner, until there are `LEARNERS`.
+SHARE = 100_000
+
+
+# -- contexts ---------------------------------------------------------------------------------------------
+def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts with their ends, number of the text of each byte)."""
+    data = np.frombuffer(b"".join([t + END for t in texts]), dtype=np.uint8)
+    return data, np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+
+
+def runs(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Texts laid out about ``RUN`` bytes at a time: (bytes, number of the text of each, bytes at the front that only lead in)."""
+    held: list[bytes] = []
+    size = done = 0
+    for t in texts:
+        if held and size + len(t) >= RUN:
+            data, owner = laid_out(held)
+            yield data, owner + done, 0
+            done, held, size = done + len(held), [], 0
+        if len(t) < RUN:
+            held.append(t)
+            size += len(t) + 1
+            continue
+        whole = np.frombuffer(t + END, dtype=np.uint8)
+        for at in range(0, len(whole), RUN):
+            lead = min(at, LEAD)
+            piece = whole[at - lead:at + RUN]
+            yield piece, np.full(len(piece), done), lead
+        done += 1
+    if held:
+        data, owner = laid_out(held)
+        yield data, owner + done, 0
 
 
 def contexts(data: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
-    """Per order a hash of the bytes before each byte inside its word."""
+    """Per predictor a hash of what stands before each byte in its text."""
     first = np.flatnonzero(np.diff(owner, prepend=-1))
-    place = np.arange(len(data)) - np.repeat(first, np.diff(first, append=len(data)))
+    at = np.arange(len(data))
+    start = np.repeat(first, np.diff(first, append=len(data)))
+    place = at - start
     out, h = [], np.zeros(len(data), dtype=np.uint64)
-    for back in range(1, max(ORDERS) + 1):
+    for back in range(1, max(BYTES) + 1):
         before = np.zeros(len(data), dtype=np.uint64)
         before[back:] = data[:-back]
         before[place < back] = 0
         h = h * np.uint64(0x2545F4914F6CDD1D) + before + np.uint64(1)
-        if back in ORDERS:
+        if back in BYTES:
             out.append(mixed(h + np.uint64(back)))
+    opens = place == 0
+    opens[1:] |= GAP[data[:-1]]
+    word = np.maximum.accumulate(np.where(opens, at, 0))
+    pair = np.where(word > start, word[word - 1], word)
+    for k, begin in enumerate((word, pair)):
+        out.append(mixed(hashes(data, np.maximum(begin, at - REACH), at) + np.uint64(1000 + k)))
     return out
 
 
+def nibbles(data: np.ndarray, ctx: list[np.ndarray]):
+    """For each half of a byte: (half, its value, the first slot of the context's row per predictor)."""
+    v = data.astype(np.int64)
+    for half in (0, 1):
+        known = np.uint64(0) if half == 0 else ((v >> 4) + 16).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        rows = [((c + known) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - ROW_BITS)).astype(np.int64) * 16 + k * SLOTS for k, c in enumerate(ctx)]
+        yield half, (v >> 4) if half == 0 else v & 15, rows
+
+
+ROW_BITS = SLOTS.bit_length() - 5
+
+
 def bits(data: np.ndarray, ctx: list[np.ndarray]):
-    """For each of eight places: (place, partial byte, bit, slots per order)."""
+    """For each of eight places: (place, partial byte, bit, slots per predictor)."""
     v = data.astype(np.int64)
-    for place in range(8):
-        node = (1 << place) | (v >> (8 - place))
-        bit = (v >> (7 - place)) & 1
-        step = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        yield place, node, bit, [((c + step) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(45)).astype(np.int64) + k * SLOTS for k, c in enumerate(ctx)]
+    for half, nibble, rows in nibbles(data, ctx):
+        for p in range(4):
+            place = 4 * half + p
+            part = (1 << p) | (nibble >> (4 - p))
+            yield place, (1 << place) | (v >> (8 - place)), (v >> (7 - place)) & 1, [r + part for r in rows]
 
 
+# -- model ------------------------------------------------------------------------------------------------
 class Speller:
     """Counts per slot, weights per gate, refinement per partial byte."""
 
@@ -87,75 +138,101 @@ class Speller:
 
     def __init__(self, zeros: np.ndarray, ones: np.ndarray):
         self.zeros, self.ones = zeros, ones
-        self.weights = np.full((8 * (len(ORDERS) + 1), len(ORDERS)), 0.35, dtype=np.float64)
+        self.weights = np.full((8 * (len(ORDERS) + 1), len(ORDERS)), 0.2, dtype=np.float64)
         self.squares = np.full_like(self.weights, 1e-2)
         centres = 1 / (1 + np.exp(-np.linspace(-8, 8, self.BUCKETS)))
         self.refined = np.tile(centres, (256, 1))
 
-    def stretch(self, n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-        """Stretched predictions from counts; 0 is an unknown slot."""
-        x = np.log((n1 + np.float32(0.3)) / (n0 + np.float32(0.3)))
-        x[x == 0] = 1e-9
-        x[n0 + n1 == 0] = 0
-        return x
+    @staticmethod
+    def stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+        """Stretched predictions from counts, in steps of `SCALE`; 0 is an unknown slot."""
+        x = np.log((n1.astype(np.float32) + np.float32(0.3)) / (n0.astype(np.float32) + np.float32(0.3)))
+        steps = np.clip(np.rint(x / SCALE), -127, 127).astype(np.int8)
+        steps[steps == 0] = 1
+        steps[n0 + n1 == 0] = 0
+        return steps
+
+    def _per_order(self, make, width: int) -> np.ndarray:
+        out = np.zeros((len(self.zeros), width), dtype=np.int8)
+        for at in range(0, len(self.zeros), SLOTS):
+            out[at:at + SLOTS] = make(self.zeros[at:at + SLOTS], self.ones[at:at + SLOTS]).reshape(-1, width)
+        return out.reshape(-1)
 
     def learner(self) -> "Speller":
-        """What learning needs: at 2 * slot + bit the prediction of a slot whose counts lack that bit once, so that no word sees itself."""
+        """What learning needs: at 2 * slot + bit the prediction of a slot whose counts lack that bit once, so that no bit sees itself."""
         own = copy.copy(self)
-        n0, n1 = self.zeros.astype(np.float32), self.ones.astype(np.float32)
-        own.without = np.stack([self.stretch(np.maximum(n0 - 1, 0), n1), self.stretch(n0, np.maximum(n1 - 1, 0))], axis=1).reshape(-1)
+        own.without = self._per_order(lambda n0, n1: np.stack([self.stretch(np.maximum(n0 - 1, 0), n1), self.stretch(n0, np.maximum(n1 - 1, 0))], axis=1), 2)
         own.zeros = own.ones = None
         return own
 
-    def gated(self, values: list[np.ndarray], place: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(predictions, gate, their weighted sum) of bits: the gate is the place and the number of orders that know the context."""
-        x = np.stack(values, axis=1)
-        gate = np.count_nonzero(x, axis=1) + place * (len(ORDERS) + 1)
-        return x, gate, np.einsum("ij,ij->i", self.weights[gate], x)
-
-    def refine(self, dot: np.ndarray, node: np.ndarray):
+    def gated(self, values: list[np.ndarray], place: int) -> tuple[np.ndarray, np.ndarray]:
+        """(predictors that know the context, weighted sum of the predictions) of bits of one place; that number and the place are the gate."""
+        known = np.zeros(len(values[0]), dtype=np.int64)
+        for x in values:
+            known += x != 0
+        weights = self.weights[place * (len(ORDERS) + 1):(place + 1) * (len(ORDERS) + 1)].astype(np.float32) * np.float32(SCALE)
+        dot = np.zeros(len(known), dtype=np.float32)
+        for k, x in enumerate(values):
+            dot += weights[:, k][known] * x
+        return known, dot
+
+    def refine(self, dot: np.ndarray):
         at = (np.clip(dot, -7.999, 7.999) + 8) * 2
         low = at.astype(np.int64)
         return low, at - low
 
     def probability(self, dot: np.ndarray, node: np.ndarray) -> np.ndarray:
-        low, part = self.refine(dot, node)
-        table = self.refined[node, low] * (1 - part) + self.refined[node, low + 1] * part
-        return np.clip(0.5 / (1 + np.exp(-dot)) + 0.5 * table, 1e-6, 1 - 1e-6)
+        low, part = self.refine(dot)
+        cell = node * self.BUCKETS + low
+        flat = self.refined.reshape(-1)
+        left = flat[cell]
+        table = left + (flat[cell + 1] - left) * part
+        return np.clip(0.25 / (1 + np.exp(-dot)) + 0.75 * table, 1e-6, 1 - 1e-6)
 
     def starting(self) -> "Speller":
-        """The same predictions, with weights of its own to learn."""
+        """The same predictions, with weights of its own to learn and cells of its own to count."""
         own = copy.copy(self)
         own.weights, own.squares = self.weights.copy(), np.full_like(self.weights, 1e-2)
+        own._empty()
         return own
 
-    def learn(self, words: list[bytes]) -> np.ndarray:
-        """Online steps over the words, `GROUP` at a time; a step takes the mean over its bits per gate. Returns the bits met per gate."""
-        gates = len(self.weights)
-        total = np.zeros(gates, dtype=np.int64)
-        for start in range(0, len(words), GROUP):
-            data, owner = laid_out(words[start:start + GROUP])
-            for place, node, bit, slots in bits(data, contexts(data, owner)):
-                x, gate, dot = self.gated([self.without[2 * s + bit] for s in slots], place)
-                error = bit - 1 / (1 + np.exp(-np.clip(dot, -30, 30)))
-                met = np.bincount(gate, minlength=gates)
-                total += met
-                for k in range(len(ORDERS)):
-                    slope = np.bincount(gate, weights=error * x[:, k], minlength=gates) / np.maximum(met, 1)
-                    self.squares[:, k] += slope * slope
-                    self.weights[:, k] += 0.05 * slope / np.sqrt(self.squares[:, k])
+    def _empty(self) -> None:
+        self.hits, self.hit_ones = np.zeros(self.refined.size), np.zeros(self.refined.size)
+        self.summed = np.zeros_like(self.weights)  # over the steps, by the bits met
+
+    def learn(self, texts: Iterable[bytes]) -> np.ndarray:
+        """Online steps over the texts, of `FIRST_STEP` bytes and then an eighth more each until `STEP`; a step takes the mean over
+        its bits per gate. Returns the bits met per gate."""
+        total, size = np.zeros(len(self.weights), dtype=np.int64), FIRST_STEP
+        if not hasattr(self, "hits"):
+            self._empty()
+        for data, owner, lead in runs(texts):
+            ctx = contexts(data, owner)
+            at = lead
+            while at < len(data):
+                piece = slice(at, at + size)
+                for place, node, bit, slots in bits(data[piece], [c[piece] for c in ctx]):
+                    self._step(place, node, bit, [self.without[2 * s + bit] for s in slots], total)
+                at, size = at + size, min(size + size // 8, STEP)
         return total
 
-    def met_cells(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """How often the bits of words meet each cell of the refinement, and how often the bit is one."""
-        hits, ones = np.zeros(self.refined.size), np.zeros(self.refined.size)
-        data, owner = laid_out(words)
-        for place, node, bit, slots in bits(data, contexts(data, owner)):
-            low, part = self.refine(self.gated([self.without[2 * s + bit] for s in slots], place)[2], node)
-            cell = node * self.BUCKETS + low + (part > 0.5)
-            hits += np.bincount(cell, minlength=hits.size)
-            ones += np.bincount(cell, weights=bit, minlength=hits.size)
-        return hits, ones
+    def _step(self, place, node, bit, values, total) -> None:
+        gates = len(ORDERS) + 1
+        known, dot = self.gated(values, place)
+        low, part = self.refine(dot)
+        cell = node * self.BUCKETS + low + (part > 0.5)
+        met_cells = np.bincount(cell, minlength=self.refined.size)
+        self.hits += met_cells
+        self.hit_ones += np.bincount(cell[bit == 1], minlength=self.refined.size)
+        error = (bit - 1 / (1 + np.exp(-np.clip(dot, -30, 30)))) * SCALE
+        met = np.bincount(known, minlength=gates)
+        mine = slice(place * gates, (place + 1) * gates)
+        total[mine] += met
+        for k, x in enumerate(values):
+            slope = np.bincount(known, weights=error * x, minlength=gates) / np.maximum(met, 1)
+            self.squares[mine, k] += slope * slope
+            self.weights[mine, k] += RATE * slope / np.sqrt(self.squares[mine, k])
+        self.summed[mine] += self.weights[mine] * met[:, None]
 
     def refine_by(self, cell: np.ndarray, hits: np.ndarray, ones: np.ndarray) -> None:
         """Each cell's share of ones, beside ``PRIOR`` bits as mixed."""
@@ -165,106 +242,113 @@ class Speller:
 
     def freeze(self) -> "Speller":
         """Keep one stretched prediction per slot."""
-        self.stretched = self.stretch(self.zeros.astype(np.float32), self.ones.astype(np.float32))
+        self.stretched = self._per_order(self.stretch, 1)
         self.zeros = self.ones = None
         return self
 
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word with its end, of a frozen model."""
-        data, owner = laid_out(words)
-        total = np.zeros(len(data))
-        for place, node, bit, slots in bits(data, contexts(data, owner)):
-            p = self.probability(self.gated([self.stretched[k] for k in slots], place)[2], node)
-            total += np.log10(np.where(bit == 1, p, 1 - p))
-        return np.bincount(owner, weights=total, minlength=len(words))
+    def log10(self, texts: list[bytes]) -> np.ndarray:
+        """log10 probability of each text with its end, of a frozen model."""
+        found = np.zeros(len(texts))
+        for data, owner, lead in runs(texts):
+            ctx = contexts(data, owner)
+            for at in range(lead, len(data), STEP):
+                piece = slice(at, at + STEP)
+                chance = np.ones(len(data[piece]))
+                for place, node, bit, slots in bits(data[piece], [c[piece] for c in ctx]):
+                    p = self.probability(self.gated([self.stretched[s] for s in slots], place)[1], node)
+                    chance *= np.where(bit == 1, p, 1 - p)
+                found += np.bincount(owner[piece], weights=np.log10(chance), minlength=len(texts))
+        return found
+
+
+def spelling_counts(texts: DataFrame) -> DataFrame:
+    """(word: a text's bytes) -> (block, counts): how often each value of a nibble follows each row, over all texts.
+
+    A task sends the blocks of the table that it has met, as arrays that are added up block by block.
+    """
+    names, kind = ["block", "counts"], "block int, counts binary"
 
+    def run(batches):
+        counts = np.zeros(len(ORDERS) * SLOTS, dtype=np.int32)
+        for data, owner, lead in runs(t.lower() for batch in batches for t in batch.column(0).to_pylist()):
+            for _, value, rows in nibbles(data, contexts(data, owner)):
+                for r in rows:
+                    np.add.at(counts, (r + value)[lead:], np.int32(1))
+        blocks = counts.reshape(-1, BLOCK)
+        met = np.flatnonzero(blocks.any(axis=1))
+        for i in range(0, len(met), 64):
+            m = met[i:i + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(m.astype(np.int32)), pa.array([blocks[k].tobytes() for k in m], pa.binary())], names)
+
+    def added(batches):
+        held, total = None, None
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if block != held and held is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([total.astype(np.int32).tobytes()], pa.binary())], names)
+                fresh = np.frombuffer(counts, dtype=np.int32).astype(np.int64)
+                held, total = block, np.minimum(fresh if block != held else total + fresh, MOST)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([total.astype(np.int32).tobytes()], pa.binary())], names)
 
-def gathered(lists, size: int):
-    """Lists of words run together into lists of ``size`` words, the last one shorter, wherever the given ones end."""
-    held: list[bytes] = []
-    for part in lists:
-        held += part
-        while len(held) >= size:
-            yield held[:size]
-            held = held[size:]
-    if held:
-        yield held
+    return texts.select("word").mapInArrow(run, kind).repartition("block").sortWithinPartitions("block").mapInArrow(added, kind)
 
 
-def spelling_counts(words: DataFrame) -> DataFrame:
-    """(word) -> (slot, zeros, ones) over all of them. A task sends each slot it has met once."""
-    def run(batches):
-        counts = np.zeros((len(ORDERS), 2 * SLOTS), dtype=np.int64)
-        for every in gathered((batch.column(0).to_pylist() for batch in batches), 40_000):
-            data, owner = laid_out(every)
-            for _, _, bit, slots in bits(data, contexts(data, owner)):
-                for k, s in enumerate(slots):
-                    counts[k] += np.bincount(2 * (s - k * SLOTS) + bit, minlength=2 * SLOTS)
-        zeros, ones = counts.reshape(-1, 2).T.astype(np.int32)
-        met = np.flatnonzero(zeros + ones)
-        for i in range(0, len(met), 100_000):
-            m = met[i:i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(m.astype(np.int32)), pa.array(zeros[m]), pa.array(ones[m])], ["slot", "zeros", "ones"])
-
-    return words.select("word").mapInArrow(run, "slot int, zeros int, ones int").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-
-
-def fit(speller: Speller, words: DataFrame) -> Speller:
-    """Weights and refinement from all words (word), in tasks. Returns the frozen model.
-
-    Words are dealt to `LEARNERS` by a hash and sorted, so that a learner meets the same words in the same steps
-    whatever tasks there are. A round brings a row per learner and weight to the driver, the last one a row per cell.
+def leaves_of(table: pa.Table) -> np.ndarray:
+    """The whole table of counts from its blocks."""
+    leaves = np.zeros(len(ORDERS) * SLOTS, dtype=np.int32)
+    for block, counts in zip(table.column("block").to_pylist(), table.column("counts")):
+        leaves[block * BLOCK:(block + 1) * BLOCK] = np.frombuffer(counts.as_buffer(), dtype=np.int32)
+    return leaves
+
+
+def bit_counts(leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(zeros, ones) per slot from the counts of nibble values: the bits of a nibble are the nodes 1 to 15 of its row."""
+    zeros, ones = np.zeros_like(leaves), np.zeros_like(leaves)
+    z, o, level = zeros.reshape(-1, 16), ones.reshape(-1, 16), leaves.reshape(-1, 16)
+    for width in (8, 4, 2, 1):
+        z[:, width:2 * width], o[:, width:2 * width] = level[:, 0::2], level[:, 1::2]
+        level = level[:, 0::2] + level[:, 1::2]
+    return zeros, ones
+
+
+def fit(speller: Speller, texts: DataFrame, learners: int = LEARNERS) -> Speller:
+    """Weights and refinement from all texts (word: their bytes), in tasks. Returns the frozen model.
+
+    Texts are dealt to learners by a hash and sorted, so that a learner meets the same texts in the same steps
+    whatever tasks there are. A row per learner and weight or cell comes to the driver.
     """
     names, kind = ["learner", "at", "total", "n"], "learner int, at int, total double, n double"
+    weights = speller.weights.size
 
-    def sent(learner: int, total: np.ndarray, n: np.ndarray):
-        met = np.flatnonzero(n)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(met), learner, dtype=np.int32)), pa.array(met.astype(np.int32)), pa.array(total[met]), pa.array(n[met])], names)
-
-    def weights(batches):
-        def runs():
+    def learnt(batches):
+        def pairs():
             for batch in batches:
-                who = batch.column(0).to_numpy()
-                edges = np.r_[0, np.flatnonzero(np.diff(who)) + 1, len(who)]
-                for a, b in zip(edges[:-1], edges[1:]):
-                    if b > a:
-                        yield int(who[a]), batch.column(1).slice(a, b - a).to_pylist()
+                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
 
-        for number, parts in groupby(runs(), key=lambda run: run[0]):
+        for number, mine in groupby(pairs(), key=lambda pair: pair[0]):
             own = shared.value.starting()
-            met = np.zeros(len(own.weights))
-            for every in gathered((words_ for _, words_ in parts), 100 * GROUP):
-                met += own.learn(every)
-            n = np.repeat(met, len(ORDERS))
-            yield sent(number, own.weights.reshape(-1) * n, n)
-
-    def cells(batches):
-        hits, ones = np.zeros(size), np.zeros(size)
-        for every in gathered((batch.column(0).to_pylist() for batch in batches), 20_000):
-            h, o = shared.value.met_cells(every)
-            hits, ones = hits + h, ones + o
-        yield sent(0, ones, hits)
-
-    context, size = words.sparkSession.sparkContext, speller.refined.size
-    deal = F.pmod(F.xxhash64("word"), F.lit(LEARNERS)).cast("int")
-    dealt = words.select(deal.alias("learner"), "word").repartition(LEARNERS, "learner").sortWithinPartitions("learner", F.xxhash64(F.lit(1), "word"), "word")
-    learner = speller.learner()
-    for _ in range(ROUNDS):
-        shared = context.broadcast(learner)
-        found = materialise(dealt.mapInArrow(weights, kind), "weights").toArrow().sort_by([("learner", "ascending"), ("at", "ascending")])
-        total, n = np.zeros(learner.weights.size), np.zeros(learner.weights.size)
-        place = found.column("at").to_numpy()
-        np.add.at(total, place, found.column("total").to_numpy())  # in the order of the learners
-        np.add.at(n, place, found.column("n").to_numpy())
-        flat = learner.weights.reshape(-1)
-        flat[n > 0] = total[n > 0] / n[n > 0]
-        shared.unpersist()
-    shared = context.broadcast(learner)
-    rows = words.select("word").mapInArrow(cells, kind).groupBy("at").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    found = materialise(rows, "cells").toArrow().sort_by("at")
+            n = np.repeat(own.learn(text.lower() for _, text in mine), len(ORDERS)).astype(np.float64)
+            total = np.concatenate([own.summed.reshape(-1), own.hit_ones])
+            n = np.concatenate([n, own.hits])
+            met = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), number, dtype=np.int32)), pa.array(met.astype(np.int32)), pa.array(total[met]), pa.array(n[met])], names)
+
+    context = texts.sparkSession.sparkContext
+    deal = F.pmod(F.xxhash64("word"), F.lit(learners)).cast("int")
+    dealt = texts.select(deal.alias("learner"), "word").repartition(learners, "learner").sortWithinPartitions("learner", F.xxhash64(F.lit(1), "word"), "word")
+    shared = context.broadcast(speller.learner())
+    found = materialise(dealt.mapInArrow(learnt, kind), "weights").toArrow().sort_by([("learner", "ascending"), ("at", "ascending")])
     shared.unpersist()
-    speller.weights = learner.weights
-    speller.refine_by(*(found.column(name).to_numpy() for name in ("at", "n", "total")))
+    size = weights + speller.refined.size
+    total, n = np.zeros(size), np.zeros(size)
+    place = found.column("at").to_numpy()
+    np.add.at(total, place, found.column("total").to_numpy())  # in the order of the learners
+    np.add.at(n, place, found.column("n").to_numpy())
+    flat, met = speller.weights.reshape(-1), n[:weights] > 0
+    flat[met] = total[:weights][met] / n[:weights][met]
+    cell = np.flatnonzero(n[weights:])
+    speller.refine_by(cell, n[weights:][cell], total[weights:][cell])
     return speller.freeze()
 
 
@@ -278,27 +362,17 @@ def _tokens(batch_text, most: int = PIECE):
         yield lo, hi - lo, piece, starts, ends, rows, hashes(piece, starts, ends) if len(starts) else np.zeros(0, dtype=np.uint64)
 
 
-def word_counts(marked: DataFrame, gates: int) -> DataFrame:
-    """(text, held_out, gate) -> (h, word, c0, c1, ...): learning counts per gate; words met in held-out texts only have zeros."""
-    names = ["h", "word", *[f"c{g}" for g in range(gates)]]
-
+def word_counts(marked: DataFrame) -> DataFrame:
+    """(text, held_out) -> (h, c): learning counts; words met in held-out texts only have zeros."""
     def run(batches):
         for batch in batches:
             learns = ~np.array(batch.column(1).to_pylist(), dtype=bool)
-            gate = np.array(batch.column(2).to_pylist(), dtype=np.int64)
-            for lo, n, piece, starts, ends, rows, h in _tokens(batch.column(0), PIECE * FEW_GATES // max(FEW_GATES, gates)):
-                values, first, number = np.unique(h, return_index=True, return_inverse=True)
-                where = lo + rows
-                counts = np.bincount(number * gates + gate[where], weights=learns[where], minlength=len(values) * gates).reshape(-1, gates).astype(np.int64)
-                texts = np.bincount(gate[lo:lo + n], weights=learns[lo:lo + n], minlength=gates).astype(np.int64)
-                raw = piece.tobytes()
-                spelt = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-                counts = np.vstack([counts, texts])
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(values, np.uint64(END_OF_TEXT)).view(np.int64)), pa.array([*spelt, b""], pa.binary()),
-                                                  *[pa.array(counts[:, g]) for g in range(gates)]], names)
-
-    found = marked.select("text", "held_out", "gate").mapInArrow(run, ", ".join(["h long", "word binary", *[f"{c} long" for c in names[2:]]]))
-    return found.groupBy("h", "word").agg(*[F.sum(c).alias(c) for c in names[2:]])
+            for lo, n, _, _, _, rows, h in _tokens(batch.column(0)):
+                values, number = np.unique(h, return_inverse=True)
+                counts = np.bincount(number, weights=learns[lo + rows], minlength=len(values)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(values, np.uint64(END_OF_TEXT)).view(np.int64)), pa.array(np.append(counts, learns[lo:lo + n].sum()))], ["h", "c"])
+
+    return marked.select("text", "held_out").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def _frequent(words: DataFrame, most: int = FREQUENT) -> int:
@@ -311,118 +385,55 @@ def _frequent(words: DataFrame, most: int = FREQUENT) -> int:
     return least if least is not None else 1 << 62
 
 
-def discounted(counts: np.ndarray, distinct: int, total: int, back: np.ndarray) -> np.ndarray:
-    """log10 of the discounted share plus the mass taken off times 10 ** back. No power is taken, so none underflows."""
-    if not total:
-        return back
-    with np.errstate(divide="ignore"):
-        own = np.log(np.maximum(counts - DISCOUNT, 0) / total)
-    return np.logaddexp(own, back * math.log(10) + math.log(DISCOUNT * distinct / total)) / math.log(10)
-
-
-def _log_sum(parts: list[Column], shares: list[float]) -> Column:
-    top = F.greatest(*parts) if len(parts) > 1 else parts[0]
-    total = F.lit(0.0)
-    for p, s in zip(parts, shares):
-        total = total + s * F.pow(F.lit(10.0), p - top)
-    return top + F.log10(total)
-
-
 def score(docs: DataFrame, remainder: int = 1) -> DataFrame:
-    """(doc_id, text, lang) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits, bits_per_byte."""
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").withColumn("held_out", held_out(remainder=remainder))
-    common = marked.filter(~F.col("held_out") & F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()  # one row a language
-    gates = len(common) + 1
-    gate = F.when(F.col("lang").isNull(), F.lit(0))
-    for g, row in enumerate(common, 1):
-        gate = gate.when(F.col("lang") == row["lang"], F.lit(g))
-    marked = marked.withColumn("gate", gate.otherwise(0))
-    counts = [F.col(f"c{g}") for g in range(gates)]
-    words = materialise(word_counts(marked, gates).withColumn("c", sum(counts[1:], counts[0])).sortWithinPartitions("h"), "words")
-
-    # Corpus totals: tokens, distinct words and texts, in all and per gate.
-    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), *[x for g in range(gates) for x in (
-        F.coalesce(F.sum(f"c{g}"), F.lit(0)).alias(f"n{g}"), F.count(F.when(F.col(f"c{g}") > 0, 1)).alias(f"v{g}"),
-        F.coalesce(F.sum(F.when(F.col("h") == END_OF_TEXT, F.col(f"c{g}"))), F.lit(0)).alias(f"t{g}"))]).first()
+    """(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits, bits_per_byte."""
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(remainder=remainder))
+    words = materialise(word_counts(marked).sortWithinPartitions("h"), "words")
+    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     total, distinct = sums["n"], sums["v"]
     floor = math.log10(total + 0.5 * (distinct + 1))
-    texts = sum(sums[f"t{g}"] for g in range(gates))
-    shares = [(sums[f"t{g}"] + 0.5) / (texts + 0.5 * gates) for g in range(gates)]
-
-    known = words.filter("c > 0")
-    table = materialise(spelling_counts(known), "spelling").toArrow()  # at most orders x SLOTS rows
-    zeros, ones = np.zeros(len(ORDERS) * SLOTS, dtype=np.int32), np.zeros(len(ORDERS) * SLOTS, dtype=np.int32)
-    slot = table.column("slot").to_numpy()
-    zeros[slot], ones[slot] = table.column("zeros").to_numpy(), table.column("ones").to_numpy()
-    del table, slot
-    shared = docs.sparkSession.sparkContext.broadcast(fit(Speller(zeros, ones), known))
-
-    def probabilities(batches):
-        model = shared.value
-        for batch in batches:
-            spelt = batch.column(1).to_pylist()
-            spelling = np.concatenate([model.log10(spelt[i:i + 20_000]) for i in range(0, len(spelt), 20_000)]) if spelt else np.zeros(0)
-            c = batch.column(2).to_numpy().astype(float)
-            back = discounted(c, distinct, total, spelling)
-            out = [pa.array(discounted(batch.column(3 + g).to_numpy().astype(float), sums[f"v{g}"], sums[f"n{g}"], back)) for g in range(gates)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *out], ["h", "c", *parts])
-
-    parts = [f"l{g}" for g in range(gates)]
-    schema = "h long, c long, " + ", ".join(f"{p} double" for p in parts)
-    priced = materialise(words.select("h", "word", "c", *counts).mapInArrow(probabilities, schema), "priced")
-    least = _frequent(priced, FREQUENT * FEW_GATES // max(FEW_GATES, gates))
-    top = priced.filter(F.col("c") >= least).toArrow().sort_by("h")  # at most FREQUENT rows
-    memory = docs.sparkSession.sparkContext.broadcast(tuple(top.column(name).to_numpy() for name in ("h", "c", *parts)))
+
+    learning = marked.filter(~F.col("held_out")).select(F.coalesce("text", F.lit("")).cast("binary").alias("word"))
+    speller = Speller(*bit_counts(leaves_of(materialise(spelling_counts(learning), "spelling").toArrow())))  # a table of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(fit(speller, learning, min(LEARNERS, 1 + total // SHARE)))
+
+    least = _frequent(words)
+    top = words.filter(F.col("c") >= least).toArrow().sort_by("h")  # at most FREQUENT rows
+    memory = docs.sparkSession.sparkContext.broadcast((top.column("h").to_numpy(), top.column("c").to_numpy()))
     del top
 
     def look_up(batches):
+        """Row numbers run on over the batches of a task."""
         row = TaskContext.get().partitionId() << 33
-        values, known_counts, *prices = memory.value
+        values, known_counts = memory.value
         for batch in batches:
-            ids, held = batch.column(0), batch.column(2)
-            for lo, n, _, _, _, rows, h in _tokens(batch.column(1)):
+            ids, texts, held, size = (batch.column(i) for i in range(4))
+            for lo, n, _, _, _, rows, h in _tokens(texts):
                 h = np.concatenate([h.view(np.int64), np.full(n, END_OF_TEXT, dtype=np.int64)])
                 rows = np.concatenate([rows, np.arange(n)])
                 at = np.minimum(np.searchsorted(values, h), max(len(values) - 1, 0))
                 hit = values[at] == h if len(values) else np.zeros(len(h), dtype=bool)
                 mine, at = rows[hit], at[hit]
                 base = np.bincount(mine, weights=np.log10(known_counts[at] + 0.5) - floor, minlength=n)
-                sums_ = [np.bincount(mine, weights=p[at], minlength=n) for p in prices]
                 rare = np.argsort(rows[~hit], kind="stable")
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(rows[~hit], minlength=n))).astype(np.int32)), pa.array(h[~hit][rare]))
+                whole = shared.value.log10([(t or "").encode().lower() for t in texts.slice(lo, n).to_pylist()])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(row, row + n)), ids.slice(lo, n), held.slice(lo, n), pa.array(np.bincount(rows, minlength=n)), pa.array(np.bincount(mine, minlength=n)),
-                    pa.array(base), *[pa.array(s) for s in sums_], lists], found_names)
+                    pa.array(np.arange(row, row + n)), ids.slice(lo, n), held.slice(lo, n), size.slice(lo, n), pa.array(np.bincount(rows, minlength=n)),
+                    pa.array(np.bincount(mine, minlength=n)), pa.array(base), pa.array(whole), lists], found_names)
                 row += n
 
-    found_names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", *parts, "rare"]
-    found_schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, " + ", ".join(f"{p} double" for p in parts) + ", rare array<long>, bytes long"
-    scanned = marked.select("doc_id", "text", "held_out", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
-
-    def with_bytes(batches):
-        for batch in batches:
-            size, at = batch.column(3), 0
-            for out in look_up([batch]):
-                yield out.append_column("bytes", size.slice(at, out.num_rows))
-                at += out.num_rows
-
-    def numbered(batches):
-        """Row numbers run on over the batches of a task."""
-        first = TaskContext.get().partitionId() << 33
-        for out in with_bytes(batches):
-            yield out.set_column(0, "row", pa.array(np.arange(first, first + out.num_rows)))
-            first += out.num_rows
-
-    scanned = materialise(scanned.mapInArrow(numbered, found_schema), "scanned")
-    rare = scanned.select("row", F.explode("rare").alias("h")).join(priced, "h").groupBy("row").agg(
-        F.count(F.when(F.col("c") > 0, 1)).alias("more_known"), F.sum(F.log10(F.col("c") + 0.5) - floor).alias("more_base"), *[F.sum(p).alias(f"more_{p}") for p in parts])
+    found_names = ["row", "doc_id", "held_out", "bytes", "n_tokens", "n_known", "base", "score", "rare"]
+    found_schema = "row long, doc_id long, held_out boolean, bytes long, n_tokens long, n_known long, base double, score double, rare array<long>"
+    read = marked.select("doc_id", "text", "held_out", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
+    scanned = materialise(read.mapInArrow(look_up, found_schema), "scanned")
+    rare = scanned.select("row", F.explode("rare").alias("h")).join(words, "h").groupBy("row").agg(
+        F.count(F.when(F.col("c") > 0, 1)).alias("more_known"), F.sum(F.log10(F.col("c") + 0.5) - floor).alias("more_base"))
     every = scanned.drop("rare").join(rare, "row", "left")
 
     def with_more(name: str, more: str) -> Column:
         return F.col(name) + F.coalesce(F.col(more), F.lit(0))
 
-    log10_p = _log_sum([with_more(p, f"more_{p}") for p in parts], shares)
-    result = every.select("doc_id", "held_out", "n_tokens", with_more("n_known", "more_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-                          with_more("base", "more_base").alias("base_score"), log10_p.alias("score"), "bytes")
     total_bits = -F.col("score") / math.log10(2)
-    return result.withColumn("bits", total_bits).withColumn("bits_per_byte", total_bits / F.greatest(F.lit(1), F.col("bytes"))).drop("bytes")
+    return every.select("doc_id", "held_out", "n_tokens", with_more("n_known", "more_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+                        with_more("base", "more_base").alias("base_score"), "score", total_bits.alias("bits"), (total_bits / F.greatest(F.lit(1), F.col("bytes"))).alias("bits_per_byte"))
