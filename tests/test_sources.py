@@ -161,3 +161,21 @@ def test_tables_reports_history(spark, tmp_path):
     assert [r["asset_id"] for r in sinks.newest_history(spark.read.parquet(log), 5, " A2 ").collect()] == ["A2"]
     with pytest.raises(DataQualityError):
         sinks.created(base.withColumn("component", F.lit("rocket")))
+
+
+def test_spread_files_keep_a_unit_together(spark):
+    """A subset's lines go to several files, so that no task writes a subset whole; a unit's lines stay in one file."""
+    from wearpath.plans.ingest import _written
+
+    rows = spark.range(4000).selectExpr("concat('s', id % 2) AS subset", "id % 100 AS unit", "concat(id % 100, ' ', id) AS value")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # few rows would go to one task
+    try:
+        place = _written(rows, "spread", "subset", spread=["unit"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = spark.read.text(f"{place}/*").selectExpr("value", "split(value, ' ')[0] AS unit", "_metadata.file_path AS path").collect()
+    assert sorted(r.value for r in back) == sorted(r.value for r in rows.collect())
+    paths = {}
+    for r in back:
+        paths.setdefault((r.path.split("/")[-2], r.unit), set()).add(r.path)
+    assert all(len(p) == 1 for p in paths.values()) and len({r.path for r in back}) > 2

@@ -13,10 +13,15 @@ from .registry import query, r, rs
 FILES = 12  # part files of a rendering that has no file order of its own
 
 
-def _written(lines, purpose, *by, order=()):
-    """Lines (column ``value``) as text files; with ``by``, one folder and file for each of its values, sorted by ``order``."""
+def _written(lines, purpose, *by, order=(), spread=()):
+    """Lines (column ``value``) as text files; with ``by``, one folder and file for each of its values, sorted by ``order``.
+
+    With ``spread``, a value's lines go to several files, all lines with the same ``spread`` to one.
+    """
     place = shared_folder(lines.sparkSession, purpose) + "/files"
-    if by:
+    if spread:
+        lines.repartition(*by, *spread).sortWithinPartitions(*by).select(*by, "value").write.partitionBy(*by).text(place)
+    elif by:
         lines = lines.repartition(FILES, *by).sortWithinPartitions(*by, *order)
         lines.select(*by, "value").write.partitionBy(*by).text(place)
     else:
@@ -41,7 +46,7 @@ def trajectory_lines(spark, d):
     """unit, cycle and 24 numbers derived from the event's value, two blanks apart here and there, trailing blanks."""
     s = event_series(spark, d).frame
     numbers = [F.round(F.col("value") * (i + 1) / 2, 3).cast("string") for i in range(24)]
-    return s.select("event_type", "event_id", F.concat(F.concat_ws(" ", (F.col("user_id") + 1).cast("string"), F.col("cycle").cast("string"), F.lit("")), F.concat_ws("  ", *numbers), F.lit("  ")).alias("value"))
+    return s.select("event_type", "event_id", "user_id", F.concat(F.concat_ws(" ", (F.col("user_id") + 1).cast("string"), F.col("cycle").cast("string"), F.lit("")), F.concat_ws("  ", *numbers), F.lit("  ")).alias("value"))
 
 
 _TRAJECTORY = f"""{EV} SELECT event_type AS subset, user_id + 1 AS unit_id, count(*) AS rows, max(cycle) AS last_cycle, {rs('sum(value / 2)', 3)} AS setting_1, {rs('sum(value * 12)', 3)} AS sensor_21"""
@@ -49,7 +54,7 @@ _TRAJECTORY = f"""{EV} SELECT event_type AS subset, user_id + 1 AS unit_id, coun
 
 @query("src_01_trajectory_files", f"WITH {_TRAJECTORY} FROM ev GROUP BY 1, 2")
 def trajectory_files(spark, d):
-    place = _written(trajectory_lines(spark, d), "trajectories", "event_type")
+    place = _written(trajectory_lines(spark, d), "trajectories", "event_type", spread=["user_id"])
     rows = readers.read_trajectories(spark, f"{place}/*")
     return rows.groupBy(_subset().alias("subset"), "unit_id").agg(
         F.count("*").alias("rows"), F.max("cycle").alias("last_cycle"), r(F.sum("operational_setting_1"), 3).alias("setting_1"), r(F.sum("sensor_21"), 3).alias("sensor_21"))
