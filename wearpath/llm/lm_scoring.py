@@ -44,7 +44,7 @@ SLOTS, FREQUENT = 1 << 21, 1 << 18
 #: Bytes of a learner's first online step and of its longest, learners whose weights are averaged; results depend on both and on nothing of the cluster.
 FIRST_STEP, STEP, LEARNERS, RATE = 1 << 5, 1 << 14, 32, 0.3
 #: Bytes laid out at once, and how far back a context may look across a cut of a longer text.
-RUN, LEAD, REACH = 1 << 18, 64, 32
+RUN, LEAD, REACH = 1 << 16, 64, 32
 END, END_OF_TEXT = b"\xff", 1
 PIECE, PRIOR = 1 << 22, 10
 #: Cells of the table sent as one array, and the most that a cell counts: sums of sixteen stay within 32 bits.
@@ -270,7 +270,7 @@ def spelling_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         counts = np.zeros(len(ORDERS) * SLOTS, dtype=np.int32)
-        for data, owner, lead in runs(t.lower() for batch in batches for t in batch.column(0).to_pylist()):
+        for data, owner, lead in runs(t.lower() for batch in batches for i in range(0, batch.num_rows, 64) for t in batch.column(0).slice(i, 64).to_pylist()):
             for _, value, rows in nibbles(data, contexts(data, owner)):
                 for r in rows:
                     np.add.at(counts, (r + value)[lead:], np.int32(1))
@@ -324,7 +324,8 @@ def fit(speller: Speller, texts: DataFrame, learners: int = LEARNERS) -> Speller
     def learnt(batches):
         def pairs():
             for batch in batches:
-                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                for i in range(0, batch.num_rows, 64):
+                    yield from zip(batch.column(0).slice(i, 64).to_pylist(), batch.column(1).slice(i, 64).to_pylist())
 
         for number, mine in groupby(pairs(), key=lambda pair: pair[0]):
             own = shared.value.starting()
