@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wearpath.operators import causal, quality
 from wearpath.operators.series import series
@@ -125,3 +126,22 @@ def test_predictions_without_review_come_out(spark):
     counts = {r.outcome: r["count"] for r in rows.groupBy("outcome").count().collect()}
     late = len([i for i in range(40) if i % 3 == 0])
     assert counts == {"reviewed": 40 - late, "unreviewed": 48 - 40 + late, "unmatched": late + 1}
+
+
+def test_a_call_serves_many_units(spark, tmp_path):
+    """Units share calls and keep their own state over batches; one without a name is a unit too."""
+    rows = [(None if u == 40 else f"u{u}", 1000 * u + k, START + timedelta(minutes=7 * k + u), float(k % 5), 1, k) for u in range(41) for k in range(9)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    stream, hold = online.replay(frame, "ts", files_per_trigger=3)
+
+    def step(good, starts, held):
+        ends = [*starts[1:], len(good)]
+        before = np.concatenate([np.arange(1, e - b + 1) + (state[0] if state else 0) for b, e, state in zip(starts, ends, held)])
+        return good.assign(seen=before, together=len(starts)), [(int(before[e - 1]),) for e in ends]
+
+    output = [T.StructField("seen", T.LongType()), T.StructField("together", T.LongType())]
+    timed = online.timed(stream, "ts", hold).drop("ts")
+    got = online.run_to_end(online.in_order(timed, "unit", ["at", "event_id"], output, "n long", step, shards=2), "shards").toPandas()
+    assert len(got) == len(rows) and (got.status == "accepted").all()
+    assert (got.seen == got.event_id % 1000 + 1).all()
+    assert got[got.unit.notna()].together.min() > 1

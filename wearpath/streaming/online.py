@@ -19,10 +19,12 @@ enters the watermark through a copy that carries nothing else, and the row itsel
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,12 +49,13 @@ def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def replay(table: DataFrame, event_time: str, slices: int = 4, files_per_trigger: int = 16) -> tuple[DataFrame, str]:
+def replay(table: DataFrame, event_time: str, slices: int = 4, files_per_trigger: int | None = None) -> tuple[DataFrame, str]:
     """A stored table as a stream that arrives roughly by time, and how long rows must be held to be in order.
 
     The table is written in ``slices`` of equal time, one after the other, so that files arrive in that order whatever
     the table's own files are; inside a slice they come in any order. The last file holds one row at `CLOSING`: it
-    moves the watermark past everything, which releases what still waits.
+    moves the watermark past everything, which releases what still waits. A trigger takes a slice's share of the files unless told
+    otherwise, so that the rows that wait are written a few times, however many files there are.
     """
     spark = table.sparkSession
     table = table.withColumn(event_time, F.col(event_time).cast("timestamp"))
@@ -66,6 +69,8 @@ def replay(table: DataFrame, event_time: str, slices: int = 4, files_per_trigger
         table.filter(mine | at.isNull() if k == 0 else mine).write.mode("append").parquet(path)
     end = spark.range(1).select(*[(F.lit(CLOSING) if c == event_time else F.lit(None)).cast(table.schema[c].dataType).alias(c) for c in table.columns])
     end.write.mode("append").parquet(path)
+    if files_per_trigger is None:
+        files_per_trigger = max(16, -(-len(spark.read.schema(table.schema).parquet(path).inputFiles()) // slices))
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     return stream, f"{-(-width // 1_000_000)} seconds"
 
@@ -95,59 +100,78 @@ def run_to_end(stream: DataFrame, purpose: str, mode: str = "append", partition_
 
 
 # -- rows of a unit in order ------------------------------------------------------------------
-Step = Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]]
+# Rows of many units, each unit's together and in order; the place of each unit's first row; each unit's state (or none).
+# Returns the rows with the new columns and each unit's new state.
+Step = Callable[[pd.DataFrame, np.ndarray, list[tuple | None]], tuple[pd.DataFrame, list[tuple]]]
+#: Keys of the state, unless the session setting ``spark.wearpath.streamShards`` says otherwise.
+SHARDS = 256
 
 
-def in_order(rows: DataFrame, unit: str, order: Sequence[str], output: list[T.StructField], state_ddl: str, step: Step) -> DataFrame:
-    """Feed each unit's rows to ``step(rows, state)`` in order; a status says what became of each row.
+def _packed(rows: pd.DataFrame) -> bytes:
+    table, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def in_order(rows: DataFrame, unit: str, order: Sequence[str], output: list[T.StructField], state_ddl: str, step: Step, shards: int | None = None) -> DataFrame:
+    """Feed each unit's rows to ``step(rows, starts, states)`` in order; a status says what became of each row.
 
     ``order`` begins with the row's time in microseconds where the rows have a ``clock`` (see `timed`); rows are then held
     until the watermark passes them. Without a clock they go at once, in the order of their batch, and what comes
     before an earlier batch is late. ``step`` gets accepted rows and returns them with the ``output`` columns; it may set ``status``
-    itself. The state holds the unit's last order tuple, the step's own state and the rows that wait.
+    itself. Units are dealt to ``shards`` by a hash, so that a call serves many of them. A shard's state holds each unit's last
+    order tuple and the step's own state, and the rows that wait.
     """
     order, held_back = list(order), "clock" in rows.columns
+    if shards is None:
+        shards = int(rows.sparkSession.conf.get("spark.wearpath.streamShards", str(SHARDS)))
     columns = [c for c in rows.columns if c != "clock"]
     added = [f.name for f in output]
     schema = T.StructType([rows.schema[unit], *[rows.schema[c] for c in columns if c != unit], T.StructField("status", T.StringType()), *output])
     names = schema.fieldNames()
-    carried = [c for c in columns if c != unit]
+    carried = [unit, *[c for c in columns if c != unit]]
     own = T.StructType.fromDDL(state_ddl)
+    many = lambda name, kind: T.StructField(name, T.ArrayType(kind))
     state_schema = T.StructType([
-        *[T.StructField(f"last_{c}", rows.schema[c].dataType) for c in order], *own.fields, *[T.StructField(f"wait_{c}", T.ArrayType(rows.schema[c].dataType)) for c in carried]])
-
+        many("units", rows.schema[unit].dataType), *[many(f"last_{c}", rows.schema[c].dataType) for c in order],
+        *[many(f.name, f.dataType) for f in own.fields], T.StructField("waiting", T.BinaryType())])
     whole = {c for c in columns if isinstance(rows.schema[c].dataType, T.IntegralType)}
 
-    def plain(value, c):
-        if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and np.isnan(value) and c in whole):
-            return None
+    def plain(values: pd.Series, c: str) -> list:
         # A whole number next to a null comes as a float.
-        return int(value) if c in whole else value.item() if hasattr(value, "item") else value
+        return [None if pd.isna(v) else int(v) if c in whole else v for v in values.tolist()]
 
     def advance(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, mine, waiting = None, None, None
+        last, mine, parts = {}, {}, []
         if state.exists:
-            held = tuple(state.get)
-            last = held[:len(order)] if held[0] is not None else None
-            mine = held[len(order):len(order) + len(own)] if last is not None else None
-            lists = held[len(order) + len(own):]
-            if lists[0]:
-                waiting = pd.DataFrame({c: pd.Series(list(v), dtype="object") for c, v in zip(carried, lists)})
-        parts = [] if state.hasTimedOut else [b[carried] for b in batches]
-        parts = ([waiting] if waiting is not None else []) + [p for p in parts if len(p)]
+            units, *lists, packed = tuple(state.get)
+            last = dict(zip(units, zip(*lists[:len(order)])))
+            mine = dict(zip(units, zip(*lists[len(order):]))) if len(own) else {}
+            if packed:
+                parts.append(pa.ipc.open_stream(bytes(packed)).read_pandas())
+        if not state.hasTimedOut:
+            parts += [b[carried] for b in batches if len(b)]
         if not parts:
             return
-        if waiting is not None and len(parts) > 1:
-            parts[0] = waiting.astype({c: parts[1][c].dtype for c in carried if not waiting[c].isna().any()})
-        fresh = pd.concat(parts, ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+        # Rows without a unit have a shard of their own: units sort.
+        fresh = pd.concat(parts, ignore_index=True).sort_values([unit, *order], kind="stable", ignore_index=True)
+        same_unit = (fresh[unit] == fresh[unit].shift()) | (fresh[unit].isna() & (np.arange(len(fresh)) > 0))
+        number = np.cumsum(~same_unit.to_numpy(bool)) - 1
+        labels = np.array([*plain(fresh.loc[~same_unit, unit], unit), None], dtype=object)[:-1]
         status = np.full(len(fresh), ACCEPTED, dtype=object)
-        status[fresh.duplicated(order, keep="first").to_numpy()] = REPEATED
-        if last is not None:
-            before, same = np.zeros(len(fresh), dtype=bool), np.ones(len(fresh), dtype=bool)
-            for c, value in zip(order, last):
-                before |= same & (fresh[c] < value).to_numpy()
-                same &= (fresh[c] == value).to_numpy()
-            status[before], status[same] = LATE, REPEATED
+        status[fresh.duplicated([unit, *order], keep="first").to_numpy()] = REPEATED
+        seen = np.array([label in last for label in labels], dtype=bool)
+        if seen.any():
+            rows_seen = np.flatnonzero(seen[number])
+            told, which = fresh.loc[rows_seen], (np.cumsum(seen) - 1)[number[rows_seen]]
+            released = list(zip(*[last[label] for label in labels[seen]]))
+            before, same = np.zeros(len(told), dtype=bool), np.ones(len(told), dtype=bool)
+            for c, values in zip(order, released):
+                values = pd.Series(values, index=range(len(values))).take(which).set_axis(told.index)
+                before |= same & (told[c] < values).to_numpy(bool)
+                same &= (told[c] == values).to_numpy(bool)
+            status[rows_seen[before]], status[rows_seen[same]] = LATE, REPEATED
         status[fresh[order].isna().any(axis=1).to_numpy()] = UNTIMED
         limit = state.getCurrentWatermarkMs() * 1000 if held_back else None
         wait = (status == ACCEPTED) & (fresh[order[0]] > limit).to_numpy() if held_back else np.zeros(len(fresh), dtype=bool)
@@ -155,19 +179,44 @@ def in_order(rows: DataFrame, unit: str, order: Sequence[str], output: list[T.St
         good = fresh.loc[go].reset_index(drop=True)
         if len(good):
             good = good.infer_objects()
-            last = tuple(plain(good[c].iloc[-1], c) for c in order)
-            built, mine = step(good.assign(**{unit: key[0]}), mine)
+            starts = np.flatnonzero(np.diff(number[go], prepend=-1))
+            met, ends = labels[number[go][starts]], np.append(starts[1:], len(good)) - 1
+            built, states = step(good, starts, [mine.get(label) for label in met])
+            last.update(zip(met, zip(*[plain(good[c].iloc[ends], c) for c in order])))
+            mine.update(zip(met, states))
             yield (built if "status" in built else built.assign(status=ACCEPTED))[names]
         rest = status != ACCEPTED
         if rest.any():
-            yield fresh.loc[rest].assign(**{unit: key[0]}, status=status[rest], **{c: None for c in added})[names]
+            yield fresh.loc[rest].assign(status=status[rest], **{c: None for c in added})[names]
         later = fresh.loc[wait]
-        state.update((*(last or [None] * len(order)), *(mine or [None] * len(own)), *([plain(v, c) for v in later[c]] for c in carried)))
+        state.update((list(last), *[[held[i] for held in last.values()] for i in range(len(order))],
+                      *[[mine[label][i] for label in last] for i in range(len(own))], _packed(later) if len(later) else None))
         if len(later):
             state.setTimeoutTimestamp(int(later[order[0]].min()) // 1000 + 1)
 
     timeout = GroupStateTimeout.EventTimeTimeout if held_back else GroupStateTimeout.NoTimeout
-    return rows.groupBy(unit).applyInPandasWithState(advance, schema, state_schema, "append", timeout)
+    shard = F.when(F.col(unit).isNull(), -1).otherwise(F.pmod(F.xxhash64(unit), F.lit(shards)).cast("int"))
+    return rows.withColumn("__shard", shard).groupBy("__shard").applyInPandasWithState(advance, schema, state_schema, "append", timeout)
+
+
+def _trailing_moments(x: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation of the finite values among each row's last ``window``; ``place``: rows before it in its unit."""
+    def over(values):
+        total = np.zeros(len(x))
+        for back in range(min(window, len(x))):
+            total[back:] += np.where(place[back:] >= back, values[:len(x) - back], 0.0)
+        return total
+
+    there = np.isfinite(x)
+    filled = np.where(there, x, 0.0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        n = over(there.astype(float))
+        mean = over(filled) / n
+        spread = np.zeros(len(x))
+        for back in range(min(window, len(x))):
+            use = (place[back:] >= back) & there[:len(x) - back]
+            spread[back:] += np.where(use, (filled[:len(x) - back] - mean[back:]) ** 2, 0.0)
+        return mean, np.sqrt(spread / n)
 
 
 def causal_features(rows: DataFrame, unit: str, order: Sequence[str], value: str, window: int = 5, span: int = 5, baseline: int = 10) -> DataFrame:
@@ -175,25 +224,34 @@ def causal_features(rows: DataFrame, unit: str, order: Sequence[str], value: str
     alpha = 2.0 / (span + 1)
     names = (f"{value}_delta", f"{value}_mean_{window}", f"{value}_std_{window}", f"ewm{span}", f"{value}_baseline")
     output = [T.StructField("cycle", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names]]
+    reach = max(window - 1, 1)
 
-    def step(good, held):
-        count, level, head_sum, head_n, buffer = held or (0, None, 0.0, 0, [])
+    def step(good, starts, held):
         x = good[value].to_numpy(float)
-        joined = pd.Series(np.r_[np.asarray(buffer, float), x])
-        rolled = joined.rolling(window, min_periods=1)
-        skip = len(buffer)
-        cycles = count + np.arange(1, len(x) + 1)
-        inside = np.clip(baseline - count, 0, len(x))
-        sums = head_sum + np.r_[np.cumsum(x[:inside]), np.full(len(x) - inside, x[:inside].sum())]
-        sizes = head_n + np.minimum(np.arange(1, len(x) + 1), inside)
-        smoothed = np.empty(len(x))
-        for i, v in enumerate(x):  # one multiply-add per new record
-            level = v if level is None else alpha * v + (1 - alpha) * level
-            smoothed[i] = level
-        built = good.assign(**dict(zip(("cycle", *names), (
-            cycles, np.r_[joined.diff().fillna(0.0).to_numpy()[skip:]], rolled.mean().to_numpy()[skip:],
-            rolled.std(ddof=0).to_numpy()[skip:], smoothed, sums / sizes))))
-        return built, (int(cycles[-1]), float(level), float(sums[-1]), int(sizes[-1]), [float(v) for v in joined.iloc[-max(window - 1, 1):]])
+        cycles, smoothed, base, states, joined = [], [], [], [], []
+        for b, e, state in zip(starts, np.append(starts[1:], len(x)), held):
+            count, level, head_sum, head_n, buffer = state or (0, None, 0.0, 0, [])
+            mine = x[b:e].tolist()
+            for v in mine:  # a few additions per new record
+                count += 1
+                level = v if level is None else alpha * v + (1 - alpha) * level
+                if count <= baseline:
+                    head_sum, head_n = head_sum + v, head_n + 1
+                cycles.append(count)
+                smoothed.append(level)
+                base.append(head_sum / head_n)
+            joined += [*buffer, *mine]
+            states.append((count, level, head_sum, head_n, [*buffer, *mine][-reach:]))
+        # What a unit keeps of earlier rows stands before its new ones.
+        kept = np.array([len(state[4]) if state else 0 for state in held])
+        sizes = np.diff(np.append(starts, len(x))) + kept
+        place = np.arange(len(joined)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        new = place >= np.repeat(kept, sizes)
+        joined = np.array(joined, dtype=float)
+        mean, spread = _trailing_moments(joined, place, window)
+        delta = np.where(place > 0, np.diff(joined, prepend=0.0), 0.0)
+        columns = (cycles, np.where(np.isnan(delta), 0.0, delta)[new], mean[new], spread[new], smoothed, base)
+        return good.assign(**dict(zip(("cycle", *names), columns))), states
 
     return in_order(rows, unit, order, output, "seen long, level double, head_sum double, head_n long, buffer array<double>", step)
 
@@ -202,18 +260,26 @@ def persistence_alerts(rows: DataFrame, unit: str, order: Sequence[str], vote: s
     """Alert when enough of the last votes are 1; a gap in the positions (where rows have one) clears the votes."""
     output = [T.StructField("cycle", T.LongType()), T.StructField("segment", T.LongType()), T.StructField("alert", T.IntegerType())]
 
-    def step(good, held):
-        count, segment, previous, votes = held or (0, 0, None, [])
-        cycles = count + np.arange(1, len(good) + 1)
-        positions, ballots = good[position].to_numpy() if position else cycles, good[vote].to_numpy(int)
-        breaks = np.r_[0 if previous is None else int(positions[0] != previous + 1), (np.diff(positions) != 1).astype(int)]
-        segments = segment + np.cumsum(breaks)
-        ids = np.r_[np.full(len(votes), segment), segments]
-        every = pd.Series(np.r_[np.asarray(votes, int), ballots])
-        counts = every.groupby(ids).rolling(window, min_periods=1).sum().to_numpy()[len(votes):]
-        keep = every[ids == segments[-1]].iloc[-(window - 1):] if window > 1 else every.iloc[:0]
-        built = good.assign(cycle=cycles, segment=segments, alert=(counts >= required).astype("int32"))
-        return built, (int(cycles[-1]), int(segments[-1]), int(positions[-1]), [int(v) for v in keep])
+    def step(good, starts, held):
+        ballots = good[vote].to_numpy(int).tolist()
+        positions = good[position].tolist() if position else None
+        cycles, segments, alerts, states = [], [], [], []
+        for b, e, state in zip(starts.tolist(), [*starts[1:].tolist(), len(good)], held):
+            count, segment, previous, votes = state or (0, 0, None, [])
+            recent = deque(votes, window)
+            for i in range(b, e):
+                count += 1
+                at = positions[i] if position else count
+                if previous is not None and at != previous + 1:
+                    segment += 1
+                    recent.clear()
+                previous = at
+                recent.append(ballots[i])
+                cycles.append(count)
+                segments.append(segment)
+                alerts.append(sum(recent) >= required)
+            states.append((count, segment, int(previous), list(recent)[-(window - 1):] if window > 1 else []))
+        return good.assign(cycle=cycles, segment=segments, alert=np.array(alerts, dtype="int32")), states
 
     return in_order(rows, unit, order, output, "seen long, segment long, previous long, votes array<int>", step)
 
@@ -227,15 +293,18 @@ def first_of_key(rows: DataFrame, key: str, memory_seconds: int, buckets: int =
     dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
     memory = memory_seconds * 1_000_000
 
-    def step(good, held):
-        known = dict(zip(*held)) if held else {}
-        status = []
-        for k, at in zip(good[key].tolist(), good["at"].tolist()):
-            status.append(REPEATED if k in known and at - known[k] <= memory else ACCEPTED)
-            known[k] = at
-        now = int(good["at"].iloc[-1])
-        known = {k: at for k, at in known.items() if now - at <= memory}
-        return good.assign(status=status), (list(known), list(known.values()))
+    def step(good, starts, held):
+        status, states = [], []
+        keys, times = good[key].tolist(), good["at"].tolist()
+        for b, e, state in zip(starts.tolist(), [*starts[1:].tolist(), len(good)], held):
+            known = dict(zip(*state)) if state else {}
+            for k, at in zip(keys[b:e], times[b:e]):
+                status.append(REPEATED if k in known and at - known[k] <= memory else ACCEPTED)
+                known[k] = at
+            now = int(times[e - 1])
+            known = {k: at for k, at in known.items() if now - at <= memory}
+            states.append((list(known), list(known.values())))
+        return good.assign(status=status), states
 
     kind = rows.schema[key].dataType.simpleString()
     return in_order(dealt, "__bucket", ["at", key], [], f"keys array<{kind}>, seen array<long>", step).drop("__bucket")
