@@ -96,7 +96,7 @@ def envelope_score(channels: Sequence[str], aggregation: str = "max") -> Column:
     """Largest absolute z, or Mahalanobis length, of a row that carries its fit."""
     z = z_scores(channels)
     if aggregation == "max":
-        return F.array_max(F.transform(F.array(*z), F.abs))
+        return F.greatest(*map(F.abs, z)) if len(z) > 1 else F.abs(z[0])
     if aggregation != "mahalanobis":
         raise ValueError(f"unknown aggregation {aggregation!r}")
     p, total = len(channels), F.lit(0.0)

@@ -301,7 +301,7 @@ def target_gates(spark, d):
 
 
 # -- nested evaluation -----------------------------------------------------------------
-NESTED_BLOCKS = len(FAULTS)
+NESTED_BLOCKS, NESTED_REACH = len(FAULTS), 5  # normal blocks; rows in the longest window of the grid
 NESTED_GRID = [{"index": i, "smoothing": s, "q": q, "window": w, "required": m} for i, (s, q, w, m) in enumerate(
     (s, q, w, m) for s in (1, 3) for q in (0.9, 0.95) for w, m in ((1, 1), (5, 3)))]
 
@@ -315,41 +315,45 @@ def nested_evaluation(spark, d):
     plan = spark.createDataFrame(splits.nested_plan(NESTED_BLOCKS), "outer int, inner int, role string, block int")
     fault_no = F.array_position(F.array(*[F.lit(f) for f in FAULTS]), F.col("scenario")).cast("int") - 1
     s = blocked(spark, d, NESTED_BLOCKS)
-    variants = [s.frame.select("scenario", "position", "is_abnormal", "block", F.lit(1).alias("smoothing"), *AB)]
-    variants += [detect.smooth(s, AB, 3).frame.select("scenario", "position", "is_abnormal", "block", F.lit(3).alias("smoothing"), *AB)]
+    # The four rows before each row of its stretch (a block of normal rows, a fault's whole trajectory) stand beside it, so that
+    # a cell's scores and votes come from one row at a time: cells multiply nothing that is sorted, sent or written.
+    names = ["scenario", "position", "is_abnormal", "block", *AB, *[f"{c}_{k}" for k in range(1, NESTED_REACH) for c in AB]]
+
+    def beside(f):
+        same = {k: F.lag("block", k).over(f.ordered).eqNullSafe(F.col("block")) for k in range(1, NESTED_REACH)}
+        return {f"{c}_{k}": F.when(same[k], F.lag(c, k).over(f.ordered)) for k in same for c in AB}
+
+    variants = [v.trailing(NESTED_REACH, beside).frame.select(*names, F.lit(n).alias("smoothing")) for n, v in ((1, s), (3, detect.smooth(s, AB, 3)))]
     rows = materialise(variants[0].unionByName(variants[1]), "variants")
     cell = ["outer", "inner", "smoothing"]
 
     # ``smoothing`` looks back over earlier rows of its trajectory, so each block is smoothed in place.
-    normal = rows.filter("is_abnormal = 0").join(F.broadcast(plan), "block")
-    fits = detect.fit_envelope(normal.filter("role = 'train'"), AB, cell)
-    outer = F.explode(F.sequence(F.lit(0), F.lit(NESTED_BLOCKS - 1)))
-    faults = rows.filter("is_abnormal = 1").withColumn("outer", outer).withColumn("inner", F.explode(F.when(
-        fault_no == F.col("outer"), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(NESTED_BLOCKS - 2)))))
-    faults = faults.withColumn("role", F.when(F.col("inner") == -1, "test").otherwise("validation"))
-    judged = normal.filter("role <> 'train'").unionByName(faults, allowMissingColumns=True)
-    fits = materialise(fits, "fits")
-    scored = materialise(judged.join(F.broadcast(fits), cell).withColumn("score", detect.envelope_score(AB)).select(
-        *cell, "role", "scenario", "position", "is_abnormal", "score"), "scores")
-    held = scored.filter("role = 'calibration'")
+    def normal(role):
+        return rows.filter("is_abnormal = 0").join(F.broadcast(plan.filter(F.col("role") == role).drop("role")), "block")
+
+    def faults(role):
+        """Every outer fold tests its own fault after the refit, and validates on the others in its inner folds."""
+        mine = (fault_no == F.col("outer")) if role == "test" else ~(fault_no == F.col("outer"))
+        inner = F.array(F.lit(-1)) if role == "test" else F.sequence(F.lit(0), F.lit(NESTED_BLOCKS - 2))
+        return rows.filter("is_abnormal = 1").withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(NESTED_BLOCKS - 1)))).filter(mine).withColumn("inner", F.explode(inner))
+
+    fits = materialise(detect.fit_envelope(normal("train"), AB, cell), "fits")
+    held = materialise(normal("calibration").join(F.broadcast(fits), cell).select(*cell, detect.envelope_score(AB).alias("score")), "scores")
     qs = sorted({g["q"] for g in NESTED_GRID})
     levels = quantiles(held, cell, {f"q{i}": ("score", q, higher(q)) for i, q in enumerate(qs)})
     limits = levels.select(*cell, F.inline(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"q{i}").alias("threshold")) for i, q in enumerate(qs)])))
     grid = spark.createDataFrame([(g["index"], g["smoothing"], g["q"], g["window"], g["required"]) for g in NESTED_GRID],
                                  "index int, smoothing int, q double, window int, required int")
     cells = materialise(limits.join(F.broadcast(grid), ["smoothing", "q"]), "cells")  # as many rows as the plan and the grid have
-    # The last five scores are gathered once per scored row; candidates differ only in threshold and count, so
-    # the grid multiplies rows after the windows, not before. A cell sees each row of a scenario at most once,
-    # hence its units are no larger than the scenarios.
-    judged = s.using(scored.filter("role <> 'calibration'")).refine(["outer", "inner", "smoothing"], "position")
-    tracks = causal.segments(judged, "position").refine(["segment"]).trailing(5, lambda f: {"recent": F.collect_list("score").over(f.last(5))})
-    tracks = materialise(tracks.frame.select(*cell, "role", "scenario", "position", "is_abnormal", "score", "recent"), "tracks")
-    hits = F.aggregate("recent", F.lit(0), lambda n, x: n + flag(x > F.col("threshold")))
-    alert = F.when(F.col("window") == 1, flag(F.col("score") > F.col("threshold"))).otherwise(flag(hits >= F.col("required")))
+    scores = {f"score_{k}": detect.envelope_score(AB if k == 0 else [f"{c}_{k}" for c in AB]) for k in range(NESTED_REACH)}
+    hits = sum((F.when(F.col(c).isNotNull(), flag(F.col(c) > F.col("threshold"))).otherwise(0) for c in scores), F.lit(0))
+    alert = F.when(F.col("window") == 1, flag(F.col("score_0") > F.col("threshold"))).otherwise(flag(hits >= F.col("required")))
 
     def voted(role, limits):
         """Alerts of the rows of one role under the given cells; nothing but their counts or the chosen ones is kept."""
-        return tracks.filter(F.col("role") == role).join(F.broadcast(limits), cell).select(
+        judged = normal(role).unionByName(faults(role)).join(F.broadcast(fits), cell).select(
+            *cell, "scenario", "position", "is_abnormal", *[c.alias(n) for n, c in scores.items()])
+        return judged.join(F.broadcast(limits), cell).select(
             "outer", "inner", "index", "scenario", "position", F.col("is_abnormal").alias("actual"), alert.alias("predicted"))
 
     inner = metrics.detection_scores(voted("validation", cells), "actual", "predicted", ["outer", "index"])
