@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise, shared_folder
+from ..session import discard, materialise, shared_folder
 
 EOL, BLANK = "\r\n", "\r\n\r\n"
 MAGIC = "WARC/1.1\r\n"
@@ -112,7 +112,7 @@ _SCHEMA = "file string, block long, at long, size long, offset_in long, next_in
 
 
 def candidates(spark, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Every place with the magic: file, offset, successor (byte offsets in the file), header text, body length and digest. Beside it the files: file, bytes."""
+    """Every place with the magic: file, offset, successor (byte offsets in the file), header text, body length and digest. Beside it the files: file, bytes. Both are written."""
     scanned = materialise(_pieces(spark, folder).mapInArrow(_scan, _SCHEMA), "scan")
     blocks = scanned.groupBy("file", "block").agg(F.sum(F.col("size") + len(_CUT)).alias("bytes"))  # one row a split
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -121,24 +121,34 @@ def candidates(spark, folder: str) -> tuple[DataFrame, DataFrame]:
     found = placed.filter("head IS NOT NULL").select(
         "file", (F.col("start") + F.col("offset_in")).alias("offset"), (F.col("start") + F.col("next_in")).alias("next"), "head", "body_bytes", "body_digest")
     # No cut follows a file's last piece. An empty last piece is not read: behind a last cut at the end of a file nothing is.
-    return found, blocks.groupBy("file").agg((F.sum("bytes") - len(_CUT)).alias("bytes"))
+    files = blocks.groupBy("file").agg((F.sum("bytes") - len(_CUT)).alias("bytes"))
+    found, files = materialise(found, "candidates"), materialise(files, "files")
+    discard(scanned)
+    return found, files
 
 
 def reachable(found: DataFrame, files: DataFrame) -> DataFrame:
-    """(file, offset) of the candidates and file ends that the chain from offset 0 reaches, by pointer jumping over written tables."""
+    """(file, offset) of the candidates and file ends that the chain from offset 0 reaches, by pointer jumping over written tables.
+
+    A round deletes the tables of the one before, but for the first, whose places are looked up in every round.
+    """
     ends = files.select("file", F.col("bytes").alias("offset"), F.lit(None).cast("long").alias("next"))
-    jumps = materialise(found.select("file", "offset", "next").unionByName(ends), "jumps")
-    nodes = jumps.select("file", "offset")
+    first = jumps = materialise(found.select("file", "offset", "next").unionByName(ends), "jumps")
+    nodes = first.select("file", "offset")
     reached = materialise(jumps.filter("offset = 0").select("file", "offset"), "reached")
     n = reached.count()
     while True:
         landed = reached.join(jumps, ["file", "offset"]).select("file", F.col("next").alias("offset")).join(nodes, ["file", "offset"], "left_semi")
-        reached = materialise(reached.unionByName(landed).distinct(), "reached")
+        before, reached = reached, materialise(reached.unionByName(landed).distinct(), "reached")
+        discard(before)
         if (now := reached.count()) == n:
+            discard(first, jumps)
             return reached
         n = now
         hop = jumps.select("file", F.col("offset").alias("next"), F.col("next").alias("after"))
-        jumps = materialise(jumps.join(hop, ["file", "next"]).select("file", "offset", F.col("after").alias("next")), "jumps")
+        before, jumps = jumps, materialise(jumps.join(hop, ["file", "next"]).select("file", "offset", F.col("after").alias("next")), "jumps")
+        if before is not first:
+            discard(before)
 
 
 def _cut_payloads(spark, folder: str, records_: DataFrame) -> DataFrame:
@@ -180,7 +190,6 @@ def _cut_payloads(spark, folder: str, records_: DataFrame) -> DataFrame:
 def read(spark, folder: str) -> DataFrame:
     """The verified records: key, payload_bytes, payload_digest (as the header has them), record_type, refers_to, intact."""
     found, files = candidates(spark, folder)
-    found, files = materialise(found, "candidates"), materialise(files, "files")
     reached = reachable(found, files)
     broken = files.join(reached.withColumnRenamed("offset", "bytes"), ["file", "bytes"], "left_anti").limit(5).collect()
     if broken:
