@@ -357,3 +357,14 @@ def test_op10_blocks_find_every_link_between_components(spark, monkeypatch):
     assert 0 < len(linked) < 400
     assert {(r.b, r.a) for r in links} <= linked
     assert {tuple(sorted((r.a // 2, r.b // 2))) for r in links} == {tuple(sorted((a // 2, b // 2))) for a, b in linked}
+
+
+def test_op6_leaves_no_tables_of_its_rounds(spark):
+    """What a round or a step has read is deleted, and tables of places name files by number."""
+    from wearpath import session
+
+    rows = [(i, f"text {i} " + "x" * 200) for i in range(64)]
+    known = set(session._FOLDERS)
+    assert warc.round_trip(spark.createDataFrame(rows, "page_id long, html string").coalesce(1)).count() == len(rows)
+    left = sorted(path.rsplit("/", 1)[1].split("-")[0] for _, path in set(session._FOLDERS) - known)
+    assert left == ["candidates", "files", "reached", "warc"]

@@ -112,17 +112,20 @@ _SCHEMA = "file string, block long, at long, size long, offset_in long, next_in
 
 
 def candidates(spark, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Every place with the magic: file, offset, successor (byte offsets in the file), header text, body length and digest. Beside it the files: file, bytes. Both are written."""
+    """Every place with the magic: file, offset, successor (byte offsets in the file), header text, body length and digest. Beside it the files: path, file (a number that
+    stands for the path in all other tables), bytes. Both are written."""
     scanned = materialise(_pieces(spark, folder).mapInArrow(_scan, _SCHEMA), "scan")
     blocks = scanned.groupBy("file", "block").agg(F.sum(F.col("size") + len(_CUT)).alias("bytes"))  # one row a split
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(F.col("file").alias("f"), F.col("block").alias("k"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"))
-    placed = scanned.join(starts, (F.col("file") == F.col("f")) & (F.col("block") == F.col("k")))
+    # No cut follows a file's last piece. An empty last piece is not read: behind a last cut at the end of a file nothing is.
+    files = blocks.groupBy(F.col("file").alias("path")).agg((F.sum("bytes") - len(_CUT)).alias("bytes"))
+    files = materialise(files.select("path", F.monotonically_increasing_id().alias("file"), "bytes"), "files")
+    numbered = starts.join(files.select(F.col("path").alias("f"), F.col("file").alias("number")), "f")
+    placed = scanned.join(numbered, (F.col("file") == F.col("f")) & (F.col("block") == F.col("k"))).withColumn("file", F.col("number"))
     found = placed.filter("head IS NOT NULL").select(
         "file", (F.col("start") + F.col("offset_in")).alias("offset"), (F.col("start") + F.col("next_in")).alias("next"), "head", "body_bytes", "body_digest")
-    # No cut follows a file's last piece. An empty last piece is not read: behind a last cut at the end of a file nothing is.
-    files = blocks.groupBy("file").agg((F.sum("bytes") - len(_CUT)).alias("bytes"))
-    found, files = materialise(found, "candidates"), materialise(files, "files")
+    found = materialise(found, "candidates")
     discard(scanned)
     return found, files
 
@@ -151,7 +154,7 @@ def reachable(found: DataFrame, files: DataFrame) -> DataFrame:
             discard(before)
 
 
-def _cut_payloads(spark, folder: str, records_: DataFrame) -> DataFrame:
+def _cut_payloads(spark, folder: str, records_: DataFrame, numbers: DataFrame) -> DataFrame:
     """Digest of the payloads that a false magic cut: (file, offset, mended)."""
     def keep(batches):
         where, at = None, 0
@@ -166,8 +169,9 @@ def _cut_payloads(spark, folder: str, records_: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary())], ["file", "block", "at", "data"])
 
     cut = records_.filter("body_digest IS NULL").select(F.col("file").alias("f"), "offset", (F.col("next") - len(BLANK) - F.col("body_bytes")).alias("from"), "body_bytes")
-    files = cut.select(F.col("f").alias("file")).distinct()
-    raw = _pieces(spark, folder).mapInArrow(keep, "file string, block long, at long, data binary").join(files, "file", "left_semi")
+    files = numbers.join(cut.select(F.col("f").alias("file")).distinct(), "file", "left_semi").select("path", F.col("file").alias("number"))
+    raw = _pieces(spark, folder).mapInArrow(keep, "file string, block long, at long, data binary").join(files, F.col("file") == F.col("path")).select(
+        F.col("number").alias("file"), "block", "at", "data")
     sizes = raw.groupBy("file", "block").agg(F.sum(F.octet_length("data") + len(_CUT)).alias("bytes"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col("file").alias("g"), F.col("block").alias("k"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"))
@@ -184,7 +188,7 @@ def _cut_payloads(spark, folder: str, records_: DataFrame) -> DataFrame:
             frame["mended"] = [join(r) for _, r in frame.iterrows()]
             yield frame[["file", "offset", "mended"]]
 
-    return one.mapInPandas(whole, "file string, offset long, mended string")
+    return one.mapInPandas(whole, "file long, offset long, mended string")
 
 
 def read(spark, folder: str) -> DataFrame:
@@ -193,11 +197,11 @@ def read(spark, folder: str) -> DataFrame:
     reached = reachable(found, files)
     broken = files.join(reached.withColumnRenamed("offset", "bytes"), ["file", "bytes"], "left_anti").limit(5).collect()
     if broken:
-        raise ValueError(f"the chain of records ends before the end of the file: {sorted(r['file'] for r in broken)}")
+        raise ValueError(f"the chain of records ends before the end of the file: {sorted(r['path'] for r in broken)}")
     kept = found.join(reached, ["file", "offset"])
     if kept.filter("body_digest IS NULL").limit(1).count():
         kept = materialise(kept, "records")
-        mended = materialise(_cut_payloads(spark, folder, kept), "mended")
+        mended = materialise(_cut_payloads(spark, folder, kept, files), "mended")
         kept = kept.join(mended, ["file", "offset"], "left").withColumn("body_digest", F.coalesce("body_digest", "mended"))
 
     def header(name: str, pattern: str):
