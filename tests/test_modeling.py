@@ -163,3 +163,16 @@ def test_prepare_writes_a_manifest(spark, sf_dir, tmp_path):
     assert len(manifest) == 5 and all(m["rows"] > 0 and m["bytes"] > 0 and len(m["sha256"]) == 64 for m in manifest)
     with pytest.raises(Exception):
         prepare(spark, sf_dir, str(tmp_path / "out"))
+
+
+def test_few_folds_are_broadcast_and_counted(spark):
+    """Rows of five folds are not dealt to five tasks, and a median of the other folds needs no copy of the rows per fold."""
+    rows = [(i, i % 5, float(i % 7), float((i * i) % 11)) for i in range(200)] + [(200, 0, 1.0, None), (201, None, 1.0, 99.0)]
+    df = spark.createDataFrame(rows, "k long, fold int, x double, y double")
+    plan = learn.linear_oof(df.filter("y IS NOT NULL"), "fold", ["x"], "y")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    got = {r.fold: r.predicted for r in learn.fold_statistic(df, "fold", (0, 1, 2, 3, 4), "y").collect()}
+    known = {k: np.median([y for _, f, _, y in rows if f is not None and f != k and y is not None]) for k in range(5)}
+    assert got == known
+    lone = learn.fold_statistic(df.filter("k = 200"), "fold", (0, 1), "y").collect()
+    assert [(r.fold, r.predicted) for r in lone] == [(1, None)]

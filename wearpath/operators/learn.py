@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import arg_max, clip, soft_gates
+from ..session import materialise
 from .quality import DataQualityError
 from .splits import perturb
 
@@ -218,9 +219,13 @@ def linear_by_fold(df: DataFrame, fold: str, features: Sequence[str], target: st
 
 
 def linear_oof(df: DataFrame, fold: str, features: Sequence[str], target: str, low: float | None = 0.0, high: float | None = None,
-               ridge: float = 0.0, name: str = "predicted") -> DataFrame:
-    """Out-of-fold least squares for any number of folds, units as folds included: coefficient rows joined by fold."""
-    fits = linear_by_group(df, fold, features, target, ridge).withColumnRenamed(fold, "__fold")
+               ridge: float = 0.0, name: str = "predicted", train: DataFrame | None = None) -> DataFrame:
+    """Out-of-fold least squares for any number of folds, units as folds included: coefficient rows joined by fold.
+
+    The fits are written, so that their size is known when the join is planned: those of a few folds are broadcast and no
+    row is dealt by its fold. ``train``: the rows to fit on where ``df`` only adds columns to them.
+    """
+    fits = materialise(linear_by_group(df if train is None else train, fold, features, target, ridge).withColumnRenamed(fold, "__fold"), "fits")
     value = F.col("__a")
     for i, c in enumerate(features):
         value = value + F.get("__b", i) * F.col(c)
@@ -315,11 +320,15 @@ def condition_blend(df: DataFrame, local: Sequence[str], overall: str, share: fl
 # -- simple predictors -------------------------------------------------------------------
 def fold_statistic(df: DataFrame, fold: str, folds: Sequence, target: str, how: str = "median") -> DataFrame:
     """Median or mean of the other folds' target, one row per fold: the baseline predictor out of fold."""
-    from .order_stats import median, quantiles
+    from .order_stats import counted_quantile
+    from .order_stats import linear as interpolated
 
-    away = df.select(F.explode(F.array_remove(F.array(*[F.lit(k) for k in folds]), F.col(fold))).alias(fold), target)
     if how == "median":
-        return quantiles(away, [fold], {"predicted": median(target)})
+        # Rows are counted per fold and value first; only these counts go to the other folds.
+        per = materialise(df.groupBy(fold, F.col(target).cast("double").alias("__value")).agg(F.count("*").alias("__n")), "fold-values")
+        away = per.select(F.explode(F.array_remove(F.array(*[F.lit(k) for k in folds]), F.col(fold))).alias(fold), "__value", "__n")
+        counted = materialise(away.groupBy(fold, "__value").agg(F.sum("__n").alias("__n")), "away-values")
+        return materialise(counted_quantile(counted, [fold], "__value", "__n", "predicted", interpolated(0.5)), "medians")
     sums = df.groupBy(fold).agg(F.sum(target).alias("s"), F.count(target).alias("n"))
     total = sums.agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     return sums.select(fold, ((total.select("s").scalar() - F.col("s")) / (total.select("n").scalar() - F.col("n"))).alias("predicted"))

@@ -86,11 +86,13 @@ def _by_bracket(df, by, wanted):
     ]), "ranks")
     joined = null_safe_join(df, ranks, by, "left") if by else df.select("*", *[
         ranks.select(f"__r_{k}").scalar().alias(f"__r_{k}") for k in names])
-    inside = joined.select(*by, F.inline(F.array_compact(F.array(*[
-        F.when(F.col(wanted[k][0]).isNotNull() & (F.col(wanted[k][0]) <= F.col(f"__r_{k}.hi")), F.struct(
-            F.lit(k).alias("__name"), F.col(f"__r_{k}.rank").alias("__rank"),
-            F.when(F.col(wanted[k][0]).cast("double") >= F.col(f"__r_{k}.lo"), F.col(wanted[k][0]).cast("double")).alias("__value")))
-        for k in names]))))
+    near = {k: F.col(wanted[k][0]).isNotNull() & (F.col(wanted[k][0]) <= F.col(f"__r_{k}.hi")) for k in names}
+    entry = lambda k: (F.lit(k).alias("__name"), F.col(f"__r_{k}.rank").alias("__rank"),
+                       F.when(F.col(wanted[k][0]).cast("double") >= F.col(f"__r_{k}.lo"), F.col(wanted[k][0]).cast("double")).alias("__value"))
+    if len(names) == 1:
+        inside = joined.filter(near[names[0]]).select(*by, *entry(names[0]))
+    else:
+        inside = joined.select(*by, F.inline(F.array_compact(F.array(*[F.when(near[k], F.struct(*entry(k))) for k in names]))))
     # Values under the bracket collapse to one counted row (null), the rest to one per value.
     counted = materialise(inside.groupBy(*by, "__name", "__rank", "__value").agg(F.count("*").alias("__count")), "bracket")
     lead = F.coalesce("__value", F.lit(float("-inf")))
@@ -112,6 +114,18 @@ def _by_bracket(df, by, wanted):
     return materialise(found, "quantiles")
 
 
+def counted_quantile(counted: DataFrame, by: Sequence[str], value: str, count: str, name: str, rule: Rule) -> DataFrame:
+    """One row per group: the quantile of values that come with how often they occur. A group of nulls alone has none."""
+    walked = series(counted.filter(F.col(value).isNotNull()), by, value).running(__upto=("sum", F.col(count))).frame
+    ranks = counted.groupBy(*by).agg(rule(F.sum(F.when(F.col(value).isNotNull(), F.col(count))).cast("double")).alias("__rank"))
+    placed = null_safe_join(walked, ranks, by, "left")
+    covers = lambda r: (F.col("__upto") - F.col(count) <= r) & (r < F.col("__upto"))
+    ends = placed.groupBy(*by).agg(F.max("__rank").alias("__rank"), F.max(F.when(covers(F.floor("__rank")), F.col(value))).alias("__low"),
+                                   F.max(F.when(covers(F.ceil("__rank")), F.col(value))).alias("__high"))
+    found = ends.select(*by, (F.col("__low") + (F.col("__high") - F.col("__low")) * (F.col("__rank") - F.floor("__rank"))).alias(name))
+    return null_safe_join(ranks.select(*by), found, by, "left")
+
+
 def median(column: str) -> tuple[str, float, Rule]:
     return (column, 0.5, linear(0.5))
 

@@ -78,8 +78,9 @@ def baseline_predictions(spark, d):
     """Out-of-fold predictions of three baselines in long form."""
     rows = materialise(training_rows(spark, d), "training")
     dummy = learn.fold_statistic(rows, "fold", FOLDS, "rul").withColumnRenamed("predicted", "median_rul")
-    scored = learn.linear_oof(rows.join(F.broadcast(dummy), "fold"), "fold", ["cycle"], "rul", 0.0, 125.0, name="age")
-    both = learn.linear_oof(scored, "fold", ["value_mean_5"], "rul", 0.0, 125.0, name="level")
+    train = rows.filter("fold IS NOT NULL")
+    scored = learn.linear_oof(rows.join(F.broadcast(dummy), "fold"), "fold", ["cycle"], "rul", 0.0, 125.0, name="age", train=train)
+    both = learn.linear_oof(scored, "fold", ["value_mean_5"], "rul", 0.0, 125.0, name="level", train=train)
     return sinks.long_predictions(both.select("user_id", "event_id", "cycle", "fold", F.col("rul").alias("actual"), "median_rul", "age", "level"),
                                   ["user_id", "event_id", "cycle", "fold"], {"median": "median_rul", "age": "age", "level": "level"})
 
@@ -110,7 +111,7 @@ def readiness(spark, d):
     radius = calibrate.conformal_radius(long, "error", 0.05, ["model"])
     banded = long.join(F.broadcast(radius), "model").withColumns(calibrate.interval(F.col("predicted"), F.col("radius")))
     covered = metrics.interval_scores(banded, ["model"]).select("model", "coverage")
-    table_ = scores.join(radius, "model").join(covered, "model")
+    table_ = materialise(scores.join(radius, "model").join(covered, "model"), "readiness")
     winner = best(table_, [F.round("selection_score", 6), F.col("model")]).select("model").scalar()
     gate = gates.target_gate({"mae_ok": F.col("mae") <= 15, "rmse_ok": F.col("rmse") <= 20})["gate"]
     return table_.select("model", *[r(c, 4).alias(c) for c in ("mae", "rmse", "selection_score", "radius")], r("coverage", 3).alias("coverage"),
