@@ -176,3 +176,29 @@ def test_few_folds_are_broadcast_and_counted(spark):
     assert got == known
     lone = learn.fold_statistic(df.filter("k = 200"), "fold", (0, 1), "y").collect()
     assert [(r.fold, r.predicted) for r in lone] == [(1, None)]
+
+
+def test_stress_report_counts_pairs_without_a_join(spark):
+    """One row a side, from counts per event id; ids that repeat meet each other, null ids nothing, and no row is sorted."""
+    from wearpath.plans.models import stress_report
+
+    rows = [("clean", 1, 1, 1, 0.9), ("clean", 2, 0, 0, 0.4), ("clean", 3, 1, 0, 0.8), ("clean", 3, 0, 0, 0.7), ("clean", None, 1, 1, 0.9), ("perturbed", 1, 1, 1, 1.1)]
+    df = spark.createDataFrame(rows, "side string, event_id long, near int, predicted int, raw_confidence double")
+    joined = df.join(df.select("event_id", "side", F.col("near").alias("known")), ["event_id", "side"])
+    known = {r.side: (r.n, r.share) for r in joined.groupBy("side").agg(F.count("*").alias("n"), F.avg("known").alias("share")).collect()}
+    report = stress_report(df)
+    got = {r.side: r for r in report.collect()}
+    assert {s: (x.rows, x.near_share) for s, x in got.items()} == {s: (n, round(v, 5)) for s, (n, v) in known.items()}
+    assert got["clean"].distinct_rows == 3 and got["clean"].bad_confidence == 1 and got["perturbed"].bad_confidence == 1
+    assert (got["clean"].beats_constant, got["perturbed"].beats_constant) == (1, 1)
+    assert "SortMergeJoin" not in report._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_folds_become_folders(spark):
+    """A filter on the fold reads the rows of that fold alone."""
+    from wearpath.session import materialise
+
+    df = spark.createDataFrame([(i, i % 3 if i else None, float(i)) for i in range(12)], "k long, fold int, x double")
+    back = materialise(df, "folds", ("fold",))
+    assert back.schema == df.schema and sorted(map(tuple, back.collect()), key=lambda r: r[0]) == [(i, i % 3 if i else None, float(i)) for i in range(12)]
+    assert "PartitionFilters: [isnotnull(fold" in back.filter("fold = 1")._jdf.queryExecution().executedPlan().toString()

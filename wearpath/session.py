@@ -104,13 +104,16 @@ def passing() -> Iterator[list[DataFrame]]:
         _delete(*entry)
 
 
-def materialise(df: DataFrame, purpose: str) -> DataFrame:
+def materialise(df: DataFrame, purpose: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write an intermediate that several jobs read, and go on from the written columns.
 
-    A table in shared storage survives lost executors and is read with column pruning.
+    A table in shared storage survives lost executors and is read with column pruning. ``by``: columns of few values
+    that become folders, so that a filter on them reads no other rows.
     """
     path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
+    if by:
+        back = back.select(*df.columns)
     back._written_to = next(entry for entry in reversed(_FOLDERS) if entry[1] == path)
     return back
