@@ -136,3 +136,33 @@ def test_replay_notices_another_configuration_or_prediction(spark, sf_dir, tmp_p
     assert differences("right") == 0
     assert differences("moved", shift=0.5) == 1
     assert differences("capped", cap=25.0) > 10
+
+
+def test_a_section_is_an_object_by_its_kind_alone(spark, tmp_path):
+    """Lists, texts, numbers and nulls are no sections; an empty object and one with lists inside are. No schema of a section is made."""
+    whole = {c: {"a": [{"b": 1}, {"b": "x"}]} for c in schemas.HISTORY_COMPONENTS}
+    odd = {"list": [1], "text": "x", "number": 1, "null": None, "empty": {}}
+    path = tmp_path / "sections.json"
+    path.write_text("\n".join(json.dumps(whole | {"engine": v}) for v in odd.values()) + "\n" + json.dumps(whole))
+    got = bundles.read(spark, str(path))
+    assert (got.rows, got.broken) == (6, 4)
+    assert [r.broken_rules for r in got.bad.collect()] == [["not an object:engine"]] * 4
+    assert not any("schema_of_variant" in str(rule.broken) for rule in bundles.section_rules())
+
+
+def test_bundle_results_read_written_features(spark, tmp_path):
+    """Windows and curves of the bundles are made once, not again for each result and for the unanswered requests."""
+    from datetime import datetime, timedelta
+
+    from wearpath.plans.requests import scored_bundles
+
+    start, kinds = datetime(2024, 1, 1), ("view", "click", "error")
+    events = [(40 * u + i, start + timedelta(hours=i, minutes=u), u, kinds[(u + i) % 3], float((7 * i + 3 * u) % 23), json.dumps({"k": (i + u) % 9})) for u in range(12) for i in range(4 + u)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(k, 5 * k % 47 + 1, 900.0 + k) for k in range(1, 60)], "p_partkey long, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    vectors = [(v, v % 4, [float(((v * 31 + i * 17) % 13) - 6) for i in range(64)]) for v in range(40)]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = scored_bundles(spark, str(tmp_path))
+    assert found.groupBy("component", "output").count().filter("count = 12").count() == 7
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan

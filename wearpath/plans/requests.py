@@ -93,6 +93,7 @@ def rejected_bundles(spark, d):
 def fitted(spark, d):
     """Constants of all tasks, from rows that no bundle with a number divisible by five is scored on."""
     engine = training_rows(spark, d).filter(F.col("user_id") % HELD != 0).withColumn("y", F.least("rul", F.lit(40.0)))
+    engine = materialise(engine.select("value_mean_5", "y"), "engine")  # a fit reads its rows several times
     curves = waveform.curve_features(sample_rows(spark, d).filter(F.col("user_id") % HELD != 0), ["user_id"], {
         "voltage": "voltage", "current": "current", "temperature": "voltage", "load_current": "current", "load_voltage": "voltage", "time": "time"}, ["time", "event_id"])
     curves = materialise(curves.select("user_id", "voltage_mean", "voltage_end", (F.col("duration_seconds") / 86400).alias("days")), "curves")
@@ -114,18 +115,20 @@ def scored_bundles(spark, d):
     parts, fit = bundles.split(read_back(spark, d).good), fitted(spark, d)
     records = parts["engine"].select("bundle_id", F.inline("records")).select("bundle_id", "cycle", F.col("sensor_1").alias("value"))
     s = causal.trailing_mean(series(records, "bundle_id", "cycle").totals(records=F.count("*")), ["value"], (5,))
-    last = causal.terminal_rows(s.frame, ["bundle_id"], ["cycle"])
+    # What windows and groups make is written: results and the search for unanswered requests both read it.
+    last = materialise(causal.terminal_rows(s.frame, ["bundle_id"], ["cycle"]).select("bundle_id", "value_mean_5", "records"), "last")
     samples = parts["battery"].select("bundle_id", F.posexplode("samples").alias("arrival", "s")).select("bundle_id", "arrival", "s.*")
-    curves = waveform.curve_features(samples, ["bundle_id"], _CURVE, ["time", "arrival"]).select("bundle_id", "voltage_mean")
+    curves = materialise(waveform.curve_features(samples, ["bundle_id"], _CURVE, ["time", "arrival"]).select("bundle_id", "voltage_mean"), "bundle-curves")
     hydraulic = parts["hydraulic"].select("bundle_id", (~F.col("operating_condition_stable")).alias("unstable"), *[F.element_at("features", F.lit(c)).alias(c) for c in ("emb_mean", "emb_slope")])
     gear = parts["landing-gear"].select("bundle_id", "max_deflection", "mass")
+    alerts = materialise(scoring.flagged(parts["fuel-system"].select("bundle_id", F.inline("samples")), fit["fuel"], LIMIT, "fuel-system").select("bundle_id", *scoring.RESULT), "alerts")
     unstable = F.col("unstable")
     found = {
-        ("engine", "rul"): scoring.estimated(last.select("bundle_id", "value_mean_5", "records"), fit["engine"], "engine", "rul", (F.col("records") < 10, scoring.SHORT)),
+        ("engine", "rul"): scoring.estimated(last, fit["engine"], "engine", "rul", (F.col("records") < 10, scoring.SHORT)),
         ("battery", "soh"): scoring.estimated(curves, fit["soh"], "battery", "soh"), ("battery", "rul"): scoring.estimated(curves, fit["battery"], "battery", "rul"),
         ("hydraulic", "valve"): scoring.classified(hydraulic, fit["valve"], "hydraulic", "valve", unstable, (unstable, scoring.UNSTABLE)),
         ("landing-gear", "fault"): scoring.classified(gear, fit["fault"], "landing-gear", "fault"), ("landing-gear", "rul"): scoring.estimated(gear, fit["gear"], "landing-gear", "rul"),
-        ("fuel-system", "alerts"): scoring.flagged(parts["fuel-system"].select("bundle_id", F.inline("samples")), fit["fuel"], LIMIT, "fuel-system")}
+        ("fuel-system", "alerts"): alerts}
     out = None
     for (component, output), rows in found.items():
         rows = rows.select("bundle_id", *scoring.RESULT)
