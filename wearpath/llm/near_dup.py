@@ -199,8 +199,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def with_components(listed: DataFrame, links: DataFrame) -> DataFrame:
     """The list members with the component that the links found so far give them."""
-    labels = materialise(components(links), "labels")
-    return listed.join(labels, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
+    return listed.join(components(links), F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
 
 
 def links_of(every: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
