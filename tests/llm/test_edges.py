@@ -74,3 +74,16 @@ def test_pipeline_stages(spark, sf_dir):
         out = stage(spark, docs, sf_dir)
         assert out.columns == corpus_pipeline.COLUMNS
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_op6_payloads_go_through_the_exchange_compressed(spark):
+    html = ["<p>" + "the same few words " * 200 + f"{i % 7}</p>" for i in range(30)] + ["", None, "é" * 500, "x"]
+    rows = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
+    typed = warc.records(warc.digests(rows, "page_id", "html"))
+    sizes = typed.selectExpr("sum(octet_length(packed)) AS packed", "sum(payload_bytes) AS raw").first()
+    assert sizes["packed"] < sizes["raw"] / 10
+    got = {r.key: (r.payload, r.record_type) for r in warc.unpacked(typed).collect()}
+    first = {}
+    for i, body in enumerate(html):
+        response = first.setdefault(body or "", i) == i
+        assert got[i] == ((body or "") if response else "", "response" if response else "revisit")

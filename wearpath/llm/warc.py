@@ -1,7 +1,8 @@
 """WARC archives written and read by Spark, with boundary-chain verification.
 
 Writing: one record per row. Of rows with equal payloads (SHA-1 and length) the one with the smallest id is
-a ``response``, the others are ``revisit`` records without a body that name it. Spark's text writer ends
+a ``response``, the others are ``revisit`` records without a body that name it. Payloads go through the exchange that
+brings equal ones together compressed, each by itself. Spark's text writer ends
 every row with the blank lines that end a record, so its part files are WARC files.
 
 Reading: Spark's text reader cuts the files at ``WARC/1.1 CRLF`` and splits large files by itself. No two of these
@@ -34,6 +35,8 @@ MAGIC = "WARC/1.1\r\n"
 URN = "urn:page:"
 _CUT = MAGIC
 DATE = "2024-01-01T00:00:00Z"
+#: Compression of payloads on their way through an exchange, and about the bytes that a task unpacks at once.
+LEVEL, UNPACKED = 3, 1 << 24
 
 
 def payload_digest(data: bytes) -> str:
@@ -42,15 +45,38 @@ def payload_digest(data: bytes) -> str:
 
 
 def digests(rows: DataFrame, key: str, payload: str) -> DataFrame:
-    """(key, payload) -> key, payload, payload_bytes, payload_digest."""
+    """(key, payload) -> key, packed (the payload compressed, as it goes through an exchange), payload_bytes, payload_digest."""
     def run(batches):
+        codec = pa.Codec("zstd", compression_level=LEVEL)
         for batch in batches:
             data = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in data], pa.int64()),
-                                              pa.array([payload_digest(x) for x in data], pa.string())], ["key", "payload", "payload_bytes", "payload_digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.compress(x, asbytes=True) for x in data], pa.binary()), pa.array([len(x) for x in data], pa.int64()),
+                                              pa.array([payload_digest(x) for x in data], pa.string())], ["key", "packed", "payload_bytes", "payload_digest"])
 
     return rows.select(F.col(key).cast("long"), F.coalesce(F.col(payload), F.lit(""))).mapInArrow(
-        run, "key long, payload string, payload_bytes long, payload_digest string")
+        run, "key long, packed binary, payload_bytes long, payload_digest string")
+
+
+def unpacked(typed: DataFrame) -> DataFrame:
+    """Typed rows with ``payload`` in place of ``packed``, empty for revisits. Bytes stay as they were, whatever they are."""
+    names = ["key", "body", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+
+    def run(batches):
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            sizes = [n if kind == "response" else 0 for n, kind in zip(batch.column("payload_bytes").to_pylist(), batch.column("record_type").to_pylist())]
+            start = size = 0
+            for i, n in enumerate(sizes):
+                size += n
+                if size < UNPACKED and i + 1 < len(sizes):
+                    continue
+                part = batch.slice(start, i + 1 - start)
+                bodies = [codec.decompress(x, n, asbytes=True) if n else b"" for x, n in zip(part.column("packed").to_pylist(), sizes[start:i + 1])]
+                yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.binary()) if name == "body" else part.column(name) for name in names], names)
+                start, size = i + 1, 0
+
+    schema = "key long, body binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    return typed.mapInArrow(run, schema).withColumn("payload", F.col("body").cast("string"))
 
 
 def records(hashed: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -60,7 +86,7 @@ def records(hashed: DataFrame, least_bytes: int = 0) -> DataFrame:
         F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"), "first")
     both = hashed.join(same, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
     again = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
-    return both.select("key", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"),
+    return both.select("key", "packed", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"),
                        F.when(again, F.col("first")).alias("refers_to"))
 
 
@@ -74,7 +100,7 @@ def write(typed: DataFrame, folder: str) -> None:
         F.lit(MAGIC + "WARC-Type: "), F.col("record_type"), F.lit(EOL + "WARC-Record-ID: <"), name, F.lit(">" + EOL + "WARC-Date: " + DATE + EOL + "WARC-Payload-Digest: sha1:"),
         F.col("payload_digest"), F.lit(EOL + "WARC-Payload-Length: "), F.col("payload_bytes").cast("string"), F.lit(EOL), other,
         F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit(BLANK))
-    typed.select(F.concat(head, body).alias("value")).write.option("lineSep", BLANK).text(folder)
+    unpacked(typed).select(F.concat(head, body).alias("value")).write.option("lineSep", BLANK).text(folder)
 
 
 def _pieces(spark, folder: str) -> DataFrame:
