@@ -87,3 +87,35 @@ def test_op6_payloads_go_through_the_exchange_compressed(spark):
     for i, body in enumerate(html):
         response = first.setdefault(body or "", i) == i
         assert got[i] == ((body or "") if response else "", "response" if response else "revisit")
+
+
+def test_op5_looks_a_distinct_word_up_once():
+    """As whole texts are encoded, with few look-ups: not one a word and text."""
+    texts = ["same words, same end.", "same\nwords, é. same", "same", "2.5 it's. end,\nend. same same", "same end", "x.\ny, z", "\x00 a\x00 b.", "a  b", ""] * 40
+    e = packing.Encoder(packing.TOKENIZER)
+
+    class Asked(dict):
+        times = 0
+
+        def get(self, key):
+            Asked.times += 1
+            return super().get(key)
+
+    e.known = Asked()
+    assert e.encode(texts) == [e.whole(t) for t in texts]
+    assert 0 < Asked.times < 40
+    assert e.encode(texts[::-1]) == [e.whole(t) for t in texts[::-1]]
+
+
+def test_op5_words_with_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(packing, "hashes", lambda data, starts, ends: (ends - starts).astype("uint64") % 3)
+    e = packing.Encoder(packing.TOKENIZER)
+    texts = ["alpha gamma omega", "one two six ten", "a", "same same same"]
+    assert e.encode(texts) == [e.whole(t) for t in texts]
+
+
+def test_op5_long_texts_are_cut_between_words(monkeypatch):
+    monkeypatch.setattr(packing, "_LONG", 12)
+    e = packing.Encoder(packing.TOKENIZER)
+    texts = ["one two three four\nfive six seven. eight", "a" * 40 + " b", "b " + "a" * 40, "x", "é" * 30 + "\n" + "y" * 11 + " z"]
+    assert e.encode(texts) == [e.whole(t) for t in texts]

@@ -14,6 +14,7 @@ documents; a null id stays null; no rows give no sequences; other columns are no
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .batches import hashes
 
 CAPACITY, END = 1024, 2
 #: Rows a task packs at once; a bin this full is finished.
@@ -34,6 +36,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 _RUNS = ("  ", "\n ", " \n", "\n\n", "<|endoftext|>")
 _OTHER_SPACES = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 _KEPT_WORDS = 1_000_000
+#: A text of more bytes is cut between words while it is encoded.
+_LONG = 1 << 22
 
 
 def _together(text: str) -> bool:
@@ -46,7 +50,8 @@ class Encoder:
     """Token ids as little-endian 32-bit bytes, with a memory of words.
 
     The tokenizer never merges across a single space between two words (the space belongs to the second)
-    or a single line feed, so the ids of a text are those of its words in turn.
+    or a single line feed, so the ids of a text are those of its words in turn. Words are told apart by a hash and
+    then compared byte by byte.
     """
 
     def __init__(self, path: str):
@@ -57,51 +62,93 @@ class Encoder:
         self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.marks = {m: self.whole(m) for m in ",."}
-        self.first: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {"": b""}
+        self.newline = self.whole("\n")
+        #: Ids of words with the space or line feed before them, as bytes.
+        self.known: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, lines: list[list[str]]) -> None:
-        if len(self.after) + len(self.first) > _KEPT_WORDS:
-            self.first.clear()
-            self.after.clear()
-        for head in {parts[0] for parts in lines}.difference(self.first):
-            self.first[head] = self.whole(head)
-        seen: set[str] = set()
-        for parts in lines:
-            seen.update(parts)
-        seen.difference_update(self.after)
+    def learn(self, unknown: list[bytes]) -> None:
+        """Words that are not yet known, with the space or line feed before them."""
+        heads = [w for w in unknown if w[:1] == b"\n"]
+        self.known.update([(w, self.newline + self.whole(w[1:].decode())) for w in heads])
+        seen = {w[1:].decode(): w for w in unknown if w[:1] == b" "}
         # A comma or stop after a letter, at the end of a word, is always a token of its own.
-        marked = [w for w in seen if w[-1:] in self.marks and w[-2:-1].isalpha()]
-        seen.difference_update(marked)
-        new = list(seen.union(w[:-1] for w in marked).difference(self.after))
-        self._learn_words(new)
-        self.after.update((w, self.after[w[:-1]] + self.marks[w[-1]]) for w in marked)
+        marked = {w: key for w, key in seen.items() if w[-1:] in self.marks and w[-2:-1].isalpha()}
+        plain = {w: key for w, key in seen.items() if w not in marked}
+        plain.update([(w[:-1], key[:-1]) for w, key in marked.items() if key[:-1] not in self.known])
+        self._learn_words(list(plain), list(plain.values()))
+        self.known.update([(key, self.known[key[:-1]] + self.marks[w[-1]]) for w, key in marked.items()])
 
-    def _learn_words(self, new: list[str]) -> None:
+    def _learn_words(self, new: list[str], keys: list[bytes]) -> None:
         if not new:
             return
         ids = np.array(self.model.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
         starts = np.flatnonzero(self.spaced[ids])
         if len(starts) != len(new):  # a word with a space of its own kind inside
-            self.after.update((w, self.whole(" " + w)) for w in new)
+            self.known.update([(key, self.whole(" " + w)) for w, key in zip(new, keys)])
             return
         data, bounds = ids.tobytes(), (np.append(starts, len(ids)) * 4).tolist()
-        self.after.update((w, data[a:b]) for w, a, b in zip(new, bounds[:-1], bounds[1:]))
+        self.known.update(zip(keys, [data[a:b] for a, b in zip(bounds[:-1], bounds[1:])]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _together(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        self.learn([parts for lines in split if lines for parts in lines])
-        newline, out = self.whole("\n"), []
-        for text, lines in zip(texts, split):
-            if lines is None:
-                out.append(self.whole(text))
-            else:
-                after = self.after.__getitem__
-                out.append(newline.join([self.first[p[0]] + b"".join(map(after, p[1:])) for p in lines]))
-        return out
+        apart = [not _together(t) for t in texts]
+        # A text begins as a line does; that line feed is left out again.
+        lines = [b"\n" + t.encode() for t, a in zip(texts, apart) if a]
+        short = iter(self._by_words([x for x in lines if len(x) <= _LONG]))
+        by_words = (next(short) if len(x) <= _LONG else b"".join([self._by_words([part])[0] for part in _cut(x)]) for x in lines)
+        return [next(by_words)[len(self.newline):] if a else self.whole(t) for t, a in zip(texts, apart)]
+
+    def _by_words(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of parts of texts, every word behind one space or line feed: a distinct word is looked up once."""
+        if not parts:
+            return []
+        if len(self.known) > _KEPT_WORDS:
+            self.known.clear()
+        raw = b"".join(parts)
+        data = np.frombuffer(raw, dtype=np.uint8)
+        starts = np.flatnonzero((data == 32) | (data == 10))
+        one, number = distinct(data, starts)
+        if one is None:
+            return [self.newline * p.startswith(b"\n") + self.whole(p.decode().removeprefix("\n")) for p in parts]
+        words = [raw[a:b] for a, b in zip(starts[one].tolist(), np.append(starts, len(data))[one + 1].tolist())]
+        ids = list(map(self.known.get, words))
+        unknown = [i for i, x in enumerate(ids) if x is None]
+        self.learn([words[i] for i in unknown])
+        for i in unknown:
+            ids[i] = self.known[words[i]]
+        flat, size = np.frombuffer(b"".join(ids), dtype="<u4"), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        n = size[number]
+        end = np.cumsum(n)
+        out = flat[np.repeat((np.cumsum(size) - size)[number] - (end - n), n) + np.arange(end[-1])].tobytes()
+        first = np.searchsorted(starts, np.cumsum([len(p) for p in parts[:-1]])) if len(parts) > 1 else np.zeros(0, dtype=np.int64)
+        bounds = (4 * np.concatenate([[0], (end - n)[first], end[-1:]])).tolist()
+        return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def _cut(text: bytes) -> Iterator[bytes]:
+    """A long text in parts that begin with a space or line feed, of ``_LONG`` bytes at most but for a longer word."""
+    at = 0
+    while at < len(text):
+        stop = len(text)
+        if stop - at > _LONG:
+            found = max(text.rfind(b" ", at + 1, at + _LONG), text.rfind(b"\n", at + 1, at + _LONG))
+            stop = found if found > at else min([x for x in (text.find(b" ", at + 1), text.find(b"\n", at + 1)) if x > at], default=stop)
+        yield text[at:stop]
+        at = stop
+
+
+def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """Of spans that follow each other from the first byte to the last: (one span of each distinct kind, number of each span's
+    kind), or (None, None) where different spans have one hash: every span is compared with the one of its kind."""
+    ends = np.append(starts[1:], len(data))
+    _, one, number = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+    lengths, like = ends - starts, one[number]
+    if (lengths != lengths[like]).any():
+        return None, None
+    at = np.repeat(starts[like] - starts, lengths) + np.arange(len(data))
+    return (one, number) if np.array_equal(data[at], data) else (None, None)
 
 
 @lru_cache(maxsize=2)
