@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .batches import GAP, LOWERED, bytes_of, hashes, mixed, ranges, word_places
+from .batches import LOWERED, bytes_of, hashes, mixed, powers, ranges, word_places
 from .langid import held_out
 
 BYTES = (1, 2, 3, 4, 6)
@@ -50,6 +50,14 @@ PIECE, PRIOR = 1 << 22, 10
 #: Cells of the table sent as one array, and the most that a cell counts: sums of sixteen stay within 32 bits.
 BLOCK, MOST = 1 << 12, (1 << 31) // 16 - 1
 SCALE = 0.1
+#: Predictions are mixed in rows of so many bytes, the last row filled up with bytes that do not count.
+LANES = 64
+FACTOR, LENGTH = np.full(1, 0x2545F4914F6CDD1D, dtype=np.uint64), np.full(1, 0xD6E8FEB86659FD93, dtype=np.uint64)
+SQUARE = FACTOR * FACTOR
+KNOWN, ROW = np.full(1, 0x9E3779B97F4A7C15, dtype=np.uint64), np.full(1, 0xD6E8FEB86659FD93, dtype=np.uint64)
+#: Hashes of the last byte and of the last two.
+ONE = mixed(np.arange(1, 257, dtype=np.uint64) + np.uint64(1))
+TWO = mixed((np.arange(1 << 16, dtype=np.uint64) % np.uint64(256) + np.uint64(1)) * FACTOR + (np.arange(1 << 16, dtype=np.uint64) >> np.uint64(8)) + np.uint64(3))
 #: Learning tokens per learner, until there are `LEARNERS`.
 SHARE = 100_000
 
@@ -85,36 +93,103 @@ def runs(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]
         yield data, owner + done, 0
 
 
-def contexts(data: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
-    """Per predictor a hash of what stands before each byte in its text."""
-    first = np.flatnonzero(np.diff(owner, prepend=-1))
-    at = np.arange(len(data))
-    start = np.repeat(first, np.diff(first, append=len(data)))
-    place = at - start
-    out, h = [], np.zeros(len(data), dtype=np.uint64)
-    for back in range(1, max(BYTES) + 1):
-        before = np.zeros(len(data), dtype=np.uint64)
-        before[back:] = data[:-back]
-        before[place < back] = 0
-        h = h * np.uint64(0x2545F4914F6CDD1D) + before + np.uint64(1)
+def contexts(data: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Per predictor, a row each, a hash of what stands before each byte in its text."""
+    n = len(data)
+    out, spare = np.empty((len(ORDERS), n), dtype=np.uint64), np.empty(n, dtype=np.uint64)
+    first = np.append(0, np.flatnonzero(owner[1:] != owner[:-1]) + 1)[:n]
+    # The last bytes: h(k) = h(k - 1) * FACTOR + byte k back + 1, where a byte before the text is 0; two bytes at once, and by table for one and two.
+    far = max(BYTES)
+    before = np.ones(n + far, dtype=np.uint64)
+    np.add(data, np.uint64(1), out=before[far:])
+    twos = before[1:] * FACTOR
+    twos += before[:-1]
+    short = np.zeros(n + 2, dtype=np.intp)
+    short[2:] = data
+    np.take(ONE, short[1:n + 1], out=out[0], mode="clip")
+    short[1:] += short[:-1] << 8
+    np.take(TWO, short[1:n + 1], out=out[1], mode="clip")
+    np.multiply(twos[4:4 + n], FACTOR, out=out[2])
+    out[2] += before[3:3 + n]
+    np.multiply(twos[4:4 + n], SQUARE, out=out[3])
+    out[3] += twos[2:2 + n]
+    np.multiply(out[3], SQUARE, out=out[4])
+    out[4] += twos[:n]
+    _words_before(data, first, before[far:], out[5], out[6])
+    for k in range(2, len(ORDERS)):
+        if k >= len(BYTES):
+            _mix(out[k], spare)
+        out[k] += np.uint64(BYTES[k] if k < len(BYTES) else 1000 + k - len(BYTES))
+        _mix(out[k], spare)
+    # Where a text begins, what stands before it does not count.
+    place, spot = np.tile(np.arange(far), len(first) - 1), (first[1:, None] + np.arange(far)).reshape(-1)
+    inside = spot < np.repeat(np.append(first[2:], n), far)[:len(spot)]
+    place, spot = place[inside], spot[inside]
+    h = np.zeros(len(spot), dtype=np.uint64)
+    for back in range(1, far + 1):
+        h = h * FACTOR + np.where(place < back, np.uint64(1), before[spot + far - back])
         if back in BYTES:
-            out.append(mixed(h + np.uint64(back)))
-    opens = place == 0
-    opens[1:] |= GAP[data[:-1]]
-    word = np.maximum.accumulate(np.where(opens, at, 0))
-    pair = np.where(word > start, word[word - 1], word)
-    for k, begin in enumerate((word, pair)):
-        out.append(mixed(hashes(data, np.maximum(begin, at - REACH), at) + np.uint64(1000 + k)))
+            out[BYTES.index(back), spot] = mixed(h + np.uint64(back))
     return out
 
 
-def nibbles(data: np.ndarray, ctx: list[np.ndarray]):
+def _mix(x: np.ndarray, spare: np.ndarray) -> None:
+    """`mixed` in place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0)):
+        np.right_shift(x, np.uint64(shift), out=spare)
+        np.bitwise_xor(x, spare, out=x)
+        if factor:
+            np.multiply(x, np.uint64(factor), out=x)
+
+
+def _words_before(data, first, counted, word, pair) -> None:
+    """`hashes` of the present word so far, and with the one before, of the last ``REACH`` bytes at most; ``counted``: each byte and one more."""
+    n = len(data)
+    gap = (data - np.uint8(9)) < 5
+    gap |= data == 0x20
+    opens = np.zeros(n, dtype=bool)
+    opens[1:] = gap[:-1]
+    opens[first] = True
+    begins = np.flatnonzero(opens)
+    lengths = np.diff(begins, append=n)
+    previous = np.append(0, begins[:-1])[:len(begins)]
+    where = np.searchsorted(begins, first)
+    previous[where] = first
+    up, down = powers(n)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.multiply(counted, up[:n], out=word)
+    np.cumsum(word, out=sums[1:])
+    by_place = np.arange(n, dtype=np.uint64) * LENGTH
+    for begin, out in ((begins, word), (previous, pair)):
+        # (sums[at] - sums[begin]) * down[begin] + (at - begin) * LENGTH
+        np.multiply(sums[:-1], np.repeat(down[begin], lengths), out=out)
+        out += by_place
+        out -= np.repeat(sums[begin] * down[begin] + by_place[begin], lengths)
+        long = np.flatnonzero(begins + lengths - begin > REACH + 1)
+        if len(long):
+            opened = np.maximum(begins[long], begin[long] + REACH + 1)
+            many = begins[long] + lengths[long] - opened
+            at = np.repeat(opened - np.cumsum(many) + many, many) + np.arange(many.sum())
+            out[at] = (sums[at] - sums[at - REACH]) * down[at - REACH] + LENGTH * np.uint64(REACH)
+
+
+def values(data: np.ndarray, ctx: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each half of a byte: (half, its value, the slot of that value in the context's row, a row per predictor with slots of its own). Slots are good until the next."""
+    c = ctx * ROW
+    slots, high = np.empty(c.shape, dtype=np.uint64), (data >> 4).astype(np.uint64)
+    for half, value in ((0, high), (1, (data & 15).astype(np.uint64))):
+        if half:
+            c += (high + np.uint64(16)) * KNOWN * ROW
+        np.right_shift(c, np.uint64(64 - ROW_BITS - 4), out=slots)
+        slots &= ~np.uint64(15)
+        slots += value
+        yield half, value.view(np.int64), slots.view(np.int64)
+
+
+def nibbles(data: np.ndarray, ctx: np.ndarray):
     """For each half of a byte: (half, its value, the first slot of the context's row per predictor)."""
-    v = data.astype(np.int64)
-    for half in (0, 1):
-        known = np.uint64(0) if half == 0 else ((v >> 4) + 16).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        rows = [((c + known) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - ROW_BITS)).astype(np.int64) * 16 + k * SLOTS for k, c in enumerate(ctx)]
-        yield half, (v >> 4) if half == 0 else v & 15, rows
+    for half, value, slots in values(data, np.asarray(ctx)):
+        yield half, value, [row - value + k * SLOTS for k, row in enumerate(slots)]
 
 
 ROW_BITS = SLOTS.bit_length() - 5
@@ -130,6 +205,24 @@ def bits(data: np.ndarray, ctx: list[np.ndarray]):
             yield place, (1 << place) | (v >> (8 - place)), (v >> (7 - place)) & 1, [r + part for r in rows]
 
 
+def filled(data: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and their owners with a row of bytes behind them that do not count."""
+    return np.append(data, np.zeros(LANES, dtype=np.uint8)), np.append(owner, np.full(LANES, owner[-1] if len(owner) else 0))
+
+
+def _by_byte() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per half, byte and place in the half: (first cell of the partial byte and the bit, the bit, -1 for a one and 1 for a zero)."""
+    byte, place = np.arange(256)[:, None], np.arange(8)
+    bit = (byte >> (7 - place)) & 1
+    cells = (2 * ((1 << place) | (byte >> (8 - place))) + bit) * Speller.BUCKETS
+    return tuple(np.ascontiguousarray(a.reshape(256, 2, 4).swapaxes(0, 1)) for a in (cells.astype(np.int32), bit.astype(np.float32), (1 - 2 * bit).astype(np.float32)))
+
+
+def four(table: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """The four values of each byte in one row, of a table of four 32-bit values per byte."""
+    return np.take(table.view(np.complex128).reshape(-1), byte, mode="wrap").view(table.dtype)
+
+
 # -- model ------------------------------------------------------------------------------------------------
 class Speller:
     """Counts per slot, weights per gate, refinement per partial byte."""
@@ -165,32 +258,51 @@ class Speller:
         own.zeros = own.ones = None
         return own
 
-    def gated(self, values: list[np.ndarray], place: int) -> tuple[np.ndarray, np.ndarray]:
-        """(predictors that know the context, weighted sum of the predictions) of bits of one place; that number and the place are the gate."""
-        known = np.zeros(len(values[0]), dtype=np.int64)
-        for x in values:
-            known += x != 0
-        weights = self.weights[place * (len(ORDERS) + 1):(place + 1) * (len(ORDERS) + 1)].astype(np.float32) * np.float32(SCALE)
-        dot = np.zeros(len(known), dtype=np.float32)
-        for k, x in enumerate(values):
-            dot += weights[:, k][known] * x
-        return known, dot
-
-    def refine(self, dot: np.ndarray):
-        at = (np.clip(dot, -7.999, 7.999) + 8) * 2
-        low = at.astype(np.int64)
-        return low, at - low
-
-    def probability(self, dot: np.ndarray, node: np.ndarray) -> np.ndarray:
-        low, part = self.refine(dot)
-        cell = node * self.BUCKETS + low
-        flat = self.refined.reshape(-1)
-        left = flat[cell]
-        table = left + (flat[cell + 1] - left) * part
-        return np.clip(0.25 / (1 + np.exp(-dot)) + 0.75 * table, 1e-6, 1 - 1e-6)
+    def ways(self) -> np.ndarray:
+        """Per slot of a nibble's value the predictions of its four bits, eight bits each in one word; made where it is first asked for."""
+        if not hasattr(self, "_ways"):
+            learns = hasattr(self, "without")
+            rows, value = (self.without if learns else self.stretched).reshape(-1, 32 if learns else 16), np.arange(16)
+            out = np.empty((len(rows), 16, 4), dtype=np.int8)
+            for p in range(4):
+                node, bit = (1 << p) | (value >> (4 - p)), (value >> (3 - p)) & 1
+                out[:, :, p] = rows[:, 2 * node + bit if learns else node]
+            self._ways = out.view(np.uint32).reshape(-1)
+        return self._ways
+
+    def weighed(self, half: int, slots: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Weighted sums of the predictions of a half's four bits, bit by bit and byte by byte, times ``sign``.
+
+        The bits whose context every predictor knows, nearly all in a large corpus, share a gate; the others pick theirs. Returns
+        (predictions, sums, bits of other gates, their gates).
+        """
+        words, ways = np.empty(slots.shape, dtype=np.uint32), self.ways()
+        for k, row in enumerate(slots):
+            np.take(ways[k * SLOTS:(k + 1) * SLOTS], row, out=words[k], mode="wrap")
+        found = words.view(np.int8)
+        x = found.astype(np.float32)
+        places = (self.weights.astype(np.float32) * np.float32(SCALE * sign)).reshape(2, 4, len(ORDERS) + 1, len(ORDERS))[half]
+        row = np.empty((len(ORDERS), LANES, 4), dtype=np.float32)
+        row[:] = places[:, -1].T[:, None, :]
+        dot = np.einsum("kab,kb->ab", x.reshape(len(ORDERS), -1, 4 * LANES), row.reshape(len(ORDERS), -1)).reshape(-1)
+        least = np.minimum.reduce(found.view(np.uint8), axis=0)
+        if least.all():
+            return x, dot, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        other = np.flatnonzero(least == 0)
+        known = np.count_nonzero(found[:, other], axis=0)
+        dot[other] = (places[other & 3, known] * x[:, other].T).sum(axis=1)
+        return x, dot, other, known
+
+    def chances(self):
+        """Per partial byte, bit and bucket of the sum: the refined part of the bit's chance, and what it grows by to the next bucket."""
+        if not hasattr(self, "_chances"):
+            part = 0.75 * np.stack([1 - self.refined, self.refined], axis=1)
+            self._chances = part.astype(np.float32).reshape(-1), np.diff(part, axis=2, append=part[:, :, -1:]).astype(np.float32).reshape(-1)
+        return self._chances
 
     def starting(self) -> "Speller":
         """The same predictions, with weights of its own to learn and cells of its own to count."""
+        self.ways()
         own = copy.copy(self)
         own.weights, own.squares = self.weights.copy(), np.full_like(self.weights, 1e-2)
         own._empty()
@@ -203,36 +315,55 @@ class Speller:
     def learn(self, texts: Iterable[bytes]) -> np.ndarray:
         """Online steps over the texts, of `FIRST_STEP` bytes and then an eighth more each until `STEP`; a step takes the mean over
         its bits per gate. Returns the bits met per gate."""
-        total, size = np.zeros(len(self.weights), dtype=np.int64), FIRST_STEP
+        total, hits, size = np.zeros(len(self.weights), dtype=np.int64), np.zeros(2 * self.refined.size, dtype=np.int64), FIRST_STEP
         if not hasattr(self, "hits"):
             self._empty()
         for data, owner, lead in runs(texts):
-            ctx = contexts(data, owner)
-            at = lead
+            ctx, at = contexts(*filled(data, owner)), lead
             while at < len(data):
-                piece = slice(at, at + size)
-                for place, node, bit, slots in bits(data[piece], [c[piece] for c in ctx]):
-                    self._step(place, node, bit, [self.without[2 * s + bit] for s in slots], total)
+                total += self._step(data[at:at + size], ctx[:, at:], hits)
                 at, size = at + size, min(size + size // 8, STEP)
+        hits = hits.reshape(-1, 2, self.BUCKETS)
+        self.hits += hits.sum(axis=1).reshape(-1)
+        self.hit_ones += hits[:, 1].reshape(-1)
         return total
 
-    def _step(self, place, node, bit, values, total) -> None:
-        gates = len(ORDERS) + 1
-        known, dot = self.gated(values, place)
-        low, part = self.refine(dot)
-        cell = node * self.BUCKETS + low + (part > 0.5)
-        met_cells = np.bincount(cell, minlength=self.refined.size)
-        self.hits += met_cells
-        self.hit_ones += np.bincount(cell[bit == 1], minlength=self.refined.size)
-        error = (bit - 1 / (1 + np.exp(-np.clip(dot, -30, 30)))) * SCALE
-        met = np.bincount(known, minlength=gates)
-        mine = slice(place * gates, (place + 1) * gates)
-        total[mine] += met
-        for k, x in enumerate(values):
-            slope = np.bincount(known, weights=error * x, minlength=gates) / np.maximum(met, 1)
-            self.squares[mine, k] += slope * slope
-            self.weights[mine, k] += RATE * slope / np.sqrt(self.squares[mine, k])
-        self.summed[mine] += self.weights[mine] * met[:, None]
+    def _step(self, data: np.ndarray, ctx: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        """One step over the bits of ``data``; ``ctx`` goes on behind them, ``hits`` counts zeros and ones per cell. Returns the bits met per gate."""
+        gates, n, wide = len(ORDERS) + 1, 4 * len(data), -(-len(data) // LANES) * LANES
+        met, slope = np.zeros((8, gates)), np.zeros((8, gates, len(ORDERS)))
+        data = np.append(data, np.zeros(wide - len(data), dtype=np.uint8))
+        byte = data.astype(np.intp)
+        for half, _, slots in values(data, ctx[:, :wide]):
+            x, error, other, gate = self.weighed(half, slots, -1)
+            bucket = error * np.float32(-2)
+            bucket += np.float32(15.5)
+            np.clip(np.ceil(bucket, out=bucket), np.float32(0), np.float32(self.BUCKETS - 1), out=bucket)
+            cell = bucket.astype(np.int32)
+            cell += four(CELLS[half], byte)
+            hits += np.bincount(cell[:n], minlength=len(hits))
+            # The bit less its chance, which is 1 / (1 + exp(-sum)).
+            np.exp(error, out=error)
+            error += np.float32(1)
+            np.divide(np.float32(1), error, out=error)
+            np.subtract(four(BITS[half], byte), error, out=error)
+            error[n:] = 0
+            mine, other, gate = slice(4 * half, 4 * half + 4), other[other < n], gate[other < n]
+            if len(other):
+                spot, missed = (other & 3) * gates + gate, x[:, other] * error[other]
+                met[mine] += np.bincount(spot, minlength=4 * gates).reshape(4, gates)
+                for k, m in enumerate(missed):
+                    slope[mine, :, k] += np.bincount(spot, weights=m, minlength=4 * gates).reshape(4, gates)
+                error[other] = 0
+            met[mine, -1] += n // 4 - met[mine].sum(axis=1)
+            sums = np.einsum("kab,ab->kb", x.reshape(len(ORDERS), -1, 4 * LANES), error.reshape(-1, 4 * LANES))
+            slope[mine, -1] += sums.reshape(len(ORDERS), -1, 4).sum(axis=1, dtype=np.float64).T
+        met, slope = met.reshape(-1), slope.reshape(self.weights.shape)
+        slope *= SCALE / np.maximum(met, 1)[:, None]
+        self.squares += slope * slope
+        self.weights += RATE * slope / np.sqrt(self.squares)
+        self.summed += self.weights * met[:, None]
+        return met.astype(np.int64)
 
     def refine_by(self, cell: np.ndarray, hits: np.ndarray, ones: np.ndarray) -> None:
         """Each cell's share of ones, beside ``PRIOR`` bits as mixed."""
@@ -250,16 +381,42 @@ class Speller:
         """log10 probability of each text with its end, of a frozen model."""
         found = np.zeros(len(texts))
         for data, owner, lead in runs(texts):
-            ctx = contexts(data, owner)
+            filling, ctx = filled(data, owner)[0], None
+            ctx = contexts(filling, filled(data, owner)[1])
             for at in range(lead, len(data), STEP):
-                piece = slice(at, at + STEP)
-                chance = np.ones(len(data[piece]))
-                for place, node, bit, slots in bits(data[piece], [c[piece] for c in ctx]):
-                    p = self.probability(self.gated([self.stretched[s] for s in slots], place)[1], node)
-                    chance *= np.where(bit == 1, p, 1 - p)
-                found += np.bincount(owner[piece], weights=np.log10(chance), minlength=len(texts))
+                end = min(at + STEP, len(data))
+                chance = self._chance(filling[at:], ctx[:, at:], end - at)
+                found += np.bincount(owner[at:end], weights=np.log10(chance), minlength=len(texts))
         return found
 
+    def _chance(self, data: np.ndarray, ctx: np.ndarray, n: int) -> np.ndarray:
+        """The chance of each of the first n bytes; what goes on behind them only fills up."""
+        wide, chance = -(-n // LANES) * LANES, 1.0
+        data, (left, growth) = data[:wide], self.chances()
+        byte = data.astype(np.intp)
+        for half, _, slots in values(data, ctx[:, :wide]):
+            dot = self.weighed(half, slots, 1)[1]
+            mixed = dot * four(SIGNS[half], byte)  # the bit's own side: its chance is 1 / (1 + exp(mixed))
+            np.exp(mixed, out=mixed)
+            mixed += np.float32(1)
+            np.divide(np.float32(0.25), mixed, out=mixed)
+            np.clip(dot, np.float32(-7.999), np.float32(7.999), out=dot)
+            dot += np.float32(8)
+            dot *= np.float32(2)
+            low = dot.astype(np.int32)
+            dot -= low.astype(np.float32)
+            low += four(CELLS[half], byte)
+            cell = low.astype(np.int64)
+            dot *= np.take(growth, cell, mode="clip")
+            dot += np.take(left, cell, mode="clip")
+            dot += mixed
+            dot = dot.reshape(-1, 4)
+            chance = chance * ((dot[:, 0] * dot[:, 1]) * (dot[:, 2] * dot[:, 3])).astype(np.float64)
+        return chance[:n]
+
+
+CELLS, BITS, SIGNS = _by_byte()
+
 
 def spelling_counts(texts: DataFrame) -> DataFrame:
     """(word: a text's bytes) -> (block, counts): how often each value of a nibble follows each row, over all texts.
@@ -271,9 +428,9 @@ def spelling_counts(texts: DataFrame) -> DataFrame:
     def run(batches):
         counts = np.zeros(len(ORDERS) * SLOTS, dtype=np.int32)
         for data, owner, lead in runs(t.lower() for batch in batches for i in range(0, batch.num_rows, 64) for t in batch.column(0).slice(i, 64).to_pylist()):
-            for _, value, rows in nibbles(data, contexts(data, owner)):
-                for r in rows:
-                    np.add.at(counts, (r + value)[lead:], np.int32(1))
+            for _, _, slots in values(data, contexts(data, owner)):
+                for k, met in enumerate(slots[:, lead:]):
+                    np.add.at(counts[k * SLOTS:(k + 1) * SLOTS], met, np.int32(1))
         blocks = counts.reshape(-1, BLOCK)
         met = np.flatnonzero(blocks.any(axis=1))
         for i in range(0, len(met), 64):
