@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wearpath.llm import lm_scoring
 from wearpath.llm.batches import hashes, mixed
@@ -106,3 +107,15 @@ def test_steps_against_single_bits():
     assert (met == total).all() and met.sum() == 8 * len(data)
     assert learner.weights == pytest.approx(weights, abs=1e-4) and learner.summed == pytest.approx(summed, rel=1e-4, abs=1e-3)
     assert learner.hits.sum() == hits.sum() and np.abs(learner.hits - hits).sum() <= 1e-3 * hits.sum() and np.abs(learner.hit_ones - ones).sum() <= 1e-3 * hits.sum()
+
+
+def test_each_learner_has_a_task_of_its_own(spark, monkeypatch):
+    """With several learners no two share a partition, so that no task learns twice while others have nothing."""
+    texts = [f"text number {i} with words {i % 7} and {i % 11}".encode() for i in range(400)]
+    learners, written = 16, []
+    materialise = lm_scoring.materialise
+    monkeypatch.setattr(lm_scoring, "materialise", lambda df, *more: (back := materialise(df, *more), written.append(back))[0])
+    fitted = lm_scoring.fit(lm_scoring.Speller(*counted(texts)), spark.createDataFrame([(t,) for t in texts], "word binary").repartition(3), learners)
+    by_file = written[0].select("learner", F.input_file_name().alias("file")).distinct().collect()
+    assert len(by_file) == len({r.learner for r in by_file}) == len({r.file for r in by_file}) == learners
+    assert np.isfinite(fitted.weights).all()

@@ -94,7 +94,7 @@ def runs(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]
 
 
 def contexts(data: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Per predictor, a row each, a hash of what stands before each byte in its text."""
+    """Per predictor, a row each, a hash of what stands before each byte in its text. The rows are those of `ORDERS`."""
     n = len(data)
     out, spare = np.empty((len(ORDERS), n), dtype=np.uint64), np.empty(n, dtype=np.uint64)
     first = np.append(0, np.flatnonzero(owner[1:] != owner[:-1]) + 1)[:n]
@@ -343,7 +343,7 @@ class Speller:
             cell += four(CELLS[half], byte)
             hits += np.bincount(cell[:n], minlength=len(hits))
             # The bit less its chance, which is 1 / (1 + exp(-sum)).
-            np.exp(error, out=error)
+            np.exp(np.minimum(error, np.float32(30), out=error), out=error)
             error += np.float32(1)
             np.divide(np.float32(1), error, out=error)
             np.subtract(four(BITS[half], byte), error, out=error)
@@ -381,11 +381,11 @@ class Speller:
         """log10 probability of each text with its end, of a frozen model."""
         found = np.zeros(len(texts))
         for data, owner, lead in runs(texts):
-            filling, ctx = filled(data, owner)[0], None
-            ctx = contexts(filling, filled(data, owner)[1])
+            more, owners = filled(data, owner)
+            ctx = contexts(more, owners)
             for at in range(lead, len(data), STEP):
                 end = min(at + STEP, len(data))
-                chance = self._chance(filling[at:], ctx[:, at:], end - at)
+                chance = self._chance(more[at:], ctx[:, at:], end - at)
                 found += np.bincount(owner[at:end], weights=np.log10(chance), minlength=len(texts))
         return found
 
@@ -397,7 +397,7 @@ class Speller:
         for half, _, slots in values(data, ctx[:, :wide]):
             dot = self.weighed(half, slots, 1)[1]
             mixed = dot * four(SIGNS[half], byte)  # the bit's own side: its chance is 1 / (1 + exp(mixed))
-            np.exp(mixed, out=mixed)
+            np.exp(np.minimum(mixed, np.float32(60), out=mixed), out=mixed)
             mixed += np.float32(1)
             np.divide(np.float32(0.25), mixed, out=mixed)
             np.clip(dot, np.float32(-7.999), np.float32(7.999), out=dot)
@@ -473,7 +473,7 @@ def fit(speller: Speller, texts: DataFrame, learners: int = LEARNERS) -> Speller
     """Weights and refinement from all texts (word: their bytes), in tasks. Returns the frozen model.
 
     Texts are dealt to learners by a hash and sorted, so that a learner meets the same texts in the same steps
-    whatever tasks there are. A row per learner and weight or cell comes to the driver.
+    whatever tasks there are. Each learner has a task of its own. A row per learner and weight or cell comes to the driver.
     """
     names, kind = ["learner", "at", "total", "n"], "learner int, at int, total double, n double"
     weights = speller.weights.size
@@ -494,7 +494,7 @@ def fit(speller: Speller, texts: DataFrame, learners: int = LEARNERS) -> Speller
 
     context = texts.sparkSession.sparkContext
     deal = F.pmod(F.xxhash64("word"), F.lit(learners)).cast("int")
-    dealt = texts.select(deal.alias("learner"), "word").repartition(learners, "learner").sortWithinPartitions("learner", F.xxhash64(F.lit(1), "word"), "word")
+    dealt = texts.select(deal.alias("learner"), "word").repartitionById(learners, F.col("learner")).sortWithinPartitions("learner", F.xxhash64(F.lit(1), "word"), "word")
     shared = context.broadcast(speller.learner())
     found = materialise(dealt.mapInArrow(learnt, kind), "weights").toArrow().sort_by([("learner", "ascending"), ("at", "ascending")])
     shared.unpersist()
@@ -515,7 +515,7 @@ def _tokens(batch_text, most: int = PIECE):
     """Per piece of a batch: (first row, rows, lower-cased bytes, starts, ends, row of each word, hash of each word)."""
     data, offsets = bytes_of(batch_text)
     for lo, hi in ranges(offsets, most):
-        piece = LOWERED[data[offsets[lo]:offsets[hi]]]
+        piece = np.take(LOWERED, data[offsets[lo]:offsets[hi]])
         starts, ends, rows = word_places(piece, offsets[lo:hi + 1] - offsets[lo])
         yield lo, hi - lo, piece, starts, ends, rows, hashes(piece, starts, ends) if len(starts) else np.zeros(0, dtype=np.uint64)
 
