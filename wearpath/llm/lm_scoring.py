@@ -211,11 +211,11 @@ def filled(data: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _by_byte() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per half, byte and place in the half: (first cell of the partial byte and the bit, the bit, -1 for a one and 1 for a zero)."""
+    """Per half, byte and place in the half: (first cell of the partial byte and the bit, the bit, a quarter for a one and less a quarter for a zero)."""
     byte, place = np.arange(256)[:, None], np.arange(8)
     bit = (byte >> (7 - place)) & 1
     cells = (2 * ((1 << place) | (byte >> (8 - place))) + bit) * Speller.BUCKETS
-    return tuple(np.ascontiguousarray(a.reshape(256, 2, 4).swapaxes(0, 1)) for a in (cells.astype(np.int32), bit.astype(np.float32), (1 - 2 * bit).astype(np.float32)))
+    return tuple(np.ascontiguousarray(a.reshape(256, 2, 4).swapaxes(0, 1)) for a in (cells.astype(np.int32), bit.astype(np.float32), (bit / 2 - 0.25).astype(np.float32)))
 
 
 def four(table: np.ndarray, byte: np.ndarray) -> np.ndarray:
@@ -294,10 +294,11 @@ class Speller:
         return x, dot, other, known
 
     def chances(self):
-        """Per partial byte, bit and bucket of the sum: the refined part of the bit's chance, and what it grows by to the next bucket."""
+        """Per partial byte, bit and bucket of the sum: the refined part of the bit's chance, and what it grows by to the next bucket.
+        To it comes a quarter of the chance of a one as mixed; a zero has that quarter here and loses it again."""
         if not hasattr(self, "_chances"):
-            part = 0.75 * np.stack([1 - self.refined, self.refined], axis=1)
-            self._chances = part.astype(np.float32).reshape(-1), np.diff(part, axis=2, append=part[:, :, -1:]).astype(np.float32).reshape(-1)
+            part = np.stack([1 - 0.75 * self.refined, 0.75 * self.refined], axis=1)
+            self._chances = part.reshape(-1), np.diff(part, axis=2, append=part[:, :, -1:]).astype(np.float32).reshape(-1)
         return self._chances
 
     def starting(self) -> "Speller":
@@ -328,6 +329,7 @@ class Speller:
         self.hit_ones += hits[:, 1].reshape(-1)
         return total
 
+    @np.errstate(over="ignore")
     def _step(self, data: np.ndarray, ctx: np.ndarray, hits: np.ndarray) -> np.ndarray:
         """One step over the bits of ``data``; ``ctx`` goes on behind them, ``hits`` counts zeros and ones per cell. Returns the bits met per gate."""
         gates, n, wide = len(ORDERS) + 1, 4 * len(data), -(-len(data) // LANES) * LANES
@@ -343,7 +345,7 @@ class Speller:
             cell += four(CELLS[half], byte)
             hits += np.bincount(cell[:n], minlength=len(hits))
             # The bit less its chance, which is 1 / (1 + exp(-sum)).
-            np.exp(np.minimum(error, np.float32(30), out=error), out=error)
+            np.exp(error, out=error)
             error += np.float32(1)
             np.divide(np.float32(1), error, out=error)
             np.subtract(four(BITS[half], byte), error, out=error)
@@ -389,33 +391,34 @@ class Speller:
                 found += np.bincount(owner[at:end], weights=np.log10(chance), minlength=len(texts))
         return found
 
+    @np.errstate(over="ignore")
     def _chance(self, data: np.ndarray, ctx: np.ndarray, n: int) -> np.ndarray:
         """The chance of each of the first n bytes; what goes on behind them only fills up."""
         wide, chance = -(-n // LANES) * LANES, 1.0
         data, (left, growth) = data[:wide], self.chances()
         byte = data.astype(np.intp)
         for half, _, slots in values(data, ctx[:, :wide]):
-            dot = self.weighed(half, slots, 1)[1]
-            mixed = dot * four(SIGNS[half], byte)  # the bit's own side: its chance is 1 / (1 + exp(mixed))
-            np.exp(np.minimum(mixed, np.float32(60), out=mixed), out=mixed)
+            dot = self.weighed(half, slots, -1)[1]
+            mixed = np.exp(dot)
             mixed += np.float32(1)
-            np.divide(np.float32(0.25), mixed, out=mixed)
+            np.divide(four(QUARTERS[half], byte), mixed, out=mixed)
             np.clip(dot, np.float32(-7.999), np.float32(7.999), out=dot)
-            dot += np.float32(8)
+            np.subtract(np.float32(8), dot, out=dot)
             dot *= np.float32(2)
             low = dot.astype(np.int32)
             dot -= low.astype(np.float32)
             low += four(CELLS[half], byte)
             cell = low.astype(np.int64)
             dot *= np.take(growth, cell, mode="clip")
-            dot += np.take(left, cell, mode="clip")
-            dot += mixed
-            dot = dot.reshape(-1, 4)
-            chance = chance * ((dot[:, 0] * dot[:, 1]) * (dot[:, 2] * dot[:, 3])).astype(np.float64)
+            p = np.take(left, cell, mode="clip")  # in 64 bits: the same cell is met often
+            p += dot
+            p += mixed
+            p = p.reshape(-1, 4)
+            chance = chance * ((p[:, 0] * p[:, 1]) * (p[:, 2] * p[:, 3]))
         return chance[:n]
 
 
-CELLS, BITS, SIGNS = _by_byte()
+CELLS, BITS, QUARTERS = _by_byte()
 
 
 def spelling_counts(texts: DataFrame) -> DataFrame:
